@@ -1,0 +1,27 @@
+"""Broadcast only what is proven small.
+
+Model tables (VID tables, pool buckets, census) are small by construction, but
+"by construction" depends on inputs (number of segments x pools).  Before such a
+table is broadcast it is materialised to the session's checkpoint folder (which
+also cuts its lineage, so an executor loss does not recompute the model) and
+counted; above the limit the caller takes a shuffle-join path instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from reachkit.session import ensure_checkpoint_dir
+
+# Rows of a model table we are willing to ship to every executor.  A VID-table
+# row is ~100 bytes, so this stays far below spark.sql.autoBroadcastJoinThreshold
+# scale even with wide demo columns.
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Checkpoint ``df`` and report whether it has at most ``max_rows`` rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    stored = df.checkpoint(eager=True)
+    n = stored.limit(max_rows + 1).count()
+    return stored, n <= max_rows
