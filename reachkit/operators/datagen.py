@@ -51,19 +51,25 @@ def gen_people_table(census: DataFrame, demo_cols, m: float = LOMAX_M, alpha: fl
         *demos, "population", "ratio", rate.alias("rate"))
 
 
-def add_n_impressions(people: DataFrame, impressions_total: float, population_total: int | None = None,
-                      seed: int = 0) -> DataFrame:
+def add_n_impressions(people: DataFrame, impressions_total: float | None = None,
+                      population_total: int | None = None, seed: int = 0,
+                      impressions_per_person: float | None = None) -> DataFrame:
     """Add ``rate_impressions`` and ``n_impressions`` (stochastic rounding with a
     per-person seeded draw); persons with no impression are dropped.  The rate is
-    rescaled so its mean over the people table is 1."""
+    rescaled so its mean over the people table is 1.  Give the expected number of
+    impressions either in total (``impressions_total``) or per person."""
     require_columns(people, ["user_id", "rate"])
+    if (impressions_total is None) == (impressions_per_person is None):
+        raise ValueError("give exactly one of impressions_total and impressions_per_person")
     stats = people.agg(F.sum("rate").alias("__sum_rate"), F.count(F.lit(1)).alias("__people"))
     total = F.lit(float(population_total)) if population_total is not None else F.col("__people").cast("double")
     scaled = F.col("rate") * total / F.col("__sum_rate")
+    per_person = (F.lit(float(impressions_per_person)) if impressions_per_person is not None
+                  else F.lit(float(impressions_total)) / total)
     out = (
         people.crossJoin(F.broadcast(stats))  # one row
         .withColumn("rate", scaled)
-        .withColumn("rate_impressions", F.col("rate") * F.lit(float(impressions_total)) / total)
+        .withColumn("rate_impressions", F.col("rate") * per_person)
         .withColumn("n_impressions", stochastic_round("rate_impressions", seeded_uniform(seed, "user_id")))
         .where(F.col("n_impressions") > 0)
     )
