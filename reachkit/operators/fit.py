@@ -11,9 +11,9 @@ Plan:
    cell (``max_by``), so a group never grows with the log;
 3. ``groupBy(demos).applyInPandas`` runs a small NumPy Levenberg-Marquardt fit
    per curve with seeded restarts and pool elimination: start with ``n_deltas``
-   pools; keep the fit if one pool is left or every rate exceeds ``min_rate``,
-   otherwise drop one pool and refit.  Results are right-aligned in zero-padded
-   arrays of length ``n_deltas``.
+   pools; keep the fit if one pool is left or every rate exceeds ``min_rate``
+   (and no two rates coincide), otherwise drop one pool and refit.  Results are right-aligned in zero-padded
+   arrays of length ``n_deltas`` (kept pools in ascending rate order).
 
 Output: ``[demos], population, alphas, rates, n_fitted, rmse`` (rmse in people,
 on the fitted points).  A curve no pool count can fit gets ``n_fitted = 0``.
@@ -36,6 +36,13 @@ from reachkit.sources.schema import as_list, require_columns
 MAX_EVALUATIONS = 5000
 MIN_RATE = 0.01
 INIT_RATE_UPPER = 6.0
+# Convergence: stop when an accepted step lowers the SSE by less than FTOL
+# (relative) or moves the parameters by less than XTOL (relative).
+FTOL = 1e-8
+XTOL = 1e-10
+# Two pools whose rates agree to this relative tolerance describe the same curve
+# (and the same VID distribution) as one pool with their summed amplitude.
+MERGE_RTOL = 1e-3
 
 
 def _model(p: np.ndarray, g: np.ndarray, m: int) -> np.ndarray:
@@ -49,8 +56,14 @@ def _jacobian(p: np.ndarray, g: np.ndarray, m: int) -> np.ndarray:
     return np.hstack([1.0 - e, e * g[:, None] * a[None, :]])
 
 
+def _merged(rates: np.ndarray) -> bool:
+    x = np.sort(rates)
+    return bool(np.any(np.diff(x) <= MERGE_RTOL * np.maximum(x[1:], 1e-300)))
+
+
 def _lm(g: np.ndarray, r: np.ndarray, p0: np.ndarray, m: int, max_eval: int) -> tuple[np.ndarray, float]:
-    """Projected Levenberg-Marquardt (parameters clamped at 0)."""
+    """Projected Levenberg-Marquardt (parameters clamped at 0).  Stops early when
+    two rates merge: the fit is then better described with one pool less."""
     p = np.maximum(p0.astype(float), 0.0)
     res = _model(p, g, m) - r
     sse = float(res @ res)
@@ -69,6 +82,7 @@ def _lm(g: np.ndarray, r: np.ndarray, p0: np.ndarray, m: int, max_eval: int) ->
             evals += 1
             if np.isfinite(csse) and csse < sse:
                 gain = sse - csse
+                moved = float(np.linalg.norm(cand - p))
                 p, res, sse = cand, cres, csse
                 lam = max(lam / 3.0, 1e-12)
                 improved = True
@@ -76,7 +90,9 @@ def _lm(g: np.ndarray, r: np.ndarray, p0: np.ndarray, m: int, max_eval: int) ->
             lam *= 4.0
             if lam > 1e12:
                 break
-        if not improved or gain <= 1e-15 * max(sse, 1e-30):
+        if not improved or gain <= FTOL * max(sse, 1e-30) or moved <= XTOL * (float(np.linalg.norm(p)) + XTOL):
+            break
+        if m > 1 and _merged(p[m:]):
             break
     return p, sse
 
@@ -107,9 +123,10 @@ def fit_curve(g: np.ndarray, r: np.ndarray, n_deltas: int, seed: int = 0, restar
                 best_p, best_sse = p, sse
         if best_p is None:
             continue
-        if m == 1 or np.all(best_p[m:] > min_rate):
-            alphas[n_deltas - m:] = best_p[:m]
-            rates[n_deltas - m:] = best_p[m:]
+        if m == 1 or (np.all(best_p[m:] > min_rate) and not _merged(best_p[m:])):
+            order = np.argsort(best_p[m:], kind="stable")
+            alphas[n_deltas - m:] = best_p[:m][order]
+            rates[n_deltas - m:] = best_p[m:][order]
             return alphas, rates, m, best_sse
     return alphas, rates, 0, float("nan")
 

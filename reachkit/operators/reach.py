@@ -43,11 +43,17 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
         require_columns(df, ["weight"])
 
     carried = [order_col, *tiebreak, *demos] + (["weight"] if weighted else [])
-    first = (
-        df.groupBy(id_col)
-        .agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("f"))
-        .select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carried)])
-    )
+    if len(carried) == 1:
+        # Only the time is needed: a plain min keeps a fixed-width hash aggregate.
+        first = df.groupBy(id_col).agg(F.min(order_col).alias(order_col))
+    else:
+        # The first row's segment/weight ride along in a struct (sort-based
+        # aggregate with map-side partial aggregation).
+        first = (
+            df.groupBy(id_col)
+            .agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("f"))
+            .select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carried)])
+        )
     one = F.lit(1).cast("bigint")
     zero = F.lit(0).cast("bigint")
     if weighted:
