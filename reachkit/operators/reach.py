@@ -44,8 +44,13 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
 
     carried = [order_col, *tiebreak, *demos] + (["weight"] if weighted else [])
     if len(carried) == 1:
-        # Only the time is needed: a plain min keeps a fixed-width hash aggregate.
-        first = df.groupBy(id_col).agg(F.min(order_col).alias(order_col))
+        # Only the time is needed: fixed-width buffers keep a hash aggregate.  A
+        # NULL time sorts first, so it wins over any time (min() would skip it).
+        first = (
+            df.groupBy(id_col)
+            .agg(F.min(order_col).alias("__t"), F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
+            .select(F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t")).alias(order_col))
+        )
     else:
         # The first row's segment/weight ride along in a struct (sort-based
         # aggregate with map-side partial aggregation).
