@@ -10,8 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the hash is a signed 32-bit int; dividing by 2**32 and adding 0.5
-# maps it onto [0, 1).
+# maps it onto [0, 1).  Multiplying by the exact reciprocal gives the same bits
+# and, unlike a division, is never NULL, so Catalyst adds no null filters that
+# would evaluate the hash a second time.
 TWO_POW_32 = float(2 ** 32)
+INV_TWO_POW_32 = 2.0 ** -32
+
+
+def to_uniform(h: Column) -> Column:
+    """Map a 32-bit hash onto [0, 1)."""
+    return h * F.lit(INV_TWO_POW_32) + F.lit(0.5)
 
 
 def _col(c) -> Column:
@@ -25,13 +33,13 @@ def hash_string(c) -> Column:
 
 def hash_uniform(c) -> Column:
     """Uniform draw in [0, 1) from the hash of the value's string form."""
-    return hash_string(c) / F.lit(TWO_POW_32) + F.lit(0.5)
+    return to_uniform(hash_string(c))
 
 
 def seeded_uniform(seed: int, *cols) -> Column:
     """Uniform in [0, 1) from ``seed|col1|col2...`` (reproducible random numbers)."""
     parts = [F.lit(str(seed))] + [_col(c).cast("string") for c in cols]
-    return F.hash(F.concat_ws("|", *parts)) / F.lit(TWO_POW_32) + F.lit(0.5)
+    return to_uniform(F.hash(F.concat_ws("|", *parts)))
 
 
 def vid_chain(n, start, size, seed) -> Column:

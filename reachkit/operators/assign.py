@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachkit.functions.hashing import TWO_POW_32, vid_chain
+from reachkit.functions.hashing import to_uniform, vid_chain
 from reachkit.functions.rounding import half_up_int
 from reachkit.operators.vid_table import VID_COLUMNS
 from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
@@ -31,10 +31,6 @@ from reachkit.sources.schema import as_list, require_columns
 MODES = ("weighted", "uid", "uid_time")
 
 
-def _uniform(h):
-    return h / F.lit(TWO_POW_32) + F.lit(0.5)
-
-
 def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mode: str = "uid",
                 id_col: str = "user_id", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                 table_is_small: bool | None = None) -> DataFrame:
@@ -64,7 +60,7 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
     uid = F.col(id_col).cast("string")
     ts = F.col("timestamp").cast("string")
     h1 = F.hash(F.concat(uid, ts)) if mode == "uid_time" else F.hash(uid)
-    keyed = impressions.withColumn("h1", h1).withColumn("p1", _uniform(F.col("h1")))
+    keyed = impressions.withColumn("h1", h1).withColumn("p1", to_uniform(F.col("h1")))
 
     side = F.broadcast(table) if small else table
     in_bucket = (F.col("p1") >= F.col("prob_>=")) & (F.col("p1") < F.col("prob_<"))
@@ -79,9 +75,9 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
                 .select(*demos, "vid", "timestamp", "h1", "p1"))
 
     if mode == "uid":
-        p2 = _uniform(F.hash(F.col("h1").cast("string")))
+        p2 = to_uniform(F.hash(F.col("h1").cast("string")))
     else:
-        p2 = _uniform(F.hash(F.concat(F.col("h1").cast("string"), ts)))
+        p2 = to_uniform(F.hash(F.concat(F.col("h1").cast("string"), ts)))
     return (
         joined.withColumn("p2", p2)
         .withColumn("vid", (F.floor(F.col("p2") * F.col("total_VID")) + F.col("start_VID")).cast("bigint"))

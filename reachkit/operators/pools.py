@@ -34,8 +34,11 @@ def mixture_of_delta_pool_info(vid_impressions: DataFrame, vid_table: DataFrame,
     require_columns(vid_table, [*demos, *VID_COLUMNS])
     width = F.lit(int(bucket_width)).cast("bigint")
 
+    # The bucket key and the range test are written NULL-tolerant (coalesce) so
+    # Catalyst infers no ``isnotnull(vid)`` and pushes no re-evaluation of the
+    # VID expression into the assignment's join; a NULL vid matches no pool.
     pairs = (vid_impressions.groupBy(*demos, "vid", id_col).agg(F.count(F.lit(1)).alias("__n"))
-             .withColumn("__b", F.floor(F.col("vid") / width)))
+             .withColumn("__b", F.coalesce(F.floor(F.col("vid") / width), F.lit(-1).cast("bigint"))))
     spans = (
         vid_table.select(*demos, *VID_COLUMNS)
         .where(F.col("total_VID") > 0)
@@ -45,7 +48,8 @@ def mixture_of_delta_pool_info(vid_impressions: DataFrame, vid_table: DataFrame,
     )
     spans, small = materialize_small(spans, max_broadcast_rows)
     side = F.broadcast(spans) if small else spans
-    inside = (F.col("vid") >= F.col("start_VID")) & (F.col("vid") < F.col("start_VID") + F.col("total_VID"))
+    inside = F.coalesce((F.col("vid") >= F.col("start_VID"))
+                        & (F.col("vid") < F.col("start_VID") + F.col("total_VID")), F.lit(False))
     joined = pairs.join(side, on=[*demos, "__b"]).where(inside)
     return (
         joined.groupBy(*VID_COLUMNS)

@@ -1,32 +1,71 @@
 """Reach tables: per time slot, new people reached and impressions, plus running totals.
 
 Plan (no per-row window over ids):
-1. first exposure of every id = ``min(struct(timestamp, tiebreak, demos, weight))``
-   in a ``groupBy(id)`` -- partial aggregation, so a hot id is combined map-side;
+1. the first exposure of every id is found by a ``groupBy(id)`` whose buffers are
+   fixed-width, so it runs as a hash aggregate with map-side partial aggregation
+   (a hot id is combined before the shuffle):
+   * time only (count mode, no segments): ``min(time)`` plus a NULL flag;
+   * with segments and/or weights: the tie order (time, segment, weight) is
+     packed into one DECIMAL(38,0) key and ``min(key)`` is taken.  Segments are
+     numbered by a small, size-checked dictionary of the distinct demo tuples
+     (in demo order, so the tie rule is "smallest demos, then smallest weight");
+   * anything else (tiebreak columns, non-time order column, fractional
+     weights, too many segments): ``min(struct(...))`` (sort-based aggregate);
 2. the first rows (reach 1 / weight) and all rows (impression 1 / weight) are
-   unioned and summed in one ``groupBy(demos, timestamp)``;
+   unioned and summed in one ``groupBy(segment, time)``;
 3. running totals by the bucketed prefix sum (``plans.prefix.running_sums``), so
    neither a segment nor the un-segmented curve is sorted in one task.
 
-Ties: among an id's rows at its first timestamp, the one with the smallest
-(tiebreak, demos, weight) is the first exposure.  An id seen in two segments is
-reached once, in the segment of its first exposure.
+An id seen in two segments is reached once, in the segment of its first
+exposure.  NULL times sort first; NULL weights count 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
 from reachkit.plans.prefix import running_sums
 from reachkit.sources.schema import as_list, require_columns
 
 MODES = ("count", "weighted")
 
+# Layout of the packed tie key (decimal digits): time in the top 19 digits,
+# segment number in the next 9, weight in the last 10.
+_TIME_SHIFT = "CAST('10000000000000000000' AS DECIMAL(38,0))"
+_SEG_SHIFT = "CAST('10000000000' AS DECIMAL(38,0))"
+_MAX_SEGMENTS = 999_999_999
+_WEIGHT_OFFSET = 2 ** 31 + 1
+_TIME_OFFSET = 2 ** 62
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _micros(c: str, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    return F.unix_micros(F.col(c))
+
+
+def _weight_col(df: DataFrame) -> Column:
+    if isinstance(df.schema["weight"].dataType, _INTEGRAL):
+        return F.coalesce(F.col("weight").cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
+
+
+def _segment_dictionary(df: DataFrame, demos: list[str], max_rows: int):
+    """``(demos..., __seg)`` numbered 1.. in ascending demo order, or None if too big."""
+    distinct, small = materialize_small(df.select(*demos).distinct(), max_rows)
+    if not small:
+        return None
+    order = [F.col(c).asc_nulls_first() for c in demos]
+    return distinct.withColumn("__seg", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
 
 def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
                          mode: str = "count", order_col: str = "timestamp", tiebreak=None,
-                         bucket=None) -> DataFrame:
+                         bucket=None, max_segments: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Reach table ``[demos], timestamp, reach_inc, impression_inc, reach, impression``.
 
     ``mode="count"`` counts people and rows; ``mode="weighted"`` sums ``weight``
@@ -42,43 +81,109 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
     if weighted:
         require_columns(df, ["weight"])
 
-    carried = [order_col, *tiebreak, *demos] + (["weight"] if weighted else [])
-    if len(carried) == 1:
-        # Only the time is needed: fixed-width buffers keep a hash aggregate.  A
-        # NULL time sorts first, so it wins over any time (min() would skip it).
-        first = (
-            df.groupBy(id_col)
-            .agg(F.min(order_col).alias("__t"), F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
-            .select(F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t")).alias(order_col))
-        )
+    order_type = df.schema[order_col].dataType
+    timed = isinstance(order_type, (T.TimestampType, T.TimestampNTZType))
+    # The packed key has room for 32-bit weights.
+    integral_weight = (not weighted) or isinstance(df.schema["weight"].dataType,
+                                                   (T.ByteType, T.ShortType, T.IntegerType))
+    if not demos and not weighted and not tiebreak:
+        per_slot = _per_slot_time_only(df, id_col, order_col)
+        seg_cols, dictionary = [], None
+    elif timed and not tiebreak and integral_weight:
+        dictionary = _segment_dictionary(df, demos, min(max_segments, _MAX_SEGMENTS)) if demos else None
+        if demos and dictionary is None:
+            per_slot = _per_slot_struct(df, id_col, order_col, demos, tiebreak, weighted)
+            seg_cols = demos
+        else:
+            per_slot = _per_slot_packed(df, id_col, order_col, demos, dictionary, weighted)
+            seg_cols = ["__seg"] if demos else []
     else:
-        # The first row's segment/weight ride along in a struct (sort-based
-        # aggregate with map-side partial aggregation).
-        first = (
-            df.groupBy(id_col)
-            .agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("f"))
-            .select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carried)])
-        )
-    one = F.lit(1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    if weighted:
-        w = F.coalesce(F.col("weight"), F.lit(0)).cast("bigint") if dict(df.dtypes)["weight"] in (
-            "int", "bigint", "smallint", "tinyint") else F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
-        zero = w * 0
-        reach_part = first.select(*demos, order_col, w.alias("r"), zero.alias("i"))
-        rows_part = df.select(*demos, order_col, zero.alias("r"), w.alias("i"))
-    else:
-        reach_part = first.select(*demos, order_col, one.alias("r"), zero.alias("i"))
-        rows_part = df.select(*demos, order_col, zero.alias("r"), one.alias("i"))
+        per_slot = _per_slot_struct(df, id_col, order_col, demos, tiebreak, weighted)
+        seg_cols, dictionary = demos, None
 
-    per_slot = (
-        reach_part.unionByName(rows_part)
-        .groupBy(*demos, order_col)
-        .agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc"))
-    )
-    curve = running_sums(per_slot, demos, order_col,
+    curve = running_sums(per_slot, seg_cols, order_col,
                          {"reach": "reach_inc", "impression": "impression_inc"}, bucket)
+    if dictionary is not None:
+        curve = curve.join(F.broadcast(dictionary), on="__seg")  # size checked above
     out = curve.select(*demos, order_col, "reach_inc", "impression_inc", "reach", "impression")
     if order_col != "timestamp":
         out = out.withColumnRenamed(order_col, "timestamp")
     return out
+
+
+def _sum_slots(reach_part: DataFrame, rows_part: DataFrame, keys: list[str]) -> DataFrame:
+    return (reach_part.unionByName(rows_part)
+            .groupBy(*keys)
+            .agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc")))
+
+
+def _per_slot_time_only(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # A NULL time sorts first, so it wins over any time (min() would skip it).
+    first = (
+        df.groupBy(id_col)
+        .agg(F.min(order_col).alias("__t"), F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
+        .select(F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t")).alias(order_col))
+    )
+    return _sum_slots(first.select(order_col, one.alias("r"), zero.alias("i")),
+                      df.select(order_col, zero.alias("r"), one.alias("i")), [order_col])
+
+
+def _per_slot_packed(df: DataFrame, id_col: str, order_col: str, demos: list[str],
+                     dictionary: DataFrame | None, weighted: bool) -> DataFrame:
+    if dictionary is not None:
+        keyed = df.withColumn("__sk", F.struct(*demos)).join(
+            F.broadcast(dictionary.select(F.struct(*demos).alias("__sk"), "__seg")), on="__sk")
+        seg = F.col("__seg")
+    else:
+        keyed, seg = df, F.lit(0).cast("bigint")
+    micros = _micros(order_col, df.schema[order_col].dataType)
+    t_enc = F.when(F.col(order_col).isNull(), F.lit(0).cast("bigint")).otherwise(micros + F.lit(_TIME_OFFSET))
+    if weighted:
+        w_enc = F.when(F.col("weight").isNull(), F.lit(0).cast("bigint")) \
+                 .otherwise(F.col("weight").cast("bigint") + F.lit(_WEIGHT_OFFSET))
+    else:
+        w_enc = F.lit(0).cast("bigint")
+    dec = "decimal(38,0)"
+    key = t_enc.cast(dec) * F.expr(_TIME_SHIFT) + seg.cast(dec) * F.expr(_SEG_SHIFT) + w_enc.cast(dec)
+    w = _weight_col(df) if weighted else F.lit(1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    first = (
+        keyed.groupBy(id_col)
+        .agg(F.min(key).alias("__k"), F.min(order_col).alias("__t"),
+             F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
+        .select(
+            F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t")).alias(order_col),
+            F.expr(f"CAST((__k % {_TIME_SHIFT}) div {_SEG_SHIFT} AS BIGINT)").alias("__seg"),
+            F.expr(f"CAST(__k % {_SEG_SHIFT} AS BIGINT)").alias("__w"),
+        )
+    )
+    if weighted:
+        first_w = F.when(F.col("__w") == 0, F.lit(0)).otherwise(F.col("__w") - F.lit(_WEIGHT_OFFSET)).cast("bigint")
+    else:
+        first_w = F.lit(1).cast("bigint")
+    keys = (["__seg"] if dictionary is not None else []) + [order_col]
+    reach_part = first.select(*keys, first_w.alias("r"), zero.alias("i"))
+    rows_part = keyed.select(*keys, zero.alias("r"), w.alias("i"))
+    return _sum_slots(reach_part, rows_part, keys)
+
+
+def _per_slot_struct(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str],
+                     weighted: bool) -> DataFrame:
+    carried = [order_col, *tiebreak, *demos] + (["weight"] if weighted else [])
+    first = (
+        df.groupBy(id_col)
+        .agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("f"))
+        .select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carried)])
+    )
+    if weighted:
+        w_first = _weight_col(first)
+        w_rows = _weight_col(df)
+        zero = F.lit(0).cast("bigint") if isinstance(df.schema["weight"].dataType, _INTEGRAL) else F.lit(0.0)
+    else:
+        w_first = w_rows = F.lit(1).cast("bigint")
+        zero = F.lit(0).cast("bigint")
+    reach_part = first.select(*demos, order_col, w_first.alias("r"), zero.alias("i"))
+    rows_part = df.select(*demos, order_col, zero.alias("r"), w_rows.alias("i"))
+    return _sum_slots(reach_part, rows_part, [*demos, order_col])
