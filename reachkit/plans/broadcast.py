@@ -1,14 +1,21 @@
 """Broadcast only what is proven small.
 
-Model tables (VID tables, pool buckets, census) are small by construction, but
-"by construction" depends on inputs (number of segments x pools).  Before such a
-table is broadcast it is materialised to the session's checkpoint folder (which
-also cuts its lineage, so an executor loss does not recompute the model) and
-counted; above the limit the caller takes a shuffle-join path instead.
+Model tables (VID tables, pool spans, segment dictionaries) are small by
+construction, but "by construction" depends on inputs (number of segments x
+pools).  Before such a table is broadcast it is written as parquet into the
+session's checkpoint folder and read back -- computed once, lineage cut (an
+executor loss does not recompute the model), exact size statistics for the
+planner -- and counted; above the limit the caller takes a shuffle-join path.
+
+(``Dataset.checkpoint`` on an un-persisted plan would compute it twice: once
+for the action and once more to write the checkpoint files.)
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 
 from reachkit.session import ensure_checkpoint_dir
@@ -19,9 +26,16 @@ from reachkit.session import ensure_checkpoint_dir
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` under the checkpoint folder and return the re-read table."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Checkpoint ``df`` and report whether it has at most ``max_rows`` rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    stored = df.checkpoint(eager=True)
-    n = stored.limit(max_rows + 1).count()
+    """Materialise ``df`` and report whether it has at most ``max_rows`` rows."""
+    stored = materialize(df, "model")
+    n = stored.count()  # answered from parquet footers
     return stored, n <= max_rows

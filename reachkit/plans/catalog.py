@@ -321,6 +321,28 @@ def q_flow_segment(spark, sf):
     return generate_reach_table(assigned, id_col="vid", demo_cols=[DEMO])
 
 
+def q_flow_uniform(spark, sf):
+    """Total fit -> uniform penetration into segments -> segmented VID table ->
+    assignment -> VID reach per segment (the uniform-reach assumption)."""
+    lines = line_impressions(spark, sf)
+    census = census_from_customers(spark, sf)
+    fit = fit_mixture_of_deltas(generate_reach_table(lines), census, n_deltas=3)
+    table = generate_vid_assignment_table(penetrate_uniform_reach(census, fit, demo_cols=[DEMO]),
+                                          demo_cols=[DEMO])
+    assigned = assign_vids(lines, table, demo_cols=[DEMO], mode="uid_time")
+    return generate_reach_table(assigned, id_col="vid", demo_cols=[DEMO])
+
+
+def q_flow_exploded(spark, sf):
+    """Weights exploded to persons -> reach -> fit -> VID table -> per-user
+    assignment -> VID frequency."""
+    persons = explode_weights_to_impressions(event_impressions(spark, sf, hourly=True))
+    census = census_from_customers(spark, sf, scale=5)
+    fit = fit_mixture_of_deltas(generate_reach_table(persons), census, n_deltas=2)
+    assigned = assign_vids(persons, generate_vid_assignment_table(fit), mode="uid")
+    return generate_frequency_table(assigned, id_col="vid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

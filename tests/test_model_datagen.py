@@ -123,3 +123,26 @@ def test_grouped_fit_and_views(spark, census):
     assert all((p["point"] - 1) % 10 == 0 for p in pts)
     head = frequency_head(generate_frequency_table(imps, demo_cols=["seg"]), ["seg"], n_bars=3).collect()
     assert len(head) <= 6
+
+
+def test_delta_mixture_reach_and_array_sum(spark):
+    from reachkit.functions import array_sum, delta_mixture_reach
+
+    assert delta_mixture_reach([0.0, 1.0], 0.5, 2.0).tolist() == pytest.approx([0.0, 0.5 * (1 - np.exp(-2.0))])
+    with pytest.raises(ValueError):
+        delta_mixture_reach(1.0, 0.5, 0.2, 1.0)
+    df = spark.createDataFrame([([0.25, 0.5, 1.0],)], "a array<double>")
+    assert df.select(array_sum("a").alias("s")).first()["s"] == 1.75
+
+
+def test_census_csv_and_catalog_table(spark, tmp_path):
+    from reachkit.sources import read_census_csv, read_table
+
+    path = tmp_path / "census.csv"
+    path.write_text("gender,age_range,population\nmale,18_24,10\nfemale,18_24,12\n,25_34,7\n")
+    census = read_census_csv(spark, str(path), ["gender", "age_range"])
+    assert census.schema["population"].dataType.typeName() == "long"
+    rows = sorted((r["gender"] or "", r["population"]) for r in census.collect())
+    assert rows == [("", 7), ("female", 12), ("male", 10)]
+    census.createOrReplaceTempView("census_tbl")
+    assert population_total(read_table(spark, "census_tbl")).first()["population"] == 29
