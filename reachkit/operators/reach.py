@@ -1,51 +1,45 @@
 """Reach tables: per time slot, new people reached and impressions, plus running totals.
 
 Plan (no per-row window over ids):
-1. the first exposure of every id is found by a ``groupBy(id)`` whose buffers are
-   fixed-width, so it runs as a hash aggregate with map-side partial aggregation
-   (a hot id is combined before the shuffle):
-   * time only (count mode, no segments): ``min(time)`` plus a NULL flag;
-   * with segments and/or weights: the tie order (time, segment, weight) is
-     packed into one DECIMAL(38,0) key and ``min(key)`` is taken.  Segments are
-     numbered by a small, size-checked dictionary of the distinct demo tuples
-     (in demo order, so the tie rule is "smallest demos, then smallest weight");
-   * anything else (tiebreak columns, non-time order column, fractional
-     weights, too many segments): ``min(struct(...))`` (sort-based aggregate);
+1. the first exposure of every id, found with aggregates only:
+   * time only (count mode, no segments): ``groupBy(id)`` with ``min(time)`` plus
+     a NULL flag -- fixed-width buffers, so a hash aggregate with map-side
+     partial aggregation (a hot id is combined before the shuffle);
+   * with segments and/or weights (time order column, 32-bit weights): first
+     ``groupBy(id, demos)`` keeps the earliest time and the smallest weight at
+     that time, packed into one DECIMAL(38,0) key (again a hash aggregate over
+     all rows); then ``groupBy(id)`` picks ``min(struct(time, demos, weight))``
+     over that reduced table (about one row per id and segment);
+   * anything else (tiebreak columns, other order columns, fractional weights):
+     ``min(struct(...))`` directly (sort-based aggregate);
 2. the first rows (reach 1 / weight) and all rows (impression 1 / weight) are
-   unioned and summed in one ``groupBy(segment, time)``;
+   unioned and summed in one ``groupBy(demos, time)``;
 3. running totals by the bucketed prefix sum (``plans.prefix.running_sums``), so
    neither a segment nor the un-segmented curve is sorted in one task.
 
+Ties at an id's first time go to the smallest demos, then the smallest weight.
 An id seen in two segments is reached once, in the segment of its first
 exposure.  NULL times sort first; NULL weights count 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
 from reachkit.plans.prefix import running_sums
 from reachkit.sources.schema import as_list, require_columns
 
 MODES = ("count", "weighted")
 
-# Layout of the packed tie key (decimal digits): time in the top 19 digits,
-# segment number in the next 9, weight in the last 10.
-_TIME_SHIFT = "CAST('10000000000000000000' AS DECIMAL(38,0))"
-_SEG_SHIFT = "CAST('10000000000' AS DECIMAL(38,0))"
-_MAX_SEGMENTS = 999_999_999
+# Layout of the packed (time, weight) key: time in the top digits, the weight
+# (offset to be positive, 0 for NULL) in the last 10 decimal digits.
+_WEIGHT_SHIFT = "CAST('10000000000' AS DECIMAL(38,0))"
 _WEIGHT_OFFSET = 2 ** 31 + 1
 _TIME_OFFSET = 2 ** 62
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
-
-def _micros(c: str, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
-    return F.unix_micros(F.col(c))
+_SMALL_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType)
 
 
 def _weight_col(df: DataFrame) -> Column:
@@ -54,18 +48,9 @@ def _weight_col(df: DataFrame) -> Column:
     return F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
 
 
-def _segment_dictionary(df: DataFrame, demos: list[str], max_rows: int):
-    """``(demos..., __seg)`` numbered 1.. in ascending demo order, or None if too big."""
-    distinct, small = materialize_small(df.select(*demos).distinct(), max_rows)
-    if not small:
-        return None
-    order = [F.col(c).asc_nulls_first() for c in demos]
-    return distinct.withColumn("__seg", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-
-
 def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
                          mode: str = "count", order_col: str = "timestamp", tiebreak=None,
-                         bucket=None, max_segments: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                         bucket=None) -> DataFrame:
     """Reach table ``[demos], timestamp, reach_inc, impression_inc, reach, impression``.
 
     ``mode="count"`` counts people and rows; ``mode="weighted"`` sums ``weight``
@@ -82,29 +67,18 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
         require_columns(df, ["weight"])
 
     order_type = df.schema[order_col].dataType
-    timed = isinstance(order_type, (T.TimestampType, T.TimestampNTZType))
+    orderable = isinstance(order_type, (T.TimestampType, T.TimestampNTZType, *_INTEGRAL))
     # The packed key has room for 32-bit weights.
-    integral_weight = (not weighted) or isinstance(df.schema["weight"].dataType,
-                                                   (T.ByteType, T.ShortType, T.IntegerType))
+    packable = (not weighted) or isinstance(df.schema["weight"].dataType, _SMALL_INTEGRAL)
     if not demos and not weighted and not tiebreak:
         per_slot = _per_slot_time_only(df, id_col, order_col)
-        seg_cols, dictionary = [], None
-    elif timed and not tiebreak and integral_weight:
-        dictionary = _segment_dictionary(df, demos, min(max_segments, _MAX_SEGMENTS)) if demos else None
-        if demos and dictionary is None:
-            per_slot = _per_slot_struct(df, id_col, order_col, demos, tiebreak, weighted)
-            seg_cols = demos
-        else:
-            per_slot = _per_slot_packed(df, id_col, order_col, demos, dictionary, weighted)
-            seg_cols = ["__seg"] if demos else []
+    elif orderable and packable and not tiebreak:
+        per_slot = _per_slot_two_stage(df, id_col, order_col, demos, weighted)
     else:
         per_slot = _per_slot_struct(df, id_col, order_col, demos, tiebreak, weighted)
-        seg_cols, dictionary = demos, None
 
-    curve = running_sums(per_slot, seg_cols, order_col,
+    curve = running_sums(per_slot, demos, order_col,
                          {"reach": "reach_inc", "impression": "impression_inc"}, bucket)
-    if dictionary is not None:
-        curve = curve.join(F.broadcast(dictionary), on="__seg")  # size checked above
     out = curve.select(*demos, order_col, "reach_inc", "impression_inc", "reach", "impression")
     if order_col != "timestamp":
         out = out.withColumnRenamed(order_col, "timestamp")
@@ -129,44 +103,56 @@ def _per_slot_time_only(df: DataFrame, id_col: str, order_col: str) -> DataFrame
                       df.select(order_col, zero.alias("r"), one.alias("i")), [order_col])
 
 
-def _per_slot_packed(df: DataFrame, id_col: str, order_col: str, demos: list[str],
-                     dictionary: DataFrame | None, weighted: bool) -> DataFrame:
-    if dictionary is not None:
-        keyed = df.withColumn("__sk", F.struct(*demos)).join(
-            F.broadcast(dictionary.select(F.struct(*demos).alias("__sk"), "__seg")), on="__sk")
-        seg = F.col("__seg")
+def _order_key(c: str, dtype: T.DataType) -> Column:
+    """Non-negative BIGINT that orders like the column, 0 for NULL (NULL first)."""
+    if isinstance(dtype, T.TimestampNTZType):
+        v = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    elif isinstance(dtype, T.TimestampType):
+        v = F.unix_micros(F.col(c))
     else:
-        keyed, seg = df, F.lit(0).cast("bigint")
-    micros = _micros(order_col, df.schema[order_col].dataType)
-    t_enc = F.when(F.col(order_col).isNull(), F.lit(0).cast("bigint")).otherwise(micros + F.lit(_TIME_OFFSET))
+        v = F.col(c).cast("bigint")
+    return F.when(F.col(c).isNull(), F.lit(0).cast("bigint")).otherwise(v + F.lit(_TIME_OFFSET))
+
+
+def _per_slot_two_stage(df: DataFrame, id_col: str, order_col: str, demos: list[str],
+                        weighted: bool) -> DataFrame:
+    t_key = _order_key(order_col, df.schema[order_col].dataType)
+    null_t = F.max(F.col(order_col).isNull().cast("int"))
     if weighted:
-        w_enc = F.when(F.col("weight").isNull(), F.lit(0).cast("bigint")) \
+        w_key = F.when(F.col("weight").isNull(), F.lit(0).cast("bigint")) \
                  .otherwise(F.col("weight").cast("bigint") + F.lit(_WEIGHT_OFFSET))
+        dec = "decimal(38,0)"
+        # stage 1: per (id, segment) the earliest time and the smallest weight at it
+        per_seg = df.groupBy(id_col, *demos).agg(
+            F.min(t_key.cast(dec) * F.expr(_WEIGHT_SHIFT) + w_key.cast(dec)).alias("__k"),
+            F.min(order_col).alias("__t"), null_t.alias("__null"))
+        t_part = F.expr(f"CAST(__k div {_WEIGHT_SHIFT} AS BIGINT)")
+        w_part = F.expr(f"CAST(__k % {_WEIGHT_SHIFT} AS BIGINT)")
     else:
-        w_enc = F.lit(0).cast("bigint")
-    dec = "decimal(38,0)"
-    key = t_enc.cast(dec) * F.expr(_TIME_SHIFT) + seg.cast(dec) * F.expr(_SEG_SHIFT) + w_enc.cast(dec)
-    w = _weight_col(df) if weighted else F.lit(1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-
-    first = (
-        keyed.groupBy(id_col)
-        .agg(F.min(key).alias("__k"), F.min(order_col).alias("__t"),
-             F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
-        .select(
-            F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t")).alias(order_col),
-            F.expr(f"CAST((__k % {_TIME_SHIFT}) div {_SEG_SHIFT} AS BIGINT)").alias("__seg"),
-            F.expr(f"CAST(__k % {_SEG_SHIFT} AS BIGINT)").alias("__w"),
+        per_seg = df.groupBy(id_col, *demos).agg(
+            F.min(t_key).alias("__k"), F.min(order_col).alias("__t"), null_t.alias("__null"))
+        t_part, w_part = F.col("__k"), F.lit(0).cast("bigint")
+    first_t = F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t"))
+    # stage 2: per id the smallest (time, demos, weight) over its few segments
+    fields = [t_part.alias("t")] + [F.col(c).alias(f"d{i}") for i, c in enumerate(demos)] \
+        + [w_part.alias("w"), first_t.alias("ts")]
+    if demos:
+        first = (
+            per_seg.groupBy(id_col).agg(F.min(F.struct(*fields)).alias("f"))
+            .select(*[F.col(f"f.d{i}").alias(c) for i, c in enumerate(demos)],
+                    F.col("f.ts").alias(order_col), F.col("f.w").alias("__w"))
         )
-    )
+    else:  # stage 1 already has one row per id
+        first = per_seg.select(first_t.alias(order_col), w_part.alias("__w"))
+    zero = F.lit(0).cast("bigint")
     if weighted:
         first_w = F.when(F.col("__w") == 0, F.lit(0)).otherwise(F.col("__w") - F.lit(_WEIGHT_OFFSET)).cast("bigint")
+        w_rows = _weight_col(df)
     else:
-        first_w = F.lit(1).cast("bigint")
-    keys = (["__seg"] if dictionary is not None else []) + [order_col]
-    reach_part = first.select(*keys, first_w.alias("r"), zero.alias("i"))
-    rows_part = keyed.select(*keys, zero.alias("r"), w.alias("i"))
-    return _sum_slots(reach_part, rows_part, keys)
+        first_w = w_rows = F.lit(1).cast("bigint")
+    reach_part = first.select(*demos, order_col, first_w.alias("r"), zero.alias("i"))
+    rows_part = df.select(*demos, order_col, zero.alias("r"), w_rows.alias("i"))
+    return _sum_slots(reach_part, rows_part, [*demos, order_col])
 
 
 def _per_slot_struct(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str],
