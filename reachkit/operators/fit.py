@@ -147,8 +147,9 @@ def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_
     if isinstance(population, DataFrame):
         require_columns(population, [*demos, "population"])
         pops = population.groupBy(*demos).agg(F.sum("population").cast("bigint").alias("population"))
+        # without demos ``pops`` is a global aggregate: exactly one row
         pts = reach.select(*demos, "impression", "reach").join(pops, on=demos) if demos else \
-            reach.select("impression", "reach").crossJoin(F.broadcast(pops.limit(1)))
+            reach.select("impression", "reach").crossJoin(F.broadcast(pops))
     else:
         pts = reach.select(*demos, "impression", "reach").withColumn(
             "population", F.lit(int(population)).cast("bigint"))

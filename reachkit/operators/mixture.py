@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachkit.functions.mixture import mixture_reach, params_array
+from reachkit.plans.broadcast import single_row
 from reachkit.sources.schema import as_list, require_columns
 
 
@@ -35,8 +36,8 @@ def penetrate_uniform_reach(census: DataFrame, alphas, rates=None, demo_cols=Non
         params = alphas.select(
             F.transform("alphas", lambda a: F.round(a, digits)).alias("alphas"),
             F.transform("rates", lambda x: F.round(x, digits)).alias("rates"))
-        # One row by contract; the limit makes the broadcast size provable.
-        out = seg.crossJoin(F.broadcast(params.limit(1)))
+        # One row by contract, checked before it is broadcast.
+        out = seg.crossJoin(F.broadcast(single_row(params, "the mixture")))
     else:
         out = seg.select(
             *demos, "population",
@@ -55,7 +56,7 @@ def _with_model(reach: DataFrame, mixture: DataFrame, demos: list[str],
     # (broadcast by AQE when small at run time).
     if demos:
         return reach.join(model, on=demos)
-    return reach.crossJoin(F.broadcast(model.limit(1)))
+    return reach.crossJoin(F.broadcast(single_row(model, "an un-segmented mixture")))
 
 
 def fit_overlay(reach: DataFrame, mixture: DataFrame, demo_cols=None,
@@ -85,7 +86,7 @@ def fit_summary(reach: DataFrame, mixture: DataFrame, demo_cols=None,
         *demos, (F.lit(100.0) * F.aggregate("alphas", F.lit(0.0), lambda acc, a: acc + a)).alias("reached_pct"))
     if demos:
         return stats.join(share, on=demos)
-    return stats.crossJoin(F.broadcast(share.limit(1)))
+    return stats.crossJoin(F.broadcast(single_row(share, "an un-segmented mixture")))
 
 
 def delta_points(mixture: DataFrame, demo_cols=None) -> DataFrame:

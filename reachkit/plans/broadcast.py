@@ -39,3 +39,13 @@ def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     stored = materialize(df, "model")
     n = stored.count()  # answered from parquet footers
     return stored, n <= max_rows
+
+
+def single_row(df: DataFrame, what: str = "table") -> DataFrame:
+    """Materialise a table that must hold exactly one row (e.g. an un-segmented
+    mixture) and raise otherwise -- rows are never silently dropped."""
+    stored = materialize(df, "one-row")
+    n = stored.limit(2).count()
+    if n != 1:
+        raise ValueError(f"{what} must have exactly one row, got {'more than one' if n > 1 else 'none'}")
+    return stored
