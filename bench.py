@@ -2,7 +2,12 @@
 
 Each query is fully executed with the ``noop`` sink (the whole plan runs, nothing
 is collected to the driver); the best of ``$BENCH_REPEAT`` runs is reported.
-Prints one JSON line: {"metric", "value", "unit", "queries", "sf"}.
+Prints one JSON line: {"metric", "value", "unit", "queries", "sf", "window_form"}.
+
+``window_form`` times the plan shape the reference's operators build (a per-row
+``row_number`` window per id, a whole-partition count window, a global running
+window), written as Spark SQL over the same views, for comparison with ours at
+the same scale ($BENCH_COMPARE=0 skips it).
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from reachkit.plans.catalog import QUERIES  # noqa: E402
 from reachkit.session import local_session  # noqa: E402
+from reachkit.sources.tables import event_impressions, line_impressions  # noqa: E402
 
 HEADLINE = [
     "reach_count",
@@ -36,6 +42,37 @@ HEADLINE = [
 ]
 
 
+WINDOW_FORM = {
+    "reach_count": """
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) AS ei FROM lines),
+        s AS (SELECT timestamp, sum(CASE WHEN ei = 1 THEN 1 ELSE 0 END) AS reach_inc, count(*) AS impression_inc
+              FROM r GROUP BY timestamp)
+        SELECT *, sum(reach_inc) OVER (ORDER BY timestamp) AS reach,
+               sum(impression_inc) OVER (ORDER BY timestamp) AS impression FROM s""",
+    "reach_segment_count": """
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) AS ei FROM lines),
+        s AS (SELECT age_range, timestamp, sum(CASE WHEN ei = 1 THEN 1 ELSE 0 END) AS reach_inc,
+                     count(*) AS impression_inc FROM r GROUP BY age_range, timestamp)
+        SELECT *, sum(reach_inc) OVER (PARTITION BY age_range ORDER BY timestamp) AS reach,
+               sum(impression_inc) OVER (PARTITION BY age_range ORDER BY timestamp) AS impression FROM s""",
+    "frequency_segment_table": """
+        SELECT device_type, frequency_total, count(*) AS `user_id counts` FROM (
+          SELECT DISTINCT user_id, device_type, count(*) OVER (PARTITION BY user_id) AS frequency_total FROM lines)
+        GROUP BY device_type, frequency_total ORDER BY device_type, frequency_total""",
+    "exposure_index": """
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) AS exposure_index FROM events""",
+}
+
+
+def _time(make, repeat):
+    best = float("inf")
+    for _ in range(repeat):
+        t0 = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        best = min(best, time.perf_counter() - t0)
+    return round(best, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -43,14 +80,12 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=max(cpus, 8), app="reachkit-bench")
     QUERIES["population_total"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    timings = {}
-    for name in names:
-        best = float("inf")
-        for _ in range(repeat):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - t0)
-        timings[name] = round(best, 3)
+    timings = {name: _time(lambda n=name: QUERIES[n](spark, sf_dir), repeat) for name in names}
+    window_form = {}
+    if os.environ.get("BENCH_COMPARE", "1") != "0":
+        line_impressions(spark, sf_dir).createOrReplaceTempView("lines")
+        event_impressions(spark, sf_dir).createOrReplaceTempView("events")
+        window_form = {name: _time(lambda q=sql: spark.sql(q), repeat) for name, sql in WINDOW_FORM.items()}
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -59,6 +94,7 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "sf": float(m.group(1)) if m else sf_dir,
+        "window_form": window_form,
     }))
 
 

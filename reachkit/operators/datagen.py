@@ -79,16 +79,20 @@ def add_n_impressions(people: DataFrame, impressions_total: float | None = None,
 def gen_synthetic_impressions(people_n: DataFrame, start_ts: str, end_ts: str, demo_cols,
                               seed: int = 0, sort: bool = False, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """``user_id, demos, timestamp_int, timestamp``: ``n_impressions`` rows per person
-    with uniform whole-second times in ``[start_ts, end_ts)`` (parsed in the
-    session time zone; ``timestamp`` is the wall-clock TIMESTAMP_NTZ)."""
+    with uniform whole-second times in ``[start_ts, end_ts)``; ``start_ts``/``end_ts``
+    are wall-clock strings, ``timestamp`` is TIMESTAMP_NTZ and ``timestamp_int``
+    its seconds since 1970-01-01 00:00:00 (independent of the session time zone)."""
     demos = as_list(demo_cols)
     require_columns(people_n, ["user_id", "n_impressions", *demos])
-    start = F.unix_timestamp(F.lit(start_ts))
-    end = F.unix_timestamp(F.lit(end_ts))
+    # Wall-clock (TIMESTAMP_NTZ) arithmetic: the result does not depend on the
+    # session time zone or on daylight-saving changes inside the window.
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    start = F.expr(f"timestampdiff(SECOND, {epoch}, to_timestamp_ntz('{start_ts}'))")
+    end = F.expr(f"timestampdiff(SECOND, {epoch}, to_timestamp_ntz('{end_ts}'))")
     rows = explode_count(people_n.select("user_id", *demos, "n_impressions"), "n_impressions", "__k",
                          chunk=chunk, spread_by=["user_id"])
     u = seeded_uniform(seed, "user_id", "__k")
     ts_int = (start + F.floor(u * (end - start))).cast("bigint")
     out = rows.select("user_id", *demos, ts_int.alias("timestamp_int")).withColumn(
-        "timestamp", F.timestamp_seconds("timestamp_int").cast("timestamp_ntz"))
+        "timestamp", F.expr(f"timestampadd(SECOND, timestamp_int, {epoch})"))
     return out.orderBy("timestamp") if sort else out
