@@ -1,6 +1,9 @@
 import datetime as dt
 
+import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,3 +173,53 @@ def test_assign_on_stream(spark, impressions, seg_table, tmp_path):
     got = spark.table("vid_stream_test")
     want = assign_vids(impressions, seg_table, demo_cols=["seg"], mode="uid_time")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_large_table_paths_match_broadcast(spark, impressions, seg_table):
+    """Above the broadcast limit the joins shuffle instead; results are the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no automatic broadcast either
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        _large_table_paths(spark, impressions, seg_table)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def _large_table_paths(spark, impressions, seg_table):
+    for mode in ("uid", "weighted"):
+        small = assign_vids(impressions, seg_table, demo_cols=["seg"], mode=mode)
+        large = assign_vids(impressions, seg_table, demo_cols=["seg"], mode=mode, max_broadcast_rows=1)
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assigned = assign_vids(impressions, seg_table, demo_cols=["seg"], mode="uid_time")
+    a = mixture_of_delta_pool_info(assigned, seg_table).collect()
+    b = mixture_of_delta_pool_info(assigned, seg_table, max_broadcast_rows=1, bucket_width=8).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_single_row_mixture_is_checked(spark, impressions):
+    from reachkit import fit_overlay, generate_reach_table
+
+    two = mixture_table(spark, [0.4], [2.0], segments=[("X", 10), ("Y", 10)], demo_cols=["seg"]).drop("seg")
+    with pytest.raises(ValueError, match="exactly one row"):
+        fit_overlay(generate_reach_table(impressions), two)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.floats(0.0, 1.0), st.floats(0.0, 3.0)), min_size=1, max_size=4),
+       st.integers(1, 5000))
+def test_buckets_partition_unit_interval(spark, pools, population):
+    alphas = [a for a, _ in pools]
+    rates = [x for _, x in pools]
+    kappa = sum(a * x for a, x in pools)
+    mix = mixture_table(spark, alphas, rates)
+    rows = vt_rows(generate_vid_assignment_table(mix, population_size=population))
+    if kappa <= 1:
+        bounds = sorted((r[0], r[1]) for r in rows)
+        assert bounds[0][0] == 0.0 and bounds[-1][1] == 1.0
+        for (lo1, hi1), (lo2, hi2) in zip(bounds, bounds[1:]):
+            assert hi1 == lo2 and lo1 <= hi1
+    sizes = [r[5] for r in rows if r[4] != 0]
+    assert sizes == [int(np.ceil(a * population)) for a in alphas] or sum(sizes) == sum(
+        int(np.ceil(a * population)) for a in alphas)
