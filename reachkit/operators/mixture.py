@@ -60,13 +60,21 @@ def _with_model(reach: DataFrame, mixture: DataFrame, demos: list[str],
 
 
 def fit_overlay(reach: DataFrame, mixture: DataFrame, demo_cols=None,
-                population_size: int | None = None) -> DataFrame:
+                population_size: int | None = None, with_origin: bool = False) -> DataFrame:
     """Observed and fitted reach per curve point:
     ``[demos], timestamp, impression, reach, fit`` with
-    ``fit = R(impression / population) * population``."""
+    ``fit = R(impression / population) * population``.  ``with_origin`` adds the
+    point (0, 0) (NULL timestamp) to every curve, as plotted curves start there."""
     demos = as_list(demo_cols)
     require_columns(reach, [*demos, "timestamp", "impression", "reach"])
-    joined = _with_model(reach, mixture, demos, population_size)
+    points = reach.select(*demos, "timestamp", "impression", "reach")
+    if with_origin:
+        origins = points.select(*demos).distinct().select(
+            *demos, F.lit(None).cast(reach.schema["timestamp"].dataType).alias("timestamp"),
+            F.lit(0).cast(reach.schema["impression"].dataType).alias("impression"),
+            F.lit(0).cast(reach.schema["reach"].dataType).alias("reach"))
+        points = origins.unionByName(points)
+    joined = _with_model(points, mixture, demos, population_size)
     pop = F.col("population").cast("double")
     fit = mixture_reach("alphas", "rates", F.col("impression") / pop) * pop
     return joined.select(*demos, "timestamp", "impression", "reach", fit.alias("fit"))

@@ -113,6 +113,8 @@ def test_grouped_fit_and_views(spark, census):
     assert all(s["rmse"] < 0.05 * 107 for s in summary)
     overlay = fit_overlay(reach, fits, ["seg"])
     assert overlay.count() == reach.count()
+    origin = fit_overlay(reach, fits, ["seg"], with_origin=True).where("impression = 0").collect()
+    assert len(origin) == 2 and all(r["fit"] == 0.0 and r["reach"] == 0 for r in origin)
     total_fit = fit_mixture_of_deltas(generate_reach_table(imps), 210, n_deltas=2)
     assert total_fit.count() == 1
     pen = penetrate_uniform_reach(cen, total_fit, demo_cols=["seg"])
