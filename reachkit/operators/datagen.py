@@ -16,12 +16,13 @@ person is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachkit.functions.hashing import seeded_uniform
 from reachkit.functions.rounding import stochastic_round
 from reachkit.plans.generate import DEFAULT_CHUNK, explode_count
+from reachkit.plans.prefix import exclusive_running_total
 from reachkit.sources.schema import as_list, require_columns
 
 # Lomax scale m and shape alpha of the activity rates.
@@ -36,13 +37,11 @@ def gen_people_table(census: DataFrame, demo_cols, m: float = LOMAX_M, alpha: fl
     demos = as_list(demo_cols)
     require_columns(census, [*demos, "population"])
     seg = census.groupBy(*demos).agg(F.sum("population").cast("bigint").alias("population"))
-    # The census is a dimension table (one row per segment): a running total in
-    # demo order gives each segment its first user id.
-    order = [F.col(c).asc_nulls_first() for c in demos]
-    seg = (seg.withColumn("__offset", F.coalesce(
-                F.sum("population").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0).cast("bigint")))
-              .withColumn("ratio", F.col("population") / F.sum("population").over(Window.partitionBy())))
+    # A running total in demo order gives each segment its first user id
+    # (bucketed prefix sum, so a census of millions of segments is fine too).
+    seg = exclusive_running_total(seg, demos, "population", "__offset")
+    total = seg.agg(F.sum("population").alias("__total"))  # one row
+    seg = seg.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("population") / F.col("__total"))
     people = explode_count(seg, "population", "__i", chunk=chunk, spread_by=demos)
     share = F.col("__i") / F.col("population")
     rate = F.lit(float(m)) * (F.pow(F.lit(1.0) - share, F.lit(-1.0 / float(alpha))) - F.lit(1.0))

@@ -10,14 +10,15 @@ Pool j of a segment with population P and mixture (alpha, x):
 
 The prefix sums inside a segment run over the parameter arrays
 (higher-order functions, summed left to right); the VID offset of a segment is a
-running sum over the (small) mixture table.
+bucketed running sum over the mixture table (``plans.prefix``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachkit.plans.prefix import exclusive_running_total
 from reachkit.sources.schema import as_list, require_columns
 
 VID_COLUMNS = ["prob_>=", "prob_<", "alpha", "rate", "start_VID", "total_VID"]
@@ -43,9 +44,8 @@ def _segment_arrays(mixture: DataFrame, demos: list[str], population: Column) ->
         totals.alias("__tot"),
     ).withColumn("__kappa", F.aggregate("__ak", F.lit(0.0), lambda acc, v: acc + v)) \
      .withColumn("__used", F.aggregate("__tot", F.lit(0).cast("bigint"), lambda acc, v: acc + v))
-    order = [F.col(c).asc_nulls_first() for c in demos]
-    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return seg.withColumn("__offset", F.coalesce(F.sum("__used").over(earlier), F.lit(0).cast("bigint")))
+    # VIDs used by all earlier segments (demo order), by a bucketed prefix sum
+    return exclusive_running_total(seg, demos, "__used", "__offset")
 
 
 def generate_vid_assignment_table(mixture: DataFrame, population_size: int | None = None,

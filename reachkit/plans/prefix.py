@@ -96,3 +96,22 @@ def bucketed_row_number(df: DataFrame, part_cols: Sequence[str], order_cols: Seq
     out = joined.withColumn(out_col, F.col("__off") + F.row_number().over(within))
     extra = [out_col] + ([total_col] if total_col else [])
     return out.select(*df.columns, *extra)
+
+
+def exclusive_running_total(df: DataFrame, order_cols: Sequence[str], value_col: str,
+                            out_col: str) -> DataFrame:
+    """Add ``out_col`` = sum of ``value_col`` over all rows before this one in
+    ascending ``order_cols`` order (NULLs first; rows must be unique on them).
+
+    Used for VID and person-id offsets over census-sized tables: the rows are
+    bucketed by the first order column, so even a census with millions of
+    segments is not ordered in one task.
+    """
+    order_cols = list(order_cols)
+    if not order_cols:
+        return df.withColumn(out_col, F.lit(0).cast("bigint"))
+    first = order_cols[0]
+    ordered = df.withColumn("__ord", F.struct(*order_cols))
+    out = running_sums(ordered, [], "__ord", {"__incl": value_col},
+                       bucket=lambda c, _t: c.getField(first))
+    return out.withColumn(out_col, (F.col("__incl") - F.col(value_col)).cast("bigint")).drop("__ord", "__incl")
