@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachkit.functions.mixture import mixture_reach, params_array
@@ -104,8 +104,9 @@ def delta_points(mixture: DataFrame, demo_cols=None) -> DataFrame:
     demos = as_list(demo_cols)
     require_columns(mixture, ["alphas", "rates", *demos])
     if demos:
-        total = F.sum("population").over(Window.partitionBy())
-        scale = F.col("population").cast("double") / total.cast("double")
+        total = mixture.agg(F.sum("population").cast("double").alias("__total"))  # one row
+        mixture = mixture.crossJoin(F.broadcast(total))
+        scale = F.col("population").cast("double") / F.col("__total")
     else:
         scale = F.lit(1.0)
     return (

@@ -290,8 +290,9 @@ SELECT st.*, round(100.0::DOUBLE * {_reduce('m.alphas')}, {C.DIGITS}) AS reached
         "frequency_head": f"""SELECT * EXCLUDE (rn__) FROM (SELECT *, row_number() OVER (PARTITION BY device_type
   ORDER BY frequency_total) AS rn__ FROM ({frequency_sql(LINES_SQL, demos=['device_type'])})) WHERE rn__ <= 20""",
         "delta_points": f"""SELECT age_range, CAST(i AS INTEGER) AS delta, rates[i] AS rate,
-  alphas[i] * (population::DOUBLE / (sum(population) OVER ())::DOUBLE) AS amplitude
-FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i FROM ({SEGMENT_MIXTURE_SQL}))""",
+  alphas[i] * (population::DOUBLE / total) AS amplitude
+FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i
+      FROM (SELECT *, (sum(population) OVER ())::DOUBLE AS total FROM ({SEGMENT_MIXTURE_SQL})))""",
         "vid_table": tot_vt,
         "vid_table_segment": seg_vt,
         "vid_table_normalized": vid_table_sql(SEGMENT_MIXTURE_SQL, ["age_range"], normalize=True),

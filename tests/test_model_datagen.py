@@ -121,6 +121,10 @@ def test_grouped_fit_and_views(spark, census):
     assert pen.count() == 2 and population_total(cen).first()["population"] == 210
     dp = delta_points(pen, ["seg"]).collect()
     assert len(dp) == 4
+    # uniform penetration: per delta, the segment amplitudes add up to its alpha
+    alpha = dict(enumerate(pen.first()["alphas"], 1))
+    for d in (1, 2):
+        assert sum(r["amplitude"] for r in dp if r["delta"] == d) == pytest.approx(alpha[d])
     pts = reach_points(reach, ["seg"], jump=10).collect()
     assert all((p["point"] - 1) % 10 == 0 for p in pts)
     head = frequency_head(generate_frequency_table(imps, demo_cols=["seg"]), ["seg"], n_bars=3).collect()
