@@ -21,6 +21,7 @@ on the fitted points).  A curve no pool count can fit gets ``n_fitted = 0``.
 
 from __future__ import annotations
 
+import sys
 import zlib
 
 import numpy as np
@@ -31,6 +32,15 @@ from pyspark.sql import types as T
 
 from reachkit.sources.schema import as_list, require_columns
 
+# The per-curve fit runs in Python workers: ship this module's code with the
+# task (pickle by value) so executors need not have the package installed.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: rely on the package being importable
+    pass
+
 # Fixed values of the fit procedure: solver evaluation cap, the smallest rate a
 # kept pool may have, and the upper end of the random initial rates.
 MAX_EVALUATIONS = 5000
