@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachkit.plans.prefix import bucketed_row_number
+from reachkit.plans.prefix import DEFAULT_HOT_ROWS, skew_aware_row_number
 from reachkit.sources.schema import as_list, require_columns
 
 
 def add_exposure_index(df: DataFrame, id_col: str = "user_id", order_col: str = "timestamp",
-                       tiebreak=None, bucket=None) -> DataFrame:
+                       tiebreak=None, bucket=None, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Add ``exposure_index``: 1 for the id's earliest row, 2 for the next, ...
 
     NULL ids form one group; NULL times come first.  Rows tied on ``order_col`` are
-    ordered by ``tiebreak`` columns when given (otherwise arbitrarily).  Ranking is
-    done per (id, time bucket), so one very active id is spread over many tasks.
+    ordered by ``tiebreak`` columns when given (otherwise arbitrarily).  An id with
+    more than ``hot_rows`` rows is ranked per time bucket (hours by default), so
+    one very active id is spread over many tasks
+    (``plans.prefix.skew_aware_row_number``).
     """
     require_columns(df, [id_col], "id_col")
     require_columns(df, [order_col], "order_col")
-    return bucketed_row_number(df, [id_col], [order_col, *as_list(tiebreak)], "exposure_index", bucket)
+    return skew_aware_row_number(df, [id_col], [order_col, *as_list(tiebreak)], "exposure_index",
+                                 hot_rows=hot_rows, bucket=bucket)
 
 
 def add_frequency_total(df: DataFrame, id_col: str = "user_id", order_col: str = "timestamp",
-                        tiebreak=None, bucket=None) -> DataFrame:
+                        tiebreak=None, bucket=None, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Add ``exposure_index`` and ``frequency_total`` (number of rows of the id)."""
     require_columns(df, [id_col], "id_col")
     require_columns(df, [order_col], "order_col")
-    return bucketed_row_number(df, [id_col], [order_col, *as_list(tiebreak)], "exposure_index", bucket,
-                               total_col="frequency_total")
+    return skew_aware_row_number(df, [id_col], [order_col, *as_list(tiebreak)], "exposure_index",
+                                 total_col="frequency_total", hot_rows=hot_rows, bucket=bucket)
 
 
 def add_first_exposure(df: DataFrame, id_col: str = "user_id", order_col: str = "timestamp",
-                       tiebreak=None, bucket=None) -> DataFrame:
+                       tiebreak=None, bucket=None, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Add ``exposure_index`` and ``is_first`` (1 on the id's first row, else 0)."""
-    out = add_exposure_index(df, id_col, order_col, tiebreak, bucket)
+    out = add_exposure_index(df, id_col, order_col, tiebreak, bucket, hot_rows)
     return out.withColumn("is_first", F.when(F.col("exposure_index") == 1, 1).otherwise(0))

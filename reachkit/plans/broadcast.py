@@ -34,10 +34,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "model") -> tuple[DataFrame, int]:
+    """Materialise ``df`` and return it with its row count."""
+    stored = materialize(df, name)
+    return stored, stored.count()  # answered from parquet footers
+
+
 def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialise ``df`` and report whether it has at most ``max_rows`` rows."""
-    stored = materialize(df, "model")
-    n = stored.count()  # answered from parquet footers
+    stored, n = materialize_counted(df)
     return stored, n <= max_rows
 
 

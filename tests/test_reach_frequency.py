@@ -101,15 +101,24 @@ def test_frequency_weighted_sum_equals_rows(edge):
     assert sum(r["frequency_total"] * r["user_id counts"] for r in rows) == len(EDGE_ROWS)
 
 
-def test_hot_id_bucketed_rank(spark):
-    # one id holds most rows, spread over many hours: the rank must still be exact
-    rows = [("hot", ts(h % 500), "X", 1) for h in range(3000)] + [("cold", ts(7), "Y", 1)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("rid", F.monotonically_increasing_id())
-    got = add_exposure_index(df, tiebreak=["rid"]).where("user_id = 'hot'").orderBy("exposure_index")
-    idx = [r["exposure_index"] for r in got.collect()]
-    assert idx == list(range(1, 3001))
-    times = [r["timestamp"] for r in got.collect()]
-    assert times == sorted(times)
+@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
+def test_hot_id_rank_matches_brute_force(spark, hot_rows):
+    # one id holds most rows over many hours (plus NULL times); "cold" ids are small
+    rows = [("hot", ts(h % 500) if h % 97 else None, "X", h) for h in range(3000)]
+    rows += [(f"c{i % 7}", ts(i % 40) if i % 11 else None, "Y", i) for i in range(120)]
+    rows += [(None, ts(3), "Z", 1), (None, None, "Z", 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = add_frequency_total(df, tiebreak=["weight"], hot_rows=hot_rows).collect()
+    want = ref.exposure_index(as_dicts(rows), order=("timestamp", "weight"))
+    pos = {r: i for i, r in enumerate(rows)}
+    totals = {}
+    for r in rows:
+        totals[r[0]] = totals.get(r[0], 0) + 1
+    assert len(got) == len(rows)
+    for r in got:
+        i = pos[(r["user_id"], r["timestamp"], r["age_range"], r["weight"])]
+        assert r["exposure_index"] == want[i]
+        assert r["frequency_total"] == totals[r["user_id"]]
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -29,12 +29,14 @@ def no_coalesce(spark):
 
 
 def max_partition_share(df):
-    counts = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    # aggregate the ranked column too, or Catalyst prunes the window (and its shuffle)
+    counts = df.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count(F.lit(1)).alias("count"), F.max("exposure_index").alias("m")).collect()
     return max(r["count"] for r in counts) / sum(r["count"] for r in counts)
 
 
 def test_exposure_index_spreads_hot_id(spark, skewed, no_coalesce):
-    ours = add_exposure_index(skewed)
+    ours = add_exposure_index(skewed, hot_rows=1000)  # the hot id (2000 rows) is split by hour
     hot = ours.where("user_id = 'hot'").orderBy("exposure_index").select("exposure_index").collect()
     assert [r[0] for r in hot] == list(range(1, N_HOT + 1))
     plain = skewed.withColumn("exposure_index", F.row_number().over(Window.partitionBy("user_id").orderBy("timestamp")))
