@@ -76,7 +76,7 @@ def _time(make, repeat):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=max(cpus, 8), app="reachkit-bench")
     QUERIES["population_total"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
