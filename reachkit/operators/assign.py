@@ -10,11 +10,12 @@ table); a second draw picks the VID inside the pool's range.
   a hash chain inside the pool (one output row per VID).
 
 Plan: ``h1``/``p1`` are computed before the join; the VID table is materialised,
-counted and broadcast when small (``BroadcastHashJoin`` on the demo columns with
-the bucket test as residual condition, or a ``BroadcastNestedLoopJoin`` on the
-(pools + 1)-row table without segments).  Above the limit the segmented join is
-a shuffle join; AQE splits a hot segment.  No shuffle of impressions otherwise,
-so the operator is map-only and works on a streaming DataFrame too.
+counted and broadcast when small: a ``BroadcastHashJoin`` on the demo columns
+with the bucket test as residual condition, or, without segments, on a cell of
+[0, 1) that the pool interval spans (equi-join, no nested loop).  Above the
+limit the segmented join is a shuffle join; AQE splits a hot segment.  No
+shuffle of impressions otherwise, so the operator is map-only and works on a
+streaming DataFrame too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_sma
 from reachkit.sources.schema import as_list, require_columns
 
 MODES = ("weighted", "uid", "uid_time")
+P_BUCKETS = 1024
 
 
 def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mode: str = "uid",
@@ -62,12 +64,21 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
     h1 = F.hash(F.concat(uid, ts)) if mode == "uid_time" else F.hash(uid)
     keyed = impressions.withColumn("h1", h1).withColumn("p1", to_uniform(F.col("h1")))
 
-    side = F.broadcast(table) if small else table
     in_bucket = (F.col("p1") >= F.col("prob_>=")) & (F.col("p1") < F.col("prob_<"))
     if demos:
+        side = F.broadcast(table) if small else table
         joined = keyed.join(side, on=demos).where(in_bucket)
     else:
-        joined = keyed.join(side, on=in_bucket, how="inner")
+        # No equi key: cut [0, 1) into P_BUCKETS cells and list every pool under
+        # the cells its interval touches (<= P_BUCKETS + pools rows), so the join is
+        # an equi-join plus the range test instead of a nested loop.  P_BUCKETS is
+        # a power of two: scaling by it is exact, so no (row, pool) pair is missed.
+        lo, hi = F.col("prob_>="), F.col("prob_<")
+        cells = (table.where((lo < hi) & (lo < 1.0))
+                 .withColumn("__pb", F.explode(F.sequence(
+                     F.floor(lo * P_BUCKETS), F.least(F.floor(hi * P_BUCKETS), F.lit(P_BUCKETS - 1).cast("bigint"))))))
+        joined = (keyed.withColumn("__pb", F.floor(F.col("p1") * P_BUCKETS))
+                  .join(F.broadcast(cells), on="__pb").where(in_bucket).drop("__pb"))
 
     if mode == "weighted":
         vids = vid_chain(half_up_int("weight"), "start_VID", "total_VID", "h1")
