@@ -40,8 +40,8 @@ def gen_people_table(census: DataFrame, demo_cols, m: float = LOMAX_M, alpha: fl
     # A running total in demo order gives each segment its first user id
     # (bucketed prefix sum, so a census of millions of segments is fine too).
     seg = exclusive_running_total(seg, demos, "population", "__offset")
-    total = seg.agg(F.sum("population").alias("__total"))  # one row
-    seg = seg.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("population") / F.col("__total"))
+    total = seg.agg(F.sum("population")).scalar()  # scalar subquery: one value, no join
+    seg = seg.withColumn("ratio", F.col("population") / total)
     people = explode_count(seg, "population", "__i", chunk=chunk, spread_by=demos)
     share = F.col("__i") / F.col("population")
     rate = F.lit(float(m)) * (F.pow(F.lit(1.0) - share, F.lit(-1.0 / float(alpha))) - F.lit(1.0))
@@ -60,19 +60,20 @@ def add_n_impressions(people: DataFrame, impressions_total: float | None = None,
     require_columns(people, ["user_id", "rate"])
     if (impressions_total is None) == (impressions_per_person is None):
         raise ValueError("give exactly one of impressions_total and impressions_per_person")
-    stats = people.agg(F.sum("rate").alias("__sum_rate"), F.count(F.lit(1)).alias("__people"))
-    total = F.lit(float(population_total)) if population_total is not None else F.col("__people").cast("double")
-    scaled = F.col("rate") * total / F.col("__sum_rate")
+    # one scalar subquery (a struct of both values; Spark evaluates it once)
+    stats = people.agg(F.struct(F.sum("rate").alias("s"), F.count(F.lit(1)).alias("n"))).scalar()
+    total = F.lit(float(population_total)) if population_total is not None else stats.getField("n").cast("double")
+    scaled = F.col("rate") * total / stats.getField("s")
     per_person = (F.lit(float(impressions_per_person)) if impressions_per_person is not None
                   else F.lit(float(impressions_total)) / total)
     out = (
-        people.crossJoin(F.broadcast(stats))  # one row
+        people
         .withColumn("rate", scaled)
         .withColumn("rate_impressions", F.col("rate") * per_person)
         .withColumn("n_impressions", stochastic_round("rate_impressions", seeded_uniform(seed, "user_id")))
         .where(F.col("n_impressions") > 0)
     )
-    return out.drop("__sum_rate", "__people")
+    return out
 
 
 def gen_synthetic_impressions(people_n: DataFrame, start_ts: str, end_ts: str, demo_cols,

@@ -157,9 +157,9 @@ def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_
     if isinstance(population, DataFrame):
         require_columns(population, [*demos, "population"])
         pops = population.groupBy(*demos).agg(F.sum("population").cast("bigint").alias("population"))
-        # without demos ``pops`` is a global aggregate: exactly one row
+        # without demos the population is one value: a scalar subquery
         pts = reach.select(*demos, "impression", "reach").join(pops, on=demos) if demos else \
-            reach.select("impression", "reach").crossJoin(F.broadcast(pops))
+            reach.select("impression", "reach").withColumn("population", pops.select("population").scalar())
     else:
         pts = reach.select(*demos, "impression", "reach").withColumn(
             "population", F.lit(int(population)).cast("bigint"))
@@ -167,7 +167,7 @@ def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_
     # Thin every curve to <= max_points observed points (bounded group size).
     top = pts.groupBy(*demos).agg(F.max("impression").alias("__top"))
     thinned = (
-        (pts.join(top, on=demos) if demos else pts.crossJoin(F.broadcast(top)))
+        (pts.join(top, on=demos) if demos else pts.withColumn("__top", top.select("__top").scalar()))
         .withColumn("__cell", F.floor(F.col("impression") * F.lit(int(max_points))
                                       / F.greatest(F.col("__top"), F.lit(1))))
         .groupBy(*demos, "__cell")

@@ -104,9 +104,8 @@ def delta_points(mixture: DataFrame, demo_cols=None) -> DataFrame:
     demos = as_list(demo_cols)
     require_columns(mixture, ["alphas", "rates", *demos])
     if demos:
-        total = mixture.agg(F.sum("population").cast("double").alias("__total"))  # one row
-        mixture = mixture.crossJoin(F.broadcast(total))
-        scale = F.col("population").cast("double") / F.col("__total")
+        total = mixture.agg(F.sum("population").cast("double")).scalar()  # scalar subquery
+        scale = F.col("population").cast("double") / total
     else:
         scale = F.lit(1.0)
     return (

@@ -164,8 +164,8 @@ def q_exploded_reach(spark, sf):
 
 
 def q_mixture_eval(spark, sf):
-    reach = generate_reach_table(line_impressions(spark, sf)).crossJoin(
-        F.broadcast(population_total(census_from_customers(spark, sf))))
+    reach = generate_reach_table(line_impressions(spark, sf)).withColumn(
+        "population", population_total(census_from_customers(spark, sf)).scalar())
     out = mixture_eval(reach, ALPHAS, RATES, "population")
     return out.select("timestamp", "g", _r("share").alias("share"), _r("fit").alias("fit"))
 
