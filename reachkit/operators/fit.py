@@ -7,8 +7,8 @@ Plan:
 1. each curve point becomes ``g = impression / population``, ``r = reach / population``
    (population from a scalar or a census joined on the demos);
 2. curves are thinned in Spark to at most ``max_points`` points: the impression
-   axis of each curve is cut into equal cells and one observed point is kept per
-   cell (``max_by``), so a group never grows with the log;
+   axis of each curve is cut into equal cells and the last observed point of
+   each cell is kept, so a group never grows with the log;
 3. ``groupBy(demos).applyInPandas`` runs a small NumPy Levenberg-Marquardt fit
    per curve with seeded restarts and pool elimination: start with ``n_deltas``
    pools; keep the fit if one pool is left or every rate exceeds ``min_rate``
@@ -170,12 +170,14 @@ def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_
         (pts.join(top, on=demos) if demos else pts.withColumn("__top", top.select("__top").scalar()))
         .withColumn("__cell", F.floor(F.col("impression") * F.lit(int(max_points))
                                       / F.greatest(F.col("__top"), F.lit(1))))
+        # impression and reach are both running totals in time order, so the last
+        # point of a cell carries the largest of each: plain max()es (hash aggregate)
         .groupBy(*demos, "__cell")
-        .agg(F.max_by(F.struct("impression", "reach", "population"), "impression").alias("__p"))
+        .agg(F.max("impression").alias("__i"), F.max("reach").alias("__r"), F.max("population").alias("population"))
         .select(*demos,
-                (F.col("__p.impression") / F.col("__p.population")).cast("double").alias("g"),
-                (F.col("__p.reach") / F.col("__p.population")).cast("double").alias("r"),
-                F.col("__p.population").alias("population"))
+                (F.col("__i") / F.col("population")).cast("double").alias("g"),
+                (F.col("__r") / F.col("population")).cast("double").alias("r"),
+                "population")
     )
 
     schema = T.StructType(
