@@ -6,14 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachkit.llm import common as c
-from reachkit.llm import substring
+from reachkit.llm import decontaminate, substring
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(c.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup,)}
+def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op10_prefix_decontamination)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
@@ -29,4 +33,22 @@ gone AS (SELECT doc_id, count(*) AS n FROM late GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed,
        sha256(coalesce(s, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+    "op10_prefix_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 12], ' ') AS s, least(len(ws), 13) AS n
+        FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes)),
+hit AS (SELECT DISTINCT doc_id, i, dw.n, item_id FROM dw JOIN win USING (s, n)),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(13) r(k) WHERE k < n GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(it, ',' ORDER BY it) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS it FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
