@@ -6,18 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachkit.llm import common as c
-from reachkit.llm import decontaminate, substring
+from reachkit.llm import decontaminate, packing, substring, wavelet
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(c.table(spark, sf_dir, "documents"))
 
 
+def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digest(c.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(c.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op10_prefix_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op8_best_fit_packing,
+                                 op10_prefix_decontamination)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""

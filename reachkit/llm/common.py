@@ -213,15 +213,16 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 
 
 def word_hashes(buf: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of every word's bytes, mixed with its length."""
+    """64-bit polynomial hash of every word's bytes, mixed with its length.  (Prefix sums of
+    byte value * base**i over the slice; a word is brought to the origin by the inverse power.)"""
     if len(ws) == 0:
         return np.zeros(0, U64)
-    size = we - ws
-    begin = np.cumsum(size) - size
-    at = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
-    chars = buf[at + np.repeat(ws, size)]
-    value = _BYTE[chars] * _CHAR.to(int(size.max()) + 1)[at]
-    return mix(np.add.reduceat(value, begin) + size.astype(U64))
+    n = len(buf)
+    prefix = np.zeros(n + 1, U64)
+    value = _BYTE[buf]
+    value *= _CHAR.to(n)
+    np.cumsum(value, out=prefix[1:])
+    return mix((prefix[we] - prefix[ws]) * _CHAR.back(n)[ws] + (we - ws).astype(U64))
 
 
 def rolling(values: np.ndarray, n: int) -> np.ndarray:
