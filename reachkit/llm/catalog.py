@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachkit.llm import common as c
-from reachkit.llm import decontaminate, packing, substring, wavelet
+from reachkit.llm import decontaminate, packing, substring, toxicity, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -24,6 +24,10 @@ def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(c.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -32,7 +36,7 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op8_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op6_mil_toxicity, op8_best_fit_packing,
                                  op10_prefix_decontamination)}
 
 ORACLE_SQL = {
