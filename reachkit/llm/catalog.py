@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachkit.llm import common as c
-from reachkit.llm import decontaminate, packing, substring, toxicity, wavelet
+from reachkit.llm import decontaminate, neardup, packing, substring, toxicity, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,10 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
+def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(c.table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -36,7 +40,7 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op6_mil_toxicity, op8_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing,
                                  op10_prefix_decontamination)}
 
 ORACLE_SQL = {
@@ -71,4 +75,17 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_bayes_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY 1, 2),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(doc_id, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.t = link.a),
+low AS (SELECT doc_id, min(t) AS component_id FROM reach GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, documents.doc_id = component_id AS kept
+FROM documents JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 50_000  # row numbers of a slice fit 16 bits
 U64 = np.uint64
 
 # word separators of the contracts: space and \t \n \v \f \r
@@ -124,12 +125,12 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def row_slices(start: np.ndarray, end: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [i, j) of at most ``most`` bytes (a longer single row stands alone)."""
+    """Row ranges [i, j) of at most ``most`` bytes (a longer single row stands alone) and SLICE_ROWS rows."""
     n, i = len(start), 0
     reach = np.cumsum(end - start)
     while i < n:
         done = reach[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(reach, done + most, "right")))
+        j = min(max(i + 1, int(np.searchsorted(reach, done + most, "right"))), i + SLICE_ROWS)
         yield i, j
         i = j
 
