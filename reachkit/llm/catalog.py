@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachkit.llm import common as c
-from reachkit.llm import decontaminate, neardup, packing, substring, toxicity, wavelet
+from reachkit.llm import decontaminate, neardup, packing, runindex, substring, toxicity, wavelet
 
 
 def tokenizer(name: str) -> str:
@@ -36,11 +36,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.digest(c.table(spark, sf_dir, "documents"))
+
+
 def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_wavelet_matrix, op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing, op9_run_length_index,
                                  op10_prefix_decontamination)}
 
 ORACLE_SQL = {
@@ -88,4 +92,21 @@ reach(doc_id, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc
 low AS (SELECT doc_id, min(t) AS component_id FROM reach GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, documents.doc_id = component_id AS kept
 FROM documents JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op9_run_length_index": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m
+        FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
+twice AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (m)),
+edge AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+         FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM edge GROUP BY doc_id, g),
+ends AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS s, max(b) AS last,
+                sum(b - a) AS removed, count(*) AS spans
+         FROM ends JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+       coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(s, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
