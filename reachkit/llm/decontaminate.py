@@ -40,11 +40,6 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
 
-def _pair(words: str, at: str) -> str:
-    """SQL of the shingle that starts at 1-based ``at``: two words (the last one stands alone)."""
-    return f"concat_ws(' ', get({words}, {at} - 1), get({words}, {at}))"
-
-
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, win, shingles``: the distinct windows of every item, with their shingles in order.
     A one-word window's shingle is the word itself, marked single."""
@@ -144,7 +139,7 @@ def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = (contamination(docs, items, window).where("contaminated")
-           .select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).distinct())
-    own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    return own.join(bad, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__key") == F.col("__tid")),
+           .select(F.col("doc_id").alias("__llm_id"), F.col("tid").alias("__llm_tid")).distinct())
+    own = docs.withColumn("__llm_key", F.xxhash64(F.col("text").cast("string")))
+    return own.join(bad, (F.col("doc_id").cast("long") == F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_tid")),
                     "left_anti").select(*docs.columns)

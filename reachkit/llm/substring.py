@@ -133,9 +133,10 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with late windows cut out of ``text``; all columns stay, documents without a late
     window keep their text byte for byte, ``n_chars`` (if there is one) is recounted where text was cut."""
-    spans = late_windows(docs, window).withColumnRenamed("starts", "__starts").withColumnRenamed("doc_id", "__id")
-    own = docs.withColumn("__tid", F.xxhash64(F.col("text").cast("string")))
-    joined = own.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__tid") == F.col("tid")), "left")
+    spans = late_windows(docs, window).toDF("__llm_id", "__llm_tid", "__llm_starts")
+    own = docs.withColumn("__llm_key", F.xxhash64(F.col("text").cast("string")))
+    joined = own.join(spans, (F.col("doc_id").cast("long") == F.col("__llm_id"))
+                      & (F.col("__llm_key") == F.col("__llm_tid")), "left")
 
     @F.pandas_udf("string")
     def cut(text, starts):
@@ -153,8 +154,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(raw[mask[:-1].astype(bool)].tobytes().decode())
         return pd.Series(out)
 
-    hit = F.col("__starts").isNotNull()
-    cols = {"text": F.when(hit, cut("text", "__starts")).otherwise(F.col("text"))}
+    hit = F.col("__llm_starts").isNotNull()
+    cols = {"text": F.when(hit, cut("text", "__llm_starts")).otherwise(F.col("text"))}
     out = joined.withColumn("text", cols["text"])
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
