@@ -34,47 +34,73 @@ from reachkit.llm.common import U64
 
 LENGTH = 400
 SHARD_BYTES = 1 << 20
-HOT_BYTES = 2 << 20
+HOT_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- the index
 
+_BITS = 21  # of a position in the packed sort keys; larger collections take the plain sort
+
+
 def suffix_array(text: np.ndarray, stop: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Suffix order of texts that each end in a terminator of their own (0 in ``text``; terminators
-    are ordered by text number).  ``stop``: position of the terminator, ``member``: text number."""
+    are ordered by text number).  ``stop``: position of the terminator, ``member``: text number.
+
+    Prefix doubling.  Ranks, second ranks and positions share one 64-bit key, so each round is a plain
+    sort of the positions that are still tied."""
     n = len(text)
-    position = np.arange(n, dtype=np.int64)
+    small = n <= 1 << _BITS
+    present = np.flatnonzero(np.bincount(text, minlength=256))
+    width = max(1, int(len(present) - 1).bit_length())
+    code = np.zeros(256, U64)
+    code[present] = np.arange(len(present))
+    h = max(1, (64 - _BITS) // width) if small else 64 // width
+    padded = np.concatenate([code[text], np.zeros(h, U64)])
     key = np.zeros(n, U64)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    for j in range(8):
-        ch = padded[j:j + n].astype(U64)
-        if j:
-            ch[position + j > stop] = 0
-        key = key << U64(8) | ch
-    order = np.argsort(key)
-    ordered = key[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    start = np.maximum.accumulate(np.where(new, position, 0))  # first slot of every group
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    del key, ordered
-    h = 8
-    while True:
-        single = new & np.append(new[1:], True)
-        slot = np.flatnonzero(~single)
-        if len(slot) == 0:
-            return order
+    for j in range(h):
+        key <<= U64(width)
+        key |= padded[j:j + n]
+    near = np.flatnonzero(stop - np.arange(n) < h)  # nothing counts behind a terminator
+    cut = U64(width) * (h - 1 - (stop[near] - near)).astype(U64)
+    key[near] = key[near] >> cut << cut
+    mask, bits = U64((1 << _BITS) - 1), U64(_BITS)
+    if small:
+        key <<= bits
+        key |= np.arange(n, dtype=U64)
+        key.sort()
+        order = (key & mask).astype(np.int32)
+        key >>= bits
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    slot = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, slot, 0))  # first slot of every group
+    del key, padded
+    stop, member = stop.astype(np.int32), member.astype(np.int32)
+    slot = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
+    while len(slot):
         at = order[slot]
-        beyond = at + h > stop[at]
-        second = np.where(beyond, member[at], rank[np.minimum(at + h, n - 1)])
-        both = rank[at].astype(U64) << U64(32) | second.astype(U64)
-        by = np.argsort(both)
-        at, both = at[by], both[by]
+        second = np.where(at + h > stop[at], member[at], rank[np.minimum(at + h, n - 1)])
+        if small:
+            both = rank[at].astype(U64) << bits
+            both |= second.astype(U64)
+            both <<= bits
+            both |= at.astype(U64)
+            both.sort()
+            at = (both & mask).astype(np.int32)
+            both >>= bits
+        else:
+            both = rank[at].astype(U64) << U64(32) | second.astype(U64)
+            by = np.argsort(both)
+            at, both = at[by], both[by]
         order[slot] = at
         fresh = np.append(True, both[1:] != both[:-1])
-        new[slot[fresh]] = True
-        rank[at] = slot[np.maximum.accumulate(np.where(fresh, np.arange(len(slot)), 0))]
+        rank[at] = slot[np.maximum.accumulate(np.where(fresh, np.arange(len(slot), dtype=np.int32), 0))]
+        slot = np.compress(~(fresh & np.append(fresh[1:], True)), slot)
         h *= 2
+    return order.astype(np.int64)
 
 
 class RunLengthIndex:
@@ -178,7 +204,7 @@ def _payload(length: int):
 
 def _index_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """``anchor, content, spans`` of the pieces that hold repeated strings: intervals of bytes."""
-    held = pieces.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0)).alias("b")).first()["b"]
+    held = pieces.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("b")).first()["b"]
     shards = c.group_count(pieces.sparkSession, held, shard_bytes)
 
     def stream(table: pa.Table) -> pa.Table:
@@ -211,41 +237,32 @@ def _resolve(pieces: DataFrame, length: int, level: int, shard_bytes: int, hot_b
     grams = _grams(length)
     if level == len(grams) - 1:
         return _index_shards(pieces, length, shard_bytes)
-    heavy = (pieces.groupBy("anchor").agg(F.sum(F.length("payload")).alias("b")).where(F.col("b") > hot_bytes)
+    heavy = (pieces.groupBy("anchor").agg(F.sum(F.octet_length("payload")).alias("b")).where(F.col("b") > hot_bytes)
              .select("anchor"))
     heavy = c.stored(heavy, "runindex-hot")
     if heavy.limit(1).count() == 0:
         return _index_shards(pieces, length, shard_bytes)
     cold = _index_shards(pieces.join(heavy.hint("merge"), "anchor", "left_anti"), length, shard_bytes)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = _payload(length)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                buf, start, end = c.flat(c.column(batch, "payload"))
-                lo, hi = int(start[0]), int(end[-1])
-                buf, start, end = buf[lo:hi], start - lo, end - lo
-                unit, row, _ = _units(buf, start, end)
-                begin, run, anchor, at = repeats.owned_runs(unit, row, len(start), grams[level + 1], length)
-                values, size, content = emit(buf, None, unit, begin, run)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(batch, "anchor").take(take), c.column(batch, "content").take(take),
-                     c.column(batch, "n").take(take), pa.array((begin - start[at]).astype(np.int32)),
-                     pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), c.packed(values, size)],
-                    ["up_anchor", "up_content", "n", "off", "anchor", "content", "payload"])
-
-    hot = pieces.join(heavy.hint("merge"), "anchor")
-    sub = c.stored(hot.mapInArrow(cut, "up_anchor long, up_content long, n long, off int, anchor long, content long, "
-                                       "payload binary"), "runindex-sub")
-    distinct = c.stored(sub.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("payload").alias("payload")),
-                        "runindex-sub-distinct")
-    found = c.stored(_resolve(distinct, length, level + 1, shard_bytes, hot_bytes), "runindex-sub-spans")
-    back = (sub.select("up_anchor", "up_content", "off", "anchor", "content").join(found.hint("merge"), ["anchor", "content"])
-            .select("up_anchor", "up_content", F.expr("transform(spans, x -> x + off)").alias("spans")))
-    back = back.groupBy("up_anchor", "up_content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return cold.unionByName(back.select(F.col("up_anchor").alias("anchor"), F.col("up_content").alias("content"), "spans"))
+    # hot pieces are texts of their own: cut again at longer anchors that two of them share
+    hot = c.stored(pieces.join(heavy.hint("merge"), "anchor"), "runindex-hot-pieces")
+    texts = hot.select(F.col("anchor").alias("doc_id"), F.col("content").alias("tid"), F.col("payload").alias("text"))
+    shared = repeats.shared_anchors(texts, _units, grams[level + 1], length, twice=True, name="runindex-sub")
+    sub = repeats.pieces(texts, shared, _units, grams[level + 1], length, _payload(length), "runindex-sub")
+    found = c.stored(_resolve(_distinct(sub, "runindex-sub"), length, level + 1, shard_bytes, hot_bytes), "runindex-sub-spans")
+    back = (sub.select("doc_id", "tid", "pos", "anchor", "content").join(found.hint("merge"), ["anchor", "content"])
+            .select("doc_id", "tid", F.expr("transform(spans, x -> x + pos)").alias("spans")))
+    # a piece that has copies is repeated in whole
+    whole = hot.where("n > 1").select(F.col("anchor").alias("doc_id"), F.col("content").alias("tid"),
+                                      F.array(F.lit(0), F.octet_length("payload")).alias("spans"))
+    back = back.unionByName(whole).groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return cold.unionByName(back.select(F.col("doc_id").alias("anchor"), F.col("tid").alias("content"), "spans"))
+
+
+def _distinct(found: DataFrame, name: str) -> DataFrame:
+    """Equal pieces once, with their number."""
+    return c.stored(found.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload")), f"{name}-distinct")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
@@ -255,9 +272,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     texts = repeats.keyed(docs)
     shared = repeats.shared_anchors(texts, _units, k, length, twice=True, name="runindex")
     found = repeats.pieces(texts, shared, _units, k, length, _payload(length), "runindex")
-    distinct = c.stored(found.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload")), "runindex-distinct")
-    spans = c.stored(_resolve(distinct, length, 0, shard_bytes, hot_bytes), "runindex-spans")
+    spans = c.stored(_resolve(_distinct(found, "runindex"), length, 0, shard_bytes, hot_bytes), "runindex-spans")
     mine = found.select("anchor", "content", "doc_id", "tid", "pos").join(spans.hint("merge"), ["anchor", "content"])
     mine = mine.select("doc_id", "tid", F.expr("transform(spans, x -> x + pos)").alias("spans"))
     # repeated rows (same id and text) give the same spans twice
