@@ -6,7 +6,7 @@ from reachkit.functions.hashing import (
     seeded_uniform,
     vid_chain,
 )
-from reachkit.functions.mixture import array_sum, delta_mixture_reach, mixture_reach, params_array
+from reachkit.functions.mixture import array_sum, mixture_reach, params_array
 from reachkit.functions.rounding import half_up_int, stochastic_round
 
 __all__ = [
@@ -16,7 +16,6 @@ __all__ = [
     "vid_chain",
     "mixture_reach",
     "array_sum",
-    "delta_mixture_reach",
     "params_array",
     "half_up_int",
     "stochastic_round",

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +30,3 @@ def array_sum(arr) -> Column:
     """Sum of a numeric array column (left to right)."""
     arr = F.col(arr) if isinstance(arr, str) else arr
     return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def delta_mixture_reach(g, *params) -> np.ndarray:
-    """Driver-side ``R(g)`` for a handful of points (plots, tests): ``params`` are
-    the amplitudes followed by the rates, so their count must be even."""
-    if len(params) % 2 != 0:
-        raise ValueError("need one amplitude and one rate per delta (an even number of parameters)")
-    n = len(params) // 2
-    alphas = np.asarray(params[:n], dtype=float)
-    rates = np.asarray(params[n:], dtype=float)
-    return (1.0 - np.exp(-np.outer(np.atleast_1d(np.asarray(g, dtype=float)), rates))) @ alphas

@@ -1,185 +1,246 @@
-"""Fitting a mixture of deltas to reach curves, one grouped Spark job for all curves.
+"""Fitting a mixture of deltas to reach curves on every point, as one Spark plan.
 
 Model: share reached at ``g`` impressions per person is
 ``R(g) = sum_i alpha_i * (1 - exp(-x_i * g))`` with ``alpha_i, x_i >= 0``.
 
-Plan:
-1. each curve point becomes ``g = impression / population``, ``r = reach / population``
-   (population from a scalar or a census joined on the demos);
-2. curves are thinned in Spark to at most ``max_points`` points: the impression
-   axis of each curve is cut into equal cells and the last observed point of
-   each cell is kept, so a group never grows with the log;
-3. ``groupBy(demos).applyInPandas`` runs a small NumPy Levenberg-Marquardt fit
-   per curve with seeded restarts and pool elimination: start with ``n_deltas``
-   pools; keep the fit if one pool is left or every rate exceeds ``min_rate``
-   (and no two rates coincide), otherwise drop one pool and refit.  Results are right-aligned in zero-padded
-   arrays of length ``n_deltas`` (kept pools in ascending rate order).
-
-Output: ``[demos], population, alphas, rates, n_fitted, rmse`` (rmse in people,
-on the fitted points).  A curve no pool count can fit gets ``n_fitted = 0``.
+A least-squares fit needs its points only through sums.  On a curve's range of ``g`` every model curve
+is, to rounding, a polynomial of degree ``DEGREE`` in ``s = 2 * sqrt((g - lo) / (hi - lo)) - 1``, so the
+sums of ``T_k(s)`` for ``k <= 2 * DEGREE`` (Chebyshev polynomials, whose products are sums of others)
+and of ``r * T_k(s)`` hold all that the fit can ask of the curve:
+
+1. each curve point becomes ``g = impression / population``, ``r = reach / population``;
+2. the sums are hash-aggregated by (segment, k): partial sums before the shuffle, no group of points,
+   no point left out, whatever the length or skew of a curve;
+3. one row of ``2 * DEGREE + 1`` sums per curve is solved in NumPy: normal equations from the sums, a
+   start from the best sets of rates on a log-spaced grid with linear amplitudes, then damped
+   Gauss-Newton steps to a tolerance.
+
+Pool elimination: start with ``n_deltas`` pools; keep the fit if one pool is left or every rate exceeds
+``min_rate`` (and no two rates coincide), otherwise, or if the solver does not converge, drop one pool.
+A curve that not even one pool fits raises.  Results are right-aligned in zero-padded arrays of length
+``n_deltas`` (kept pools in ascending rate order).
+
+Output: ``[demos], population, alphas, rates, n_fitted, rmse`` (rmse in people, over all points).
+Segments are matched NULL-safe; a segment without a census row raises.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachkit.sources.schema import as_list, require_columns
-
-# The per-curve fit runs in Python workers: ship this module's code with the
-# task (pickle by value) so executors need not have the package installed.
-try:
-    from pyspark import cloudpickle as _cloudpickle
+from reachkit.sources.schema import as_list, join_null_safe, require_columns
 
-    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle: rely on the package being importable
-    pass
+# The solver runs in Python workers: ship this module's code with the task, so
+# executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Fixed values of the fit procedure: solver evaluation cap, the smallest rate a
-# kept pool may have, and the upper end of the random initial rates.
+# Fixed values of the fit procedure: solver evaluation cap and the smallest rate
+# a kept pool may have.
 MAX_EVALUATIONS = 5000
 MIN_RATE = 0.01
-INIT_RATE_UPPER = 6.0
-# Convergence: stop when an accepted step lowers the SSE by less than FTOL
+# Degree of the polynomials that stand for model curves; rates up to
+# STEEPEST / (hi - lo) are represented to about 1e-10.
+DEGREE = 96
+STEEPEST = 1500.0
+GRID = 28  # rates tried for a start, log-spaced
+STARTS = 6  # best sets of grid rates that are polished
+# Convergence: an accepted step lowers the squared error by less than FTOL
 # (relative) or moves the parameters by less than XTOL (relative).
-FTOL = 1e-8
-XTOL = 1e-10
+FTOL = 1e-14
+XTOL = 1e-12
 # Two pools whose rates agree to this relative tolerance describe the same curve
 # (and the same VID distribution) as one pool with their summed amplitude.
 MERGE_RTOL = 1e-3
 
 
-def _model(p: np.ndarray, g: np.ndarray, m: int) -> np.ndarray:
-    a, x = p[:m], p[m:]
-    return (1.0 - np.exp(-np.outer(g, x))) @ a
+class CurveSums:
+    """Least squares against one curve, from its sums: ``t[k]`` of ``T_k(s)`` for k <= 2 * DEGREE,
+    ``rt[k]`` of ``r * T_k(s)``, ``rr`` of ``r * r`` over ``n`` points with g in [lo, hi]."""
 
+    def __init__(self, lo: float, hi: float, n: int, t: np.ndarray, rt: np.ndarray, rr: float):
+        m = DEGREE
+        i = np.arange(m + 1)
+        gram = 0.5 * (t[i[:, None] + i[None, :]] + t[np.abs(i[:, None] - i[None, :])])
+        w, v = np.linalg.eigh(gram)
+        keep = w > max(w[-1], 0.0) * 1e-14
+        root, v = np.sqrt(w[keep]), v[:, keep]
+        # |values of f at the points - r|^2 = |A c - y|^2 + rest for f with coefficients c
+        self.y = (v.T @ rt[:m + 1]) / root
+        self.rest = max(rr - float(self.y @ self.y), 0.0)
+        self.n, self.span = n, max(hi - lo, 1e-300)
+        angle = np.pi * (np.arange(m + 1) + 0.5) / (m + 1)
+        to_coefficients = np.cos(np.outer(i, angle)) * (2.0 / (m + 1))
+        to_coefficients[0] *= 0.5
+        self.b = (v * root).T @ to_coefficients  # values at the nodes -> residual space
+        self.g = lo + (hi - lo) * ((np.cos(angle) + 1.0) / 2.0) ** 2
 
-def _jacobian(p: np.ndarray, g: np.ndarray, m: int) -> np.ndarray:
-    a, x = p[:m], p[m:]
-    e = np.exp(-np.outer(g, x))
-    return np.hstack([1.0 - e, e * g[:, None] * a[None, :]])
+    def columns(self, rates: np.ndarray) -> np.ndarray:
+        """Residual-space column of ``1 - exp(-x g)`` for every rate."""
+        return self.b @ (1.0 - np.exp(-np.outer(self.g, rates)))
 
+    def slopes(self, rates: np.ndarray) -> np.ndarray:
+        return self.b @ (self.g[:, None] * np.exp(-np.outer(self.g, rates)))
 
-def _merged(rates: np.ndarray) -> bool:
-    x = np.sort(rates)
-    return bool(np.any(np.diff(x) <= MERGE_RTOL * np.maximum(x[1:], 1e-300)))
+    def starts(self, m: int) -> list[np.ndarray]:
+        """Parameters (amplitudes, rates) of the best sets of m grid rates, amplitudes linear and
+        non-negative.  More than three rates extend the best smaller sets."""
+        top = max(float(self.g.max()), 1e-12)
+        grid = np.geomspace(max(MIN_RATE / 4, 0.02 / top), max(STEEPEST / 4 / self.span, 1.0), GRID)
+        p = self.columns(grid)
+        q, h = p.T @ p, p.T @ self.y
+        sets = np.array(list(itertools.combinations(range(GRID), min(m, 3))))
+        for size in range(sets.shape[1], m + 1):
+            if size > sets.shape[1]:
+                best = sets[np.argsort(self._errors(sets, q, h)[0], kind="stable")[:4 * STARTS]]
+                sets = np.array(sorted({tuple(sorted((*s, k))) for s in best.tolist() for k in range(GRID) if k not in s}))
+            if size == m:
+                break
+        errors, amplitudes = self._errors(sets, q, h)
+        order = np.argsort(errors, kind="stable")[:STARTS]
+        return [np.concatenate([np.maximum(amplitudes[o], 0.0), grid[sets[o]]]) for o in order]
 
+    def _errors(self, sets, q, h):
+        """(squared error up to a constant, amplitudes) of each set; a negative amplitude counts against it."""
+        ridge = 1e-13 * np.trace(q) * np.eye(sets.shape[1])
+        qs, hs = q[sets[:, :, None], sets[:, None, :]], h[sets]
+        a = np.linalg.solve(qs + ridge, hs[:, :, None])[:, :, 0]
+        clipped = np.maximum(a, 0.0)
+        error = np.einsum("si,sij,sj->s", clipped, qs, clipped) - 2.0 * np.einsum("si,si->s", clipped, hs)
+        return error, a
 
-def _lm(g: np.ndarray, r: np.ndarray, p0: np.ndarray, m: int, max_eval: int) -> tuple[np.ndarray, float]:
-    """Projected Levenberg-Marquardt (parameters clamped at 0).  Stops early when
-    two rates merge: the fit is then better described with one pool less."""
-    p = np.maximum(p0.astype(float), 0.0)
-    res = _model(p, g, m) - r
-    sse = float(res @ res)
-    lam = 1e-3
-    evals = 1
-    while evals < max_eval:
-        j = _jacobian(p, g, m)
-        a = j.T @ j
-        b = j.T @ res
-        improved = False
-        while evals < max_eval:
-            step = np.linalg.solve(a + lam * (np.diag(np.diag(a)) + 1e-12 * np.eye(2 * m)), -b)
-            cand = np.maximum(p + step, 0.0)
-            cres = _model(cand, g, m) - r
-            csse = float(cres @ cres)
-            evals += 1
-            if np.isfinite(csse) and csse < sse:
-                gain = sse - csse
-                moved = float(np.linalg.norm(cand - p))
-                p, res, sse = cand, cres, csse
-                lam = max(lam / 3.0, 1e-12)
-                improved = True
-                break
-            lam *= 4.0
-            if lam > 1e12:
-                break
-        if not improved or gain <= FTOL * max(sse, 1e-30) or moved <= XTOL * (float(np.linalg.norm(p)) + XTOL):
-            break
-        if m > 1 and _merged(p[m:]):
-            break
-    return p, sse
+    def solve(self, p0: np.ndarray, max_eval: int = MAX_EVALUATIONS) -> tuple[np.ndarray, float] | None:
+        """Damped Gauss-Newton steps from p0 with parameters held in their bounds; None if the
+        evaluations run out before it converges.  Ends early when two rates merge."""
+        m = len(p0) // 2
+        ceiling = np.concatenate([np.full(m, np.inf), np.full(m, STEEPEST / self.span)])
+        p = np.clip(p0, 0.0, ceiling)
+        res = self.columns(p[m:]) @ p[:m] - self.y
+        sse, damping, evals = float(res @ res), 1e-3, 1
+        while True:
+            jac = np.hstack([self.columns(p[m:]), self.slopes(p[m:]) * p[:m]])
+            free = np.linalg.norm(jac, axis=0) > 0  # a pool without amplitude has no slope
+            scale = np.where(free, np.linalg.norm(jac, axis=0), 1.0)
+            moved = None
+            while moved is None:
+                if evals >= max_eval:
+                    return None
+                # damped least squares by an augmented system: no squared condition number
+                system = np.vstack([jac / scale, np.sqrt(damping) * np.eye(2 * m)])
+                step = np.linalg.lstsq(system, np.concatenate([-res, np.zeros(2 * m)]), rcond=None)[0] / scale
+                cand = np.clip(p + step, 0.0, ceiling)
+                cres = self.columns(cand[m:]) @ cand[:m] - self.y
+                csse = float(cres @ cres)
+                evals += 1
+                if np.isfinite(csse) and csse < sse:
+                    gain, moved = sse - csse, float(np.linalg.norm((cand - p) / np.maximum(np.abs(p), 1e-6)))
+                    p, res, sse, damping = cand, cres, csse, max(damping / 5.0, 1e-15)
+                elif damping > 1e10:
+                    return p, sse  # no step lowers the error: a minimum to rounding
+                else:
+                    damping *= 4.0
+            if gain <= FTOL * sse or moved <= XTOL or sse <= 1e-30 * max(float(self.y @ self.y), 1e-300):
+                return p, sse
+            if m > 1 and merged(p[m:]):
+                return p, sse
 
 
-def _initial(m: int, rng: np.random.Generator) -> np.ndarray:
-    a = rng.random(m)
-    a = np.sort(a / a.sum())[::-1]
-    x = np.sort(rng.random(m) * INIT_RATE_UPPER)
-    return np.concatenate([a, x])
+def merged(rates: np.ndarray) -> bool:
+    x = np.sort(rates)
+    return bool(np.any(np.diff(x) <= MERGE_RTOL * np.maximum(x[1:], 1e-300)))
 
 
-def fit_curve(g: np.ndarray, r: np.ndarray, n_deltas: int, seed: int = 0, restarts: int = 8,
-              max_eval: int = MAX_EVALUATIONS, min_rate: float = MIN_RATE) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """Fit one curve; returns (alphas, rates, pools kept, sse)."""
-    alphas = np.zeros(n_deltas)
-    rates = np.zeros(n_deltas)
-    if len(g) == 0:
-        return alphas, rates, 0, float("nan")
-    rng = np.random.default_rng(seed)
+def fit_sums(sums: CurveSums, n_deltas: int, min_rate: float = MIN_RATE,
+             max_eval: int = MAX_EVALUATIONS) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(alphas, rates, pools kept, squared error over all points) with pool elimination."""
     for m in range(n_deltas, 0, -1):
-        best_p, best_sse = None, np.inf
-        for _ in range(restarts):
-            try:
-                p, sse = _lm(g, r, _initial(m, rng), m, max_eval)
-            except np.linalg.LinAlgError:
-                continue
-            if np.isfinite(sse) and sse < best_sse:
-                best_p, best_sse = p, sse
-        if best_p is None:
+        fits = [f for f in (sums.solve(p, max_eval) for p in sums.starts(m)) if f is not None]
+        if not fits:
             continue
-        if m == 1 or (np.all(best_p[m:] > min_rate) and not _merged(best_p[m:])):
-            order = np.argsort(best_p[m:], kind="stable")
-            alphas[n_deltas - m:] = best_p[:m][order]
-            rates[n_deltas - m:] = best_p[m:][order]
-            return alphas, rates, m, best_sse
-    return alphas, rates, 0, float("nan")
+        p, sse = min(fits, key=lambda f: f[1])
+        if m == 1 or (np.all(p[m:] > min_rate) and not merged(p[m:])):
+            order = np.argsort(p[m:], kind="stable")
+            pad = np.zeros(n_deltas - m)
+            return np.concatenate([pad, p[:m][order]]), np.concatenate([pad, p[m:][order]]), m, sse + sums.rest
+    raise ValueError("the curve cannot be fitted, not even with one delta")
 
 
-def _key_seed(seed: int, key: tuple) -> int:
-    return (seed * 1_000_003 + zlib.crc32(repr(key).encode())) & 0x7FFFFFFF
+def fit_curve(g, r, n_deltas: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Fit one curve given by its points (the sums are built locally)."""
+    g, r = np.asarray(g, float), np.asarray(r, float)
+    if len(g) == 0:
+        raise ValueError("the curve has no points")
+    lo, hi = float(g.min()), float(g.max())
+    angle = _angle(g, lo, hi, np)
+    t = np.array([np.cos(k * angle).sum() for k in range(2 * DEGREE + 1)])
+    rt = np.array([(r * np.cos(k * angle)).sum() for k in range(2 * DEGREE + 1)])
+    return fit_sums(CurveSums(lo, hi, len(g), t, rt, float(r @ r)), n_deltas)
 
 
-def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_cols=None,
-                          max_points: int = 2000, restarts: int = 8, seed: int = 0) -> DataFrame:
-    """Fit every curve of a reach table (see module doc).
+def _angle(g, lo, hi, lib):
+    """arccos of s, from NumPy values or column expressions."""
+    if lib is np:
+        share = (g - lo) / (hi - lo) if hi > lo else np.zeros_like(g)
+        return np.arccos(np.clip(2.0 * np.sqrt(share) - 1.0, -1.0, 1.0))
+    share = F.when(hi > lo, (g - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    return F.acos(F.least(F.greatest(2.0 * F.sqrt(F.greatest(share, F.lit(0.0))) - 1.0, F.lit(-1.0)), F.lit(1.0)))
 
-    ``population`` is a number (total curve) or a census DataFrame with the demo
-    columns and ``population`` (summed per segment, joined on the demos).
-    """
-    demos = as_list(demo_cols)
-    require_columns(reach, [*demos, "impression", "reach"])
+
+def _points(reach: DataFrame, population, demos: list[str]) -> DataFrame:
+    """``[demos], population, g, r`` of every curve point."""
+    pts = reach.select(*demos, "impression", "reach")
     if isinstance(population, DataFrame):
         require_columns(population, [*demos, "population"])
         pops = population.groupBy(*demos).agg(F.sum("population").cast("bigint").alias("population"))
-        # without demos the population is one value: a scalar subquery
-        pts = reach.select(*demos, "impression", "reach").join(pops, on=demos) if demos else \
-            reach.select("impression", "reach").withColumn("population", pops.select("population").scalar())
+        if demos:
+            found = join_null_safe(pts, pops, demos, "left")
+            missing = F.raise_error(F.lit("a segment of the reach table has no census row"))
+            pts = found.withColumn("population", F.coalesce("population", missing.cast("bigint")))
+        else:  # without demos the population is one value: a scalar subquery
+            pts = pts.withColumn("population", pops.select("population").scalar())
     else:
-        pts = reach.select(*demos, "impression", "reach").withColumn(
-            "population", F.lit(int(population)).cast("bigint"))
-
-    # Thin every curve to <= max_points observed points (bounded group size).
-    top = pts.groupBy(*demos).agg(F.max("impression").alias("__top"))
-    thinned = (
-        (pts.join(top, on=demos) if demos else pts.withColumn("__top", top.select("__top").scalar()))
-        .withColumn("__cell", F.floor(F.col("impression") * F.lit(int(max_points))
-                                      / F.greatest(F.col("__top"), F.lit(1))))
-        # impression and reach are both running totals in time order, so the last
-        # point of a cell carries the largest of each: plain max()es (hash aggregate)
-        .groupBy(*demos, "__cell")
-        .agg(F.max("impression").alias("__i"), F.max("reach").alias("__r"), F.max("population").alias("population"))
-        .select(*demos,
-                (F.col("__i") / F.col("population")).cast("double").alias("g"),
-                (F.col("__r") / F.col("population")).cast("double").alias("r"),
-                "population")
-    )
+        pts = pts.withColumn("population", F.lit(int(population)).cast("bigint"))
+    pts = pts.where(F.col("impression").isNotNull() & F.col("reach").isNotNull())
+    return pts.select(*demos, "population", F.try_divide(F.col("impression").cast("double"), "population").alias("g"),
+                      F.try_divide(F.col("reach").cast("double"), "population").alias("r"))
+
+
+def curve_sums(points: DataFrame, demos: list[str]) -> DataFrame:
+    """One row per curve: ``[demos], population, lo, hi, n, rr, sums`` (array of (k, t, rt))."""
+    ends = points.groupBy(*demos).agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    if demos:
+        bounded = join_null_safe(points, ends, demos)
+    else:
+        both = ends.select(F.struct("lo", "hi")).scalar()
+        bounded = points.withColumn("lo", both.getField("lo")).withColumn("hi", both.getField("hi"))
+    angled = bounded.select(*demos, "population", "lo", "hi", "r", _angle(F.col("g"), F.col("lo"), F.col("hi"), F).alias("angle"))
+    wave = F.cos(F.col("k") * F.col("angle"))
+    per_k = (angled.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * DEGREE))))
+             .groupBy(*demos, "population", "lo", "hi", "k")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr"),
+                  F.sum(wave).alias("t"), F.sum(F.col("r") * wave).alias("rt")))
+    # 2 * DEGREE + 1 rows per curve
+    return per_k.groupBy(*demos, "population", "lo", "hi").agg(
+        F.max("n").alias("n"), F.max("rr").alias("rr"), F.array_sort(F.collect_list(F.struct("k", "t", "rt"))).alias("sums"))
+
 
+def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_cols=None) -> DataFrame:
+    """Fit every curve of a reach table (see module doc).
+
+    ``population`` is a number (total curve) or a census DataFrame with the demo
+    columns and ``population`` (summed per segment, matched on the demos).
+    """
+    demos = as_list(demo_cols)
+    require_columns(reach, [*demos, "impression", "reach"])
+    sums = curve_sums(_points(reach, population, demos), demos)
     schema = T.StructType(
         [reach.schema[c] for c in demos]
         + [T.StructField("population", T.LongType()),
@@ -190,19 +251,17 @@ def fit_mixture_of_deltas(reach: DataFrame, population, n_deltas: int = 3, demo_
     )
     n = int(n_deltas)
 
-    def fit_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("g")
-        g = pdf["g"].to_numpy(dtype=float)
-        r = pdf["r"].to_numpy(dtype=float)
-        pop = int(pdf["population"].iloc[0]) if len(pdf) else 0
-        a, x, m, sse = fit_curve(g, r, n, seed=_key_seed(seed, key), restarts=restarts)
-        rmse = float(np.sqrt(sse / max(len(g), 1)) * pop) if m else float("nan")
-        row = {c: [v] for c, v in zip(demos, key)}
-        row.update(population=[pop], alphas=[a.tolist()], rates=[x.tolist()], n_fitted=[m], rmse=[rmse])
-        return pd.DataFrame(row)
-
-    if not demos:
-        def fit_all(_key, pdf):
-            return fit_group((), pdf)
-        return thinned.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(fit_all, schema)
-    return thinned.groupBy(*demos).applyInPandas(fit_group, schema)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                t = np.array([s["t"] for s in row["sums"]], float)
+                rt = np.array([s["rt"] for s in row["sums"]], float)
+                if not np.isfinite(t).all() or len(t) == 0:
+                    raise ValueError("a curve has no usable points (is its population 0?)")
+                alphas, rates, m, sse = fit_sums(CurveSums(row["lo"], row["hi"], row["n"], t, rt, row["rr"]), n)
+                rows.append([*(row[c] for c in demos), int(row["population"]), alphas.tolist(), rates.tolist(), m,
+                             float(np.sqrt(sse / row["n"]) * row["population"])])
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return sums.mapInPandas(solve, schema)

@@ -6,12 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachkit.functions.mixture import mixture_reach, params_array
-from reachkit.plans.broadcast import single_row
-from reachkit.sources.schema import as_list, require_columns
+from reachkit.functions.mixture import array_sum, mixture_reach, params_array
+from reachkit.sources.schema import as_list, join_null_safe, require_columns
 
 
 def population_total(census: DataFrame) -> DataFrame:
@@ -33,11 +32,10 @@ def penetrate_uniform_reach(census: DataFrame, alphas, rates=None, demo_cols=Non
     require_columns(census, ["population", *demos])
     seg = census.groupBy(*demos).agg(F.sum("population").cast("bigint").alias("population"))
     if isinstance(alphas, DataFrame):
-        params = alphas.select(
-            F.transform("alphas", lambda a: F.round(a, digits)).alias("alphas"),
-            F.transform("rates", lambda x: F.round(x, digits)).alias("rates"))
-        # One row by contract, checked before it is broadcast.
-        out = seg.crossJoin(F.broadcast(single_row(params, "the mixture")))
+        params = one_row(alphas, "the mixture",
+                         F.transform("alphas", lambda a: F.round(a, digits)).alias("alphas"),
+                         F.transform("rates", lambda x: F.round(x, digits)).alias("rates"))
+        out = seg.withColumn("alphas", params.getField("alphas")).withColumn("rates", params.getField("rates"))
     else:
         out = seg.select(
             *demos, "population",
@@ -46,17 +44,25 @@ def penetrate_uniform_reach(census: DataFrame, alphas, rates=None, demo_cols=Non
     return out.select(*demos, "population", "alphas", "rates").orderBy(*demos)
 
 
+def one_row(df: DataFrame, what: str, *cols: Column) -> Column:
+    """The columns of a table that must have exactly one row, as a struct for use in other frames: a
+    scalar subquery, which itself fails on more rows; no row raises when the value is read."""
+    row = df.select(F.struct(*cols)).scalar()
+    return F.coalesce(row, F.raise_error(F.lit(f"{what} must have exactly one row, got none")))
+
+
 def _with_model(reach: DataFrame, mixture: DataFrame, demos: list[str],
                 population_size: int | None) -> DataFrame:
     cols = ["alphas", "rates"] + (["population"] if (demos or population_size is None) else [])
-    model = mixture.select(*demos, *cols)
-    if population_size is not None and not demos:
-        model = model.withColumn("population", F.lit(int(population_size)).cast("bigint"))
     # A mixture has one row per segment: a model table, joined by the demos
-    # (broadcast by AQE when small at run time).
+    # (broadcast by Spark when small); NULL segments match NULL segments.
     if demos:
-        return reach.join(model, on=demos)
-    return reach.crossJoin(F.broadcast(single_row(model, "an un-segmented mixture")))
+        return join_null_safe(reach, mixture.select(*demos, *cols), demos)
+    model = one_row(mixture, "an un-segmented mixture", *[F.col(x) for x in cols])
+    out = reach.withColumns({x: model.getField(x) for x in cols})
+    if population_size is not None:
+        out = out.withColumn("population", F.lit(int(population_size)).cast("bigint"))
+    return out
 
 
 def fit_overlay(reach: DataFrame, mixture: DataFrame, demo_cols=None,
@@ -90,11 +96,10 @@ def fit_summary(reach: DataFrame, mixture: DataFrame, demo_cols=None,
     stats = overlay.groupBy(*demos).agg(
         F.count(F.lit(1)).alias("points"),
         F.sqrt(F.avg(err * err)).alias("rmse"))
-    share = mixture.select(
-        *demos, (F.lit(100.0) * F.aggregate("alphas", F.lit(0.0), lambda acc, a: acc + a)).alias("reached_pct"))
+    reached = F.lit(100.0) * array_sum("alphas")
     if demos:
-        return stats.join(share, on=demos)
-    return stats.crossJoin(F.broadcast(single_row(share, "an un-segmented mixture")))
+        return join_null_safe(stats, mixture.select(*demos, reached.alias("reached_pct")), demos)
+    return stats.withColumn("reached_pct", one_row(mixture, "an un-segmented mixture", reached.alias("x")).getField("x"))
 
 
 def delta_points(mixture: DataFrame, demo_cols=None) -> DataFrame:
