@@ -42,28 +42,39 @@ def seeded_uniform(seed: int, *cols) -> Column:
     return to_uniform(F.hash(F.concat_ws("|", *parts)))
 
 
+CHAIN_PIECE = 128  # draws per inner array of a hash chain
+
+
 def vid_chain(n, start, size, seed) -> Column:
     """``n`` VIDs inside ``[start, start + size)`` by a hash chain.
 
     ``v1 = pmod(hash(str(seed)), size) + start`` and
     ``vk = pmod(hash(str(v(k-1))), size) + start``.  ``n < 1`` gives an empty
     array, a NULL ``n`` gives NULL (no rows after ``explode``).  Repeats are
-    possible, as with any draw with replacement.
+    possible, as with any draw with replacement.  The chain grows by pieces of
+    ``CHAIN_PIECE`` draws, so the arrays that are copied while it grows stay short.
     """
     n, start, size, seed = (_col(x) for x in (n, start, size, seed))
-    size = size.cast("bigint")
-    start = start.cast("bigint")
+    n, size, start = n.cast("bigint"), size.cast("bigint"), start.cast("bigint")
+    one = F.lit(1).cast("bigint")
 
     def step(prev: Column) -> Column:
         return F.pmod(F.hash(prev.cast("string")).cast("bigint"), size) + start
 
-    first = F.array(step(seed))
-    grown = F.aggregate(
-        F.sequence(F.lit(2), n.cast("int")),
-        first,
-        lambda acc, _i: F.concat(acc, F.array(step(F.element_at(acc, -1)))),
-    )
+    def piece(prev: Column, length: Column) -> Column:
+        first = F.array(step(prev))
+        more = F.aggregate(F.sequence(one, length - 1), first,
+                           lambda acc, _i: F.concat(acc, F.array(step(F.element_at(acc, -1)))))
+        return F.when(length > 1, more).otherwise(first)
+
+    width = F.lit(CHAIN_PIECE).cast("bigint")
+    pieces = F.aggregate(
+        F.sequence(one, F.floor((n - 1) / width).cast("bigint")),
+        F.array(piece(seed.cast("bigint"), F.least(n, width))),
+        lambda acc, i: F.concat(acc, F.array(
+            piece(F.element_at(F.element_at(acc, -1), -1), F.least(width, n - i * width)))))
+    empty = F.array().cast("array<bigint>")
     return (F.when(n.isNull(), F.lit(None))
-            .when(n >= 2, grown)
-            .when(n == 1, first)
-            .otherwise(F.array().cast("array<bigint>")))
+            .when(n > width, F.flatten(pieces))
+            .when(n >= 1, piece(seed.cast("bigint"), n))
+            .otherwise(empty))

@@ -9,13 +9,14 @@ table); a second draw picks the VID inside the pool's range.
 * ``weighted``: pool from ``hash(user_id)``, then ``round(weight)`` VIDs per row by
   a hash chain inside the pool (one output row per VID).
 
-Plan: ``h1``/``p1`` are computed before the join; the VID table is materialised,
-counted and broadcast when small: a ``BroadcastHashJoin`` on the demo columns
-with the bucket test as residual condition, or, without segments, on a cell of
-[0, 1) that the pool interval spans (equi-join, no nested loop).  Above the
-limit the segmented join is a shuffle join; AQE splits a hot segment.  No
-shuffle of impressions otherwise, so the operator is map-only and works on a
-streaming DataFrame too.
+Plan: ``h1``/``p1`` are computed before the join.  The VID table is a model
+table; it joins on the demo columns and a cell of [0, 1), the bucket test being
+the residual condition (an equi-join, never a nested loop).  Spark broadcasts
+the table when its statistics say it is small: then the operator is map-only.
+Otherwise it is a shuffle join; ``cells`` spreads a hot segment over so many
+keys (1 with segments, 1,024 without, where the cell is the only key), and AQE
+splits what is still hot.  Nothing runs when the operator is called, and it
+works on a streaming DataFrame too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from reachkit.functions.hashing import to_uniform, vid_chain
 from reachkit.functions.rounding import half_up_int
 from reachkit.operators.vid_table import VID_COLUMNS
-from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
 from reachkit.sources.schema import as_list, require_columns
 
 MODES = ("weighted", "uid", "uid_time")
@@ -34,15 +34,14 @@ P_BUCKETS = 1024
 
 
 def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mode: str = "uid",
-                id_col: str = "user_id", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                table_is_small: bool | None = None) -> DataFrame:
+                id_col: str = "user_id", cells: int | None = None) -> DataFrame:
     """Assign VIDs to impressions (see module doc).
 
     Output: ``[demos], vid, timestamp, h1, p1, p2, <id_col>`` for ``uid`` and
     ``uid_time``; ``[demos], vid, timestamp, h1, p1`` for ``weighted``.
     Rows whose demos have no VID-table row (e.g. NULL demos) are dropped.
-    ``table_is_small`` skips the materialise-and-count step when the caller
-    already knows the table size (e.g. a streaming query).
+    ``cells`` (a power of two) is the number of cells of [0, 1) the join key
+    gets: each pool is listed under the cells its interval touches.
     """
     if mode not in MODES:
         raise ValueError(f"unexpected mode {mode!r}; expected one of {MODES}")
@@ -52,12 +51,10 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
         require_columns(impressions, ["weight"])
     require_columns(vid_table, [*demos, *VID_COLUMNS])
 
+    n_cells = int(cells or (1 if demos else P_BUCKETS))
+    if n_cells & (n_cells - 1):
+        raise ValueError("cells must be a power of two")  # scaling by it is exact: no pair is missed
     table = vid_table.select(*demos, *VID_COLUMNS)
-    small = table_is_small
-    if small is None:
-        table, small = materialize_small(table, max_broadcast_rows)
-    if not demos and not small:
-        raise ValueError("an un-segmented VID table must be small (one row per pool)")
 
     uid = F.col(id_col).cast("string")
     ts = F.col("timestamp").cast("string")
@@ -65,20 +62,15 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
     keyed = impressions.withColumn("h1", h1).withColumn("p1", to_uniform(F.col("h1")))
 
     in_bucket = (F.col("p1") >= F.col("prob_>=")) & (F.col("p1") < F.col("prob_<"))
-    if demos:
-        side = F.broadcast(table) if small else table
-        joined = keyed.join(side, on=demos).where(in_bucket)
-    else:
-        # No equi key: cut [0, 1) into P_BUCKETS cells and list every pool under
-        # the cells its interval touches (<= P_BUCKETS + pools rows), so the join is
-        # an equi-join plus the range test instead of a nested loop.  P_BUCKETS is
-        # a power of two: scaling by it is exact, so no (row, pool) pair is missed.
+    on = list(demos)
+    if n_cells > 1:
         lo, hi = F.col("prob_>="), F.col("prob_<")
-        cells = (table.where((lo < hi) & (lo < 1.0))
+        table = (table.where((lo < hi) & (lo < 1.0))
                  .withColumn("__pb", F.explode(F.sequence(
-                     F.floor(lo * P_BUCKETS), F.least(F.floor(hi * P_BUCKETS), F.lit(P_BUCKETS - 1).cast("bigint"))))))
-        joined = (keyed.withColumn("__pb", F.floor(F.col("p1") * P_BUCKETS))
-                  .join(F.broadcast(cells), on="__pb").where(in_bucket).drop("__pb"))
+                     F.floor(lo * n_cells), F.least(F.floor(hi * n_cells), F.lit(n_cells - 1).cast("bigint"))))))
+        keyed = keyed.withColumn("__pb", F.floor(F.col("p1") * n_cells))
+        on.append("__pb")
+    joined = keyed.join(table, on=on).where(in_bucket).drop("__pb")
 
     if mode == "weighted":
         vids = vid_chain(half_up_int("weight"), "start_VID", "total_VID", "h1")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from reachkit.functions.rounding import half_up_int
 from reachkit.sources.schema import require_columns
 
+CHUNK = 4096  # rows of an impression that are expanded at once
+
 
 def explode_weights_to_impressions(df: DataFrame, id_col: str = "user_id", sep: str = "") -> DataFrame:
     """Replace every row by ``n = round(weight)`` (half up) rows whose id is
@@ -22,7 +24,9 @@ def explode_weights_to_impressions(df: DataFrame, id_col: str = "user_id", sep:
     return (
         df.withColumn("__n", n)
         .where(F.col("__n") >= 1)
-        .withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+        # two short arrays instead of one of n elements
+        .withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / CHUNK).cast("bigint"))))
+        .withColumn("__i", F.explode(F.sequence(F.col("__c") * CHUNK + 1, F.least(F.col("__n"), (F.col("__c") + 1) * CHUNK))))
         .select(F.concat(F.col(id_col).cast("string"), F.lit(sep), F.col("__i").cast("string")).alias(id_col),
                 *rest)
     )

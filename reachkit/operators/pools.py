@@ -9,7 +9,11 @@ impressions are first reduced to distinct (vid, user) pairs with a partially
 aggregated ``groupBy`` (VID 0, the null pool, is hot by design).
 
 VID 0 is shared by the null pools of all segments: by default every VID-0 row
-counts in each of them; ``demo_cols`` restricts the match to the row's own segment.
+counts in each of them.  Its rows are then aggregated once, and the one result is
+attached to every null pool.  ``demo_cols`` restricts the match to the row's own
+segment.  Nothing runs when the operator is called; Spark broadcasts the pool
+spans when they are small, else the join key ``(demos, bucket)`` spreads over the
+VID axis.
 """
 
 from __future__ import annotations
@@ -18,15 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachkit.operators.vid_table import VID_COLUMNS
-from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
 from reachkit.sources.schema import as_list, require_columns
 
 DEFAULT_VID_BUCKET = 1 << 20
 
 
 def mixture_of_delta_pool_info(vid_impressions: DataFrame, vid_table: DataFrame, demo_cols=None,
-                               id_col: str = "user_id", bucket_width: int = DEFAULT_VID_BUCKET,
-                               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                               id_col: str = "user_id", bucket_width: int = DEFAULT_VID_BUCKET) -> DataFrame:
     """``alpha, rate, "alpha * rate", VID_pool_size, impressions, VID_reach,
     distinct_users`` per pool, ordered by ``start_VID``."""
     demos = as_list(demo_cols)
@@ -39,25 +41,26 @@ def mixture_of_delta_pool_info(vid_impressions: DataFrame, vid_table: DataFrame,
     # VID expression into the assignment's join; a NULL vid matches no pool.
     pairs = (vid_impressions.groupBy(*demos, "vid", id_col).agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__b", F.coalesce(F.floor(F.col("vid") / width), F.lit(-1).cast("bigint"))))
-    spans = (
-        vid_table.select(*demos, *VID_COLUMNS)
-        .where(F.col("total_VID") > 0)
-        .withColumn("__b", F.explode(F.sequence(
-            F.floor(F.col("start_VID") / width),
-            F.floor((F.col("start_VID") + F.col("total_VID") - 1) / width))))
-    )
-    spans, small = materialize_small(spans, max_broadcast_rows)
-    side = F.broadcast(spans) if small else spans
+    pools = vid_table.select(*demos, *VID_COLUMNS).where(F.col("total_VID") > 0)
+    stats = [F.sum("__n").alias("impressions"), F.countDistinct("vid").alias("VID_reach"),
+             F.countDistinct(id_col).alias("distinct_users")]
+    spans = pools if demos else pools.where(F.col("start_VID") > 0)
+    spans = spans.withColumn("__b", F.explode(F.sequence(
+        F.floor(F.col("start_VID") / width), F.floor((F.col("start_VID") + F.col("total_VID") - 1) / width))))
     inside = F.coalesce((F.col("vid") >= F.col("start_VID"))
                         & (F.col("vid") < F.col("start_VID") + F.col("total_VID")), F.lit(False))
-    joined = pairs.join(side, on=[*demos, "__b"]).where(inside)
+    found = pairs.join(spans, on=[*demos, "__b"]).where(inside).groupBy(*VID_COLUMNS).agg(*stats)
+    if not demos:
+        # pools at VID 0 hold the same rows: one aggregate, a scalar for all of them
+        zero = pairs.where(F.coalesce(F.col("vid") == 0, F.lit(False))).agg(
+            F.struct(F.sum("__n").alias("n"), F.countDistinct("vid").alias("v"), F.countDistinct(id_col).alias("u"))).scalar()
+        null_pools = (pools.where(F.col("start_VID") == 0).groupBy(*VID_COLUMNS).agg(F.count(F.lit(1)).alias("__copies"))
+                      .withColumn("__z", zero).where(F.col("__z.v") > 0)
+                      .select(*VID_COLUMNS, (F.col("__z.n") * F.col("__copies")).alias("impressions"),
+                              F.col("__z.v").alias("VID_reach"), F.col("__z.u").alias("distinct_users")))
+        found = found.unionByName(null_pools)
     return (
-        joined.groupBy(*VID_COLUMNS)
-        .agg(
-            F.sum("__n").alias("impressions"),
-            F.countDistinct("vid").alias("VID_reach"),
-            F.countDistinct(id_col).alias("distinct_users"),
-        )
+        found
         .orderBy("start_VID")
         .select(
             "alpha",

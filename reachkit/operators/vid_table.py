@@ -9,16 +9,18 @@ Pool j of a segment with population P and mixture (alpha, x):
   * without normalisation a *null pool* ``[kappa, 1.0)`` maps to VID 0.
 
 The prefix sums inside a segment run over the parameter arrays
-(higher-order functions, summed left to right); the VID offset of a segment is a
-bucketed running sum over the mixture table (``plans.prefix``).
+(higher-order functions, summed left to right).  The table is built in one pass
+over the mixture: the null pool is one more element of the exploded pool array,
+and a segment's VID offset is a window sum over the mixture table, which has one
+row per segment (a model table; people and impressions never pass through it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachkit.plans.prefix import exclusive_running_total
+from reachkit.functions.mixture import array_sum
 from reachkit.sources.schema import as_list, require_columns
 
 VID_COLUMNS = ["prob_>=", "prob_<", "alpha", "rate", "start_VID", "total_VID"]
@@ -42,10 +44,13 @@ def _segment_arrays(mixture: DataFrame, demos: list[str], population: Column) ->
         F.col("alphas"), F.col("rates"),
         aks.alias("__ak"),
         totals.alias("__tot"),
-    ).withColumn("__kappa", F.aggregate("__ak", F.lit(0.0), lambda acc, v: acc + v)) \
+    ).withColumn("__kappa", array_sum("__ak")) \
      .withColumn("__used", F.aggregate("__tot", F.lit(0).cast("bigint"), lambda acc, v: acc + v))
-    # VIDs used by all earlier segments (demo order), by a bucketed prefix sum
-    return exclusive_running_total(seg, demos, "__used", "__offset")
+    if not demos:
+        return seg.withColumn("__offset", F.lit(0).cast("bigint"))
+    # VIDs used by all earlier segments, in demo order (one row per segment)
+    earlier = Window.orderBy(*demos).rowsBetween(Window.unboundedPreceding, -1)
+    return seg.withColumn("__offset", F.coalesce(F.sum("__used").over(earlier), F.lit(0)).cast("bigint"))
 
 
 def generate_vid_assignment_table(mixture: DataFrame, population_size: int | None = None,
@@ -67,39 +72,28 @@ def generate_vid_assignment_table(mixture: DataFrame, population_size: int | Non
         population = F.lit(float(population_size))
     seg = _segment_arrays(mixture, demos, population)
 
-    pos = F.col("__pos")
-    lower = _prefix(F.col("__ak"), pos)
-    upper = _prefix(F.col("__ak"), pos + 1)
     kappa = F.col("__kappa")
     if normalize:
         guard = F.when(kappa == 0, F.raise_error(F.lit("kappa = sum(alpha * rate) is 0: cannot normalize")))
-        lower = F.coalesce(guard, lower / kappa)
-        upper = upper / kappa
-    pools = (
-        seg.select(*demos, "__ak", "__tot", "__kappa", "__offset",
-                   F.posexplode(F.arrays_zip("alphas", "rates")).alias("__pos", "__p"))
-        .select(
-            *demos,
-            lower.cast("double").alias("prob_>="),
-            upper.cast("double").alias("prob_<"),
-            F.col("__p.alphas").cast("double").alias("alpha"),
-            F.col("__p.rates").cast("double").alias("rate"),
-            (F.lit(1) + F.col("__offset") + _prefix_long(F.col("__tot"), pos)).cast("bigint").alias("start_VID"),
-            F.element_at("__tot", pos + 1).cast("bigint").alias("total_VID"),
-        )
-    )
-    if normalize:
-        return pools
-    null_pool = seg.select(
-        *demos,
-        F.col("__kappa").alias("prob_>="),
-        F.lit(1.0).alias("prob_<"),
-        F.lit(0.0).alias("alpha"),
-        F.lit(0.0).alias("rate"),
-        F.lit(0).cast("bigint").alias("start_VID"),
-        F.lit(1).cast("bigint").alias("total_VID"),
-    )
-    return pools.unionByName(null_pool)
+
+    def pool(lower: Column, upper: Column, alpha: Column, rate: Column, start: Column, total: Column) -> Column:
+        return F.struct(lower.cast("double").alias("prob_>="), upper.cast("double").alias("prob_<"),
+                        alpha.cast("double").alias("alpha"), rate.cast("double").alias("rate"),
+                        start.cast("bigint").alias("start_VID"), total.cast("bigint").alias("total_VID"))
+
+    def fitted(p: Column, pos: Column) -> Column:
+        lower, upper = _prefix(F.col("__ak"), pos), _prefix(F.col("__ak"), pos + 1)
+        if normalize:
+            lower, upper = F.coalesce(guard, lower / kappa), upper / kappa
+        return pool(lower, upper, p.getField("alphas"), p.getField("rates"),
+                    F.lit(1) + F.col("__offset") + _prefix_long(F.col("__tot"), pos), F.get("__tot", pos))
+
+    pools = F.transform(F.arrays_zip("alphas", "rates"), fitted)
+    if not normalize:
+        null_pool = pool(kappa, F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(1))
+        pools = F.concat(pools, F.array(null_pool))
+    return seg.select(*demos, F.explode(pools).alias("__pool")).select(
+        *demos, *[F.col("__pool").getField(c).alias(c) for c in VID_COLUMNS])
 
 
 def packed_vid_table(mixture: DataFrame, population_size: int | None = None, demo_cols=None) -> DataFrame:
