@@ -61,7 +61,9 @@ def add_n_impressions(people: DataFrame, impressions_total: float | None = None,
     if (impressions_total is None) == (impressions_per_person is None):
         raise ValueError("give exactly one of impressions_total and impressions_per_person")
     # one scalar subquery (a struct of both values; Spark evaluates it once)
-    stats = people.agg(F.struct(F.sum("rate").alias("s"), F.count(F.lit(1)).alias("n"))).scalar()
+    # rates are summed as decimals: exactly, so the sum does not depend on the order of partitions
+    exact = F.sum(F.col("rate").cast("decimal(28,18)")).cast("double")
+    stats = people.agg(F.struct(exact.alias("s"), F.count(F.lit(1)).alias("n"))).scalar()
     total = F.lit(float(population_total)) if population_total is not None else stats.getField("n").cast("double")
     scaled = F.col("rate") * total / stats.getField("s")
     per_person = (F.lit(float(impressions_per_person)) if impressions_per_person is not None
@@ -90,7 +92,7 @@ def gen_synthetic_impressions(people_n: DataFrame, start_ts: str, end_ts: str, d
     start = F.expr(f"timestampdiff(SECOND, {epoch}, to_timestamp_ntz('{start_ts}'))")
     end = F.expr(f"timestampdiff(SECOND, {epoch}, to_timestamp_ntz('{end_ts}'))")
     rows = explode_count(people_n.select("user_id", *demos, "n_impressions"), "n_impressions", "__k",
-                         chunk=chunk, spread_by=["user_id"])
+                         chunk=chunk, spread_by=["user_id"], spread_small=False)
     u = seeded_uniform(seed, "user_id", "__k")
     ts_int = (start + F.floor(u * (end - start))).cast("bigint")
     out = rows.select("user_id", *demos, ts_int.alias("timestamp_int")).withColumn(

@@ -1,41 +1,50 @@
-"""Exposure windows: the n-th exposure of an id, its total frequency, first-exposure flag."""
+"""Exposure windows: the n-th exposure of an id, its total frequency, first-exposure flag.
+
+A hot id (the NULL id, VID 0) may hold a third of all rows, so rows are ranked
+per id and time bucket, and earlier buckets of the id are added from per-bucket
+counts (``plans.prefix.bucketed_row_number``).  ``bucket=None`` ranks each id in
+one window instead: one shuffle less, for tables known to have no hot id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachkit.plans.prefix import DEFAULT_HOT_ROWS, skew_aware_row_number
+from reachkit.plans.prefix import bucketed_row_number, time_bucket
 from reachkit.sources.schema import as_list, require_columns
 
+DEFAULT_BUCKET = time_bucket("day", 86400.0)
+
 
 def add_exposure_index(df: DataFrame, id_col: str = "user_id", order_col: str = "timestamp",
-                       tiebreak=None, bucket=None, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                       tiebreak=None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """Add ``exposure_index``: 1 for the id's earliest row, 2 for the next, ...
 
     NULL ids form one group; NULL times come first.  Rows tied on ``order_col`` are
-    ordered by ``tiebreak`` columns when given (otherwise arbitrarily).  An id with
-    more than ``hot_rows`` rows is ranked per time bucket (hours by default), so
-    one very active id is spread over many tasks
-    (``plans.prefix.skew_aware_row_number``).
+    ordered by ``tiebreak`` columns when given (otherwise arbitrarily).
     """
-    require_columns(df, [id_col], "id_col")
-    require_columns(df, [order_col], "order_col")
-    return skew_aware_row_number(df, [id_col], [order_col, *as_list(tiebreak)], "exposure_index",
-                                 hot_rows=hot_rows, bucket=bucket)
+    return _ranked(df, id_col, order_col, tiebreak, bucket, None)
 
 
 def add_frequency_total(df: DataFrame, id_col: str = "user_id", order_col: str = "timestamp",
-                        tiebreak=None, bucket=None, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                        tiebreak=None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """Add ``exposure_index`` and ``frequency_total`` (number of rows of the id)."""
-    require_columns(df, [id_col], "id_col")
-    require_columns(df, [order_col], "order_col")
-    return skew_aware_row_number(df, [id_col], [order_col, *as_list(tiebreak)], "exposure_index",
-                                 total_col="frequency_total", hot_rows=hot_rows, bucket=bucket)
+    return _ranked(df, id_col, order_col, tiebreak, bucket, "frequency_total")
 
 
 def add_first_exposure(df: DataFrame, id_col: str = "user_id", order_col: str = "timestamp",
-                       tiebreak=None, bucket=None, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                       tiebreak=None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """Add ``exposure_index`` and ``is_first`` (1 on the id's first row, else 0)."""
-    out = add_exposure_index(df, id_col, order_col, tiebreak, bucket, hot_rows)
+    out = add_exposure_index(df, id_col, order_col, tiebreak, bucket)
     return out.withColumn("is_first", F.when(F.col("exposure_index") == 1, 1).otherwise(0))
+
+
+def _ranked(df, id_col, order_col, tiebreak, bucket, total_col) -> DataFrame:
+    require_columns(df, [id_col], "id_col")
+    require_columns(df, [order_col], "order_col")
+    order = [order_col, *as_list(tiebreak)]
+    if bucket is not None:
+        return bucketed_row_number(df, [id_col], order, "exposure_index", bucket, total_col)
+    out = df.withColumn("exposure_index", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)).cast("bigint"))
+    return out if total_col is None else out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(id_col)))

@@ -1,6 +1,6 @@
 """Reach tables: per time slot, new people reached and impressions, plus running totals.
 
-Plan (no per-row window over ids):
+Plan (no per-row window over ids; nothing runs when the operator is called):
 1. the first exposure of every id, found with aggregates only:
    * time only (count mode, no segments): per id ``min(time)`` plus a NULL flag
      -- fixed-width buffers, so a hash aggregate with map-side partial
@@ -10,18 +10,14 @@ Plan (no per-row window over ids):
      that time, packed into one DECIMAL(38,0) key (again a hash aggregate over
      all rows); then ``groupBy(id)`` picks ``min(struct(time, demos, weight))``
      over that reduced table (about one row per id and segment);
-   * in both, the per-id aggregate and the per-slot impression counts come from
-     one ``GROUPING SETS ((id, demos), (demos, time))`` aggregation: the input
-     is scanned once and shuffled once (partially aggregated), and the plan
-     stays linear (per-id rows and slot rows travel together, tagged);
    * anything else (tiebreak columns, other order columns, fractional weights):
      ``min(struct(...))`` directly (sort-based aggregate);
-2. the first rows (reach 1 / weight) and the per-slot impressions are summed in
-   one ``groupBy(demos, time)``;
-3. the per-slot table is written to the checkpoint folder (one scan of the
-   input whatever the optimizer reuses; lineage cut), then running totals come
-   from the bucketed prefix sum (``plans.prefix.running_sums``), so neither a
-   segment nor the un-segmented curve is sorted in one task.
+2. the first rows (reach 1 / weight) and the impressions are summed in one
+   ``groupBy(demos, time)``;
+3. running totals come from the bucketed prefix sum
+   (``plans.prefix.running_sums``), so neither a segment nor the un-segmented
+   curve is sorted in one task.  Both sides of its join read the per-slot table;
+   the second use is a reused exchange.
 
 Ties at an id's first time go to the smallest demos, then the smallest weight.
 An id seen in two segments is reached once, in the segment of its first
@@ -34,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachkit.plans.broadcast import materialize
 from reachkit.plans.prefix import running_sums
 from reachkit.sources.schema import as_list, require_columns
 
@@ -78,16 +73,17 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
     # The packed key has room for 32-bit weights.
     packable = (not weighted) or isinstance(df.schema["weight"].dataType, _SMALL_INTEGRAL)
     if not demos and not weighted and not tiebreak:
-        per_slot = _per_slot_time_only(df, id_col, order_col)
+        first = _first_time(df, id_col, order_col)
     elif orderable and packable and not tiebreak:
-        per_slot = _per_slot_two_stage(df, id_col, order_col, demos, weighted)
+        first = _first_packed(df, id_col, order_col, demos, weighted)
     else:
-        per_slot = _per_slot_struct(df, id_col, order_col, demos, tiebreak, weighted)
-
-    # The per-slot table (segments x slots, small next to the input) feeds both
-    # sides of the prefix-sum join; writing it once guarantees a single scan of
-    # the impressions and cuts the lineage before the running totals.
-    per_slot = materialize(per_slot, "reach-slots")
+        first = _first_struct(df, id_col, order_col, demos, tiebreak, weighted)
+    rows = df.select(*demos, order_col, _weight_col(df).alias("i") if weighted else F.lit(1).cast("bigint").alias("i"))
+    nothing = F.lit(0).cast(rows.schema["i"].dataType)
+    per_slot = (
+        first.withColumn("i", nothing).unionByName(rows.withColumn("r", nothing))
+        .groupBy(*demos, order_col)
+        .agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc")))
     curve = running_sums(per_slot, demos, order_col,
                          {"reach": "reach_inc", "impression": "impression_inc"}, bucket)
     out = curve.select(*demos, order_col, "reach_inc", "impression_inc", "reach", "impression")
@@ -96,39 +92,11 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
     return out
 
 
-def _sum_slots(reach_part: DataFrame, rows_part: DataFrame, keys: list[str]) -> DataFrame:
-    return (reach_part.unionByName(rows_part)
-            .groupBy(*keys)
-            .agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc")))
-
-
-def _one_pass(df: DataFrame, id_col: str, order_col: str, demos: list[str], aggs: list[Column]) -> DataFrame:
-    """``GROUPING SETS ((id, demos), (demos, time))`` with ``aggs`` plus ``__gid``.
-
-    Spark expands every row into both sets before the map-side partial
-    aggregation, so the input is read once and shuffled once although the two
-    results are keyed differently.  ``__gid == 1`` marks per-(id, demos) rows
-    (time not grouped), the other rows are per (demos, time) slot.  The result
-    must not be split with filters: Catalyst would push them below the
-    aggregate and plan two scans again, so callers keep it in one linear plan.
-    """
-    cols = [id_col, *demos, order_col]
-    return df.groupingSets([[id_col, *demos], [*demos, order_col]], *cols).agg(
-        *aggs, F.grouping_id().alias("__gid"))
-
-
-def _per_slot_time_only(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    # A NULL time sorts first, so it wins over any time (min() would skip it).
-    g = _one_pass(df, id_col, order_col, [],
-                  [F.min(order_col).alias("__t"), F.max(F.col(order_col).isNull().cast("int")).alias("__null"),
-                   F.count(F.lit(1)).alias("__i")])
-    per_id = F.col("__gid") == 1
-    first_t = F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t"))
-    rows = g.select(
-        F.when(per_id, first_t).otherwise(F.col(order_col)).alias(order_col),
-        F.when(per_id, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("r"),
-        F.when(per_id, F.lit(0)).otherwise(F.col("__i")).cast("bigint").alias("i"))
-    return rows.groupBy(order_col).agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc"))
+def _first_time(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """``time, r``: the first time of every id.  A NULL time sorts first, so it wins over any time
+    (min() would skip it)."""
+    per_id = df.groupBy(id_col).agg(F.min(order_col).alias("__t"), F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
+    return per_id.select(F.when(F.col("__null") == 0, F.col("__t")).alias(order_col), F.lit(1).cast("bigint").alias("r"))
 
 
 def _order_key(c: str, dtype: T.DataType) -> Column:
@@ -142,78 +110,38 @@ def _order_key(c: str, dtype: T.DataType) -> Column:
     return F.when(F.col(c).isNull(), F.lit(0).cast("bigint")).otherwise(v + F.lit(_TIME_OFFSET))
 
 
-def _per_slot_two_stage(df: DataFrame, id_col: str, order_col: str, demos: list[str],
-                        weighted: bool) -> DataFrame:
+def _first_packed(df: DataFrame, id_col: str, order_col: str, demos: list[str], weighted: bool) -> DataFrame:
+    """``[demos], time, r``: per id the smallest (time, demos, weight); time and weight travel as one key."""
     t_key = _order_key(order_col, df.schema[order_col].dataType)
-    null_t = F.max(F.col(order_col).isNull().cast("int")).alias("__null")
     if weighted:
         w_key = F.when(F.col("weight").isNull(), F.lit(0).cast("bigint")) \
                  .otherwise(F.col("weight").cast("bigint") + F.lit(_WEIGHT_OFFSET))
         dec = "decimal(38,0)"
-        # per (id, segment): the earliest time and the smallest weight at it
         key = F.min(t_key.cast(dec) * F.expr(_WEIGHT_SHIFT) + w_key.cast(dec)).alias("__k")
-        impressions = F.sum(_weight_col(df)).alias("__i")
         t_part = F.expr(f"CAST(__k div {_WEIGHT_SHIFT} AS BIGINT)")
         w_part = F.expr(f"CAST(__k % {_WEIGHT_SHIFT} AS BIGINT)")
     else:
         key = F.min(t_key).alias("__k")
-        impressions = F.count(F.lit(1)).alias("__i")
-        t_part, w_part = F.col("__k"), F.lit(0).cast("bigint")
-    g = _one_pass(df, id_col, order_col, demos, [key, F.min(order_col).alias("__t"), null_t, impressions])
-    per_id = F.col("__gid") == 1
-    first_t = F.when(F.col("__null") == 1, F.lit(None)).otherwise(F.col("__t"))
-
-    def weight_of(w: Column) -> Column:
-        if not weighted:
-            return F.lit(1).cast("bigint")
-        return F.when(w == 0, F.lit(0)).otherwise(w - F.lit(_WEIGHT_OFFSET)).cast("bigint")
-
-    if demos:
-        # Per id, the smallest (time, demos, weight) over its few segments; slot
-        # rows pass through the same aggregation under their own (tagged) key.
-        fields = [t_part.alias("t")] + [F.col(c).alias(f"d{i}") for i, c in enumerate(demos)] \
-            + [w_part.alias("w"), first_t.alias("ts")]
-        g2 = (
-            g.select(
-                F.when(per_id, F.lit(0)).otherwise(F.lit(1)).alias("__kind"),
-                F.when(per_id, F.col(id_col)).alias("__kid"),
-                *[F.when(~per_id, F.col(c)).alias(f"__kd{i}") for i, c in enumerate(demos)],
-                F.when(~per_id, F.col(order_col)).alias("__kts"),
-                F.when(per_id, F.struct(*fields)).alias("__f"),
-                F.col("__i"))
-            .groupBy("__kind", "__kid", *[f"__kd{i}" for i in range(len(demos))], "__kts")
-            .agg(F.min("__f").alias("__f"), F.sum("__i").alias("__i"))
-        )
-        first_row = F.col("__kind") == 0
-        rows = g2.select(
-            *[F.when(first_row, F.col(f"__f.d{i}")).otherwise(F.col(f"__kd{i}")).alias(c)
-              for i, c in enumerate(demos)],
-            F.when(first_row, F.col("__f.ts")).otherwise(F.col("__kts")).alias(order_col),
-            F.when(first_row, weight_of(F.col("__f.w"))).otherwise(F.lit(0)).cast("bigint").alias("r"),
-            F.when(first_row, F.lit(0)).otherwise(F.col("__i")).cast("bigint").alias("i"))
-    else:  # the per-id rows are already final
-        rows = g.select(
-            F.when(per_id, first_t).otherwise(F.col(order_col)).alias(order_col),
-            F.when(per_id, weight_of(w_part)).otherwise(F.lit(0)).cast("bigint").alias("r"),
-            F.when(per_id, F.lit(0)).otherwise(F.col("__i")).cast("bigint").alias("i"))
-    return rows.groupBy(*demos, order_col).agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc"))
-
-
-def _per_slot_struct(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str],
-                     weighted: bool) -> DataFrame:
-    carried = [order_col, *tiebreak, *demos] + (["weight"] if weighted else [])
+        t_part, w_part = F.col("__k"), F.lit(_WEIGHT_OFFSET + 1).cast("bigint")
+    per = df.groupBy(id_col, *demos).agg(key, F.min(order_col).alias("__t"),
+                                         F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
+    first_t = F.when(F.col("__null") == 0, F.col("__t"))
+    per = per.select(id_col, *demos, t_part.alias("__tk"), w_part.alias("__wk"), first_t.alias("__ts"))
+    if demos:  # per id, the smallest over its few segments
+        fields = ["__tk", *demos, "__wk", "__ts"]
+        least = per.groupBy(id_col).agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(fields)])).alias("__f"))
+        per = least.select(*[F.col(f"__f.c{i}").alias(c) for i, c in enumerate(fields)])
+    weight = F.when(F.col("__wk") == 0, F.lit(0)).otherwise(F.col("__wk") - F.lit(_WEIGHT_OFFSET)).cast("bigint")
+    return per.select(*demos, F.col("__ts").alias(order_col), weight.alias("r"))
+
+
+def _first_struct(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str],
+                  weighted: bool) -> DataFrame:
+    """``[demos], time, r`` of the smallest (time, tiebreak, demos, weight) of every id."""
+    carried = list(dict.fromkeys([order_col, *tiebreak, *demos] + (["weight"] if weighted else [])))
     first = (
         df.groupBy(id_col)
         .agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("f"))
         .select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carried)])
     )
-    if weighted:
-        w_first = _weight_col(first)
-        w_rows = _weight_col(df)
-        zero = F.lit(0).cast("bigint") if isinstance(df.schema["weight"].dataType, _INTEGRAL) else F.lit(0.0)
-    else:
-        w_first = w_rows = F.lit(1).cast("bigint")
-        zero = F.lit(0).cast("bigint")
-    reach_part = first.select(*demos, order_col, w_first.alias("r"), zero.alias("i"))
-    rows_part = df.select(*demos, order_col, zero.alias("r"), w_rows.alias("i"))
-    return _sum_slots(reach_part, rows_part, [*demos, order_col])
+    return first.select(*demos, order_col, (_weight_col(first) if weighted else F.lit(1).cast("bigint")).alias("r"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachkit.functions.hashing import hash_uniform
-from reachkit.functions.mixture import params_array
+from reachkit.functions.mixture import mixture_reach, params_array
 from reachkit.operators import (
     add_exposure_index,
     add_first_exposure,
@@ -47,6 +47,8 @@ from reachkit.sources.tables import census_from_customers, event_impressions, li
 ALPHAS = [0.25, 0.2, 0.1]
 RATES = [2.0, 0.8, 0.2]
 DEMO = "age_range"
+TWO = ["age_range", "gender"]  # gender is NULL for a third of the census
+KNOWN_DIGITS = 4  # digits to which a fit must recover a known mixture
 GEN_SEED = 7
 GEN_IMPRESSIONS_PER_PERSON = 10.0
 GEN_START = "2020-03-01 00:00:00"
@@ -300,6 +302,118 @@ def q_gen_reach(spark, sf):
     return generate_reach_table(_generated(spark, sf), demo_cols=[DEMO])
 
 
+# --- fits against known answers --------------------------------------------------------
+
+def _known_curve(reach: DataFrame, population) -> DataFrame:
+    """A reach table whose ``reach`` is the known mixture's curve on its impression axis."""
+    share = mixture_reach(params_array(ALPHAS), params_array(RATES), F.col("impression") / F.col("__pop"))
+    return (reach.withColumn("__pop", population.cast("double"))
+            .withColumn("reach", share * F.col("__pop")).drop("__pop"))
+
+
+def _recovered_total(spark, sf) -> DataFrame:
+    census = census_from_customers(spark, sf)
+    known = _known_curve(generate_reach_table(line_impressions(spark, sf)), population_total(census).scalar())
+    return _rounded(fit_mixture_of_deltas(known, census, n_deltas=len(ALPHAS)))
+
+
+def _recovered_segment(spark, sf) -> DataFrame:
+    census = census_from_customers(spark, sf)
+    reach = generate_reach_table(line_impressions(spark, sf), demo_cols=[DEMO]).join(census, DEMO)
+    known = _known_curve(reach, F.col("population")).drop("population")
+    return _rounded(fit_mixture_of_deltas(known, census, n_deltas=len(ALPHAS), demo_cols=[DEMO]))
+
+
+def _rounded(fit: DataFrame) -> DataFrame:
+    return (fit.withColumn("alphas", F.transform("alphas", lambda a: F.round(a, KNOWN_DIGITS)))
+            .withColumn("rates", F.transform("rates", lambda x: F.round(x, KNOWN_DIGITS))))
+
+
+def q_fit_recovery_total(spark, sf):
+    return _long_mixture(_recovered_total(spark, sf), [])
+
+
+def q_fit_recovery_segment(spark, sf):
+    return _long_mixture(_recovered_segment(spark, sf), [DEMO])
+
+
+def q_fit_one_delta(spark, sf):
+    """One delta on the observed curve: a one-dimensional search has the same answer."""
+    fit = fit_mixture_of_deltas(generate_reach_table(line_impressions(spark, sf)), census_from_customers(spark, sf), n_deltas=1)
+    return fit.select("population", F.round(F.col("alphas")[0], KNOWN_DIGITS).alias("alpha"),
+                      F.round(F.col("rates")[0], KNOWN_DIGITS).alias("rate"), F.round("rmse", KNOWN_DIGITS).alias("rmse"))
+
+
+def q_flow_recovered_total(spark, sf):
+    """Recovered mixture -> VID table -> assignment -> reach over VIDs."""
+    table = generate_vid_assignment_table(_recovered_total(spark, sf))
+    return generate_reach_table(assign_vids(event_impressions(spark, sf), table, mode="uid_time"), id_col="vid")
+
+
+def q_flow_recovered_segment(spark, sf):
+    table = generate_vid_assignment_table(_recovered_segment(spark, sf), demo_cols=[DEMO])
+    assigned = assign_vids(event_impressions(spark, sf), table, demo_cols=[DEMO], mode="uid_time")
+    return generate_reach_table(assigned, id_col="vid", demo_cols=[DEMO])
+
+
+# --- two demo columns, NULL demos, ties, hot ids, other weights and orders ---------------
+
+def two_demo_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return penetrate_uniform_reach(census_from_customers(spark, sf, TWO), ALPHAS, RATES, TWO)
+
+
+def two_demo_vid_table(spark: SparkSession, sf: str) -> DataFrame:
+    return generate_vid_assignment_table(two_demo_mixture(spark, sf), demo_cols=TWO)
+
+
+def q_vid_table_two_demos(spark, sf):
+    return two_demo_vid_table(spark, sf)
+
+
+def q_assign_uid_time_two_demos(spark, sf):
+    return assign_vids(event_impressions(spark, sf), two_demo_vid_table(spark, sf), demo_cols=TWO, mode="uid_time")
+
+
+def q_assign_uid_segment_cells(spark, sf):
+    """The join key of the shuffle form: segments and cells of [0, 1)."""
+    return assign_vids(event_impressions(spark, sf), segment_vid_table(spark, sf), demo_cols=[DEMO], mode="uid", cells=64)
+
+
+def q_pool_info_two_demos(spark, sf):
+    return mixture_of_delta_pool_info(q_assign_uid_time_two_demos(spark, sf), two_demo_vid_table(spark, sf), demo_cols=TWO)
+
+
+def q_fit_overlay_two_demos(spark, sf):
+    reach = generate_reach_table(event_impressions(spark, sf, hourly=True), demo_cols=TWO)
+    out = fit_overlay(reach, two_demo_mixture(spark, sf), TWO, with_origin=True)
+    return out.withColumn("fit", _r("fit", FIT_DIGITS))
+
+
+def q_gen_people_two_demos(spark, sf):
+    return gen_people_table(census_from_customers(spark, sf, TWO), TWO).withColumn("rate", _r("rate"))
+
+
+def q_reach_weighted_fractions(spark, sf):
+    halves = line_impressions(spark, sf).withColumn("weight", F.col("weight") / 2.0)
+    return generate_reach_table(halves, mode="weighted")
+
+
+def q_exposure_index_ties(spark, sf):
+    return add_exposure_index(line_impressions(spark, sf), tiebreak=["device_type", "weight"])
+
+
+def q_frequency_total_hot_id(spark, sf):
+    """A third of the rows without an id: the NULL id is one hot group."""
+    ev = event_impressions(spark, sf)
+    hot = ev.withColumn("user_id", F.when(F.col("user_id").cast("bigint") % 3 != 0, F.col("user_id")))
+    return add_frequency_total(hot)
+
+
+def q_flow_generated(spark, sf):
+    """Synthetic impressions through assignment and reach over VIDs."""
+    return generate_reach_table(assign_vids(_generated(spark, sf), total_vid_table(spark, sf), mode="uid_time"), id_col="vid")
+
+
 def q_flow_total(spark, sf):
     """Fit the total curve, build its VID table, assign by user and time, and
     recompute the reach over VIDs (one lazy plan but for the model table)."""

@@ -82,6 +82,17 @@ CENSUS_SQL = "SELECT c_mktsegment AS age_range, CAST(count(*) AS BIGINT) AS popu
 
 POPULATION_SQL = f"SELECT CAST(sum(population) AS BIGINT) AS population FROM ({CENSUS_SQL})"
 
+CENSUS_TWO_SQL = """SELECT c_mktsegment AS age_range,
+  CASE WHEN c_custkey % 3 = 0 THEN 'male' WHEN c_custkey % 3 = 1 THEN 'female' END AS gender,
+  CAST(count(*) AS BIGINT) AS population FROM customer GROUP BY ALL"""
+
+TWO_DEMO_MIXTURE_SQL = (f"SELECT age_range, gender, population, {_dl(C.ALPHAS)} AS alphas, {_dl(C.RATES)} AS rates "
+                        f"FROM ({CENSUS_TWO_SQL})")
+
+# what a fit of the known curve must return: pools in ascending rate order
+_KNOWN = sorted(zip(C.RATES, C.ALPHAS))
+KNOWN_ALPHAS, KNOWN_RATES = [a for _, a in _KNOWN], [x for x, _ in _KNOWN]
+
 SEGMENT_MIXTURE_SQL = (f"SELECT age_range, CAST(sum(population) AS BIGINT) AS population, "
                        f"{_dl(C.ALPHAS)} AS alphas, {_dl(C.RATES)} AS rates FROM ({CENSUS_SQL}) GROUP BY 1")
 
@@ -184,11 +195,12 @@ SELECT {dj}CAST(floor(p2 * total_VID) AS BIGINT) + start_VID AS vid, "timestamp"
   p1, p2, user_id FROM p"""
 
 
-def pool_info_sql(assigned: str, table: str) -> str:
+def pool_info_sql(assigned: str, table: str, demos=()) -> str:
+    on = "".join(f"a.{_q(c)} = t.{_q(c)} AND " for c in demos)
     return f"""WITH a AS ({assigned}), t AS ({table}),
 g AS (SELECT t."prob_>=", t."prob_<", t.alpha, t.rate, t.start_VID, t.total_VID, CAST(count(*) AS BIGINT) AS impressions,
         CAST(count(DISTINCT a.vid) AS BIGINT) AS VID_reach, CAST(count(DISTINCT a.user_id) AS BIGINT) AS distinct_users
-      FROM a JOIN t ON a.vid >= t.start_VID AND a.vid < t.start_VID + t.total_VID GROUP BY ALL)
+      FROM a JOIN t ON {on}a.vid >= t.start_VID AND a.vid < t.start_VID + t.total_VID GROUP BY ALL)
 SELECT alpha, rate, alpha * rate AS "alpha * rate", total_VID AS VID_pool_size, impressions, VID_reach, distinct_users
 FROM g"""
 
@@ -198,14 +210,15 @@ def _share(alphas: str, rates: str, g: str) -> str:
             f"lambda i: {alphas}[i] * (1.0::DOUBLE - exp(-{rates}[i] * ({g})))), lambda acc, x: acc + x, 0.0::DOUBLE)")
 
 
-def people_sql() -> str:
+def people_sql(census: str = CENSUS_SQL, demos=("age_range",)) -> str:
     expo = repr(-1.0 / float(LOMAX_ALPHA))
-    return f"""WITH s AS (SELECT age_range, CAST(sum(population) AS BIGINT) AS population FROM ({CENSUS_SQL}) GROUP BY 1),
-o AS (SELECT *, coalesce(sum(population) OVER (ORDER BY age_range ASC NULLS FIRST
+    d, order = ", ".join(demos), ", ".join(f"{c} ASC NULLS FIRST" for c in demos)
+    return f"""WITH s AS (SELECT {d}, CAST(sum(population) AS BIGINT) AS population FROM ({census}) GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(population) OVER (ORDER BY {order}
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
         population::DOUBLE / (sum(population) OVER ())::DOUBLE AS ratio FROM s),
 x AS (SELECT *, unnest(range(0, population)) AS i FROM o)
-SELECT CAST(off + i + 1 AS BIGINT) AS user_id, age_range, population, ratio,
+SELECT CAST(off + i + 1 AS BIGINT) AS user_id, {d}, population, ratio,
   {float(LOMAX_M)!r}::DOUBLE * (pow(1.0::DOUBLE - i::DOUBLE / population::DOUBLE, {expo}::DOUBLE) - 1.0::DOUBLE) AS rate
 FROM x"""
 
@@ -233,8 +246,76 @@ y AS (SELECT user_id, age_range, CAST({start} + floor({u} * {end - start}) AS BI
 SELECT user_id, age_range, timestamp_int, make_timestamp(timestamp_int * 1000000) AS "timestamp" FROM y"""
 
 
+def one_delta_sql(view: str) -> str:
+    """Least squares of one delta by golden section on the log of the rate: the best amplitude of a rate
+    is linear."""
+    shrink = (5 ** 0.5 - 1) / 2
+
+    def error(at: str) -> str:  # squared error up to the constant sum of r * r
+        phi = f"(1.0::DOUBLE - exp(-exp({at}) * g))"
+        return f"(SELECT -(sum(r * {phi}) * sum(r * {phi})) / sum({phi} * {phi}) FROM pts)"
+
+    return f"""WITH RECURSIVE c AS ({reach_sql(view)}), p AS ({POPULATION_SQL}),
+pts AS (SELECT c.impression::DOUBLE / p.population::DOUBLE AS g, c.reach::DOUBLE / p.population::DOUBLE AS r FROM c, p),
+search AS (
+  SELECT 0 AS step, ln(0.01::DOUBLE) AS a, ln(30.0::DOUBLE) AS b
+  UNION ALL
+  SELECT step + 1, CASE WHEN f1 <= f2 THEN a ELSE x1 END, CASE WHEN f1 <= f2 THEN x2 ELSE b END
+  FROM (SELECT *, {error('x1')} AS f1, {error('x2')} AS f2
+        FROM (SELECT *, b - {shrink!r}::DOUBLE * (b - a) AS x1, a + {shrink!r}::DOUBLE * (b - a) AS x2
+              FROM search WHERE step < 60))),
+best AS (SELECT exp((a + b) / 2) AS rate FROM search WHERE step = 60),
+amp AS (SELECT rate, (SELECT sum(r * (1 - exp(-rate * g))) / sum((1 - exp(-rate * g)) * (1 - exp(-rate * g))) FROM pts) AS alpha
+        FROM best)
+SELECT p.population, round(alpha, {C.KNOWN_DIGITS}) AS alpha, round(rate, {C.KNOWN_DIGITS}) AS rate,
+  round((SELECT sqrt(avg((alpha * (1 - exp(-rate * g)) - r) * (alpha * (1 - exp(-rate * g)) - r))) FROM pts)
+        * p.population::DOUBLE, {C.KNOWN_DIGITS}) AS rmse FROM amp, p"""
+
+
 # --- the registered texts ------------------------------------------------------------
 
+def fraction_reach_sql() -> str:
+    text = reach_sql(f"SELECT * REPLACE (weight / 2.0::DOUBLE AS weight) FROM ({LINES_SQL})", weighted=True)
+    return text.replace("AS BIGINT) AS reach", "AS DOUBLE) AS reach").replace("AS BIGINT) AS impression", "AS DOUBLE) AS impression")
+
+
+def _known_sql() -> dict[str, str]:
+    params = f"{_dl(KNOWN_ALPHAS)} AS alphas, {_dl(KNOWN_RATES)} AS rates"
+    total = f"SELECT population, {params} FROM ({POPULATION_SQL})"
+    segment = f"SELECT age_range, population, {params} FROM ({CENSUS_SQL})"
+
+    def long(mixture: str, d: str) -> str:
+        return f"""SELECT {d}population, CAST(i AS INTEGER) AS delta, alphas[i] AS alpha, rates[i] AS rate
+FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i FROM ({mixture}))"""
+
+    ev = events_sql()
+    return {
+        "fit_recovery_total": long(total, ""),
+        "fit_recovery_segment": long(segment, "age_range, "),
+        "fit_one_delta": one_delta_sql(LINES_SQL),
+        "flow_recovered_total": reach_sql(assign_sql(ev, vid_table_sql(total), "uid_time"), id_col="vid"),
+        "flow_recovered_segment": reach_sql(
+            assign_sql(ev, vid_table_sql(segment, ["age_range"]), "uid_time", ["age_range"]), id_col="vid", demos=["age_range"]),
+    }
+
+
+def _two_demo_sql(ev: str, ev_h: str) -> dict[str, str]:
+    table = vid_table_sql(TWO_DEMO_MIXTURE_SQL, C.TWO)
+    assigned = assign_sql(ev, table, "uid_time", C.TWO)
+    same = " AND ".join(f"r.{c} IS NOT DISTINCT FROM m.{c}" for c in C.TWO)
+    return {
+        "vid_table_two_demos": table,
+        "assign_uid_time_two_demos": assigned,
+        "pool_info_two_demos": pool_info_sql(assigned, table, C.TWO),
+        "fit_overlay_two_demos": f"""WITH c AS ({reach_sql(ev_h, demos=C.TWO)}), m AS ({TWO_DEMO_MIXTURE_SQL}),
+r AS (SELECT age_range, gender, "timestamp", impression, reach FROM c
+      UNION ALL SELECT DISTINCT age_range, gender, NULL, 0, 0 FROM c)
+SELECT r.*, round({_share('m.alphas', 'm.rates', 'r.impression::DOUBLE / m.population::DOUBLE')} * m.population::DOUBLE,
+  {C.FIT_DIGITS}) AS fit FROM r JOIN m ON {same}""",
+        "gen_people_two_demos": f"SELECT * REPLACE (round(rate, {C.DIGITS}) AS rate) FROM ({people_sql(CENSUS_TWO_SQL, C.TWO)})",
+    }
+
+
 def _sql() -> dict[str, str]:
     ev = events_sql()
     ev_h = events_sql(hourly=True)
@@ -311,6 +392,18 @@ FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i
         "vid_frequency_segment": frequency_sql(a["uid_time_segment"], id_col="vid", demos=["age_range"]),
         "pool_info": pool_info_sql(a["uid_time"], tot_vt),
         "pool_info_segment": pool_info_sql(a["uid_time_segment"], seg_vt),
+        **_known_sql(),
+        **_two_demo_sql(ev, ev_h),
+        "assign_uid_segment_cells": a["uid_segment"],
+        "reach_weighted_fractions": fraction_reach_sql(),
+        "exposure_index_ties": f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" ASC NULLS FIRST,
+  device_type ASC NULLS FIRST, weight ASC NULLS FIRST) AS exposure_index FROM ({LINES_SQL})""",
+        "frequency_total_hot_id": f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" ASC NULLS FIRST)
+  AS exposure_index, count(*) OVER (PARTITION BY user_id) AS frequency_total
+  FROM (SELECT * REPLACE (CASE WHEN user_id::BIGINT % 3 <> 0 THEN user_id END AS user_id) FROM ({ev}))""",
+        "flow_generated": reach_sql(assign_sql(
+            f"""SELECT user_id::VARCHAR AS user_id, "timestamp", 1 AS weight FROM ({generated_sql()})""", tot_vt, "uid_time"),
+            id_col="vid"),
         "gen_people": f"SELECT * REPLACE (round(rate, {C.DIGITS}) AS rate) FROM ({people_sql()})",
         "gen_n_impressions": f"""SELECT * REPLACE (round(rate, {C.DIGITS}) AS rate,
   round(rate_impressions, {C.DIGITS}) AS rate_impressions) FROM ({people_n_sql()})""",

@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_counted, materialize_small
-
 DEFAULT_TIME_UNIT = "hour"
 _PK = "__pk"
 _BK = "__bucket"
@@ -31,8 +29,9 @@ _BK = "__bucket"
 
 def time_bucket(unit: str = DEFAULT_TIME_UNIT, width: float | None = None) -> Callable[[Column, T.DataType], Column]:
     """Bucket rule: ``date_trunc(unit)`` for times, ``floor(x / width)`` for numbers,
-    the value itself for dates, one bucket for anything else.  Buckets must be
-    non-decreasing in the order column (NULL stays NULL and sorts first)."""
+    the value itself for dates, the first characters of strings, one bucket for
+    anything else.  Buckets must be non-decreasing in the order column (NULL stays
+    NULL and sorts first)."""
 
     def rule(c: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -41,6 +40,8 @@ def time_bucket(unit: str = DEFAULT_TIME_UNIT, width: float | None = None) -> Ca
             return c
         if isinstance(dtype, T.NumericType):
             return F.floor(c / F.lit(width or 3600.0))
+        if isinstance(dtype, T.StringType):
+            return F.substring(c, 1, 8)
         return F.when(c.isNull(), F.lit(None)).otherwise(F.lit(0))
 
     return rule
@@ -100,83 +101,31 @@ def bucketed_row_number(df: DataFrame, part_cols: Sequence[str], order_cols: Seq
     return out.select(*df.columns, *extra)
 
 
+RANGE_SAMPLES = 16  # boundaries of an ordered table; buckets hold about 1 / RANGE_SAMPLES of its rows
+
+
 def exclusive_running_total(df: DataFrame, order_cols: Sequence[str], value_col: str,
                             out_col: str) -> DataFrame:
     """Add ``out_col`` = sum of ``value_col`` over all rows before this one in
     ascending ``order_cols`` order (NULLs first; rows must be unique on them).
 
-    Used for VID and person-id offsets over census-sized tables: the rows are
-    bucketed by the first order column, so even a census with millions of
-    segments is not ordered in one task.
+    Used for person-id offsets over census-sized tables.  The rows are cut into
+    ranges at the keys of ``RANGE_SAMPLES`` rows drawn by hash (a bounded scalar,
+    the same in every evaluation), so a table of millions of segments is never
+    ordered in one task, whatever its columns are.
     """
     order_cols = list(order_cols)
     if not order_cols:
         return df.withColumn(out_col, F.lit(0).cast("bigint"))
-    first = order_cols[0]
-    ordered = df.withColumn("__ord", F.struct(*order_cols))
-    out = running_sums(ordered, [], "__ord", {"__incl": value_col},
-                       bucket=lambda c, _t: c.getField(first))
-    return out.withColumn(out_col, (F.col("__incl") - F.col(value_col)).cast("bigint")).drop("__ord", "__incl")
-
-
-# Rows above which one key is split into time buckets for ranking (a task sorts
-# a million rows easily).
-DEFAULT_HOT_ROWS = 1_000_000
-
-
-def skew_aware_row_number(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[str], out_col: str,
-                          total_col: str | None = None, hot_rows: int = DEFAULT_HOT_ROWS, bucket=None,
-                          max_hot_keys: int | None = None) -> DataFrame:
-    """``row_number()`` per key in order (and optionally the key's row count),
-    with the data shuffled once and no key ranked in one task if it is hot.
-
-    1. rows per key (partially aggregated); keys with more than ``hot_rows`` rows
-       are *hot* -- at most rows / ``hot_rows`` of them -- and are materialised
-       and size-checked before they are broadcast.  Without hot keys every key
-       is proven small and a plain per-key window is used;
-    2. only the hot keys' rows are counted per time bucket; a window over that
-       small table gives each (hot key, bucket) the rows of its earlier buckets;
-    3. one rank pass: an ordinary key is one window partition, a hot key is one
-       partition per bucket whose row numbers are shifted by the offset.
-    If the hot keys or their buckets are too many to broadcast, every key goes
-    through ``bucketed_row_number`` instead.
-    """
-    part_cols = list(part_cols)
-    order_cols = list(order_cols)
-    limit = max_hot_keys or DEFAULT_MAX_BROADCAST_ROWS
-    key = F.struct(*part_cols)
-    per_key = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("__hot_total"))
-    hot, n_hot = materialize_counted(
-        per_key.where(F.col("__hot_total") > int(hot_rows)).select(key.alias("__hk"), "__hot_total"), "hot-keys")
-    if n_hot == 0:
-        # proven: no key has more than hot_rows rows, so one partition per key is fine
-        w = Window.partitionBy(*part_cols).orderBy(*order_cols)
-        out = df.withColumn(out_col, F.row_number().over(w).cast("bigint"))
-        if total_col:
-            out = out.withColumn(total_col, F.count(F.lit(1)).over(Window.partitionBy(*part_cols)))
-        return out
-    if n_hot > limit:
-        return bucketed_row_number(df, part_cols, order_cols, out_col, bucket, total_col)
-
-    keyed = df.withColumn("__hk", key).withColumn("__hb", _bucket(df, order_cols[0], bucket))
-    hot_counts = (keyed.join(F.broadcast(hot.select("__hk")), "__hk")
-                  .groupBy("__hk", "__hb").agg(F.count(F.lit(1)).alias("__n")))
-    earlier = Window.partitionBy("__hk").orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets, small = materialize_small(
-        hot_counts.select("__hk", "__hb", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off")), limit)
-    if not small:
-        return bucketed_row_number(df, part_cols, order_cols, out_col, bucket, total_col)
-
-    marked = keyed.join(F.broadcast(hot), "__hk", "left")
-    # ordinary keys: one partition per key (bucket NULL); hot keys: per bucket
-    marked = marked.withColumn("__b", F.when(F.col("__hot_total").isNotNull(), F.col("__hb")))
-    # a hot key's NULL-time rows (bucket NULL) come first: no offset needed
-    ranked = marked.join(F.broadcast(offsets.withColumnRenamed("__hb", "__b")), ["__hk", "__b"], "left")
-    w = Window.partitionBy("__hk", "__b").orderBy(*order_cols)
-    out = ranked.withColumn(out_col, F.coalesce(F.col("__off"), F.lit(0)) + F.row_number().over(w))
-    extra = [out_col]
-    if total_col:
-        whole = Window.partitionBy("__hk", "__b")
-        out = out.withColumn(total_col, F.coalesce(F.col("__hot_total"), F.count(F.lit(1)).over(whole)))
-        extra.append(total_col)
-    return out.select(*df.columns, *extra)
+    key = F.struct(*order_cols)
+    drawn = F.array(*[F.min_by(key, F.xxhash64(*order_cols, F.lit(i))) for i in range(RANGE_SAMPLES)])
+    bounds = df.agg(F.array_sort(F.array_distinct(drawn)).alias("bounds")).scalar()
+    ranged = (df.withColumn("__ord", key).withColumn("__bounds", bounds)
+              .withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__ord")))).drop("__bounds"))
+    totals = ranged.groupBy("__range").agg(F.sum(value_col).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGE_SAMPLES + 1 rows
+    offsets = totals.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    within = Window.partitionBy("__range").orderBy("__ord").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(offsets, "__range").withColumn(
+        out_col, (F.col("__off") + F.coalesce(F.sum(value_col).over(within), F.lit(0))).cast("bigint"))
+    return out.select(*df.columns, out_col)
