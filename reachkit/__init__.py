@@ -2,6 +2,6 @@
 
 from reachkit.operators import *  # noqa: F401,F403
 from reachkit.operators import __all__ as _ops
-from reachkit.session import ensure_checkpoint_dir, local_session
+from reachkit.session import local_session
 
-__all__ = [*_ops, "local_session", "ensure_checkpoint_dir"]
+__all__ = [*_ops, "local_session"]

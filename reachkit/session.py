@@ -1,15 +1,12 @@
-"""Session helpers: recommended configuration and the checkpoint folder.
+"""Session helper: recommended configuration.
 
-The library never creates a session behind the caller's back; these helpers are
-used by tests, the bench and the entry module.  On a cluster the operator reads
-``spark.checkpoint.dir`` from the session and only falls back to a scratch
-folder when the session runs in local mode and nothing is configured.
+The library never creates a session behind the caller's back, writes no
+intermediate tables and needs no checkpoint folder; this helper is used by
+tests, the bench and the check tool.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job of the library is designed for.  AQE re-plans joins and
@@ -33,33 +30,10 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "reach
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
     )
     for key, value in {**RECOMMENDED_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, choosing one only when it is unset.
-
-    A cluster must name a shared folder in ``spark.checkpoint.dir``; a machine-local
-    folder would not survive the loss of an executor, so one is only made up in
-    local mode (tests, single-machine runs).
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; name a shared folder (HDFS/S3/...) for it")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="reachkit-ckpt-"))
-    return sc.getCheckpointDir()

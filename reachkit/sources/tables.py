@@ -9,23 +9,20 @@ pushes filters down to the parquet scans.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachkit.sources.schema import as_list, require_columns
+from reachkit.sources.schema import as_list
 
 
-def read_table(spark: SparkSession, source: str, name: str | None = None) -> DataFrame:
-    """Scan a table: ``source`` is a folder of ``{name}.parquet`` files, a parquet
-    path, or (when ``name`` is None and no such path exists) a catalog table name."""
-    if name is not None:
-        return spark.read.parquet(os.path.join(source, f"{name}.parquet"))
-    if os.path.exists(source) or "://" in source:
-        return spark.read.parquet(source)
-    return spark.table(source)
+def read_table(spark: SparkSession, source: str, name: str | None = None, catalog: bool = False) -> DataFrame:
+    """Scan a table: the folder ``source`` of ``{name}.parquet`` files, the parquet path
+    ``source``, or with ``catalog=True`` the catalog table (or view) ``source``.  Paths go
+    to Spark as they are, so they may lie in any store that Spark reads."""
+    if catalog:
+        return spark.table(source)
+    return spark.read.parquet(source if name is None else f"{source.rstrip('/')}/{name}.parquet")
 
 
 def read_census_csv(spark: SparkSession, path: str, demo_cols) -> DataFrame:
@@ -113,12 +110,3 @@ def census_from_customers(spark: SparkSession, sf_dir: str, demo_cols=("age_rang
         .groupBy(*demo_cols)
         .agg((F.count(F.lit(1)) * F.lit(scale)).cast("bigint").alias("population"))
     )
-
-
-def validate_impressions(df: DataFrame, id_col: str = "user_id", demo_cols=None,
-                         need_weight: bool = False) -> None:
-    """Check the columns an impression table must carry for an operator."""
-    cols = [id_col, "timestamp", *as_list(demo_cols)]
-    if need_weight:
-        cols.append("weight")
-    require_columns(df, cols)

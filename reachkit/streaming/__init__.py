@@ -1,10 +1,8 @@
 """Structured Streaming: VID assignment of an impression stream.
 
 Assignment is stateless per row and only joins a static model table, so the
-batch operator runs unchanged on a streaming DataFrame (stream-static broadcast
-join).  The VID table is materialised and size-checked once when the query
-starts; the query's progress lives in a checkpoint under the session's
-checkpoint folder, so a restarted query resumes where it stopped.
+batch operator runs unchanged on a streaming DataFrame (stream-static join).
+The caller names the query's checkpoint folder; a restarted query resumes from it.
 """
 
 from reachkit.streaming.assign import assign_vids_stream

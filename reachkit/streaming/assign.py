@@ -2,33 +2,30 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from reachkit.operators.assign import assign_vids
-from reachkit.operators.vid_table import VID_COLUMNS
-from reachkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, materialize_small
-from reachkit.session import ensure_checkpoint_dir
 from reachkit.sources.schema import as_list
 
 
-def assign_vids_stream(stream: DataFrame, vid_table: DataFrame, demo_cols=None, mode: str = "uid_time",
-                       sink: str = "parquet", path: str | None = None, query_name: str = "vid_assignment",
-                       checkpoint_location: str | None = None, trigger: dict | None = None,
-                       max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> StreamingQuery:
+def assign_vids_stream(stream: DataFrame, vid_table: DataFrame, checkpoint_location: str, demo_cols=None,
+                       mode: str = "uid_time", sink: str = "parquet", path: str | None = None,
+                       query_name: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Assign VIDs to every micro-batch of ``stream`` and append them to ``sink``
-    (``parquet`` at ``path``, ``memory`` for tests, or any format name)."""
+    (``parquet`` at ``path``, ``memory`` for tests, or any format name).
+
+    ``checkpoint_location`` is a folder of this query's own in shared storage: a
+    query started again with it, by any application, goes on where it stopped.
+    """
     if not stream.isStreaming:
         raise ValueError("assign_vids_stream expects a streaming DataFrame")
-    demos = as_list(demo_cols)
-    table, small = materialize_small(vid_table.select(*demos, *VID_COLUMNS), max_broadcast_rows)
-    out = assign_vids(stream, table, demo_cols=demos, mode=mode, table_is_small=small)
-    if checkpoint_location is None:
-        checkpoint_location = os.path.join(ensure_checkpoint_dir(stream.sparkSession), "streams", query_name)
-    writer = (out.writeStream.outputMode("append").format(sink).queryName(query_name)
-              .option("checkpointLocation", checkpoint_location))
+    if not checkpoint_location:
+        raise ValueError("checkpoint_location must name a folder of this query's own")
+    out = assign_vids(stream, vid_table, demo_cols=as_list(demo_cols), mode=mode)
+    writer = out.writeStream.outputMode("append").format(sink).option("checkpointLocation", checkpoint_location)
+    if query_name is not None:
+        writer = writer.queryName(query_name)
     if path is not None:
         writer = writer.option("path", path)
     if trigger:

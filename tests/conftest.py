@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -16,20 +15,15 @@ def spark():
 
     from reachkit.session import RECOMMENDED_CONF
 
-    ckpt = tempfile.mkdtemp(prefix="reachkit-test-ckpt-")
     builder = (
         SparkSession.builder.master("local[4]")
         .appName("reachkit-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.checkpoint.dir", ckpt)
     )
     for k, v in RECOMMENDED_CONF.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    from reachkit.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(session)
     yield session
     session.stop()

@@ -30,7 +30,7 @@ def curve(alphas, rates, g):
 @pytest.mark.parametrize("alphas,rates", [([0.6, 0.3], [0.4, 2.5]), ([0.5, 0.3, 0.1], [3.0, 0.7, 0.1])])
 def test_fit_recovers_noiseless_mixture(alphas, rates):
     g = np.linspace(0.01, 25, 300)
-    a, x, m, sse = fit_curve(g, curve(alphas, rates, g), len(alphas), seed=5)
+    a, x, m, sse = fit_curve(g, curve(alphas, rates, g), len(alphas))
     assert m == len(alphas)
     order = np.argsort(rates)
     assert np.allclose(x, np.asarray(rates)[order], rtol=1e-4)
@@ -39,12 +39,12 @@ def test_fit_recovers_noiseless_mixture(alphas, rates):
 
 def test_fit_drops_pools_and_pads():
     g = np.linspace(0.01, 10, 200)
-    a, x, m, _ = fit_curve(g, curve([0.7], [1.3], g), 3, seed=1)
+    a, x, m, _ = fit_curve(g, curve([0.7], [1.3], g), 3)
     assert m == 1 and a[:2].tolist() == [0.0, 0.0] and x[-1] == pytest.approx(1.3, rel=1e-5)
     # flat curve and a two-point curve still give a finite answer
-    a, x, m, _ = fit_curve(np.array([1.0, 2.0, 3.0]), np.array([0.5, 0.5, 0.5]), 2, seed=1)
+    a, x, m, _ = fit_curve(np.array([1.0, 2.0, 3.0]), np.array([0.5, 0.5, 0.5]), 2)
     assert m >= 1 and np.isfinite(a).all()
-    a, x, m, _ = fit_curve(np.array([0.5, 1.0]), np.array([0.2, 0.3]), 2, seed=1)
+    a, x, m, _ = fit_curve(np.array([0.5, 1.0]), np.array([0.2, 0.3]), 2)
     assert m >= 1 and np.isfinite(x).all()
 
 
@@ -103,7 +103,7 @@ def test_grouped_fit_and_views(spark, census):
                                      "2020-03-01 00:00:00", "2020-03-03 00:00:00", ["seg"], seed=2)
     reach = generate_reach_table(imps, demo_cols=["seg"])
     cen = census.where("seg in ('C', 'D')")
-    fits = fit_mixture_of_deltas(reach, cen, n_deltas=2, demo_cols=["seg"], max_points=300)
+    fits = fit_mixture_of_deltas(reach, cen, n_deltas=2, demo_cols=["seg"])
     rows = {r["seg"]: r for r in fits.collect()}
     assert set(rows) == {"C", "D"}
     for r in rows.values():
@@ -131,16 +131,67 @@ def test_grouped_fit_and_views(spark, census):
     assert len(head) <= 6
 
 
-def test_delta_mixture_reach_and_array_sum(spark):
-    from reachkit.functions import array_sum, delta_mixture_reach
-
-    assert delta_mixture_reach([0.0, 1.0], 0.5, 2.0).tolist() == pytest.approx([0.0, 0.5 * (1 - np.exp(-2.0))])
+def test_fit_uses_every_point(spark):
+    """The sums that Spark aggregates give the fit of all points, however they are partitioned."""
+    g = np.linspace(0.01, 12, 5000)
+    r = curve([0.4, 0.2], [2.0, 0.3], g) + np.random.default_rng(4).normal(0, 0.01, len(g))
+    want = fit_curve(g, r, 2)
+    df = spark.createDataFrame([(float(a * 1000), float(b * 1000)) for a, b in zip(g, r)], "impression double, reach double")
+    for parts in (1, 7):
+        row = fit_mixture_of_deltas(df.repartition(parts), 1000, n_deltas=2).first()
+        assert row["alphas"] == pytest.approx(want[0].tolist(), rel=1e-5)
+        assert row["rates"] == pytest.approx(want[1].tolist(), rel=1e-5)
+        assert row["rmse"] == pytest.approx(1000 * np.sqrt(want[3] / len(g)), rel=1e-5)
+    residual = np.sqrt(np.mean((curve(want[0], want[1], g) - r) ** 2))
+    assert row["rmse"] == pytest.approx(1000 * residual, rel=1e-5)
+
+
+def test_fit_null_segments_and_errors(spark):
+    rows = [(s, i, float(100.0 * (1 - np.exp(-1.5 * i / 100)))) for s in ("A", None) for i in range(1, 300)]
+    reach = spark.createDataFrame(rows, "seg string, impression long, reach double")
+    cen = spark.createDataFrame([("A", 100), (None, 100), ("B", 5)], "seg string, population long")
+    fits = {r["seg"]: r for r in fit_mixture_of_deltas(reach, cen, n_deltas=2, demo_cols=["seg"]).collect()}
+    assert set(fits) == {"A", None}
+    assert all(r["n_fitted"] == 1 and r["rates"][-1] == pytest.approx(1.5, rel=1e-4) for r in fits.values())
+    assert fit_overlay(reach.withColumn("timestamp", F.lit(1)), fit_mixture_of_deltas(reach, cen, 1, ["seg"]), ["seg"]).count() == len(rows)
+    with pytest.raises(Exception, match="no census row"):
+        fit_mixture_of_deltas(reach, cen.where("seg is not null"), demo_cols=["seg"]).collect()
     with pytest.raises(ValueError):
-        delta_mixture_reach(1.0, 0.5, 0.2, 1.0)
+        fit_curve([], [], 1)
+
+
+def test_solver_out_of_evaluations_is_a_failure():
+    from reachkit.operators.fit import DEGREE, CurveSums, fit_sums
+
+    angle = np.linspace(0, np.pi, 400)
+    g = 10 * ((np.cos(angle) + 1) / 2) ** 2
+    r = curve([0.5, 0.2], [2.0, 0.4], g)
+    k = np.arange(2 * DEGREE + 1)[:, None]
+    sums = CurveSums(0.0, 10.0, len(g), np.cos(k * angle).sum(1), (r * np.cos(k * angle)).sum(1), float(r @ r))
+    assert fit_sums(sums, 2)[2] == 2
+    with pytest.raises(ValueError, match="cannot be fitted"):
+        fit_sums(sums, 2, max_eval=2)
+
+
+def test_array_sum(spark):
+    from reachkit.functions import array_sum
+
     df = spark.createDataFrame([([0.25, 0.5, 1.0],)], "a array<double>")
     assert df.select(array_sum("a").alias("s")).first()["s"] == 1.75
 
 
+def test_person_offsets_of_any_census(spark):
+    rows = [(f"s{i:04d}" if i else None, i % 7) for i in range(500)]
+    people = gen_people_table(spark.createDataFrame(rows, "seg string, population long"), ["seg"])
+    first = {r["seg"]: r["lo"] for r in people.groupBy("seg").agg(F.min("user_id").alias("lo")).collect()}
+    at, want = 1, {}
+    for seg, n in sorted(rows, key=lambda x: (x[0] is not None, x[0])):
+        if n:
+            want[seg] = at
+        at += n
+    assert first == want
+
+
 def test_census_csv_and_catalog_table(spark, tmp_path):
     from reachkit.sources import read_census_csv, read_table
 
@@ -151,4 +202,4 @@ def test_census_csv_and_catalog_table(spark, tmp_path):
     rows = sorted((r["gender"] or "", r["population"]) for r in census.collect())
     assert rows == [("", 7), ("female", 12), ("male", 10)]
     census.createOrReplaceTempView("census_tbl")
-    assert population_total(read_table(spark, "census_tbl")).first()["population"] == 29
+    assert population_total(read_table(spark, "census_tbl", catalog=True)).first()["population"] == 29

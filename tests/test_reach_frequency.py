@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+
+from reachkit.plans.prefix import time_bucket
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -101,14 +103,14 @@ def test_frequency_weighted_sum_equals_rows(edge):
     assert sum(r["frequency_total"] * r["user_id counts"] for r in rows) == len(EDGE_ROWS)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
-def test_hot_id_rank_matches_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("bucket", [time_bucket("day"), time_bucket("minute"), None])
+def test_hot_id_rank_matches_brute_force(spark, bucket):
     # one id holds most rows over many hours (plus NULL times); "cold" ids are small
     rows = [("hot", ts(h % 500) if h % 97 else None, "X", h) for h in range(3000)]
     rows += [(f"c{i % 7}", ts(i % 40) if i % 11 else None, "Y", i) for i in range(120)]
     rows += [(None, ts(3), "Z", 1), (None, None, "Z", 2)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = add_frequency_total(df, tiebreak=["weight"], hot_rows=hot_rows).collect()
+    got = add_frequency_total(df, tiebreak=["weight"], bucket=bucket).collect()
     want = ref.exposure_index(as_dicts(rows), order=("timestamp", "weight"))
     pos = {r: i for i, r in enumerate(rows)}
     totals = {}

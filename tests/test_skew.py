@@ -36,7 +36,7 @@ def max_partition_share(df):
 
 
 def test_exposure_index_spreads_hot_id(spark, skewed, no_coalesce):
-    ours = add_exposure_index(skewed, hot_rows=1000)  # the hot id (2000 rows) is split by hour
+    ours = add_exposure_index(skewed)  # every id is split by day
     hot = ours.where("user_id = 'hot'").orderBy("exposure_index").select("exposure_index").collect()
     assert [r[0] for r in hot] == list(range(1, N_HOT + 1))
     plain = skewed.withColumn("exposure_index", F.row_number().over(Window.partitionBy("user_id").orderBy("timestamp")))
@@ -45,6 +45,20 @@ def test_exposure_index_spreads_hot_id(spark, skewed, no_coalesce):
     assert max_partition_share(ours) < 0.25
 
 
+def test_hot_id_with_string_order_is_split(spark, no_coalesce):
+    rows = [("hot", f"{i:012d}") for i in range(3000)] + [(f"u{i}", f"{i:012d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id string, t string").withColumn("t", F.reverse("t"))
+    out = add_exposure_index(df, order_col="t")
+    got = [r.exposure_index for r in out.where("user_id = 'hot'").orderBy("t").collect()]
+    assert got == list(range(1, 3001))
+    assert max_partition_share(out) < 0.3
+
+
+def test_plain_window_on_request(spark, skewed):
+    a = sorted(map(tuple, add_exposure_index(skewed, bucket=None).collect()))
+    assert a == sorted(map(tuple, add_exposure_index(skewed).collect()))
+
+
 def test_aggregates_combine_before_shuffle(spark, skewed):
     for df in (generate_reach_table(skewed), generate_reach_table(skewed, demo_cols=["seg"]),
                generate_frequency_table(skewed, demo_cols=["seg"])):

@@ -175,35 +175,68 @@ def test_assign_on_stream(spark, impressions, seg_table, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_large_table_paths_match_broadcast(spark, impressions, seg_table):
-    """Above the broadcast limit the joins shuffle instead; results are the same."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no automatic broadcast either
+def test_streaming_resumes_after_a_restart(spark, impressions, seg_table, tmp_path):
+    """A second query with the same checkpoint folder, as a new application would start it, goes on
+    where the first stopped: every row is written once."""
+    from reachkit.streaming import assign_vids_stream
+
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    impressions.write.parquet(src)
+    for _ in range(2):
+        stream = spark.newSession().readStream.schema(impressions.schema).parquet(src)
+        q = assign_vids_stream(stream, seg_table, ckpt, demo_cols=["seg"], path=out, trigger={"availableNow": True})
+        q.awaitTermination()
+        impressions.write.mode("append").parquet(src)  # the next start finds as many new rows
+    got = spark.read.parquet(out)
+    want = assign_vids(impressions, seg_table, demo_cols=["seg"], mode="uid_time")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(2 * list(map(tuple, want.collect())))
+    with pytest.raises(ValueError):
+        assign_vids_stream(spark.readStream.schema(impressions.schema).parquet(src), seg_table, "")
+
+
+def test_shuffle_joins_match_broadcast(spark, impressions, seg_table):
+    """Where tables are too large to broadcast the joins shuffle; results are the same."""
+    small = {mode: sorted(map(tuple, assign_vids(impressions, seg_table, demo_cols=["seg"], mode=mode).collect()))
+             for mode in ("uid", "weighted")}
+    assigned = assign_vids(impressions, seg_table, demo_cols=["seg"], mode="uid_time")
+    pools = sorted(map(tuple, mixture_of_delta_pool_info(assigned, seg_table).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        _large_table_paths(spark, impressions, seg_table)
+        for mode, want in small.items():
+            for cells in (None, 16):
+                large = assign_vids(impressions, seg_table, demo_cols=["seg"], mode=mode, cells=cells)
+                assert "BroadcastHashJoin" not in large._jdf.queryExecution().sparkPlan().toString()
+                assert sorted(map(tuple, large.collect())) == want
+        wide = mixture_of_delta_pool_info(assigned, seg_table, bucket_width=8)
+        assert sorted(map(tuple, wide.collect())) == pools
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        assign_vids(impressions, seg_table, demo_cols=["seg"], cells=3)
 
 
-def _large_table_paths(spark, impressions, seg_table):
-    for mode in ("uid", "weighted"):
-        small = assign_vids(impressions, seg_table, demo_cols=["seg"], mode=mode)
-        large = assign_vids(impressions, seg_table, demo_cols=["seg"], mode=mode, max_broadcast_rows=1)
-        assert "BroadcastHashJoin" not in large._jdf.queryExecution().sparkPlan().toString()
-        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    assigned = assign_vids(impressions, seg_table, demo_cols=["seg"], mode="uid_time")
-    a = mixture_of_delta_pool_info(assigned, seg_table).collect()
-    b = mixture_of_delta_pool_info(assigned, seg_table, max_broadcast_rows=1, bucket_width=8).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+def test_long_hash_chains(spark):
+    from reachkit.functions import vid_chain
+
+    df = spark.createDataFrame([(0,), (1,), (2,), (128,), (129,), (1000,), (None,)], "n long").withColumn("h", F.lit(7))
+    got = {r.n: r.v for r in df.select("n", vid_chain("n", F.lit(5), F.lit(1 << 40), "h").alias("v")).collect()}
+    assert got[None] is None and [len(got[n]) for n in (0, 1, 2, 128, 129, 1000)] == [0, 1, 2, 128, 129, 1000]
+    assert all(got[1000][:n] == got[n] for n in (1, 2, 128, 129))
+    step = spark.createDataFrame([(v, w) for v, w in zip(got[1000], got[1000][1:])], "v long, w long")
+    assert step.where(F.pmod(F.hash(F.col("v").cast("string")).cast("bigint"), F.lit(1 << 40)) + 5 != F.col("w")).count() == 0
 
 
 def test_single_row_mixture_is_checked(spark, impressions):
     from reachkit import fit_overlay, generate_reach_table
 
     two = mixture_table(spark, [0.4], [2.0], segments=[("X", 10), ("Y", 10)], demo_cols=["seg"]).drop("seg")
-    with pytest.raises(ValueError, match="exactly one row"):
-        fit_overlay(generate_reach_table(impressions), two)
+    reach = generate_reach_table(impressions)
+    with pytest.raises(Exception, match="(?i)more than one row"):
+        fit_overlay(reach, two).collect()
+    with pytest.raises(Exception, match="exactly one row"):
+        fit_overlay(reach, two.limit(0)).collect()
 
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
