@@ -109,7 +109,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             starts, done = c.column(batch, "starts"), 0
             for ids, buf, start, end in c.text_slices(iter([batch])):
                 ws, we, row = c.words(buf, start, end)
-                begins = [None if x is None else x for x in starts.slice(done, len(ids)).to_pylist()]
+                begins = starts.slice(done, len(ids)).to_pylist()
                 count, first, gone = _kept(buf, ws, we, row, len(ids), begins, window)
                 # words joined by one space: byte ranges of the kept words, each followed by a space
                 keep = ~gone
@@ -144,6 +144,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         out = []
         for t, s in zip(text, starts, strict=True):
+            if t is None or s is None:  # evaluated for every row, used where there are starts
+                out.append(t)
+                continue
             raw = np.frombuffer(t.encode(), np.uint8)
             ws, _we, row = c.words(raw, np.array([0]), np.array([len(raw)]))
             _, _, gone = _kept(raw, ws, None, row, 1, [s], window)
