@@ -38,6 +38,7 @@ HEADLINE = [
     "pool_info",
     "gen_impressions",
     "fit_segment",
+    "flow_recovered_total",
     "flow_total",
 ]
 
@@ -59,6 +60,23 @@ WINDOW_FORM = {
         SELECT device_type, frequency_total, count(*) AS `user_id counts` FROM (
           SELECT DISTINCT user_id, device_type, count(*) OVER (PARTITION BY user_id) AS frequency_total FROM lines)
         GROUP BY device_type, frequency_total ORDER BY device_type, frequency_total""",
+    "reach_weighted": """
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) AS ei FROM lines),
+        s AS (SELECT timestamp, sum(CASE WHEN ei = 1 THEN weight ELSE 0 END) AS reach_inc, sum(weight) AS impression_inc
+              FROM r GROUP BY timestamp)
+        SELECT *, sum(reach_inc) OVER (ORDER BY timestamp) AS reach,
+               sum(impression_inc) OVER (ORDER BY timestamp) AS impression FROM s""",
+    "vid_reach_segment": """
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY timestamp) AS ei FROM vids_segment),
+        s AS (SELECT age_range, timestamp, sum(CASE WHEN ei = 1 THEN 1 ELSE 0 END) AS reach_inc,
+                     count(*) AS impression_inc FROM r GROUP BY age_range, timestamp)
+        SELECT *, sum(reach_inc) OVER (PARTITION BY age_range ORDER BY timestamp) AS reach,
+               sum(impression_inc) OVER (PARTITION BY age_range ORDER BY timestamp) AS impression FROM s""",
+    "pool_info": """
+        SELECT t.alpha, t.rate, t.start_VID, t.total_VID, count(*) AS impressions,
+               count(DISTINCT a.vid) AS VID_reach, count(DISTINCT a.user_id) AS distinct_users
+        FROM vids a JOIN vid_table t ON a.vid >= t.start_VID AND a.vid < t.start_VID + t.total_VID
+        GROUP BY t.alpha, t.rate, t.start_VID, t.total_VID ORDER BY t.start_VID""",
     "exposure_index": """
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) AS exposure_index FROM events""",
 }
@@ -85,6 +103,8 @@ def main() -> None:
     if os.environ.get("BENCH_COMPARE", "1") != "0":
         line_impressions(spark, sf_dir).createOrReplaceTempView("lines")
         event_impressions(spark, sf_dir).createOrReplaceTempView("events")
+        for view, name in (("vids", "assign_uid_time"), ("vids_segment", "assign_uid_time_segment"), ("vid_table", "vid_table")):
+            QUERIES[name](spark, sf_dir).createOrReplaceTempView(view)
         window_form = {name: _time(lambda q=sql: spark.sql(q), repeat) for name, sql in WINDOW_FORM.items()}
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)
