@@ -150,7 +150,7 @@ def test_fit_null_segments_and_errors(spark):
     rows = [(s, i, float(100.0 * (1 - np.exp(-1.5 * i / 100)))) for s in ("A", None) for i in range(1, 300)]
     reach = spark.createDataFrame(rows, "seg string, impression long, reach double")
     cen = spark.createDataFrame([("A", 100), (None, 100), ("B", 5)], "seg string, population long")
-    fits = {r["seg"]: r for r in fit_mixture_of_deltas(reach, cen, n_deltas=2, demo_cols=["seg"]).collect()}
+    fits = {r["seg"]: r for r in fit_mixture_of_deltas(reach, cen, n_deltas=1, demo_cols=["seg"]).collect()}
     assert set(fits) == {"A", None}
     assert all(r["n_fitted"] == 1 and r["rates"][-1] == pytest.approx(1.5, rel=1e-4) for r in fits.values())
     assert fit_overlay(reach.withColumn("timestamp", F.lit(1)), fit_mixture_of_deltas(reach, cen, 1, ["seg"]), ["seg"]).count() == len(rows)
