@@ -32,14 +32,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of all nodes of ``edges(a, b)``."""
     now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = c.stored(now, "components-edges")
-    state = None
-    while True:
+    while not _settled(now):
         now = _star(_star(now, True), False)
-        # done when every node has one edge and its target is a root
-        roots = now.select("v").distinct()
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (mark["n"], mark["h"]) == state or mark["n"] == 0:
-            break
-        state = (mark["n"], mark["h"])
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+        now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one edge, to a root: the edges are stars around the components' smallest nodes."""
+    ends = edges.select("u", F.lit(0).alias("root")).unionAll(edges.select("v", F.lit(1).alias("root")).distinct())
+    twice = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return twice.limit(1).count() == 0
