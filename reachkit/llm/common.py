@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 50_000  # row numbers of a slice fit 16 bits
 U64 = np.uint64
 
@@ -159,8 +159,9 @@ def as_longs(ids: pa.Array) -> np.ndarray:
 
 # ---------------------------------------------------------------- words and hashes
 
-def words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, space: np.ndarray = SPACE):
-    """(first byte, byte after the last, row) of every word; words never cross rows."""
+def words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, space: np.ndarray = SPACE, cut: np.ndarray | None = None):
+    """(first byte, byte after the last, row) of every word; words never cross rows.  ``cut`` marks
+    bytes at which a word is divided."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -169,6 +170,9 @@ def words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, space: np.ndarray
     np.logical_not(space[buf], out=isw[1:-1])
     first = isw[1:-1] & ~isw[:-2]
     last = isw[1:-1] & ~isw[2:]
+    if cut is not None:
+        first |= cut & isw[1:-1]
+        last[:-1] |= cut[1:] & isw[1:-2]
     begins = start[start < n]
     first[begins] = isw[1:-1][begins]
     ends = end[end > 0] - 1

@@ -3,12 +3,13 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the chunks' ids joined are
 the text's ids:
 
-* ``"words"`` (white space dropped by the tokenizer): chunks are the runs between ASCII white space;
-* ``"spaced"`` (byte-level patterns that attach one leading space): a chunk is a run of white space
-  with the non-space run behind it, cut only where the character before is no white space at all.
+* ``"words"`` (lower case, white space dropped by the tokenizer): at ASCII white space;
+* ``"spaced"`` (byte-level patterns that attach one leading space): before a run of white space, where
+  the character before is no white space at all;
+* both: between an ASCII letter and ASCII punctuation (the apostrophe aside, which starts contractions).
 
-Chunks are told apart by 64-bit hashes; a worker keeps the ids of at most ``KEEP`` distinct chunks and
-beyond that drops those that the latest slice did not use, so memory is bounded.
+Chunks are told apart by 64-bit hashes.  A worker keeps the ids of about ``KEEP`` distinct chunks in
+sorted arrays; beyond that it keeps those that the latest slice used, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ import numpy as np
 from reachkit.llm import common as c
 from reachkit.llm.repeats import ranges
 
-KEEP = 1_000_000
+KEEP = 2_000_000
+YOUNG = 200_000  # new chunks that are kept apart before they are merged
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[i for i in range(0x21, 0x7F) if not chr(i).isalnum() and chr(i) != "'"]] = True
 _CACHE: dict[tuple[str, str], Encoder] = {}
 
 
@@ -43,27 +49,48 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes in order, with the number of their chunk: the bulk, and the latest
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+
+    def _find(self, value: np.ndarray) -> np.ndarray:
+        """Number of every chunk, -1 for unknown ones."""
+        place = np.full(len(value), -1, np.int64)
+        for hashes, numbers in self.known:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+                same = hashes[at] == value
+                place[same] = numbers[at[same]]
+        return place
 
     def _shrink(self, needed: np.ndarray) -> None:
         """Keep the chunks of the present slice only."""
-        held = [(v, self.known[v]) for v in needed.tolist() if v in self.known]
-        place = np.array([p for _, p in held], np.int64)
-        size = self.size[place]
-        self.ids = self.ids[ranges(self.begin[place], size)]
-        self.size, self.begin = size, np.cumsum(size) - size
-        self.known = {v: i for i, (v, _) in enumerate(held)}
+        place = self._find(needed)
+        held = place >= 0
+        place, size = place[held], self.size[place[held]]
+        self.ids = self.ids[ranges(self.begin[place], size.astype(np.int64))]
+        self.size, self.begin = size, np.cumsum(size, dtype=np.int64) - size
+        self.known = [(needed[held], np.arange(len(place), dtype=np.int32)), self.known[1]]
+        self.known[1] = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+    @staticmethod
+    def _merged(one, two):
+        hashes, numbers = (np.concatenate(x) for x in zip(one, two, strict=True))
+        order = np.argsort(hashes)
+        return hashes[order], numbers[order]
 
     def chunks(self, buf, start, end):
         """(first byte, byte after the last, row) of every chunk."""
-        if self.style == "words":
-            return c.words(buf, start, end)
         n = len(buf)
         if n == 0:
             return (np.zeros(0, np.int64),) * 3
+        letter, mark = _LETTER[buf], _PUNCTUATION[buf]
+        inner = np.zeros(n, bool)
+        inner[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        if self.style == "words":
+            return c.words(buf, start, end, cut=inner)
         space = c.SPACE[buf]
         cut = np.zeros(n + 1, bool)
         # a chunk starts at white space behind a character that is none
@@ -74,33 +101,37 @@ class Encoder:
         cut[np.minimum(lead + 3, n)] = False  # the blocks that hold the other white space: no cut behind
         some = start < end
         cut[start[some]] = True
-        cut = cut[:n]
+        cut = cut[:n] | inner
         first = np.flatnonzero(cut)
         last = np.append(first[1:], n)
         return first, last, np.searchsorted(start, first, "right") - 1
 
     def __call__(self, buf, start, end):
         """(ids of all rows in order, number of ids of every row)."""
+        if self.style == "words":
+            buf = c.LOWER[buf]  # the tokenizer does so too: fewer distinct chunks
         first, last, row = self.chunks(buf, start, end)
         if len(first) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(start), np.int64)
         value, at, which = np.unique(c.word_hashes(buf, first, last), return_index=True, return_inverse=True)
-        if len(self.known) > KEEP:
+        if len(self.size) > KEEP:
             self._shrink(value)
-        place = np.fromiter(map(self.known.get, value.tolist(), itertools.repeat(-1)), np.int64, len(value))
+        place = self._find(value)
         new = np.flatnonzero(place < 0)
         if len(new):
             raw = buf.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)]
             coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            size = np.fromiter(map(len, coded), np.int32, len(coded))
             flat = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum()))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            place[new] = np.arange(len(self.size), len(self.size) + len(size))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size, dtype=np.int64) - size])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, flat])
-            place[new] = np.arange(len(self.size) - len(size), len(self.size))
-            self.known.update(zip(value[new].tolist(), place[new].tolist(), strict=True))
+            self.known[1] = self._merged(self.known[1], (value[new], place[new].astype(np.int32)))
+            if len(self.known[1][0]) > YOUNG:
+                self.known = [self._merged(*self.known), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
         chunk = place[which]
-        size = self.size[chunk]
+        size = self.size[chunk].astype(np.int64)
         out = self.ids[ranges(self.begin[chunk], size)]
         return out, np.bincount(row, weights=size, minlength=len(start)).astype(np.int64)

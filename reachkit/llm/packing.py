@@ -89,7 +89,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, window: int) -> DataFrame:
 
         code, part = encoder(tokenizer_path, "spaced"), TaskContext.get().partitionId()
         done = {True: 0, False: 0}
-        for ids, buf, start, end in c.text_slices(batches):
+        for ids, buf, start, end in c.text_slices(batches, most=2 << 20):
             tokens, count = code(buf, start, end)
             total = count + 1
             stop = np.cumsum(total)

@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
                 "counts": [counts.astype("<u4").tobytes()],
                 "file": pa.array([WaveletMatrix.build(tokens).to_bytes()], pa.binary())})
 
-        for ids, buf, start, end in c.text_slices(batches):
+        for ids, buf, start, end in c.text_slices(batches, most=2 << 20):
             tokens, count = code(buf, start, end)
             stop = np.cumsum(count + 1)
             out = np.full(len(tokens) + len(count), END_ID, np.uint32)
