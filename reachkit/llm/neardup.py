@@ -6,13 +6,16 @@ sets' Jaccard similarity is at least ``threshold``; a component is what links re
 1. one pass over the texts: set size, a 128-bit set hash and a signature of minimum hashes;
 2. documents with equal sets collapse to one representative (combined map-side);
 3. bands of the signature deal representatives into buckets;
-4. candidates, round by round: each bucket that still holds several components names pivots, which
-   meet the bucket's members of other components; pivots then leave the bucket.  A round names more
-   pivots than the one before, until every bucket is one component or empty, so no pair of a bucket
-   is lost, and pairs already joined through others are never built;
-5. candidates are compared by batches of signature values; after each batch a pair whose posterior
-   probability of reaching the threshold is below ``miss`` is pruned (uniform prior);
-6. survivors are verified on their full sets; components are joined by star steps.
+4. inside a bucket's task, candidates are compared by batches of signature values; after each batch a
+   pair whose posterior probability of reaching the threshold is below ``miss`` is pruned (uniform
+   prior).  At first only a heaviest forest of the survivors (by matches) leaves the task: fewer links
+   than members, the likeliest ones;
+5. survivors are verified on their full sets; components are joined by star steps;
+6. in buckets that still hold several components, every pair of different components is compared on
+   ``MORE`` further values as well, and every survivor is verified too.  So no pair of a bucket is lost,
+   while pairs joined through others, and pairs clearly below the threshold, are never built.
+
+A bucket of more than ``BLOCK`` rows is compared in pairs of blocks, each a group of its own.
 
 Chance: a pair at the threshold meets in no band with probability (1 - t**rows)**bands (3e-5 for the
 defaults); each Bayesian batch loses less than ``miss``.
@@ -40,8 +43,10 @@ from reachkit.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 4, 0.8
 BANDS, ROWS = 26, 5
-MISS = 1e-6
+MISS = 1e-5
 STEP = 26  # signature values compared before each decision
+MORE, MORE_STEP = 512, 128  # further values (one byte each) of documents in buckets, for near misses
+BLOCK = 50_000  # rows of a bucket compared in one task
 SEED = 20240229
 
 
@@ -78,14 +83,14 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def signatures(values: np.ndarray, size: np.ndarray, n_hashes: int) -> np.ndarray:
-    """Minimum hashes (uint32) of the non-empty rows."""
+def signatures(values: np.ndarray, size: np.ndarray, n_hashes: int, skip: int = 0, kind=np.uint32) -> np.ndarray:
+    """Minimum hashes of the non-empty rows: ``n_hashes`` functions behind the first ``skip``."""
     begin = (np.cumsum(size) - size)[size > 0]
-    out = np.zeros((len(begin), n_hashes), np.uint32)
+    out = np.zeros((len(begin), n_hashes), kind)
     if len(begin):
         x = c.mix(values + U64(SEED))
-        for j, a in enumerate(_multipliers(n_hashes)):
-            out[:, j] = (np.minimum.reduceat(x * a, begin) >> U64(32)).astype(np.uint32)
+        for j, a in enumerate(_multipliers(skip + n_hashes)[skip:]):
+            out[:, j] = (np.minimum.reduceat(x * a, begin) >> U64(32)).astype(kind)
     return out
 
 
@@ -115,7 +120,7 @@ def _signed(docs: DataFrame, shingle: int, n_hashes: int) -> DataFrame:
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, rep`` of the buckets with at least two representatives."""
+    """``key, band, rep, m`` of the buckets with ``m`` of at least two representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +131,11 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                 key = np.full(len(part), band + 1, U64)
                 for j in range(rows):
                     key = c.mix(key * U64(0x9E3779B97F4A7C15) + part[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), band, np.int32)), ids],
+                                                 ["key", "band", "rep"])
 
-    rows_ = c.stored(reps.select("rep", "sig").mapInArrow(run, "key long, rep long"), "neardup-bands")
-    many = c.stored(rows_.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-                    .select("key"), "neardup-keys")
+    rows_ = c.stored(reps.select("rep", "sig").mapInArrow(run, "key long, band int, rep long"), "neardup-bands")
+    many = c.stored(rows_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "neardup-keys")
     return c.stored(rows_.join(many.hint("merge"), "key"), "neardup-buckets")
 
 
@@ -147,25 +152,137 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return next((m for m in range(n + 1) if posterior(m, n, threshold) >= miss), n + 1)
 
 
-def _prune(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float, n_hashes: int) -> DataFrame:
-    """Pairs that survive every batch of signature values."""
-    stops = [(n, least_matches(n, threshold, miss)) for n in range(STEP, n_hashes + 1, STEP)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (c.flat(c.column(batch, x))[0].view(np.uint32).reshape(batch.num_rows, -1) for x in ("sa", "sb"))
-            alive, same, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in stops:
-                same = same + (left[alive, done:n] == right[alive, done:n]).sum(1)
-                keep = same >= least
-                alive, same, done = alive[keep], same[keep], n
-            take = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([c.column(batch, x).take(take) for x in ("a", "b")], ["a", "b"])
-
-    one = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    two = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "sa", "sb")
-    return met.mapInArrow(run, "a long, b long")
+def max_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Edges (their numbers) of a heaviest forest that joins the labels (0..n) of the rows, by rounds in
+    which every label takes its heaviest edge; ties go to the lower number, so no cycles arise."""
+    label, taken = label.copy(), []
+    number = np.arange(len(x))
+    while True:
+        a, b = label[x[number]], label[y[number]]
+        number = number[a != b]
+        if len(number) == 0:
+            return np.unique(np.concatenate(taken)) if taken else number
+        a, b = label[x[number]], label[y[number]]
+        end, edge = np.concatenate([a, b]), np.concatenate([number, number])
+        order = np.lexsort((edge, -weight[edge], end))
+        end, edge = end[order], edge[order]
+        first = np.append(True, end[1:] != end[:-1])
+        end, edge = end[first], edge[first]
+        taken.append(edge)
+        up = np.arange(int(label.max()) + 1)
+        up[end] = label[x[edge]] + label[y[edge]] - end  # the other end
+        pair = up[up[end]] == end  # two labels that took the same edge: the smaller one is the root
+        root = end[pair & (end < up[end])]
+        up[root] = root
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _survivors(left: np.ndarray, right: np.ndarray, same: np.ndarray, done: int, stops):
+    """(number, matches) of the row pairs left[i] / right[i] that survive the batches from ``done`` values on."""
+    alive = np.arange(len(same))
+    for n, least in stops:
+        if n > done:
+            same = same + (left[alive, done:n] == right[alive, done:n]).sum(1)
+            keep = np.flatnonzero(same >= least)
+            alive, same, done = alive[keep], same[keep], n
+    return alive, same
+
+
+def _compare(sig: np.ndarray, more: np.ndarray | None, comp: np.ndarray, stops, before: int,
+             rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket, in different components, that survive the batches of signature
+    values, and then those of ``more`` (each pair in the first band where it meets: ``before`` bands of
+    ``rows`` values lie ahead of this one); without ``more`` only a heaviest forest (by matches) over
+    the components.  Rows of the largest component are met by the others, never by each other; memory is
+    bounded by the chunks."""
+    m = len(comp)
+    value, which, size = np.unique(comp, return_inverse=True, return_counts=True)
+    none = np.zeros(0, np.int64)
+    if len(value) < 2:
+        return none, none
+    large = int(size.argmax())
+    outside = np.flatnonzero(which != large)
+    first, least = stops[0]
+    values = sig.shape[1]
+    xs, ys, ws = none, none, none
+    step = max(1, 50_000 // m)
+    for i in range(0, len(outside), step):
+        part = outside[i:i + step]
+        same = np.zeros((len(part), m), np.int16)
+        for k in range(first):
+            same += sig[part, k][:, None] == sig[None, :, k]
+        ok = (same >= least) & (which[part][:, None] != which[None, :])
+        ok &= (which[None, :] == large) | (np.arange(m)[None, :] > part[:, None])  # each pair once
+        x, y = np.nonzero(ok)
+        x, same = part[x], same[x, y].astype(np.int64)
+        if more is not None and before:
+            met = (sig[x, :before * rows] == sig[y, :before * rows]).reshape(-1, before, rows).all(2).any(1)
+            x, y, same = x[~met], y[~met], same[~met]
+        alive, same = _survivors(sig[x], sig[y], same, first, [s for s in stops if s[0] <= values])
+        x, y = x[alive], y[alive]
+        if more is not None:  # one byte each: unequal values agree once in 256, so nothing is lost
+            alive, same = _survivors(more[x], more[y], same, 0, [(n - values, least) for n, least in stops if n > values])
+            x, y = x[alive], y[alive]
+        xs, ys, ws = (np.concatenate(z) for z in ((xs, x), (ys, y), (ws, same)))
+        if more is None:  # the forest of all edges is the forest of forests
+            keep = max_forest(xs, ys, ws, which)
+            xs, ys, ws = xs[keep], ys[keep], ws[keep]
+    return xs, ys
+
+
+def _rows(col: pa.ChunkedArray, kind) -> np.ndarray:
+    """Matrix of a binary column whose rows are equally long."""
+    buf, start, end = c.flat(col)
+    if len(start) == 0:
+        return np.zeros((0, 1), kind)
+    return buf[int(start[0]):int(end[-1])].view(kind).reshape(len(start), -1)
+
+
+def _inside(buckets: DataFrame, labels: DataFrame | None, sigs: DataFrame, threshold: float, miss: float, n_hashes: int,
+            rows: int, block: int) -> DataFrame:
+    """Surviving pairs ``a, b`` of different components inside the buckets: at first a heaviest forest
+    of each bucket, with ``labels`` all pairs of the buckets that still hold several components."""
+    stops = list(range(STEP, n_hashes + 1, STEP)) + list(range(n_hashes + MORE_STEP, n_hashes + MORE + 1, MORE_STEP))
+    stops = [(n, least_matches(n, threshold, miss)) for n in stops]
+    if labels is None:
+        named = buckets.withColumn("comp", F.col("rep"))
+    else:
+        named = buckets.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("comp")).hint("merge"),
+                             "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        named = c.stored(named, "neardup-named")
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        mixed = c.stored(mixed.select("key"), "neardup-mixed")
+        named = c.stored(named.join(mixed.hint("merge"), "key"), "neardup-live")
+    groups = c.group_count(buckets.sparkSession, named.count(), 8192)
+    # small buckets share a group; a large one is dealt to pairs of its blocks
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    live = (named.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))))
+    g = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    forest = labels is None
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rep, comp, band = (table.column(x).to_numpy()[order] for x in ("rep", "comp", "band"))
+        table = table.combine_chunks()
+        sig = _rows(table.column("sig"), np.uint32)
+        more = None if forest else _rows(table.column("more"), np.uint8)
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
+            mine = order[lo:hi]
+            x, y = _compare(sig[mine], None if forest else more[mine], comp[lo:hi], stops, int(band[lo]), rows)
+            found.append(np.stack([rep[lo:hi][x], rep[lo:hi][y]], 1))
+        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    live = live.select(g.alias("g"), "key", "band", "rep", "comp").join((sigs.drop("more") if forest else sigs).hint("merge"), "rep")
+    return live.groupBy("g").applyInArrow(run, "a long, b long").where("a < b").distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -194,53 +311,47 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
 
 # ---------------------------------------------------------------- rounds
 
-def _candidates(buckets: DataFrame, labels: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of this round, buckets of the next).  Pivots: in each bucket the smallest hash per salt."""
-    if labels is None:
-        live = buckets.withColumn("comp", F.col("rep"))
-    else:
-        named = buckets.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("comp")).hint("merge"),
-                             "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        named = c.stored(named, "neardup-named")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        mixed = c.stored(mixed.select("key"), "neardup-mixed")
-        live = c.stored(named.join(mixed.hint("merge"), "key"), "neardup-live")
-    order = F.xxhash64("rep")
-    pivot = live.groupBy("key", F.pmod(order, F.lit(pivots)).alias("salt")).agg(
-        F.min(F.struct(order.alias("h"), "rep", "comp")).alias("p"))
-    pivot = c.stored(pivot.select("key", F.col("p.rep").alias("p"), F.col("p.comp").alias("pc")), "neardup-pivots")
-    met = live.join(pivot.hint("merge"), "key").where("comp != pc and rep != p")
-    pairs = met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-    gone = pivot.select("key", F.col("p").alias("rep"))
-    rest = live.select("key", "rep").join(gone.hint("merge"), ["key", "rep"], "left_anti")
-    return pairs, rest
+def _with_more(texts: DataFrame, shingle: int, skip: int) -> DataFrame:
+    """``rep, text, more``: further signature values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, done = c.column(batch, "text"), 0
+            for ids, buf, start, end in c.text_slices(iter([batch]), "rep"):
+                value, _, size = shingle_sets(buf, start, end, shingle)
+                more = signatures(value, size, MORE, skip, np.uint8)
+                yield pa.RecordBatch.from_arrays([ids, text.slice(done, len(ids)), c.packed(more.reshape(-1), (size > 0) * MORE)],
+                                                 ["rep", "text", "more"])
+                done += len(ids)
+
+    return texts.mapInArrow(run, "rep long, text string, more binary")
 
 
 def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
-          bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
+          bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(``k1, k2, rep``: the representative of every set; ``node, component``: what links join)."""
     reps = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = c.stored(reps, "neardup-reps")
-    # a doc_id on rows with different sets names one node: its sets count as linked, once per set
+    # a doc_id on rows with different sets names one node
     sigs = reps.select("rep", "sig")
     buckets = _buckets(sigs, bands, rows)
     inside = c.stored(buckets.select("rep").distinct(), "neardup-inside")
-    texts = (c.documents(docs).where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
+    texts = (c.documents(docs).where("doc_id is not null")
              .join(F.broadcast(inside) if inside.count() <= 1 << 20 else inside, F.col("doc_id") == F.col("rep"), "left_semi"))
-    texts = c.stored(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "neardup-texts")
-    found, labels, pivots = None, None, 1
-    while True:
-        pairs, rest = _candidates(buckets, labels, pivots)
-        pairs = c.stored(_prune(pairs, sigs, threshold, miss, bands * rows), "neardup-survivors")
-        new = c.stored(_confirm(pairs, texts, shingle, threshold), "neardup-links")
-        rest = c.stored(rest, "neardup-rest")
-        found = new if found is None else found.unionByName(new)
-        labels = c.stored(connected_components(found), "neardup-labels")
-        found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # same components, fewer links
-        if rest.groupBy("key").count().where("count > 1").limit(1).count() == 0:
-            break
-        buckets, pivots = rest, pivots * 4
+    texts = c.stored(_with_more(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), shingle, bands * rows),
+                     "neardup-texts")
+    both = c.stored(sigs.join(texts.select("rep", "more").hint("merge"), "rep"), "neardup-sigs")
+    labels = tested = None
+    for _ in ("forest", "rest"):
+        pairs = _inside(buckets, labels, both, threshold, miss, bands * rows, rows, block)
+        if tested is not None:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        tested = c.stored(pairs, "neardup-survivors")
+        found = _confirm(tested, texts, shingle, threshold)
+        if labels is not None:  # what is joined already, as one link per node
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = c.stored(connected_components(c.stored(found, "neardup-links")), "neardup-labels")
     return reps.select("k1", "k2", "rep"), labels
 
 
@@ -264,7 +375,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) ->
     """The documents that are the smallest id of their component, with all their columns (rows
     without a doc_id stay)."""
     gone = (components(docs, shingle, threshold).where("not kept")
-            .select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).distinct())
-    own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    return own.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__key") == F.col("__tid")),
+            .select(F.col("doc_id").alias("__llm_id"), F.col("tid").alias("__llm_tid")).distinct())
+    own = docs.withColumn("__llm_key", F.xxhash64(F.col("text").cast("string")))
+    return own.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_tid")),
                     "left_anti").select(*docs.columns)
