@@ -6,7 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachkit.llm import common as c
-from reachkit.llm import ann, decontaminate, langid, language_model, neardup, packing, runindex, substring, toxicity, wavelet
+from reachkit.llm import (
+    ann,
+    decontaminate,
+    langid,
+    language_model,
+    neardup,
+    packing,
+    runindex,
+    substring,
+    toxicity,
+    wavelet,
+)
 
 
 def tokenizer(name: str) -> str:
@@ -56,8 +67,9 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_log_bilinear, op4_bigru_language_id, op5_wavelet_matrix, op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing, op9_run_length_index,
-                                 op10_prefix_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_inverted_multi_index, op2_substring_dedup, op3_log_bilinear, op4_bigru_language_id, op5_wavelet_matrix,
+    op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing, op9_run_length_index, op10_prefix_decontamination)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""

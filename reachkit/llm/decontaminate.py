@@ -42,7 +42,7 @@ def _words(text: Column) -> Column:
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, win, shingles``: the distinct windows of every item, with their shingles in order.
-    A one-word window's shingle is the word itself, marked single."""
+    A one-word window has the word itself as its shingle."""
     words = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"),
                                                       _words(F.col("text").cast("string")).alias("ws"))
     words = words.where("size(ws) > 0")
@@ -69,7 +69,7 @@ def _shingle_rows(words: DataFrame, singles: bool) -> DataFrame:
 
 def hits(words: DataFrame, items: DataFrame, window: int = WINDOW,
          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Verified occurrences ``doc_id, tid, n_words, start, len, item_id`` of item windows in documents."""
+    """Verified occurrences ``doc_id, tid, start, len, item_id`` of item windows in documents."""
     wins = c.stored(item_windows(items, window), "decontam-windows")
     held = wins.agg(F.coalesce(F.sum(F.expr("3 * length(array_join(win, ' ')) + 200")), F.lit(0)).alias("b"),
                     F.coalesce(F.sum(F.when(F.size("win") == 1, 1).otherwise(0)), F.lit(0)).alias("s")).first()

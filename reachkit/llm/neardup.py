@@ -64,13 +64,11 @@ def shingle_sets(buf, start, end, shingle: int):
     value, at = grams[ok], row[ok]
     short = np.flatnonzero((count > 0) & (count < shingle))
     if len(short):  # the whole sequence as one shingle
-        first = (np.cumsum(count) - count)[short]
         mark = np.isin(row, short)
         power = (inside[mark].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
         begin = np.cumsum(count[short]) - count[short]
         one = np.add.reduceat(c.mix(unit[mark] + power), begin)
         value, at = np.concatenate([value, c.mix(one + count[short].astype(U64))]), np.concatenate([at, short])
-        del first
     key = np.sort(at.astype(U64) << U64(48) | value >> U64(16))
     if len(key):
         key = np.compress(np.append(True, key[1:] != key[:-1]), key)

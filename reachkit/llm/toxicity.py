@@ -280,4 +280,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None,
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    return texts.mapInArrow(run, texts.schema)

@@ -249,7 +249,8 @@ TOXIC = [(i, f"a fine day it is. you {w}! more to say here." if i % 3 == 0 else
 
 
 def toxic_tables(spark):
-    docs = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in TOXIC] + [(500, None, "x", "y"), (501, "", "x", "y"), (None, "scum", "x", "y"), (502, "?!", "x", "y")],
+    more = [(500, None), (501, ""), (None, "scum"), (502, "?!")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in [(i, t) for i, t, _ in TOXIC] + more],
                                  "doc_id long, text string, score string, toxic string")
     rows = [(i, None, int(i % 3 == 0)) for i, _, _ in TOXIC] + [(None, 1, 1), (3, 1, None), (500, 0, 0), (9, None, 0)]
     return docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
