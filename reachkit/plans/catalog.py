@@ -40,6 +40,7 @@ from reachkit.operators import (
     population_total,
     reach_points,
 )
+from reachkit.sources.literals import mixture_table
 from reachkit.sources.tables import census_from_customers, event_impressions, line_impressions
 
 # The mixture used by the model queries (3 deltas, kappa = 0.68),
@@ -48,6 +49,7 @@ ALPHAS = [0.25, 0.2, 0.1]
 RATES = [2.0, 0.8, 0.2]
 DEMO = "age_range"
 TWO = ["age_range", "gender"]  # gender is NULL for a third of the census
+ASSUMED_POPULATION = 5_000_000
 KNOWN_DIGITS = 4  # digits to which a fit must recover a known mixture
 GEN_SEED = 7
 GEN_IMPRESSIONS_PER_PERSON = 10.0
@@ -379,6 +381,12 @@ def q_assign_uid_segment_cells(spark, sf):
     return assign_vids(event_impressions(spark, sf), segment_vid_table(spark, sf), demo_cols=[DEMO], mode="uid", cells=64)
 
 
+def q_assign_uid_literal_model(spark, sf):
+    """Literal model rows with an assumed population."""
+    table = generate_vid_assignment_table(mixture_table(spark, ALPHAS, RATES), population_size=ASSUMED_POPULATION)
+    return assign_vids(event_impressions(spark, sf), table, mode="uid")
+
+
 def q_pool_info_two_demos(spark, sf):
     return mixture_of_delta_pool_info(q_assign_uid_time_two_demos(spark, sf), two_demo_vid_table(spark, sf), demo_cols=TWO)
 

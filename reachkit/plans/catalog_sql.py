@@ -395,6 +395,8 @@ FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i
         **_known_sql(),
         **_two_demo_sql(ev, ev_h),
         "assign_uid_segment_cells": a["uid_segment"],
+        "assign_uid_literal_model": assign_sql(ev, vid_table_sql(
+            f"SELECT {C.ASSUMED_POPULATION}::BIGINT AS population, {_dl(C.ALPHAS)} AS alphas, {_dl(C.RATES)} AS rates"), "uid"),
         "reach_weighted_fractions": fraction_reach_sql(),
         "exposure_index_ties": f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" ASC NULLS FIRST,
   device_type ASC NULLS FIRST, weight ASC NULLS FIRST) AS exposure_index FROM ({LINES_SQL})""",
