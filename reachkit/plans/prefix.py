@@ -61,19 +61,17 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_col: str,
     aggregate -- so the running sum by rows equals the running sum by range.
     """
     part_cols = list(part_cols)
-    keyed = df.withColumn(_BK, _bucket(df, order_col, bucket))
-    totals = keyed.groupBy(*part_cols, _BK).agg(
-        *[F.sum(v).alias(f"__tot_{o}") for o, v in sums.items()])
-    earlier = Window.partitionBy(*part_cols).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.struct(*part_cols, _BK).alias(_PK),
-        *[F.coalesce(F.sum(f"__tot_{o}").over(earlier), F.lit(0)).alias(f"__off_{o}") for o in sums],
-    )
+    keyed = df.withColumn(_PK, F.struct(*part_cols, _bucket(df, order_col, bucket).alias(_BK)))
     within = Window.partitionBy(_PK).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    joined = keyed.withColumn(_PK, F.struct(*part_cols, _BK)).join(offsets, _PK)
-    out = joined
-    for o, v in sums.items():
-        out = out.withColumn(o, F.col(f"__off_{o}") + F.sum(v).over(within))
+    local = keyed.withColumns({**{f"__loc_{o}": F.sum(v).over(within) for o, v in sums.items()},
+                               "__row": F.count(F.lit(1)).over(within)})
+    # a bucket's total stands in its last row: no shuffle of its own, and the window's exchange is reused
+    last = local.groupBy(_PK).agg(F.max(F.struct("__row", *[f"__loc_{o}" for o in sums])).alias("__last"))
+    earlier = (Window.partitionBy(*[F.col(f"{_PK}.{c}") for c in part_cols]).orderBy(f"{_PK}.{_BK}")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = last.select(_PK, *[F.coalesce(F.sum(f"__last.__loc_{o}").over(earlier), F.lit(0)).alias(f"__off_{o}") for o in sums])
+    out = local.join(offsets, _PK)
+    out = out.withColumns({o: F.col(f"__off_{o}") + F.col(f"__loc_{o}") for o in sums})
     return out.select(*df.columns, *[o for o in sums if o not in df.columns])
 
 
