@@ -29,17 +29,11 @@ ANCHORS = "doc_id long, tid long, anchors array<long>"
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost minimum of x[i:i+w] for every i, by doubling."""
-    if len(x) < w:
-        return np.zeros(0, np.int64)
-    best, at, have = x, np.arange(len(x), dtype=np.int32), 1
-    while have < w:
-        step = min(have, w - have)
-        right = best[step:] < best[:-step]
-        best = np.where(right, best[step:], best[:-step])
-        at = np.where(right, at[step:], at[:-step])
-        have += step
-    return at
+    """Index of the leftmost minimum (by the high 32 bits) of x[i:i+w] for every i: the minimum of
+    hash and position in one value."""
+    tagged = x & U64(0xFFFFFFFF00000000)
+    tagged |= np.arange(len(x), dtype=U64)
+    return (c.sliding(tagged, w) & U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def owned_runs(unit: np.ndarray, row: np.ndarray, n_rows: int, k: int, window: int):

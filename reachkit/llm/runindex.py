@@ -71,20 +71,33 @@ def suffix_array(text: np.ndarray, stop: np.ndarray, member: np.ndarray) -> np.n
         order = (key & mask).astype(np.int32)
         key >>= bits
     else:
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
     new = np.append(True, key[1:] != key[:-1])
-    slot = np.arange(n, dtype=np.int32)
     rank = np.empty(n, np.int32)
-    rank[order] = np.maximum.accumulate(np.where(new, slot, 0))  # first slot of every group
+    left = (stop - np.arange(n)).astype(np.int32)  # bytes up to the terminator
+    member = member.astype(np.int32)
+    fresh, slot = new, np.arange(n, dtype=np.int32)
+    at = order
     del key, padded
-    stop, member = stop.astype(np.int32), member.astype(np.int32)
-    slot = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
-    while len(slot):
-        at = order[slot]
-        second = np.where(at + h > stop[at], member[at], rank[np.minimum(at + h, n - 1)])
+    while True:
+        # groups of equal keys: their first slots are the ranks of their positions
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(slot)))
+        group = np.repeat(slot[first], size)
+        rank[at] = group
+        tied = np.repeat(size > 1, size)
+        slot, group, at = np.compress(tied, slot), np.compress(tied, group), np.compress(tied, at)
+        if len(slot) == 0:
+            return order.astype(np.int64)
+        beyond = np.flatnonzero(left[at] < h)
+        ahead = at + np.int32(h)
+        ahead[beyond] = 0
+        second = rank[ahead]
+        second[beyond] = member[at[beyond]]
         if small:
-            both = rank[at].astype(U64) << bits
+            both = group.astype(U64)
+            both <<= bits
             both |= second.astype(U64)
             both <<= bits
             both |= at.astype(U64)
@@ -92,15 +105,12 @@ def suffix_array(text: np.ndarray, stop: np.ndarray, member: np.ndarray) -> np.n
             at = (both & mask).astype(np.int32)
             both >>= bits
         else:
-            both = rank[at].astype(U64) << U64(32) | second.astype(U64)
+            both = group.astype(U64) << U64(32) | second.astype(U64)
             by = np.argsort(both)
             at, both = at[by], both[by]
         order[slot] = at
         fresh = np.append(True, both[1:] != both[:-1])
-        rank[at] = slot[np.maximum.accumulate(np.where(fresh, np.arange(len(slot), dtype=np.int32), 0))]
-        slot = np.compress(~(fresh & np.append(fresh[1:], True)), slot)
         h *= 2
-    return order.astype(np.int64)
 
 
 class RunLengthIndex:
@@ -132,35 +142,45 @@ class RunLengthIndex:
         self.text = text
         self.counts = np.bincount(text, minlength=256)
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of common prefixes, never beyond a terminator (binary search on rolling hashes)."""
+    def _common(self, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+        """Lengths of common prefixes, never beyond a terminator (binary search on rolling hashes);
+        0 for those shorter than ``least``."""
         prefix = np.zeros(self.n + 1, U64)
         np.cumsum(c._BYTE[self.text] * c._WORD.to(self.n), out=prefix[1:])
         back = c._WORD.back(self.n)
-        lo, hi = np.zeros(len(a), np.int64), np.minimum(self.stop[a] - a, self.stop[b] - b)
+
+        def same(x, y, size):
+            return (prefix[x + size] - prefix[x]) * back[x] == (prefix[y + size] - prefix[y]) * back[y]
+
+        out = np.zeros(len(a), np.int64)
+        most = np.minimum(self.stop[a] - a, self.stop[b] - b)
+        long = np.flatnonzero(most >= least)
+        long = long[same(a[long], b[long], least)]
+        a, b, lo, hi = a[long], b[long], np.full(len(long), least), most[long]
         while True:
             open_ = np.flatnonzero(lo < hi)
             if len(open_) == 0:
-                return lo
-            x, y, mid = a[open_], b[open_], (lo[open_] + hi[open_] + 1) >> 1
-            same = (prefix[x + mid] - prefix[x]) * back[x] == (prefix[y + mid] - prefix[y]) * back[y]
-            lo[open_] = np.where(same, mid, lo[open_])
-            hi[open_] = np.where(same, hi[open_], mid - 1)
-
-    def matching_statistics(self) -> np.ndarray:
-        """For every position the longest match that starts at another position (terminators: 0)."""
+                out[long] = lo
+                return out
+            mid = (lo[open_] + hi[open_] + 1) >> 1
+            yes = same(a[open_], b[open_], mid)
+            lo[open_] = np.where(yes, mid, lo[open_])
+            hi[open_] = np.where(yes, hi[open_], mid - 1)
+
+    def matching_statistics(self, least: int = 1) -> np.ndarray:
+        """For every position the longest match that starts at another position (terminators: 0).
+        Only lengths of at least ``least`` are exact; shorter ones may come out smaller."""
         best = np.zeros(self.n, np.int64)
         for sample, other, edge in ((self.at_head, self.above, self.heads == 0),
                                     (self.at_tail, self.below, np.append(self.heads[1:], self.n) == self.n)):
-            length = self._common(sample, other)
+            length = self._common(sample, other, least)
             length[edge] = 0
             by = np.argsort(sample)
             where, length = sample[by], length[by]
             # streamed: from a sample on, the length falls by one per position up to the next sample
+            # (the first position is the head and the tail of a run)
             gap = np.diff(np.append(where, self.n))
-            if len(where) and where[0] > 0:
-                raise AssertionError("the first position is the head and the tail of a run")
-            np.maximum(best, np.repeat(length, gap) - (np.arange(self.n) - np.repeat(where, gap)), out=best)
+            np.maximum(best, np.repeat(length + where, gap) - np.arange(self.n), out=best)
         return best
 
     def count(self, pattern: bytes) -> int:
@@ -211,7 +231,7 @@ def _index_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame
         table = table.combine_chunks()
         buf, start, end = c.flat(table.column("payload"))
         index = RunLengthIndex(buf, start, end)
-        best = index.matching_statistics()
+        best = index.matching_statistics(length)
         copies = table.column("n").to_numpy() > 1
         rest = index.stop - np.arange(index.n)
         best = np.where(copies[index.member], rest, best)  # a copy elsewhere matches in full
