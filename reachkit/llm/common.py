@@ -35,11 +35,16 @@ LOWER[65:91] += 32
 # ---------------------------------------------------------------- code and written tables
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 2000  # rows of an Arrow batch
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application (Spark's own ``addPyFile``), so that
-    functions in tasks find it wherever the package was imported from on the driver."""
+    functions in tasks find it wherever the package was imported from on the driver; and keep Arrow
+    batches of whole texts small, for the memory of the Python workers."""
+    if spark.conf.get(_ROWS_KEY) == _ROWS_DEFAULT:  # a setting of the user's own stays
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
