@@ -3,13 +3,14 @@
 A vector is cut into two halves; each half is quantised by its own codebook (k-means, trained on a
 bounded sample).  A vector's cell is its pair of centroids.  A query ranks both codebooks' centroids
 by their distance to its halves (for inner products: the negated product) and walks the pairs in the
-order of summed distance with a heap, until the cells walked hold enough vectors; those are reranked
-by the exact inner product in double precision.
+order of summed distance with a heap, until the cells walked hold enough distinct vectors; those are
+reranked by the exact inner product in double precision.
 
-Spark jobs: every row is indexed.  Entries are dealt to blocks: neighbouring first-half
-centroids share a slab of up to ``BLOCK_ROWS`` rows; a fuller one (a hot cell) is spread over blocks.
-The cells' counts (centroids squared: bounded) steer the walk; a query goes to the blocks of the cells
-it walked, each block returns its ``top`` best, and the best of those win.
+Spark jobs: every row is indexed.  Rows of one vector become one entry with its smallest ids (no query
+can need more), so copies neither use up the walk nor fill a task.  Entries are dealt to blocks:
+neighbouring first-half centroids share a slab of up to ``BLOCK_ROWS`` entries; a fuller one is spread
+over blocks.  The cells' counts (centroids squared: bounded) steer the walk; a query goes to the blocks
+of the cells it walked, each block returns its ``top`` best rows, and the best of those win.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 vectors of another length than the most common one; rows without an id are left out; repeated rows are
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachkit.llm import common as c
+from reachkit.llm.repeats import ranges
 
 SAMPLE = 16_384  # vectors used to fit the codebooks, at most
 CENTROIDS = 96  # per half
 ROUNDS = 12  # of k-means
-VISIT = 6_000  # vectors in the walked cells at least (all, if there are fewer), and
-SHARE = 0.45  # of all vectors: vectors without structure need a share for a recall of 0.9
+VISIT = 6_000  # distinct vectors in the walked cells at least (all, if there are fewer), and
+SHARE = 0.45  # of all distinct vectors: vectors without structure need a share for a recall of 0.9
 BLOCK_ROWS = 4_096
 TOP = 20
 SEED = 7
@@ -111,12 +113,12 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 
 def fit(v: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> tuple[int, Codebooks | None]:
-    """(common vector length, codebooks), trained on the driver on at most ``sample`` vectors with the
-    smallest id hashes."""
+    """(common vector length, codebooks), trained on the driver on at most ``sample`` distinct vectors
+    with the smallest hashes."""
     dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return 0, None
-    rows = v.where(F.size("v") == dims["d"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    rows = v.where(F.size("v") == dims["d"]).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).collect()
     x = np.array([r["v"] for r in rows], np.float64)
     cut = (dims["d"] + 1) // 2
     return dims["d"], Codebooks(k_means(x[:, :cut], centroids, ROUNDS, SEED),
@@ -140,6 +142,19 @@ def index(v: DataFrame, dim: int, books: Codebooks) -> DataFrame:
     return c.stored(v.where(F.size("v") == dim).mapInArrow(run, "vec_id long, c1 int, c2 int, v array<double>"), "ann-index")
 
 
+def distinct(entries: DataFrame, top: int) -> DataFrame:
+    """One entry per vector: ``c1, c2, v, ids, times``, written.  ``ids`` holds the vector's ``top`` + 1
+    smallest ids (a query leaves out its own), ``times`` how many rows each has (``top`` at most)."""
+    rows = entries.groupBy("v", "vec_id").agg(F.first("c1").alias("c1"), F.first("c2").alias("c2"),
+                                              F.least(F.count("*"), F.lit(top)).alias("n"))
+    # the limit of the window is applied before the shuffle too: a hot vector sends few rows
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = rows.withColumn("rank", rank).where(F.col("rank") <= top + 1)
+    held = F.sort_array(F.collect_list(F.struct("vec_id", "n")))
+    one = few.groupBy("v").agg(F.first("c1").alias("c1"), F.first("c2").alias("c2"), held.alias("held"))
+    return c.stored(one.select("c1", "c2", "v", F.col("held.vec_id").alias("ids"), F.col("held.n").alias("times")), "ann-distinct")
+
+
 def slabs(per_first: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(slab of every first centroid, blocks of every slab): neighbouring first centroids share a slab
     while it holds at most ``block_rows`` rows; a fuller slab is dealt over several blocks."""
@@ -154,20 +169,21 @@ def slabs(per_first: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarra
 
 def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, top: int = TOP, visit: int = VISIT,
            share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``top`` best entries found for every query but itself."""
+    """``query_id, rank, vec_id, score``: the ``top`` best rows found for every query but itself."""
+    entries = distinct(entries, top)
     held = entries.groupBy("c1", "c2").count().collect()  # centroids squared: bounded
     counts = np.zeros((len(books.first), len(books.second)), np.int64)
     for r in held:
         counts[r["c1"], r["c2"]] = r["count"]
-    enough = max(visit, int(share * counts.sum())) + 1  # the query itself is an entry too
+    enough = max(visit, int(share * counts.sum())) + 1  # the query's vector is an entry too
     slab, blocks = slabs(counts.sum(1), block_rows)
     width = counts.shape[1]
 
     def by_first(values) -> F.Column:
         return F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("c1") + 1)
 
-    dealt = entries.select("vec_id", "v", (F.col("c1") * width + F.col("c2")).alias("cell"), by_first(slab).alias("slab"),
-                           F.pmod(F.xxhash64("vec_id", "v"), by_first(blocks[slab])).cast("int").alias("block"))
+    dealt = entries.select("ids", "times", "v", (F.col("c1") * width + F.col("c2")).alias("cell"), by_first(slab).alias("slab"),
+                           F.pmod(F.xxhash64("v"), by_first(blocks[slab])).cast("int").alias("block"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +217,10 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
-            ids = right.column("vec_id").to_numpy()
+            held, many = right.column("ids").combine_chunks(), right.column("times").combine_chunks()
+            size = held.value_lengths().to_numpy().astype(np.int64)
+            begin_ids = np.cumsum(size) - size
+            ids, times = held.flatten().to_numpy(), many.flatten().to_numpy()
             cell, of = np.unique(right.column("cell").to_numpy(), return_inverse=True)
             x = _matrix(right.column("v").combine_chunks(), dim)
             for begin in range(0, left.num_rows, 256):
@@ -209,13 +228,16 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
                 q, mine = _matrix(part.column("v").combine_chunks(), dim), part.column("query_id").to_numpy()
                 near = q @ x.T
                 for i, walked in enumerate(part.column("cells").to_pylist()):
-                    at = np.flatnonzero(np.isin(cell, np.frombuffer(walked, np.int32), assume_unique=True)[of] & (ids != mine[i]))
-                    score = near[i, at]
-                    if len(at) > top:  # the matrix product may round otherwise: keep what may tie
-                        at = at[score >= np.partition(score, len(at) - top)[len(at) - top] - 1e-9 * (1 + abs(score).max())]
+                    at = np.flatnonzero(np.isin(cell, np.frombuffer(walked, np.int32), assume_unique=True)[of])
+                    score, more = near[i, at], top + 1  # one vector may be the query's alone
+                    if len(at) > more:  # the matrix product may round otherwise: keep what may tie
+                        at = at[score >= np.partition(score, len(at) - more)[len(at) - more] - 1e-9 * (1 + abs(score).max())]
                     score = np.einsum("ij,j->i", x[at], q[i])  # rerank in double, in one order of summing
-                    best = np.lexsort((ids[at], -score))[:top]
-                    found.append((np.full(len(best), mine[i], np.int64), ids[at][best], score[best]))
+                    row = ranges(begin_ids[at], size[at])  # the rows of the vectors
+                    score, other = np.repeat(score, size[at]), ids[row] != mine[i]
+                    row, score = np.repeat(row[other], times[row[other]]), np.repeat(score[other], times[row[other]])
+                    best = np.lexsort((ids[row], -score))[:top]
+                    found.append((np.full(len(best), mine[i], np.int64), ids[row][best], score[best]))
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": pa.array(parts[0]), "vec_id": pa.array(parts[1]), "score": pa.array(parts[2])})
 

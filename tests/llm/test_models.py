@@ -74,6 +74,44 @@ def test_recall(spark):
     assert sum(len(got[i] & want[i]) for i in want) >= 0.85 * sum(map(len, want.values()))  # 0.9 and more on larger tables
 
 
+def test_recall_where_a_third_of_the_rows_are_copies(spark):
+    rng = np.random.default_rng(14)
+    one = rng.normal(size=(6001, 64))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    x = np.concatenate([one[1:], np.repeat(one[:1], 3000, 0)])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.digest(df.repartition(4), every=20, visit=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    near, hot = [], []
+    for k in np.flatnonzero(ids % 20 == 0):
+        if k < 6000 and x[k] @ one[0] < 0:
+            continue  # those near the copies walk their cell early
+        score = np.einsum("ij,j->i", x, x[k])
+        order = np.lexsort((ids, -score))
+        want = ids[order[ids[order] != ids[k]][:20]].tolist()
+        mine = [i for _, i in sorted(got[ids[k]])]
+        if k < 6000:
+            near.append(len(set(mine) & set(want)) / 20)
+        else:  # copies find copies, the smallest ids first
+            hot.append(mine == want)
+    assert hot and all(hot) and np.mean(near) >= 0.9, np.mean(near)
+
+
+def test_copies_are_one_entry_and_rows_of_their_own(spark):
+    rows = [(i % 40, [1.0, 0.5]) for i in range(80)] + [(100 + i, [0.1 * i, 1.0]) for i in range(5)] + [(0, [1.0, 0.5])] * 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    dim, books = ann.fit(ann.usable(df))
+    entries = ann.index(ann.usable(df), dim, books)
+    held = {tuple(r.v): (r.ids, r.times) for r in ann.distinct(entries, 5).collect()}
+    assert len(held) == 6 and held[1.0, 0.5] == ([0, 1, 2, 3, 4, 5], [5, 2, 2, 2, 2, 2])
+    got = sorted((r.rank, r.vec_id) for r in ann.search(entries, entries.where("vec_id = 1").limit(1), dim, books, top=5).collect())
+    assert [i for _, i in got] == [0] * 5
+    got = sorted((r.rank, r.vec_id) for r in ann.search(entries, entries.where("vec_id = 20").limit(1), dim, books, top=60).collect())
+    assert [i for _, i in got] == [0] * 52 + [1, 1, 2, 2, 3, 3, 4, 4]
+
+
 def test_walk_takes_pairs_in_the_order_of_summed_distance():
     rng = np.random.default_rng(7)
     a, b, counts = rng.random(9), rng.random(7), rng.integers(0, 4, (9, 7))
