@@ -6,7 +6,9 @@ the text's ids:
 * ``"words"`` (lower case, white space dropped by the tokenizer): at ASCII white space;
 * ``"spaced"`` (byte-level patterns that attach one leading space): before a run of white space, where
   the character before is no white space at all;
-* both: between an ASCII letter and ASCII punctuation (the apostrophe aside, which starts contractions).
+* both: between an ASCII letter and ASCII punctuation (the apostrophe aside, which starts contractions);
+* both: around the literals of the tokenizer's added tokens (``<|endoftext|>``), which the library takes
+  out of the text before anything else.  A literal is one chunk, never cut and never case-folded.
 
 Chunks are told apart by 64-bit hashes.  A worker keeps the ids of about ``KEEP`` distinct chunks in
 sorted arrays; beyond that it keeps those that the latest slice used, so memory is bounded.
@@ -44,8 +46,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.style = style
+        self.literals = []
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            if token.normalized or token.lstrip or token.rstrip or token.single_word:
+                raise ValueError(f"{path}: added token {token.content!r} is not matched as plain bytes")
+            self.literals.append(token.content.encode())
         self._reset()
 
     def _reset(self) -> None:
@@ -81,14 +87,35 @@ class Encoder:
         order = np.argsort(hashes)
         return hashes[order], numbers[order]
 
-    def chunks(self, buf, start, end):
-        """(first byte, byte after the last, row) of every chunk."""
+    def special(self, buf, start, end):
+        """(first byte, byte after the last) of the added tokens' literals inside the rows: the leftmost
+        ones, of those the longest."""
+        raw, found = buf.tobytes(), []
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                row = int(np.searchsorted(start, at, "right")) - 1
+                if at + len(literal) <= end[row]:  # not over the edge of two rows
+                    found.append((at, -len(literal)))
+                at = raw.find(literal, at + 1)
+        begin, stop = [], []
+        for at, size in sorted(found):
+            if not stop or at >= stop[-1]:
+                begin.append(at)
+                stop.append(at - size)
+        return np.array(begin, np.int64), np.array(stop, np.int64)
+
+    def chunks(self, buf, start, end, begin, stop):
+        """(first byte, byte after the last, row) of every chunk; literals lie at ``begin`` to ``stop``."""
         n = len(buf)
         if n == 0:
             return (np.zeros(0, np.int64),) * 3
         letter, mark = _LETTER[buf], _PUNCTUATION[buf]
         inner = np.zeros(n, bool)
         inner[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        inner[ranges(begin, stop - begin)] = False
+        inner[begin] = True
+        inner[stop[stop < n]] = True
         if self.style == "words":
             return c.words(buf, start, end, cut=inner)
         space = c.SPACE[buf]
@@ -108,9 +135,12 @@ class Encoder:
 
     def __call__(self, buf, start, end):
         """(ids of all rows in order, number of ids of every row)."""
+        begin, stop = self.special(buf, start, end)
         if self.style == "words":
-            buf = c.LOWER[buf]  # the tokenizer does so too: fewer distinct chunks
-        first, last, row = self.chunks(buf, start, end)
+            literal = ranges(begin, stop - begin)
+            raw, buf = buf, c.LOWER[buf]  # the tokenizer does so too: fewer distinct chunks
+            buf[literal] = raw[literal]
+        first, last, row = self.chunks(buf, start, end, begin, stop)
         if len(first) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(start), np.int64)
         value, at, which = np.unique(c.word_hashes(buf, first, last), return_index=True, return_inverse=True)

@@ -209,6 +209,43 @@ def test_chunked_encoding_is_the_tokenizers(name, style):
     assert (again == ids).all()
 
 
+@pytest.mark.parametrize("name, style", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_added_tokens_in_a_text_are_the_librarys(name, style):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from reachkit.llm import common as c
+
+    rng = random.Random(15)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endof", "text|>", "<|", "|>", "<", "a", "Zed",
+              " ", "  ", "\n", "é", "e\u0301", "\u0301", "\u3000", "\u0085", "'s", "1", "."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    texts += ["x <|endof", "text|> y", "<|endoftext|>", "", "a<|endoftext|><|endoftext|> b"]  # literals do not cross rows
+    plain = Tokenizer.from_file(tokenizer(name))
+    ids, count = encoder(tokenizer(name), style)(*c.flat(pa.array(texts)))
+    stop = np.cumsum(count)
+    for t, b, n in zip(texts, stop, count, strict=True):
+        assert plain.encode(t, add_special_tokens=False).ids == ids[b - n:b].tolist(), repr(t)
+    assert (ids == plain.token_to_id("<|endoftext|>")).sum() > 100
+
+
+def test_packing_and_wavelet_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "one <|endoftext|> two"), (2, "<|startoftext|>Three<|endoftext|>"), (3, "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, end in (("word_bpe_49k.json", wavelet.END_ID), ("byte_bpe_50k.json", None)):
+        plain, start, want = Tokenizer.from_file(tokenizer(name)), 0, []
+        for i, t in rows:
+            ids = plain.encode(t, add_special_tokens=False).ids
+            want.append((i, start, len(ids) + 1, zlib.crc32(np.array(ids + [end or 0], "<u4").tobytes())))
+            start += len(ids) + 1
+        if end is not None:
+            assert rows_of(wavelet.digest(docs, tokenizer(name)), "doc_id", "start", "n_tokens", "ids_crc32") == want
+        else:
+            assert rows_of(packing.pack(docs, tokenizer(name)), "doc_id", "doc_tokens", "ids_crc32") == [(i, n, x) for i, _, n, x in want]
+
+
 def test_wavelet_round_trip(edge_docs, edges):
     path = tokenizer("word_bpe_49k.json")
     want, start, out = coded(edges, path, 2), 0, []
