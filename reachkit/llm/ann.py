@@ -9,7 +9,9 @@ reranked by the exact inner product in double precision.
 Spark jobs: every row is indexed.  Rows of one vector become one entry with its smallest ids (no query
 can need more), so copies neither use up the walk nor fill a task.  Entries are dealt to blocks:
 neighbouring first-half centroids share a slab of up to ``BLOCK_ROWS`` entries; a fuller one is spread
-over blocks.  The cells' counts (centroids squared: bounded) steer the walk; a query goes to the blocks
+over blocks.  Queries are dealt to parts of about ``BLOCK_ROWS`` as well; a part and a block meet in a
+group of their own, so both sides of every group are bounded (each entry travels once per part, each
+query once per block that it meets: the work grows with rows x queries).  The cells' counts (centroids squared: bounded) steer the walk; a query goes to the blocks
 of the cells it walked, each block returns its ``top`` best rows, and the best of those win.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
@@ -37,7 +39,8 @@ CENTROIDS = 96  # per half
 ROUNDS = 12  # of k-means
 VISIT = 6_000  # distinct vectors in the walked cells at least (all, if there are fewer), and
 SHARE = 0.45  # of all distinct vectors: vectors without structure need a share for a recall of 0.9
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 4_096  # entries of a block, and queries of a part
+ROUTE_ROWS = 512  # queries of a routing task
 TOP = 20
 SEED = 7
 
@@ -167,6 +170,14 @@ def slabs(per_first: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarra
     return slab, np.maximum(1, -(-np.array(sizes) // block_rows))
 
 
+def parted(queries: DataFrame, block_rows: int) -> tuple[DataFrame, int, int]:
+    """(``vec_id, v, part`` of the different queries, rows, parts): parts of about ``block_rows``."""
+    rows = queries.count()  # repeated rows ask once, so this is at least their number
+    parts = c.group_count(queries.sparkSession, rows, block_rows)
+    return (queries.select("vec_id", "v").distinct()
+            .withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")), rows, parts)
+
+
 def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, top: int = TOP, visit: int = VISIT,
            share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` best rows found for every query but itself."""
@@ -184,6 +195,8 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
 
     dealt = entries.select("ids", "times", "v", (F.col("c1") * width + F.col("c2")).alias("cell"), by_first(slab).alias("slab"),
                            F.pmod(F.xxhash64("v"), by_first(blocks[slab])).cast("int").alias("block"))
+    questions, rows, parts = parted(queries, block_rows)
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,15 +218,15 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
                 sizes = np.array([len(m) for m in cells], np.int64)
                 flat = np.concatenate(cells) if cells else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(part, "vec_id").take(take), pa.array(slabs_, pa.int32()), pa.array(block, pa.int32()),
+                    [c.column(part, "vec_id").take(take), c.column(part, "part").take(take), pa.array(slabs_, pa.int32()), pa.array(block, pa.int32()),
                      c.packed(flat, sizes), c.column(part, "v").take(take)],
-                    ["query_id", "slab", "block", "cells", "v"])
+                    ["query_id", "part", "slab", "block", "cells", "v"])
 
-    asked = queries.select("vec_id", "v").repartition("vec_id").mapInArrow(
-        route, "query_id long, slab int, block int, cells binary, v array<double>")
+    asked = questions.repartition(c.group_count(entries.sparkSession, rows, ROUTE_ROWS), "vec_id", "v").mapInArrow(
+        route, "query_id long, part int, slab int, block int, cells binary, v array<double>")
 
     def scan(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Queries against one block: each query's best among the cells it walked."""
+        """A part of the queries against one block: each query's best among the cells it walked."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
@@ -241,7 +254,7 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": pa.array(parts[0]), "vec_id": pa.array(parts[1]), "score": pa.array(parts[2])})
 
-    found = asked.groupBy("slab", "block").cogroup(dealt.groupBy("slab", "block")).applyInArrow(
+    found = asked.groupBy("slab", "block", "part").cogroup(dealt.groupBy("slab", "block", "part")).applyInArrow(
         scan, "query_id long, vec_id long, score double")
     # at most ``top`` rows per query and block
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

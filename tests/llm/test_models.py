@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -112,6 +113,32 @@ def test_copies_are_one_entry_and_rows_of_their_own(spark):
     assert [i for _, i in got] == [0] * 52 + [1, 1, 2, 2, 3, 3, 4, 4]
 
 
+def test_queries_are_dealt_to_bounded_parts(spark):
+    rng = np.random.default_rng(16)
+    rows = [(0, rng.normal(size=4).tolist()) for _ in range(400)] + [(i, rng.normal(size=4).tolist()) for i in range(1, 400)]
+    rows += [rows[0], rows[500]] * 20  # a hot id, and repeated rows
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    dim, books = ann.fit(v, centroids=4)
+    entries = ann.index(v, dim, books)
+    out = ann.search(entries, entries, dim, books, top=3, block_rows=50)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    plain = {}
+    for r in ann.search(entries, entries, dim, books, top=3).collect():
+        plain.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in plain.items()} and len(got) == 400
+    x = np.array([u for _, u in rows])  # a query whose row is repeated: other rows once each
+    mine = rows[500]
+    score = sorted((-float(s), i) for s, (i, _) in zip(x @ np.array(mine[1]), rows, strict=True) if i != mine[0])[:3]
+    assert [i for _, i, _ in sorted(got[mine[0]])] == [i for _, i in score]
+    questions, n, parts = ann.parted(entries, 50)
+    sizes = [r["count"] for r in questions.groupBy("part").count().collect()]
+    assert n == len(rows) and parts == -(-n // 50) and sum(sizes) == 799 and max(sizes) <= 100
+    plan = out._jdf.queryExecution().toString()
+    assert re.search(r"FlatMapCoGroupsInArrow \[slab#\d+, block#\d+, part#\d+\]", plan)
+
+
 def test_walk_takes_pairs_in_the_order_of_summed_distance():
     rng = np.random.default_rng(7)
     a, b, counts = rng.random(9), rng.random(7), rng.integers(0, 4, (9, 7))
