@@ -295,8 +295,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     spans = c.stored(_resolve(_distinct(found, "runindex"), length, 0, shard_bytes, hot_bytes), "runindex-spans")
     mine = found.select("anchor", "content", "doc_id", "tid", "pos").join(spans.hint("merge"), ["anchor", "content"])
     mine = mine.select("doc_id", "tid", F.expr("transform(spans, x -> x + pos)").alias("spans"))
-    # repeated rows (same id and text) give the same spans twice
-    return mine.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # repeated rows (same id and text) give the same spans: a set, combined map-side, holds them once
+    return mine.groupBy("doc_id", "tid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -83,7 +83,8 @@ def late_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     late = found.select("anchor", "content", "doc_id", "tid", "pos").join(firsts.hint("merge"), ["anchor", "content"])
     late = late.select("doc_id", "tid", F.expr(
         "transform(filter(firsts, x -> x.first < doc_id), x -> pos + x.i)").alias("starts")).where("size(starts) > 0")
-    return late.groupBy("doc_id", "tid").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    # repeated rows (same id and text) give the same starts: a set, combined map-side, holds them once
+    return late.groupBy("doc_id", "tid").agg(F.array_sort(F.flatten(F.collect_set("starts"))).alias("starts"))
 
 
 def _kept(buf, ws, we, row, n_rows, begins: list, window: int):

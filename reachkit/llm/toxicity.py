@@ -7,8 +7,9 @@ point at them (``offending_sentences``).
 
 Features are lower-cased words (A-Z) and their first bytes, known by 64-bit hashes.  The features that
 tell the classes apart are counted in Spark over a bounded sample of labelled documents (``SAMPLE``
-rows, the smallest hashes of doc_id, ``FEATURES`` features at most); the sample's sentences, reduced to
-those features, are trained on the driver.  Scoring is one map-only pass over whole texts.
+rows, half of them of each label, the smallest hashes of doc_id and text; rows equal in both count once;
+``FEATURES`` features at most); the sample's sentences, reduced to those features, are trained on the
+driver.  Scoring is one map-only pass over whole texts.
 
 Edge cases: a null, empty or wordless text has no sentence and scores 0; labels, lang, source and
 doc_id are never inputs; null or repeated labels: rows with a null label or id are left out, of a
@@ -32,6 +33,7 @@ from reachkit.llm.common import U64
 
 SAMPLE = 16_000  # labelled documents used for fitting, at most
 FEATURES = 4096  # features kept, at most
+LEAST_SHARE = 0.1  # toxic documents weigh at least so much of the sample (if it holds as many)
 LEAST_DOCS = 4  # toxic sample documents that a feature must be in
 PREFIXES = (4, 5, 6)  # first bytes of a word that are features of their own
 THRESHOLD = 0.3
@@ -106,15 +108,27 @@ class Model:
 
 # ---------------------------------------------------------------- training
 
-def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """The bounded sample ``text, toxic`` of labelled training documents (fold 2 stays out)."""
+def _known(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` of the labels used for training."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(c.fold(F.col("doc_id"), 4) != 2))
+    return known.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """The bounded sample ``doc_id, text, toxic`` of labelled training documents (fold 2 stays out): at most
+    ``sample`` / 2 of each label, different in doc_id or text."""
+    known = c.stored(_known(labels), "toxicity-known")
+    texts = c.documents(docs).where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
+    met = c.stored(texts.select("doc_id", "tid").distinct(), "toxicity-rows").join(known.hint("merge"), "doc_id")
     # spread by hash, not in the order of doc_id; at most ``sample`` small rows, so they may be broadcast
-    chosen = c.stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-sample")
-    texts = c.documents(docs).join(F.broadcast(chosen), "doc_id")
-    return c.stored(texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxicity-labelled")
+    chosen = [met.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", "tid"), "doc_id", "tid").limit(sample // 2)
+              for kind in (0, 1)]
+    chosen = c.stored(chosen[0].unionByName(chosen[1]), "toxicity-sample")
+    texts = texts.join(F.broadcast(chosen), ["doc_id", "tid"]).groupBy("doc_id", "tid").agg(
+        F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return c.stored(texts.select("doc_id", "text", "toxic"), "toxicity-labelled")
 
 
 def _count_features(texts: DataFrame) -> DataFrame:
@@ -169,10 +183,11 @@ def _bags(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def fit_noisy_or(y: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray,
-                 n_features: int, steps: int = 400, rate: float = 0.1, shrink: float = 2e-4) -> tuple[np.ndarray, float]:
+                 n_features: int, steps: int = 400, rate: float = 0.1, shrink: float = 2e-4,
+                 weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence score that maximise the documents' noisy-or likelihood
     (Adam over the whole sample).  ``n``: sentences of every document; sentences without a feature
-    all score sigmoid(bias) and are only counted."""
+    all score sigmoid(bias) and are only counted.  ``weight``: of every document."""
     key, inverse = np.unique(doc.astype(np.int64) << 32 | sentence, return_inverse=True)
     of = (key >> 32).astype(np.int64)
     plain = n - np.bincount(of, minlength=len(y))
@@ -185,7 +200,7 @@ def fit_noisy_or(y: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence: np.nda
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-np.clip(b, -30, 30)))
         none = np.bincount(of, weights=np.log1p(-p), minlength=len(y)) + plain * np.log1p(-p0)
         prob = np.maximum(-np.expm1(none), 1e-12)
-        scale = np.where(y > 0, -(1 - prob) / prob, 1.0)  # d loss / d z = scale * p
+        scale = weight * np.where(y > 0, -(1 - prob) / prob, 1.0)  # d loss / d z = scale * p
         gz = scale[of] * p
         g = np.append(np.bincount(feature, weights=gz[inverse], minlength=n_features),
                       gz.sum() + (scale * plain).sum() * p0) / len(y)
@@ -215,7 +230,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pairs = [np.frombuffer(r["pairs"], "<i4").reshape(-1, 2) for r in bags]
     doc = np.repeat(np.arange(len(bags)), [len(x) for x in pairs])
     flat = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int32)
-    weights, bias = fit_noisy_or(y, n, doc, flat[:, 0].astype(np.int64), flat[:, 1].astype(np.int64), len(found))
+    # the labels' own share of toxic ones, which the sample by label hides
+    whole = {r["toxic"]: r["n"] for r in _known(labels).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mine = kinds[1] / (kinds[0] + kinds[1])
+    share = min(mine, max(whole[1] / (whole[0] + whole[1]), LEAST_SHARE))
+    weight = np.where(y > 0, share / mine, (1 - share) / (1 - mine))
+    weights, bias = fit_noisy_or(y, n, doc, flat[:, 0].astype(np.int64), flat[:, 1].astype(np.int64), len(found), weight=weight)
     return Model(found, weights, bias)
 
 

@@ -62,6 +62,15 @@ def test_run_length_index_hot_anchors_and_small_shards(edge_docs):
     assert plain and plain == covered(runindex.repeated_spans(edge_docs, 100, shard_bytes=2000, hot_bytes=300))
 
 
+def test_repeated_rows_are_collected_once(spark, edges):
+    rows = [(i, t) for i, t in edges if i in (9, 10, 13, 15)]
+    hot = [x for x in rows if x[0] in (10, 15)]
+    twice, often = (spark.createDataFrame(rows + hot * n, "doc_id long, text string").repartition(3) for n in (1, 40))
+    for spans, name in ((lambda d: runindex.repeated_spans(d, 100), "spans"), (lambda d: substring.late_windows(d, 50), "starts")):
+        few, many = (sorted((r.doc_id, r.tid, len(r[name])) for r in spans(d).collect()) for d in (twice, often))
+        assert few == many and {x[0] for x in few} & {10, 15}
+
+
 def _statistics(parts):
     out = []
     places = [(p, i) for p, t in enumerate(parts) for i in range(len(t))]

@@ -340,6 +340,30 @@ def test_toxicity_edge_cases_and_sentences(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in TOXIC if i % 3} | {500, 501, 502}
 
 
+def test_toxicity_sample_holds_both_labels_and_is_bounded(spark):
+    """Few toxic labels among many, a hot id, repeated rows and labels without a document."""
+    rows = [(i, f"a fine day it is{i}. you {('scum', 'trash')[i // 100 % 2]}! more to say." if i % 100 == 0
+             else f"a fine day it is{i}. more to say here, you.") for i in range(3000)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 500 + [(2, f"another fine text {i}.") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(3000)] + [(10_000 + i, 1) for i in range(500)],
+                                   "doc_id long, toxic int")
+    held = toxicity._labelled(docs.repartition(3), labels, 200).collect()
+    kinds = Counter(r.toxic for r in held)
+    assert kinds[0] == 100 and kinds[1] == sum(i % 100 == 0 and fold(i, 4) != 2 for i in range(3000))
+    assert len({(r.doc_id, r.text) for r in held}) == len(held)
+    model = toxicity.train(docs, labels, 200)
+    out = {(r.doc_id, r.score >= toxicity.THRESHOLD) for r in toxicity.score(docs, model).collect()}
+    assert out == {(i, i % 100 == 0) for i in range(3000)}
+
+
+def test_toxicity_held_out_with_a_balanced_sample(spark):
+    docs, labels = (spark.read.parquet(f"{SF_CHECK.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels, 800))
+    out = scored.join(labels.select("doc_id", "toxic"), "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).collect()
+    hit = {k: np.mean([r.score >= toxicity.THRESHOLD for r in out if r.toxic == k]) for k in (0, 1)}
+    assert hit[1] > 0.85 and hit[0] < 0.02, hit
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_tables(spark)
     assert {r.score for r in toxicity.digest(docs, labels.limit(0)).collect()} == {0.0}
