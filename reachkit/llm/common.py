@@ -9,9 +9,11 @@ so the memory of a task does not depend on how long single documents are (beyond
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,29 @@ LOWER[65:91] += 32
 # ---------------------------------------------------------------- code and written tables
 
 _SHIPPED: set[str] = set()
-BATCH_ROWS = 2000  # rows of an Arrow batch
-_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+# bounds of an Arrow batch in the jobs of these operators: setting, Spark's default, value used
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+           ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20)))
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of whole texts bounded in rows and bytes, for the memory of the Python workers:
+    while a job of these operators runs.  The session has its own settings back afterwards, and a value
+    that the user chose stays in force."""
+    ours = [(key, old, new) for key, old, new in BATCHES if spark.conf.get(key, old) == old]
+    for key, _, new in ours:
+        spark.conf.set(key, new)
+    try:
+        yield
+    finally:
+        for key, _, _ in ours:
+            spark.conf.unset(key)
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application (Spark's own ``addPyFile``), so that
-    functions in tasks find it wherever the package was imported from on the driver; and keep Arrow
-    batches of whole texts small, for the memory of the Python workers."""
-    if spark.conf.get(_ROWS_KEY) == _ROWS_DEFAULT:  # a setting of the user's own stays
-        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    functions in tasks find it wherever the package was imported from on the driver."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -80,7 +95,8 @@ def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     so a lost executor costs a reread and not a recomputation."""
     path = f"{shared_dir(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
+    with small_batches(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,8 +121,19 @@ def group_count(spark: SparkSession, units: int, each: int, least: int = 1) -> i
     return max(least, -(-int(units) // int(each)))
 
 
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` of a function over the batches of a task that hands its memory back at the end."""
+    return df.mapInArrow(lambda batches: relaxed(run(batches)), schema)
+
+
 # ---------------------------------------------------------------- Arrow -> flat bytes
 
+try:  # glibc keeps freed blocks; other C libraries have no such call
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -157,6 +184,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: st
             yield ids.slice(i, j - i), part, s, e
 
 
+def relaxed(batches: Iterator) -> Iterator:
+    """The batches of a task; behind the last one, freed memory goes back to the system, since Python
+    workers outlive tasks."""
+    yield from batches
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def as_longs(ids: pa.Array) -> np.ndarray:
     """Ids as int64; a null id becomes the smallest long (callers keep null ids apart before)."""
     return ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -202,19 +242,27 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, kept per worker and grown on demand."""
+    """Powers of an odd base modulo 2**64 and of its inverse: ``KEEP`` of them stay with the worker; a
+    longer text gets its own, which go with it."""
+
+    KEEP = 2 << 20
 
     def __init__(self, base: int):
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), _powers(base, 2), None
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.zeros(0, U64)
 
     def to(self, n: int) -> np.ndarray:
+        if n > self.KEEP:
+            return _powers(self.base, n)
         if len(self.up) < n:
-            self.up = _powers(self.base, max(n, 2 * len(self.up)))
+            self.up = _powers(self.base, min(self.KEEP, max(n, 2 * len(self.up), 2)))
         return self.up[:n]
 
     def back(self, n: int) -> np.ndarray:
-        if self.down is None or len(self.down) < n:
-            self.down = _powers(self.inverse, max(n, 2))
+        if n > self.KEEP:
+            return _powers(self.inverse, n)
+        if len(self.down) < n:
+            self.down = _powers(self.inverse, min(self.KEEP, max(n, 2 * len(self.down), 2)))
         return self.down[:n]
 
 

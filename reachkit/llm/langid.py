@@ -189,7 +189,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
             yield pa.RecordBatch.from_arrays([lang.take(pa.array(at, pa.int64())), pa.array(blocks, pa.binary())],
                                              ["lang", "block"])
 
-    rows = chosen.mapInArrow(cut, "lang string, block binary").collect()
+    rows = c.mapped(chosen, cut, "lang string, block binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["block"])))  # the same batches whatever the order of rows
@@ -248,7 +248,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(score)],
                                              ["doc_id", "lang_pred", "score"])
 
-    return c.documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return c.stored(c.mapped(c.documents(docs), run, "doc_id long, lang_pred string, score double"), "langid-scores")
 
 
 def position_labels(net: Network, text: bytes) -> np.ndarray:

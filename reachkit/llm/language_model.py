@@ -69,7 +69,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                  pa.array(n.astype(np.int64))], ["h", "cls", "n"])
 
     train = docs.where(c.fold(F.col("doc_id"), 7) != 2)
-    return c.stored(train.mapInArrow(run, "h long, cls int, n long").groupBy("h")
+    return c.stored(c.mapped(train, run, "h long, cls int, n long").groupBy("h")
                     .agg(F.min("cls").alias("cls"), F.sum("n").alias("n")), "lm-counts")
 
 
@@ -286,7 +286,7 @@ def train(docs: DataFrame, vocab: Vocabulary, n_docs: int) -> LogBilinear:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, float(tokens)))], ["at", "value"])
 
-    rows = (train_docs.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    rows = (c.mapped(train_docs, run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
             .collect())  # one row per parameter
     if not rows:
         return base
@@ -340,7 +340,7 @@ def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, counts: DataFr
                 [x.split()[0] for x in PARTIAL.split(", ")])
             next_row += n
 
-    partial = c.stored(docs.mapInArrow(run, PARTIAL), "lm-partial")
+    partial = c.stored(c.mapped(docs, run, PARTIAL), "lm-partial")
     rare = partial.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select(
         "row", F.col("x.hashes").alias("h"), F.col("x.times").alias("k"))
     met = (rare.join(counts.select("h", "n").hint("merge"), "h")

@@ -114,7 +114,7 @@ def _signed(docs: DataFrame, shingle: int, n_hashes: int) -> DataFrame:
                 done += len(ids)
 
     texts = c.documents(docs).where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
-    return c.stored(texts.mapInArrow(run, schema), "neardup-signed")
+    return c.stored(c.mapped(texts, run, schema), "neardup-signed")
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:

@@ -113,7 +113,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, window: int) -> DataFrame:
                 [x.split()[0] for x in PIECES.split(", ")])
 
     texts = c.documents(docs).where("doc_id is not null")
-    return c.stored(texts.mapInArrow(cut, PIECES), "packing-pieces")
+    return c.stored(c.mapped(texts, cut, PIECES), "packing-pieces")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE,

@@ -88,7 +88,7 @@ def shared_anchors(texts: DataFrame, units: Callable, k: int, window: int, twice
                      c.lists(pa.array(anchor.view(np.int64)), count[some])], ["doc_id", "tid", "anchors"])
                 done += len(ids)
 
-    found = c.stored(texts.mapInArrow(anchors, ANCHORS), f"{name}-anchors")
+    found = c.stored(c.mapped(texts, anchors, ANCHORS), f"{name}-anchors")
     each = found.select("doc_id", "tid", F.explode("anchors").alias("anchor"))
     per = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"),
                                      F.max("doc_id").alias("hi"))
@@ -127,7 +127,7 @@ def pieces(texts: DataFrame, shared: DataFrame, units: Callable, k: int, window:
                 done += len(ids)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return c.stored(texts.join(shared, ["doc_id", "tid"]).mapInArrow(cut, schema), f"{name}-pieces")
+    return c.stored(c.mapped(texts.join(shared, ["doc_id", "tid"]), cut, schema), f"{name}-pieces")
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

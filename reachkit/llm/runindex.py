@@ -330,4 +330,5 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
                 done += len(ids)
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return c.stored(c.mapped(joined, cut, schema), "runindex-digest")

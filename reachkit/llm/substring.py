@@ -73,7 +73,7 @@ def late_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     [pa.array(values), *[c.column(part, x).take(at) for x in ("anchor", "content", "lo", "n")],
                      pa.array(inside.astype(np.int32))], ["hash", "anchor", "content", "lo", "n", "i"])
 
-    hashed = c.stored(piece.mapInArrow(explode, "hash long, anchor long, content long, lo long, n long, i int"),
+    hashed = c.stored(c.mapped(piece, explode, "hash long, anchor long, content long, lo long, n long, i int"),
                       "substring-windows")
     counted = c.stored(hashed.groupBy("hash").agg(F.min("lo").alias("first"), F.sum("n").alias("n")).where("n > 1"),
                        "substring-counts")
@@ -128,7 +128,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                                                  ["doc_id", "n_words", "n_removed", "kept_sha256"])
                 done += len(ids)
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return c.stored(c.mapped(joined, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "substring-digest")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -139,28 +139,25 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = own.join(spans, (F.col("doc_id").cast("long") == F.col("__llm_id"))
                       & (F.col("__llm_key") == F.col("__llm_tid")), "left")
 
-    @F.pandas_udf("string")
-    def cut(text, starts):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, starts, strict=True):
-            if t is None or s is None:  # evaluated for every row, used where there are starts
-                out.append(t)
-                continue
-            raw = np.frombuffer(t.encode(), np.uint8)
-            ws, _we, row = c.words(raw, np.array([0]), np.array([len(raw)]))
-            _, _, gone = _kept(raw, ws, None, row, 1, [s], window)
-            mask = np.ones(len(raw) + 1, np.int8)
-            edge = np.append(ws, len(raw))
-            for a in np.flatnonzero(gone):
-                mask[edge[a]:edge[a + 1]] = 0
-            out.append(raw[mask[:-1].astype(bool)].tobytes().decode())
-        return pd.Series(out)
-
-    hit = F.col("__llm_starts").isNotNull()
-    cols = {"text": F.when(hit, cut("text", "__llm_starts")).otherwise(F.col("text"))}
-    out = joined.withColumn("text", cols["text"])
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, starts in c.relaxed(batches):
+            buf, start, end = c.flat(text)
+            off = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+            out = [None] * len(text)
+            for i in off.tolist():  # the rows that are cut
+                raw = buf[start[i]:end[i]]
+                ws, _we, row = c.words(raw, np.array([0]), np.array([len(raw)]))
+                _, _, gone = _kept(raw, ws, None, row, 1, [starts[i].as_py()], window)
+                # a removed word goes with the white space behind it
+                step = np.zeros(len(raw) + 1, np.int8)
+                step[ws] = np.diff(gone.astype(np.int8), prepend=np.int8(0))
+                out[i] = raw[np.cumsum(step[:-1]) == 0].tobytes().decode()
+            yield pa.array(out, pa.string())
+
+    # rows without a late window send no text to Python and keep theirs
+    hit = F.col("__llm_starts").isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn("text", F.when(hit, cut(F.when(hit, F.col("text").cast("string")), "__llm_starts")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -151,7 +151,7 @@ def _count_features(texts: DataFrame) -> DataFrame:
                         [pa.array(value.view(np.int64)), pa.array(np.add.reduceat(pos.astype(np.int64), first)),
                          pa.array(np.add.reduceat((~pos).astype(np.int64), first))], ["h", "pos", "neg"])
 
-    return (texts.mapInArrow(count, "h long, pos long, neg long").groupBy("h")
+    return (c.mapped(texts, count, "h long, pos long, neg long").groupBy("h")
             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
@@ -179,7 +179,7 @@ def _bags(texts: DataFrame, model: Model) -> DataFrame:
                      c.packed(flat, 2 * np.bincount(row[at], minlength=len(ids)))], ["toxic", "n", "pairs"])
                 done += len(ids)
 
-    return texts.mapInArrow(reduce, "toxic int, n long, pairs binary")
+    return c.mapped(texts, reduce, "toxic int, n long, pairs binary")
 
 
 def fit_noisy_or(y: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray,
@@ -251,12 +251,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 [ids, pa.array(p), pa.array(n.astype(np.int64)), pa.array(worst), pa.array(worst_p)],
                 [key, "score", "n_sentences", "worst_sentence", "worst_score"])
 
-    return docs.mapInArrow(run, f"{key} long, score double, n_sentences long, worst_sentence long, worst_score double")
+    return c.mapped(docs, run, f"{key} long, score double, n_sentences long, worst_sentence long, worst_score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, n_sentences, worst_sentence, worst_score``."""
-    scored = score(c.documents(docs), train(docs, labels))
+    scored = c.stored(score(c.documents(docs), train(docs, labels)), "toxicity-scores")
     return scored.select("doc_id", (c.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"),
                          "n_sentences", "worst_sentence", "worst_score")
@@ -281,24 +281,24 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -
                  pa.array([raw[a:b].decode() for a, b in zip(begin[hit], reach[hit], strict=True)], pa.string()),
                  pa.array(p[hit])], ["doc_id", "sentence", "text", "score"])
 
-    return c.documents(docs).mapInArrow(run, "doc_id long, sentence long, text string, score double")
+    return c.mapped(c.documents(docs), run, "doc_id long, sentence long, text string, score double")
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None,
                  threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below ``threshold``, with all their columns (one map-only pass)."""
+    """The documents that score below ``threshold``, with all their columns: one map-only pass, in which
+    only the text goes to Python and only the decision comes back."""
     c.ship(docs.sparkSession)
     model = model or train(docs, labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, start, end = c.flat(c.column(batch, "text"))
-            keep = []
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in c.relaxed(texts):
+            buf, start, end = c.flat(text)
+            keep = [np.zeros(0, bool)]
             for i, j in c.row_slices(start, end):
                 lo, hi = int(start[i]), int(end[j - 1])
                 keep.append(model.documents(buf[lo:hi], start[i:j] - lo, end[i:j] - lo)[0] < threshold)
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+            yield pa.array(np.concatenate(keep))
 
-    texts = docs.withColumn("text", F.col("text").cast("string"))
-    return texts.mapInArrow(run, texts.schema)
+    return docs.where(clean(F.col("text").cast("string")))

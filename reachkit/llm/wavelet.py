@@ -214,7 +214,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
 
     texts = c.documents(docs).where("doc_id is not null")
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return c.stored(ordered.mapInArrow(encode, SHARDS), "wavelet-shards")
+    return c.stored(c.mapped(ordered, encode, SHARDS), "wavelet-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -251,4 +251,4 @@ def _few(df: DataFrame, rows: int = 1 << 20) -> bool:
 
 
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return read_shards(write_shards(docs, tokenizer_path))
+    return c.stored(read_shards(write_shards(docs, tokenizer_path)), "wavelet-digest")
