@@ -11,9 +11,12 @@ from reachkit.llm import (
     decontaminate,
     langid,
     language_model,
+    lexical,
     neardup,
     packing,
     runindex,
+    simhash,
+    spelling,
     substring,
     toxicity,
     wavelet,
@@ -67,9 +70,22 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
+def op11_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(c.table(spark, sf_dir, "documents"))
+
+
+def op12_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.digest(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+
+
+def op13_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(c.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_inverted_multi_index, op2_substring_dedup, op3_log_bilinear, op4_bigru_language_id, op5_wavelet_matrix,
-    op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing, op9_run_length_index, op10_prefix_decontamination)}
+    op6_mil_toxicity, op7_bayes_minhash, op8_best_fit_packing, op9_run_length_index, op10_prefix_decontamination,
+    op11_frequency_trie, op12_ball_tree_search, op13_pigeonhole_simhash)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
@@ -133,4 +149,41 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT
        coalesce(spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(s, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_frequency_trie": r"""
+WITH RECURSIVE rule AS (SELECT list_transform(range(256), lambda b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+                 lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END, b::UBIGINT)) AS crc),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL),
+per AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, k, xor(list_reduce(flatten(list_transform(string_split(doc_id || ':' || run, ''),
+                 lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::UBIGINT] ELSE [195::UBIGINT, (unicode(ch) - 64)::UBIGINT] END)),
+             lambda a, b: xor(a >> 8, crc[((xor(a, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM per, rule),
+cut AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+             ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+hole AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM hole a JOIN hole b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+         UNION SELECT hole.word, v.word, v.n FROM hole JOIN v ON hole.s = v.word
+         UNION SELECT v.word, hole.word, hole.n FROM hole JOIN v ON hole.s = v.word),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near
+         QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * n THEN other END AS form,
+                 CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, place) AS (SELECT word, word FROM forms
+                   UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.place = forms.word WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, walk.place AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word JOIN forms last ON walk.place = last.word WHERE last.form IS NULL""",
+    "op12_ball_tree_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+k AS (SELECT count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+tf AS (SELECT doc_id, len(ws)::BIGINT AS size, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, ws, unnest(ws) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * k.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), k),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * size * k.n) // k.l))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term), k GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }

@@ -43,3 +43,14 @@ def _settled(edges: DataFrame) -> bool:
     ends = edges.select("u", F.lit(0).alias("root")).unionAll(edges.select("v", F.lit(1).alias("root")).distinct())
     twice = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return twice.limit(1).count() == 0
+
+
+def shared_id_links(members: DataFrame, reps: DataFrame, by: list[str]) -> DataFrame:
+    """Links ``a, b`` that a doc_id on rows of several classes makes: such a row set is one document, so it
+    joins the classes.  ``members(doc_id, *by)`` are the rows, ``reps(*by, rep)`` the classes; a doc_id of one
+    class (nearly all) gives no link."""
+    many = members.groupBy("doc_id").agg(*[F.min(x).alias(f"lo_{x}") for x in by], *[F.max(x).alias(f"hi_{x}") for x in by])
+    apart = " or ".join(f"lo_{x} < hi_{x}" for x in by)
+    many = c.stored(many.where(apart).select("doc_id"), "components-shared")
+    mine = members.select("doc_id", *by).join(many.hint("merge"), "doc_id").distinct()
+    return mine.join(reps.hint("merge"), by).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -98,3 +98,92 @@ def contamination(rows, items, window=13):
                         found.add(str(item))
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out)
+
+
+def spelling(rows, length=6, least=5, ratio=5):
+    """{word: (form, root, n, n_near, form_n)}."""
+    import zlib
+
+    n = Counter()
+    for i, t in rows:
+        if i is None:
+            continue
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", t or ""):
+            word = low(run)
+            h = zlib.crc32(f"{i}:{word}".encode())
+            if h % 199 == 0:
+                at = h % len(word)
+                word = word[:at] + word[at + 1:]
+            n[word] += 1
+    n = {w: k for w, k in n.items() if len(w) >= length and k >= least}
+    holes = defaultdict(set)  # words without the code point at a position
+    for w in n:
+        for j in range(len(w)):
+            holes[w[:j] + w[j + 1:], j].add(w)
+    near = {w: {x for j in range(len(w)) for x in holes[w[:j] + w[j + 1:], j]} - {w} for w in n}
+    for w in n:
+        for j in range(len(w)):
+            shorter = w[:j] + w[j + 1:]
+            if shorter in n:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= ratio * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), k, len(near[w]), None if form[w] is None else n[form[w]]) for w, k in n.items()}
+
+
+def ranked(rows, items, top=10):
+    """(item_id, rank, doc_id, score)."""
+    import math
+
+    def terms(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(t))
+
+    docs = [(i, Counter(w), len(w)) for i, w in ((i, terms(t)) for i, t in rows if i is not None) if w]
+    n, total = len(docs), sum(k for _, _, k in docs)
+    df = Counter(t for _, w, _ in docs for t in w)
+    out = []
+    for item, text in sorted({x for x in items if x[0] is not None and x[1] is not None}):
+        scored = []
+        for i, w, k in docs:
+            m = 100 - 75 + (75 * k * n) // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10 ** 9 * w[t]) // (1000 * w[t] + 8 * m))
+                    for t in terms(text) if t in w)
+            if s > 0:
+                scored.append((-s, i))
+        out += [(item, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+def fingerprint(text, shingle=3):
+    from xxhash import xxh64_intdigest
+
+    w = words(low(text))
+    hashes = [xxh64_intdigest(" ".join(w[j:j + shingle]).encode(), 42) for j in range(max(1, len(w) - shingle + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash(rows, radius=2):
+    """(doc_id, fingerprint, component_id); rows that share a doc_id are one node."""
+    rows = [(i, fingerprint(t)) for i, t in rows if i is not None]
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, f in rows:
+        for j, g in rows:
+            if i < j and (f ^ g).bit_count() <= radius:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return sorted((i, f"{f:016x}", root(i)) for i, f in rows)
