@@ -50,6 +50,9 @@ RATES = [2.0, 0.8, 0.2]
 DEMO = "age_range"
 TWO = ["age_range", "gender"]  # gender is NULL for a third of the census
 ASSUMED_POPULATION = 5_000_000
+# a steep pool beside a slow one, on axes of so many impressions per person; a pool slower than is kept
+STEEP_ALPHAS, STEEP_RATES, STEEP_TOPS, STEEP_FIRST = [0.3, 0.4], [0.1, 2.0], [900, 3000, 10000], 1e-3
+SLOW_ALPHAS, SLOW_RATES = [0.3, 0.5], [0.004, 1.0]
 KNOWN_DIGITS = 4  # digits to which a fit must recover a known mixture
 GEN_SEED = 7
 GEN_IMPRESSIONS_PER_PERSON = 10.0
@@ -187,8 +190,10 @@ def q_fit_summary(spark, sf):
 
 
 def q_fit_total(spark, sf):
+    """Two deltas on the observed curve: a profile search over both rates has the same answer."""
     reach = generate_reach_table(line_impressions(spark, sf))
-    return fit_mixture_of_deltas(reach, census_from_customers(spark, sf), n_deltas=2)
+    fit = fit_mixture_of_deltas(reach, census_from_customers(spark, sf), n_deltas=2)
+    return _rounded(fit).withColumn("rmse", F.round("rmse", KNOWN_DIGITS))
 
 
 def q_fit_segment(spark, sf):
@@ -339,6 +344,47 @@ def q_fit_recovery_segment(spark, sf):
     return _long_mixture(_recovered_segment(spark, sf), [DEMO])
 
 
+def _axis_curves(spark, sf) -> DataFrame:
+    """The steep known mixture on axes of up to 10,000 impressions per person, evenly and geometrically
+    spaced by the impressions of the log: ``axis, top, population, impression, reach``."""
+    reach = generate_reach_table(line_impressions(spark, sf))
+    total = reach.agg(F.max("impression")).scalar()
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(float(t)).alias("top")) for a in ("even", "geometric") for t in STEEP_TOPS])
+    part = F.col("impression") / total
+    pts = reach.select(part.alias("part"), F.explode(axes).alias("a")).select("part", "a.axis", "a.top")
+    g = F.when(F.col("axis") == "even", F.col("top") * F.col("part")).otherwise(
+        F.lit(STEEP_FIRST) * F.pow(F.col("top") / F.lit(STEEP_FIRST), F.col("part")))
+    pop = population_total(census_from_customers(spark, sf)).scalar()
+    share = mixture_reach(params_array(STEEP_ALPHAS), params_array(STEEP_RATES), F.col("g"))
+    return (pts.withColumn("g", g).withColumn("population", pop)
+            .select("axis", "top", "population", (F.col("g") * F.col("population")).alias("impression"),
+                    (share * F.col("population")).alias("reach")))
+
+
+def q_fit_recovery_steep(spark, sf):
+    """No range of the log hides a rate: a steep pool beside a slow one on long axes."""
+    curves = _axis_curves(spark, sf)
+    census = curves.groupBy("axis", "top").agg(F.max("population").alias("population"))
+    fit = fit_mixture_of_deltas(curves, census, n_deltas=len(STEEP_ALPHAS), demo_cols=["axis", "top"])
+    return _long_mixture(_rounded(fit), ["axis", "top"])
+
+
+def _slow_curve(spark, sf) -> DataFrame:
+    """A curve with a pool below the smallest rate that is kept."""
+    pop = population_total(census_from_customers(spark, sf)).scalar()
+    share = mixture_reach(params_array(SLOW_ALPHAS), params_array(SLOW_RATES), F.col("impression") / F.col("__pop"))
+    return (generate_reach_table(line_impressions(spark, sf)).withColumn("__pop", pop.cast("double"))
+            .withColumn("reach", share * F.col("__pop")).drop("__pop"))
+
+
+def q_fit_drops_delta(spark, sf):
+    """Two deltas on a curve whose second pool is too slow to keep: it is dropped and the curve fitted by one."""
+    fit = fit_mixture_of_deltas(_slow_curve(spark, sf), census_from_customers(spark, sf), n_deltas=2)
+    return fit.select("population", "n_fitted", F.size("alphas").alias("n_deltas"), F.col("alphas")[0].alias("dropped"),
+                      F.round(F.col("alphas")[1], KNOWN_DIGITS).alias("alpha"),
+                      F.round(F.col("rates")[1], KNOWN_DIGITS).alias("rate"), F.round("rmse", KNOWN_DIGITS).alias("rmse"))
+
+
 def q_fit_one_delta(spark, sf):
     """One delta on the observed curve: a one-dimensional search has the same answer."""
     fit = fit_mixture_of_deltas(generate_reach_table(line_impressions(spark, sf)), census_from_customers(spark, sf), n_deltas=1)

@@ -246,16 +246,16 @@ y AS (SELECT user_id, age_range, CAST({start} + floor({u} * {end - start}) AS BI
 SELECT user_id, age_range, timestamp_int, make_timestamp(timestamp_int * 1000000) AS "timestamp" FROM y"""
 
 
-def one_delta_sql(view: str) -> str:
+def one_delta_sql(view: str, curve: str | None = None) -> str:
     """Least squares of one delta by golden section on the log of the rate: the best amplitude of a rate
-    is linear."""
+    is linear.  ``curve``: the reach table, else that of ``view``."""
     shrink = (5 ** 0.5 - 1) / 2
 
     def error(at: str) -> str:  # squared error up to the constant sum of r * r
         phi = f"(1.0::DOUBLE - exp(-exp({at}) * g))"
         return f"(SELECT -(sum(r * {phi}) * sum(r * {phi})) / sum({phi} * {phi}) FROM pts)"
 
-    return f"""WITH RECURSIVE c AS ({reach_sql(view)}), p AS ({POPULATION_SQL}),
+    return f"""WITH RECURSIVE c AS ({curve or reach_sql(view)}), p AS ({POPULATION_SQL}),
 pts AS (SELECT c.impression::DOUBLE / p.population::DOUBLE AS g, c.reach::DOUBLE / p.population::DOUBLE AS r FROM c, p),
 search AS (
   SELECT 0 AS step, ln(0.01::DOUBLE) AS a, ln(30.0::DOUBLE) AS b
@@ -272,6 +272,38 @@ SELECT p.population, round(alpha, {C.KNOWN_DIGITS}) AS alpha, round(rate, {C.KNO
         * p.population::DOUBLE, {C.KNOWN_DIGITS}) AS rmse FROM amp, p"""
 
 
+def two_delta_sql(view: str, population: str = POPULATION_SQL, steps: int = 160, wide: int = 3) -> str:
+    """Least squares of two deltas by a profile search: a net of pairs of log rates whose middle moves to
+    its best pair, and narrows where the middle is best; the amplitudes of a pair are linear (at a bound if
+    one would be negative), its error is summed from the residuals.  Columns ``population, a1, x1, a2, x2,
+    err`` (x1 <= x2, summed squared error of shares, ``n`` points)."""
+    net = f"SELECT i, j FROM range(-{wide}, {wide + 1}) a(i), range(-{wide}, {wide + 1}) b(j)"
+    return f"""WITH RECURSIVE c AS ({reach_sql(view)}), p AS ({population}),
+pts AS MATERIALIZED (SELECT c.impression::DOUBLE / p.population::DOUBLE AS g, c.reach::DOUBLE / p.population::DOUBLE AS r FROM c, p),
+search AS (
+  SELECT 0 AS step, ln(0.5::DOUBLE) AS u, ln(2.0::DOUBLE) AS v, 0.5::DOUBLE AS w, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS err
+  UNION ALL
+  SELECT step + 1, best.u, best.v, CASE WHEN best.mid THEN w * 0.5 ELSE w END, best.a1, best.a2, best.err
+  FROM (SELECT step, w, arg_min(struct_pack(u := u1, v := v1, a1 := a1, a2 := a2, err := err, mid := i = 0 AND j = 0), err) AS best
+        FROM (SELECT step, w, u1, v1, i, j, a1, a2,
+                     sum(pow(a1 * (1 - exp(-exp(u1) * g)) + a2 * (1 - exp(-exp(v1) * g)) - r, 2)) AS err
+              FROM (SELECT step, w, u1, v1, i, j,
+                           CASE WHEN b1 < 0 THEN 0 WHEN b2 < 0 THEN h1 / q11 ELSE b1 END AS a1,
+                           CASE WHEN b2 < 0 THEN 0 WHEN b1 < 0 THEN h2 / q22 ELSE b2 END AS a2
+                    FROM (SELECT *, (h1 * q22 - h2 * q12) / (q11 * q22 - q12 * q12) AS b1,
+                                 (h2 * q11 - h1 * q12) / (q11 * q22 - q12 * q12) AS b2
+                          FROM (SELECT step, w, u1, v1, i, j, sum(f1 * f1) AS q11, sum(f1 * f2) AS q12, sum(f2 * f2) AS q22,
+                                       sum(f1 * r) AS h1, sum(f2 * r) AS h2
+                                FROM (SELECT *, 1 - exp(-exp(u1) * g) AS f1, 1 - exp(-exp(v1) * g) AS f2
+                                      FROM (SELECT step, w, i, j, u + i * w AS u1, v + j * w AS v1 FROM search, ({net}) WHERE step < {steps}), pts
+                                      WHERE u1 < v1)
+                                GROUP BY ALL))), pts
+              GROUP BY ALL)
+        GROUP BY step, w)),
+last AS (SELECT * FROM search WHERE step = {steps})
+SELECT p.population, a1, exp(u) AS x1, a2, exp(v) AS x2, err, (SELECT count(*) FROM pts) AS n FROM last, p"""
+
+
 # --- the registered texts ------------------------------------------------------------
 
 def fraction_reach_sql() -> str:
@@ -289,7 +321,21 @@ def _known_sql() -> dict[str, str]:
 FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i FROM ({mixture}))"""
 
     ev = events_sql()
+    digits = C.KNOWN_DIGITS
+    slow = f"""SELECT c.impression, p.population::DOUBLE * ({_share(_dl(C.SLOW_ALPHAS), _dl(C.SLOW_RATES),
+        'c.impression::DOUBLE / p.population::DOUBLE')}) AS reach FROM ({reach_sql(LINES_SQL)}) c, ({POPULATION_SQL}) p"""
+    fitted = two_delta_sql(LINES_SQL)
+    mixture = f"SELECT population, [a1, a2] AS alphas, [x1, x2] AS rates FROM ({fitted})"
+    steep = f"""SELECT axis, top, population, {_dl([a for _, a in sorted(zip(C.STEEP_RATES, C.STEEP_ALPHAS))])} AS alphas,
+  {_dl(sorted(C.STEEP_RATES))} AS rates FROM ({POPULATION_SQL}), (SELECT unnest(['even', 'geometric']) AS axis),
+  (SELECT unnest({_dl(C.STEEP_TOPS)}) AS top)"""
     return {
+        "fit_recovery_steep": long(steep, "axis, top, "),
+        "fit_drops_delta": f"""SELECT population, 1 AS n_fitted, 2 AS n_deltas, 0.0::DOUBLE AS dropped, alpha, rate, rmse
+FROM ({one_delta_sql('', slow)})""",
+        "fit_total": f"""SELECT population, [round(a1, {digits}), round(a2, {digits})] AS alphas, [round(x1, {digits}), round(x2, {digits})] AS rates,
+  2 AS n_fitted, round(sqrt(err / n) * population, {digits}) AS rmse FROM ({fitted})""",
+        "flow_total": reach_sql(assign_sql(LINES_SQL, vid_table_sql(mixture), "uid_time"), id_col="vid"),
         "fit_recovery_total": long(total, ""),
         "fit_recovery_segment": long(segment, "age_range, "),
         "fit_one_delta": one_delta_sql(LINES_SQL),

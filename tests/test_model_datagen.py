@@ -161,13 +161,12 @@ def test_fit_null_segments_and_errors(spark):
 
 
 def test_solver_out_of_evaluations_is_a_failure():
-    from reachkit.operators.fit import DEGREE, CurveSums, fit_sums
+    from reachkit.operators.fit import fit_sums, sums_of_points
 
     angle = np.linspace(0, np.pi, 400)
     g = 10 * ((np.cos(angle) + 1) / 2) ** 2
     r = curve([0.5, 0.2], [2.0, 0.4], g)
-    k = np.arange(2 * DEGREE + 1)[:, None]
-    sums = CurveSums(0.0, 10.0, len(g), np.cos(k * angle).sum(1), (r * np.cos(k * angle)).sum(1), float(r @ r))
+    sums = sums_of_points(g, r)
     assert fit_sums(sums, 2)[2] == 2
     with pytest.raises(ValueError, match="cannot be fitted"):
         fit_sums(sums, 2, max_eval=2)
@@ -203,3 +202,47 @@ def test_census_csv_and_catalog_table(spark, tmp_path):
     assert rows == [("", 7), ("female", 12), ("male", 10)]
     census.createOrReplaceTempView("census_tbl")
     assert population_total(read_table(spark, "census_tbl", catalog=True)).first()["population"] == 29
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    g = np.sort(rng.random(400) * 30) + 1e-3
+    share = curve([0.4, 0.3], [0.2, 1.7], g) + rng.normal(0, 0.004, 400)
+    rows = [("x", i, int(a * 1000), int(max(b, 0) * 1000)) for i, (a, b) in enumerate(zip(g, share))]
+    reach = spark.createDataFrame(rows, "seg string, i int, impression bigint, reach bigint")
+    cen = spark.createDataFrame([("x", 1000)], "seg string, population bigint")
+    fits = [fit_mixture_of_deltas(reach.repartition(n, F.col("i") % p), cen, n_deltas=2, demo_cols=["seg"]).first()
+            for n, p in ((1, 1), (7, 5), (64, 61))]
+    assert fits[0] == fits[1] == fits[2]  # to the last bit
+
+
+@pytest.mark.parametrize("top", [900, 3000, 10000])
+def test_fit_has_no_ceiling_on_long_axes(top):
+    for g in (np.linspace(top / 2500, top, 2500), np.geomspace(1e-3, top, 2500)):
+        a, x, m, _ = fit_curve(g, curve([0.3, 0.4], [0.1, 2.0], g), 2)
+        assert m == 2 and np.allclose(a, [0.3, 0.4], rtol=1e-4) and np.allclose(x, [0.1, 2.0], rtol=1e-4)
+
+
+def test_a_rate_that_the_points_cannot_tell_raises():
+    g = np.linspace(40, 100_000, 2500)
+    with pytest.raises(ValueError, match="rate cannot be told"):
+        fit_curve(g, curve([0.3, 0.4], [0.1, 2.0], g), 2)
+
+
+def test_octave_sums_are_the_sums_over_the_points(spark):
+    """Errors of arbitrary mixtures from the sums against the points themselves."""
+    from reachkit.operators.fit import CurveSums, _curve, _points, curve_sums
+
+    rng = np.random.default_rng(5)
+    imp = np.sort(rng.integers(0, 40_000, 300))
+    r = rng.random(300)
+    rows = [(int(i), float(x) * 1000) for i, x in zip(imp, r)]
+    reach = spark.createDataFrame(rows, "impression bigint, reach double")
+    sums = _curve(curve_sums(_points(reach, 1000, []), []).first()["sums"])
+    assert isinstance(sums, CurveSums) and sums.n == 300
+    for rates in ([0.01], [0.3, 5.0], [40.0, 900.0]):
+        rates = np.array(rates)
+        amp = rng.random(len(rates))
+        res = sums.columns(rates) @ amp - sums.y
+        want = float(((curve(amp, rates, imp / 1000) - r) ** 2).sum())
+        assert float(res @ res) + sums.rest == pytest.approx(want, rel=1e-9)
