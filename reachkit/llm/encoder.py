@@ -24,8 +24,8 @@ import numpy as np
 from reachkit.llm import common as c
 from reachkit.llm.repeats import ranges
 
-KEEP = 2_000_000
-YOUNG = 200_000  # new chunks that are kept apart before they are merged
+KEEP = 600_000
+YOUNG = 100_000  # new chunks that are kept apart before they are merged
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCTUATION = np.zeros(256, bool)
