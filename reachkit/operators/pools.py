@@ -4,16 +4,19 @@ The pool of a VID is found by a range join ``start_VID <= vid < start_VID +
 total_VID``.  Instead of comparing every row with every pool (nested loop), the
 VID axis is cut into fixed-width buckets; each pool is listed under the buckets
 it spans (about total VIDs / width + 2 x pools rows) and the impressions join it
-by equality on the bucket, then keep the rows inside the range.  The
-impressions are first reduced to distinct (vid, user) pairs with a partially
-aggregated ``groupBy`` (VID 0, the null pool, is hot by design).
+by equality on the bucket, then keep the rows inside the range.
+
+Both distinct counts come from one pass: an impression becomes one partial row
+for its VID and one for its user, one ``groupBy`` on (pool, VID or user) combines
+them before the shuffle (VID 0, the null pool, is hot by design), and a second
+counts the groups.  So the assignment below runs once.
 
 VID 0 is shared by the null pools of all segments: by default every VID-0 row
-counts in each of them.  Its rows are then aggregated once, and the one result is
-attached to every null pool.  ``demo_cols`` restricts the match to the row's own
-segment.  Nothing runs when the operator is called; Spark broadcasts the pool
-spans when they are small, else the join key ``(demos, bucket)`` spreads over the
-VID axis.
+counts in each of them.  Rows are counted per first VID of a pool, and all null
+pools take the one result of VID 0.  ``demo_cols`` restricts the match to the
+row's own segment.  Nothing runs when the operator is called; Spark broadcasts
+the pool spans when they are small, else the join key ``(demos, bucket)`` spreads
+over the VID axis.
 """
 
 from __future__ import annotations
@@ -39,26 +42,27 @@ def mixture_of_delta_pool_info(vid_impressions: DataFrame, vid_table: DataFrame,
     # The bucket key and the range test are written NULL-tolerant (coalesce) so
     # Catalyst infers no ``isnotnull(vid)`` and pushes no re-evaluation of the
     # VID expression into the assignment's join; a NULL vid matches no pool.
-    pairs = (vid_impressions.groupBy(*demos, "vid", id_col).agg(F.count(F.lit(1)).alias("__n"))
-             .withColumn("__b", F.coalesce(F.floor(F.col("vid") / width), F.lit(-1).cast("bigint"))))
+    rows = vid_impressions.select(*demos, "vid", F.col(id_col).alias("__user")).withColumn(
+        "__b", F.coalesce(F.floor(F.col("vid") / width), F.lit(-1).cast("bigint")))
     pools = vid_table.select(*demos, *VID_COLUMNS).where(F.col("total_VID") > 0)
-    stats = [F.sum("__n").alias("impressions"), F.countDistinct("vid").alias("VID_reach"),
-             F.countDistinct(id_col).alias("distinct_users")]
-    spans = pools if demos else pools.where(F.col("start_VID") > 0)
+    # with demos a row lies in one pool, known by its columns; without, the null pools of all segments hold
+    # the same rows (VID 0): one span and one result for them
+    pool = VID_COLUMNS if demos else ["start_VID"]
+    spans = pools.groupBy(*demos, *pool).agg(F.max("total_VID").alias("__total"))
     spans = spans.withColumn("__b", F.explode(F.sequence(
-        F.floor(F.col("start_VID") / width), F.floor((F.col("start_VID") + F.col("total_VID") - 1) / width))))
-    inside = F.coalesce((F.col("vid") >= F.col("start_VID"))
-                        & (F.col("vid") < F.col("start_VID") + F.col("total_VID")), F.lit(False))
-    found = pairs.join(spans, on=[*demos, "__b"]).where(inside).groupBy(*VID_COLUMNS).agg(*stats)
-    if not demos:
-        # pools at VID 0 hold the same rows: one aggregate, a scalar for all of them
-        zero = pairs.where(F.coalesce(F.col("vid") == 0, F.lit(False))).agg(
-            F.struct(F.sum("__n").alias("n"), F.countDistinct("vid").alias("v"), F.countDistinct(id_col).alias("u"))).scalar()
-        null_pools = (pools.where(F.col("start_VID") == 0).groupBy(*VID_COLUMNS).agg(F.count(F.lit(1)).alias("__copies"))
-                      .withColumn("__z", zero).where(F.col("__z.v") > 0)
-                      .select(*VID_COLUMNS, (F.col("__z.n") * F.col("__copies")).alias("impressions"),
-                              F.col("__z.v").alias("VID_reach"), F.col("__z.u").alias("distinct_users")))
-        found = found.unionByName(null_pools)
+        F.floor(F.col("start_VID") / width), F.floor((F.col("start_VID") + F.col("__total") - 1) / width))))
+    inside = F.coalesce((F.col("vid") >= F.col("start_VID")) & (F.col("vid") < F.col("start_VID") + F.col("__total")), F.lit(False))
+    placed = rows.join(spans, on=[*demos, "__b"]).where(inside)
+    none = F.lit(None)
+    parts = F.stack(F.lit(2), F.lit(True), F.col("vid").cast("bigint"), none.cast(vid_impressions.schema[id_col].dataType),
+                    F.lit(False), none.cast("bigint"), F.col("__user")).alias("__of_vid", "__vid", "__user")
+    groups = placed.select(*pool, parts).groupBy(*pool, "__of_vid", "__vid", "__user").agg(F.count(F.lit(1)).alias("__n"))
+    found = groups.groupBy(*pool).agg(
+        F.sum(F.when(F.col("__of_vid"), F.col("__n"))).alias("impressions"), F.count("__vid").alias("VID_reach"),
+        F.count("__user").alias("distinct_users"))
+    if not demos:  # equal null pools count their common rows once each
+        copies = pools.groupBy(*VID_COLUMNS).agg(F.count(F.lit(1)).alias("__copies"))
+        found = copies.join(found, "start_VID").withColumn("impressions", F.col("impressions") * F.col("__copies"))
     return (
         found
         .orderBy("start_VID")

@@ -1,23 +1,19 @@
 """Reach tables: per time slot, new people reached and impressions, plus running totals.
 
-Plan (no per-row window over ids; nothing runs when the operator is called):
-1. the first exposure of every id, found with aggregates only:
-   * time only (count mode, no segments): per id ``min(time)`` plus a NULL flag
-     -- fixed-width buffers, so a hash aggregate with map-side partial
-     aggregation (a hot id is combined before the shuffle);
-   * with segments and/or weights (time or integer order column, 32-bit
-     weights): per (id, demos) the earliest time and the smallest weight at
-     that time, packed into one DECIMAL(38,0) key (again a hash aggregate over
-     all rows); then ``groupBy(id)`` picks ``min(struct(time, demos, weight))``
-     over that reduced table (about one row per id and segment);
-   * anything else (tiebreak columns, other order columns, fractional weights):
-     ``min(struct(...))`` directly (sort-based aggregate);
-2. the first rows (reach 1 / weight) and the impressions are summed in one
-   ``groupBy(demos, time)``;
-3. running totals come from the bucketed prefix sum
-   (``plans.prefix.running_sums``), so neither a segment nor the un-segmented
-   curve is sorted in one task.  Both sides of its join read the per-slot table;
-   the second use is a reused exchange.
+Plan (one pass over the impressions, so whatever assignment or join lies below runs once; no per-row window
+over ids; nothing runs when the operator is called):
+1. every impression becomes two partial rows, one for its slot and one for its id, and one ``groupBy``
+   combines both kinds before and behind its shuffle: slots sum impressions, ids keep their first exposure:
+   * time only (count mode, no segments) or time and 32-bit weight as one packed key: fixed-width buffers,
+     so a hash aggregate (a hot id or slot is combined map-side);
+   * with segments the id rows are per (id, demos), and a second ``groupBy`` over these reduced rows picks
+     the smallest (time, demos, weight) of the id, while slot rows pass through;
+   * anything else (tiebreak columns, other order columns, fractional weights): ``min(struct(...))``
+     directly (sort-based aggregate);
+2. first exposures (reach 1 / weight) and slots are summed in one ``groupBy(demos, time)``;
+3. running totals come from the bucketed prefix sum (``plans.prefix.running_sums``), so neither a segment
+   nor the un-segmented curve is sorted in one task.  Both sides of its join read the per-slot table; the
+   second use is a reused exchange.
 
 Ties at an id's first time go to the smallest demos, then the smallest weight.
 An id seen in two segments is reached once, in the segment of its first
@@ -72,18 +68,10 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
     orderable = isinstance(order_type, (T.TimestampType, T.TimestampNTZType, *_INTEGRAL))
     # The packed key has room for 32-bit weights.
     packable = (not weighted) or isinstance(df.schema["weight"].dataType, _SMALL_INTEGRAL)
-    if not demos and not weighted and not tiebreak:
-        first = _first_time(df, id_col, order_col)
-    elif orderable and packable and not tiebreak:
-        first = _first_packed(df, id_col, order_col, demos, weighted)
-    else:
-        first = _first_struct(df, id_col, order_col, demos, tiebreak, weighted)
-    rows = df.select(*demos, order_col, _weight_col(df).alias("i") if weighted else F.lit(1).cast("bigint").alias("i"))
-    nothing = F.lit(0).cast(rows.schema["i"].dataType)
-    per_slot = (
-        first.withColumn("i", nothing).unionByName(rows.withColumn("r", nothing))
-        .groupBy(*demos, order_col)
-        .agg(F.sum("r").alias("reach_inc"), F.sum("i").alias("impression_inc")))
+    first = _packed if orderable and packable and not tiebreak else _least_struct
+    rows = first(df, id_col, order_col, demos, tiebreak, weighted)
+    per_slot = (rows.groupBy(*demos, order_col)
+                .agg(F.sum("__r").alias("reach_inc"), F.sum("__i").alias("impression_inc")))
     curve = running_sums(per_slot, demos, order_col,
                          {"reach": "reach_inc", "impression": "impression_inc"}, bucket)
     out = curve.select(*demos, order_col, "reach_inc", "impression_inc", "reach", "impression")
@@ -92,11 +80,31 @@ def generate_reach_table(df: DataFrame, id_col: str = "user_id", demo_cols=None,
     return out
 
 
-def _first_time(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """``time, r``: the first time of every id.  A NULL time sorts first, so it wins over any time
-    (min() would skip it)."""
-    per_id = df.groupBy(id_col).agg(F.min(order_col).alias("__t"), F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
-    return per_id.select(F.when(F.col("__null") == 0, F.col("__t")).alias(order_col), F.lit(1).cast("bigint").alias("r"))
+def _both(df: DataFrame, demos: list[str], id_col: str, order_col: str, weighted: bool, per_segment: bool,
+          carried: dict[str, Column]) -> DataFrame:
+    """Two partial rows per impression: ``__of_id`` false (keys: demos ``__d*`` and time ``__t``; ``__i`` of
+    the impression) and true (keys: ``__id``, with ``per_segment`` the demos too; the ``carried`` columns)."""
+    i = _weight_col(df) if weighted else F.lit(1).cast("bigint")
+    base = df.select(F.col(id_col).alias("__id"), F.col(order_col).alias("__t"), i.alias("__i"),
+                     *[F.col(d).alias(f"__d{k}") for k, d in enumerate(demos)],
+                     *[v.alias(name) for name, v in carried.items()])
+    kinds = base.schema
+    keys = ["__id", *[f"__d{k}" for k in range(len(demos))], "__t", "__i", *carried]
+    of_slot = {"__id", *carried}  # what a slot row leaves out
+    of_id = {"__t"} | (set() if per_segment else {f"__d{k}" for k in range(len(demos))})
+
+    def row(flag: bool, without: set) -> list[Column]:
+        out = [F.lit(flag)]
+        for name in keys:
+            if name in without:
+                out.append(F.lit(None).cast(kinds[name].dataType))
+            elif name == "__i" and flag:
+                out.append(F.lit(0).cast(kinds[name].dataType))
+            else:
+                out.append(F.col(name))
+        return out
+
+    return base.select(F.stack(F.lit(2), *row(False, of_slot), *row(True, of_id)).alias("__of_id", *keys))
 
 
 def _order_key(c: str, dtype: T.DataType) -> Column:
@@ -110,38 +118,53 @@ def _order_key(c: str, dtype: T.DataType) -> Column:
     return F.when(F.col(c).isNull(), F.lit(0).cast("bigint")).otherwise(v + F.lit(_TIME_OFFSET))
 
 
-def _first_packed(df: DataFrame, id_col: str, order_col: str, demos: list[str], weighted: bool) -> DataFrame:
-    """``[demos], time, r``: per id the smallest (time, demos, weight); time and weight travel as one key."""
-    t_key = _order_key(order_col, df.schema[order_col].dataType)
+def _packed(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str], weighted: bool) -> DataFrame:
+    """``[demos], time, __r, __i``: slots and first exposures; time and weight travel as one key."""
+    key = _order_key(order_col, df.schema[order_col].dataType)
     if weighted:
         w_key = F.when(F.col("weight").isNull(), F.lit(0).cast("bigint")) \
                  .otherwise(F.col("weight").cast("bigint") + F.lit(_WEIGHT_OFFSET))
         dec = "decimal(38,0)"
-        key = F.min(t_key.cast(dec) * F.expr(_WEIGHT_SHIFT) + w_key.cast(dec)).alias("__k")
+        key = key.cast(dec) * F.expr(_WEIGHT_SHIFT) + w_key.cast(dec)
         t_part = F.expr(f"CAST(__k div {_WEIGHT_SHIFT} AS BIGINT)")
         w_part = F.expr(f"CAST(__k % {_WEIGHT_SHIFT} AS BIGINT)")
     else:
-        key = F.min(t_key).alias("__k")
         t_part, w_part = F.col("__k"), F.lit(_WEIGHT_OFFSET + 1).cast("bigint")
-    per = df.groupBy(id_col, *demos).agg(key, F.min(order_col).alias("__t"),
-                                         F.max(F.col(order_col).isNull().cast("int")).alias("__null"))
-    first_t = F.when(F.col("__null") == 0, F.col("__t"))
-    per = per.select(id_col, *demos, t_part.alias("__tk"), w_part.alias("__wk"), first_t.alias("__ts"))
-    if demos:  # per id, the smallest over its few segments
-        fields = ["__tk", *demos, "__wk", "__ts"]
-        least = per.groupBy(id_col).agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(fields)])).alias("__f"))
-        per = least.select(*[F.col(f"__f.c{i}").alias(c) for i, c in enumerate(fields)])
+    ds = [f"__d{k}" for k in range(len(demos))]
+    rows = _both(df, demos, id_col, order_col, weighted, True, {"__k": key, "__s": F.col(order_col)})
+    per = (rows.groupBy("__of_id", "__id", *ds, "__t")
+           .agg(F.sum("__i").alias("__i"), F.min("__k").alias("__k"), F.min("__s").alias("__s")))
+    # a NULL time is the smallest key (min() of the time itself skips it)
+    per = per.select("__of_id", "__id", *ds, "__t", "__i", t_part.alias("__tk"), w_part.alias("__wk"), "__s")
+    if demos:  # per id, the smallest over its few segments; slot rows pass
+        of_id = F.col("__of_id")
+        least = F.when(of_id, F.struct("__tk", *ds, "__wk", "__s"))
+        out = (per.groupBy("__of_id", "__id", *[F.when(~of_id, F.col(d)).alias(d) for d in ds], "__t")
+               .agg(F.sum("__i").alias("__i"), F.min(least).alias("__f")))
+        per = out.select("__of_id", "__t", "__i", F.col("__f.__tk").alias("__tk"), F.col("__f.__wk").alias("__wk"),
+                         F.col("__f.__s").alias("__s"), *[F.when(of_id, F.col(f"__f.{d}")).otherwise(F.col(d)).alias(d) for d in ds])
     weight = F.when(F.col("__wk") == 0, F.lit(0)).otherwise(F.col("__wk") - F.lit(_WEIGHT_OFFSET)).cast("bigint")
-    return per.select(*demos, F.col("__ts").alias(order_col), weight.alias("r"))
-
-
-def _first_struct(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str],
-                  weighted: bool) -> DataFrame:
-    """``[demos], time, r`` of the smallest (time, tiebreak, demos, weight) of every id."""
-    carried = list(dict.fromkeys([order_col, *tiebreak, *demos] + (["weight"] if weighted else [])))
-    first = (
-        df.groupBy(id_col)
-        .agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("f"))
-        .select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carried)])
-    )
-    return first.select(*demos, order_col, (_weight_col(first) if weighted else F.lit(1).cast("bigint")).alias("r"))
+    time = F.when(~F.col("__of_id"), F.col("__t")).when(F.col("__tk") != 0, F.col("__s"))
+    return per.select(*[F.col(d).alias(name) for d, name in zip(ds, demos, strict=True)], time.alias(order_col),
+                      F.when(F.col("__of_id"), weight).otherwise(F.lit(0).cast("bigint")).alias("__r"), "__i")
+
+
+def _least_struct(df: DataFrame, id_col: str, order_col: str, demos: list[str], tiebreak: list[str], weighted: bool) -> DataFrame:
+    """The same for any order column, by the smallest (time, tiebreak, demos, weight) of every id."""
+    names = list(dict.fromkeys([order_col, *tiebreak, *demos] + (["weight"] if weighted else [])))
+    at = {name: f"c{k}" for k, name in enumerate(names)}
+    ds = [f"__d{k}" for k in range(len(demos))]
+    rows = _both(df, demos, id_col, order_col, weighted, False,
+                 {"__f": F.struct(*[F.col(name).alias(c) for name, c in at.items()])})
+    per = rows.groupBy("__of_id", "__id", *ds, "__t").agg(F.sum("__i").alias("__i"), F.min("__f").alias("__f"))
+    of_id = F.col("__of_id")
+    if weighted:
+        kind = df.schema["weight"].dataType
+        w = F.col(f"__f.{at['weight']}")
+        r = F.coalesce(w.cast("bigint"), F.lit(0).cast("bigint")) if isinstance(kind, _INTEGRAL) else F.coalesce(w.cast("double"), F.lit(0.0))
+    else:
+        r = F.lit(1).cast("bigint")
+    nothing = F.lit(0).cast(per.schema["__i"].dataType)
+    return per.select(*[F.when(of_id, F.col(f"__f.{at[name]}")).otherwise(F.col(d)).alias(name) for d, name in zip(ds, demos, strict=True)],
+                      F.when(of_id, F.col(f"__f.{at[order_col]}")).otherwise(F.col("__t")).alias(order_col),
+                      F.when(of_id, r).otherwise(nothing).alias("__r"), "__i")

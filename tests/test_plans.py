@@ -40,17 +40,24 @@ def test_no_nested_loop_or_cartesian_joins(spark, name):
 
 @pytest.mark.parametrize("demos, mode", [(None, "count"), (["age_range"], "count"), (["age_range"], "weighted")])
 def test_reach_builds_the_slot_table_once(spark, demos, mode):
-    """One scan for the first exposures, one for the slots; the prefix sum's second use is reused."""
+    """One scan feeds the first exposures and the slots; the prefix sum's second use is reused."""
     plan = final_plan(generate_reach_table(line_impressions(spark, SF_SMALL), demo_cols=demos, mode=mode))
-    assert plan.count("FileScan parquet [l_orderkey") == 2
+    assert plan.count("FileScan parquet [l_orderkey") == 1
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("name", ["vid_reach_count", "vid_reach_segment", "pool_info", "pool_info_segment"])
+def test_the_assignment_runs_once(spark, name):
+    plan = final_plan(QUERIES[name](spark, SF_SMALL))
+    lines = [line for line in plan.splitlines() if "FileScan parquet" in line and "ts#" in line]
+    assert len(lines) == 1, plan
+
+
 def test_segmented_flow_fits_once(spark):
     plan = final_plan(QUERIES["flow_segment"](spark, SF_SMALL))
-    # the reach over VIDs reads the assignment twice, each through the same reused model table
+    # the reach over VIDs reads the assignment once, through one model table
     nodes = [line for line in plan.splitlines() if "MapInPandas" in line]
-    assert 1 <= len(nodes) <= 2
+    assert len(nodes) == 1
     table = final_plan(QUERIES["fit_recovery_segment"](spark, SF_SMALL))
     assert sum("MapInPandas" in line for line in table.splitlines()) == 1
 
