@@ -23,17 +23,12 @@ def target_partitions(df: DataFrame) -> int:
 
 
 def explode_count(df: DataFrame, n_col: str, out_col: str, chunk: int = DEFAULT_CHUNK,
-                  spread_by=(), partitions: int | None = None, spread_small: bool = True) -> DataFrame:
-    """Replace each row by rows ``out_col = 0 .. n - 1`` (rows with ``n < 1`` vanish).
-
-    ``spread_small=False`` expands rows of at most one chunk where they are: only
-    rows of several chunks are dealt out.
-    """
+                  spread_by=(), partitions: int | None = None) -> DataFrame:
+    """Replace each row by rows ``out_col = 0 .. n - 1`` (rows with ``n < 1`` vanish).  ``df`` is
+    evaluated once: rows of one chunk and of many go through the same exchange, by
+    ``spread_by`` and the number of the chunk."""
     chunk = int(chunk)
     n = F.col(n_col).cast("bigint")
-    if not spread_small:
-        here = df.where((n >= 1) & (n <= chunk)).withColumn(out_col, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-        return here.unionByName(explode_count(df.where(n > chunk), n_col, out_col, chunk, spread_by, partitions))
     parts = partitions or target_partitions(df)
     chunks = (
         df.where(n >= 1)

@@ -99,6 +99,63 @@ def bucketed_row_number(df: DataFrame, part_cols: Sequence[str], order_cols: Seq
     return out.select(*df.columns, *extra)
 
 
+SPLITTERS = 128  # rows drawn to cut hot parts: each of their ranges holds about 1 / SPLITTERS of all rows
+
+
+def drawn_rows(df: DataFrame, row_hash: Column, n: int = SPLITTERS) -> DataFrame:
+    """About ``n`` rows of ``df`` (at most ``n`` different hashes): the smallest hash of each of ``n`` classes
+    of hashes.  A row's hash decides, so every evaluation draws the same ones; hash aggregates and a
+    semi-join with at most ``n`` broadcast rows."""
+    hashed = df.withColumn("__h", row_hash)
+    least = hashed.groupBy(F.pmod("__h", F.lit(n)).alias("__class")).agg(F.min("__h").alias("__h")).select("__h")
+    return hashed.join(F.broadcast(least), "__h", "left_semi").drop("__h")
+
+
+def ranked_by_ranges(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[str], out_col: str,
+                     total_col: str | None = None, n: int = SPLITTERS) -> DataFrame:
+    """Add ``out_col = row_number() over (partition by part order by order_cols)`` and optionally
+    ``total_col = count(*) over (partition by part)``, with one shuffle of the rows whatever parts are hot.
+
+    ``n`` rows are drawn from the whole table, so a part with a third of all rows is drawn about n / 3 times:
+    these rows cut it into ranges of (order, hash of the row), even if it lies within one second or at one
+    instant.  A row's rank is its rank in its range plus the part's rows in earlier ranges.  Parts that are
+    not drawn (nearly all) are one range.  What travels is bounded: at most ``n`` cuts and their counts, both
+    broadcast; the counts are combined map-side.  (Rows that are equal in all columns stay in one range.)
+    """
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    hashable = [f.name for f in df.schema.fields if not _holds_map(f.dataType)]
+    row_hash = F.xxhash64(*hashable)
+    part = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(part_cols)])  # equal structs: NULL fields too
+    # rows of one order are cut by another hash than the one that draws
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)], F.xxhash64(row_hash).alias("s"))
+    cuts = (drawn_rows(df, row_hash, n).select(part.alias("__part"), place.alias("__cut"))
+            .groupBy("__part").agg(F.collect_set("__cut").alias("__cuts")))
+
+    keyed = df.withColumn("__part", part).join(F.broadcast(cuts), "__part", "left")
+    placed = keyed.withColumn("__range", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("__cuts", lambda cut: cut <= place)))).withColumn("__cut", F.col("__cuts").isNotNull()).drop("__cuts")
+
+    counts = placed.where("__cut").groupBy("__part", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__part").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+                            F.sum("__n").over(Window.partitionBy("__part")).alias("__total"))  # at most 2 n rows
+    joined = placed.drop("__cut").join(F.broadcast(offsets), ["__part", "__range"], "left")
+
+    within = Window.partitionBy(*part_cols, "__range")
+    out = {out_col: (F.row_number().over(within.orderBy(*order_cols)) + F.coalesce("__before", F.lit(0))).cast("bigint")}
+    if total_col:
+        out[total_col] = F.coalesce("__total", F.count(F.lit(1)).over(within))
+    return joined.withColumns(out).select(*df.columns, *out)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 RANGE_SAMPLES = 16  # boundaries of an ordered table; buckets hold about 1 / RANGE_SAMPLES of its rows
 
 

@@ -11,9 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from reachkit.sources.schema import as_list
+from reachkit.sources.schema import as_list, require_columns
 
 
 def read_table(spark: SparkSession, source: str, name: str | None = None, catalog: bool = False) -> DataFrame:
@@ -26,13 +25,17 @@ def read_table(spark: SparkSession, source: str, name: str | None = None, catalo
 
 
 def read_census_csv(spark: SparkSession, path: str, demo_cols) -> DataFrame:
-    """Census CSV with a header: demo columns as strings and ``population``."""
-    demo_cols = as_list(demo_cols)
-    schema = T.StructType(
-        [T.StructField(c, T.StringType(), True) for c in demo_cols]
-        + [T.StructField("population", T.LongType(), True)]
-    )
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Census CSV with a header: the demo columns as strings and ``population`` as a whole number.
+
+    Columns are found by their names in the header, in whatever order, beside any others; an empty field is
+    NULL.  A missing column raises at once, a population that is no whole number when its row is read."""
+    demos = as_list(demo_cols)
+    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)  # every column a string
+    require_columns(raw, [*demos, "population"], "census column")
+    whole = F.trim(F.col("population"))
+    number = F.when(whole.isNull() | whole.rlike(r"^[+-]?[0-9]+$"), whole.cast("bigint")).otherwise(
+        F.raise_error(F.concat(F.lit("census population is no whole number: "), whole)).cast("bigint"))
+    return raw.select(*demos, number.alias("population"))
 
 
 def _gender(key: Column) -> Column:

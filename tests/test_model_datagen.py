@@ -246,3 +246,26 @@ def test_octave_sums_are_the_sums_over_the_points(spark):
         res = sums.columns(rates) @ amp - sums.y
         want = float(((curve(amp, rates, imp / 1000) - r) ** 2).sum())
         assert float(res @ res) + sums.rest == pytest.approx(want, rel=1e-7)
+
+
+def test_census_csv_goes_by_its_header(spark, tmp_path):
+    from reachkit.sources import read_census_csv
+
+    path = tmp_path / "census.csv"
+    path.write_text("population,gender,age_range,extra\n10,male,18_24,1\n 7 ,,25_34,x\n,female,18_24,\n")
+    census = read_census_csv(spark, str(path), ["age_range", "gender"])
+    assert census.columns == ["age_range", "gender", "population"]
+    got = sorted(map(tuple, census.collect()), key=repr)
+    assert got == sorted([("18_24", "male", 10), ("25_34", None, 7), ("18_24", "female", None)], key=repr)
+    with pytest.raises(ValueError, match="education"):
+        read_census_csv(spark, str(path), ["education"])
+    path.write_text("gender,population\nmale,many\n")
+    with pytest.raises(Exception, match="no whole number"):
+        read_census_csv(spark, str(path), ["gender"]).collect()
+
+
+def test_generation_evaluates_the_people_once(spark, census):
+    people = add_n_impressions(gen_people_table(census, ["seg"]), impressions_per_person=6, population_total=260, seed=1)
+    rows = gen_synthetic_impressions(people, "2020-03-01 00:00:00", "2020-07-01 00:00:00", ["seg"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence(0, cast(FLOOR") <= 2 and "Union" not in plan

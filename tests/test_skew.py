@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reachkit import add_exposure_index, generate_frequency_table, generate_reach_table
+from reachkit import add_exposure_index, add_frequency_total, generate_frequency_table, generate_reach_table
 
 T0 = dt.datetime(2024, 1, 1)
 N_COLD = 4000
@@ -67,3 +67,54 @@ def test_aggregates_combine_before_shuffle(spark, skewed):
         assert "SortAggregate" not in plan.split("Exchange")[-1]  # raw rows are hash-aggregated
     rows = generate_reach_table(skewed).agg(F.max("reach"), F.max("impression")).first()
     assert tuple(rows) == (401, N_HOT + N_COLD)
+
+
+def test_hot_null_id_inside_one_second(spark, no_coalesce):
+    rows = [(f"u{i % 400}", T0 + dt.timedelta(minutes=37 * i), i % 5) for i in range(6000)]
+    rows += [(None, T0 + dt.timedelta(microseconds=331 * i), i % 5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id string, timestamp timestamp_ntz, kind int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = add_frequency_total(df)
+        assert max_partition_share(out) < 0.1
+        got = out.where("user_id is null").orderBy("timestamp").select("exposure_index", "frequency_total").collect()
+        assert [tuple(r) for r in got] == [(i, 3000) for i in range(1, 3001)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    plain = add_frequency_total(df, bucket=None)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_hot_id_at_one_instant_without_a_tiebreak(spark, no_coalesce):
+    rows = [("hot", T0, f"d{i}") for i in range(3000)] + [(f"u{i}", T0, "d") for i in range(6000)]
+    df = spark.createDataFrame(rows, "user_id string, timestamp timestamp_ntz, device string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = add_exposure_index(df)
+        assert max_partition_share(out) < 0.1
+        assert sorted(r[0] for r in out.where("user_id = 'hot'").select("exposure_index").collect()) == list(range(1, 3001))
+        assert out.where("user_id != 'hot'").agg(F.max("exposure_index")).first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_strings_with_a_common_prefix_are_split(spark, no_coalesce):
+    rows = [("hot", f"2024-01-01T{i:09d}", i) for i in range(3000)] + [(f"u{i % 700}", f"2024-01-01T{i:09d}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "user_id string, t string, i int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = add_exposure_index(df, order_col="t")
+        assert max_partition_share(out) < 0.1
+        got = [r[0] for r in out.where("user_id = 'hot'").orderBy("t").select("exposure_index").collect()]
+        assert got == list(range(1, 3001))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_ranges_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "user_id string, timestamp timestamp_ntz")
+    assert add_frequency_total(empty).collect() == []
+    rows = [("a", T0, {"k": 1}), ("a", T0, {"k": 1}), (None, None, None), (None, T0, None)]
+    df = spark.createDataFrame(rows, "user_id string, timestamp timestamp_ntz, extra map<string,int>")
+    got = sorted((r.user_id or "", r.exposure_index, r.frequency_total) for r in add_frequency_total(df).collect())
+    assert got == [("", 1, 2), ("", 2, 2), ("a", 1, 2), ("a", 2, 2)]
