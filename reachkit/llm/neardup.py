@@ -4,26 +4,29 @@ A document's set is its distinct shingles of ``shingle`` words.  Two documents a
 sets' Jaccard similarity is at least ``threshold``; a component is what links reach.
 
 1. one pass over the texts: set size, a 128-bit set hash and a signature of minimum hashes;
-2. documents with equal sets collapse to one representative (combined map-side);
-3. bands of the signature deal representatives into buckets;
+2. documents with equal sets collapse to one class (combined map-side), numbered in its written table;
+3. bands of the signature deal classes into buckets;
 4. inside a bucket's task, candidates are compared by batches of signature values; after each batch a
    pair whose posterior probability of reaching the threshold is below ``miss`` is pruned (uniform
    prior).  At first only a heaviest forest of the survivors (by matches) leaves the task: fewer links
-   than members, the likeliest ones;
-5. survivors are verified on their full sets; components are joined by star steps;
-6. in buckets that still hold several components, every pair of different components is compared on
-   ``MORE`` further values as well, and every survivor is verified too.  So no pair of a bucket is lost,
-   while pairs joined through others, and pairs clearly below the threshold, are never built.
+   than members, the likeliest ones; they are verified on the full sets and joined by star steps;
+5. in buckets that still hold several components, every pair of different components is compared on
+   ``MORE`` further values as well, and every survivor is verified on the full sets, which come into the
+   task once per class.  Only confirmed links leave it, reduced to a forest: a group of documents just
+   below the threshold is compared in its tasks, and its pairs are never rows.  So no pair of a bucket is
+   lost;
+6. links join documents: the classes' smallest doc_ids, and every doc_id that lies in several classes.
 
-A bucket of more than ``BLOCK`` rows is compared in pairs of blocks, each a group of its own.
+A bucket of more than ``BLOCK`` rows (at step 5 of more than ``BLOCK_BYTES`` of sets) is compared in pairs
+of blocks, each a group of its own.
 
 Chance: a pair at the threshold meets in no band with probability (1 - t**rows)**bands (3e-5 for the
 defaults); each Bayesian batch loses less than ``miss``.
 
 Edge cases: without words or text a set is empty and linked with nothing; a text of fewer than
-``shingle`` words is one shingle; rows without a doc_id are left out; rows sharing a doc_id are told
-apart by their sets (the id names each one's component); an empty table gives no row; extra columns
-are ignored (``keep_one`` keeps them).
+``shingle`` words is one shingle; rows without a doc_id are left out; rows sharing a doc_id are one
+document with several sets: each of them links it; an empty table gives no row; extra columns are
+ignored (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
@@ -39,14 +42,17 @@ from pyspark.sql import functions as F
 
 from reachkit.llm import common as c
 from reachkit.llm.common import U64
-from reachkit.llm.components import connected_components
+from reachkit.llm.components import connected_components, shared_id_links
+from reachkit.llm.repeats import ranges
 
 SHINGLE, THRESHOLD = 4, 0.8
 BANDS, ROWS = 26, 5
 MISS = 1e-5
 STEP = 26  # signature values compared before each decision
 MORE, MORE_STEP = 512, 128  # further values (one byte each) of documents in buckets, for near misses
-BLOCK = 50_000  # rows of a bucket compared in one task
+BLOCK = 16_384  # rows of a bucket compared in one task
+BLOCK_BYTES = 8 << 20  # of the sets of a bucket compared in one task
+GROUP_BYTES = 16 << 20  # of the sets of small buckets that share a task
 SEED = 20240229
 
 
@@ -118,21 +124,21 @@ def _signed(docs: DataFrame, shingle: int, n_hashes: int) -> DataFrame:
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, band, rep, m`` of the buckets with ``m`` of at least two representatives."""
+    """``key, band, sid, m`` of the buckets with ``m`` of at least two classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = c.flat(c.column(batch, "sig"))[0].view(np.uint32).reshape(batch.num_rows, -1)
-            ids = c.column(batch, "rep")
+            ids = c.column(batch, "sid")
             for band in range(bands):
                 part = sig[:, band * rows:(band + 1) * rows].astype(U64)
                 key = np.full(len(part), band + 1, U64)
                 for j in range(rows):
                     key = c.mix(key * U64(0x9E3779B97F4A7C15) + part[:, j])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), band, np.int32)), ids],
-                                                 ["key", "band", "rep"])
+                                                 ["key", "band", "sid"])
 
-    rows_ = c.stored(reps.select("rep", "sig").mapInArrow(run, "key long, band int, rep long"), "neardup-bands")
+    rows_ = c.stored(reps.select("sid", "sig").mapInArrow(run, "key long, band int, sid long"), "neardup-bands")
     many = c.stored(rows_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "neardup-keys")
     return c.stored(rows_.join(many.hint("merge"), "key"), "neardup-buckets")
 
@@ -188,23 +194,20 @@ def _survivors(left: np.ndarray, right: np.ndarray, same: np.ndarray, done: int,
     return alive, same
 
 
-def _compare(sig: np.ndarray, more: np.ndarray | None, comp: np.ndarray, stops, before: int,
-             rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket, in different components, that survive the batches of signature
-    values, and then those of ``more`` (each pair in the first band where it meets: ``before`` bands of
-    ``rows`` values lie ahead of this one); without ``more`` only a heaviest forest (by matches) over
-    the components.  Rows of the largest component are met by the others, never by each other; memory is
-    bounded by the chunks."""
-    m = len(comp)
-    value, which, size = np.unique(comp, return_inverse=True, return_counts=True)
-    none = np.zeros(0, np.int64)
-    if len(value) < 2:
-        return none, none
+def _compare(sig: np.ndarray, more: np.ndarray | None, which: np.ndarray, stops, before: int,
+             rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, other rows, matches) of one bucket, in different components ``which``, that survive the batches
+    of signature values, and then those of ``more`` (each pair in the first band where it meets: ``before``
+    bands of ``rows`` values lie ahead of this one), in batches of bounded size.  Rows of the largest
+    component are met by the others, never by each other."""
+    m = len(which)
+    size = np.bincount(which)
+    if len(size) < 2:
+        return
     large = int(size.argmax())
     outside = np.flatnonzero(which != large)
     first, least = stops[0]
     values = sig.shape[1]
-    xs, ys, ws = none, none, none
     step = max(1, 50_000 // m)
     for i in range(0, len(outside), step):
         part = outside[i:i + step]
@@ -223,13 +226,52 @@ def _compare(sig: np.ndarray, more: np.ndarray | None, comp: np.ndarray, stops,
         if more is not None:  # one byte each: unequal values agree once in 256, so nothing is lost
             alive, same = _survivors(more[x], more[y], same, 0, [(n - values, least) for n, least in stops if n > values])
             x, y = x[alive], y[alive]
-        xs, ys, ws = (np.concatenate(z) for z in ((xs, x), (ys, y), (ws, same)))
-        if more is None:  # the forest of all edges is the forest of forests
-            keep = max_forest(xs, ys, ws, which)
-            xs, ys, ws = xs[keep], ys[keep], ws[keep]
+        if len(x):
+            yield x, y, same
+
+
+def _forest(batches, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A heaviest forest (by matches) over the components: the forest of all edges is the forest of forests."""
+    xs = ys = ws = np.zeros(0, np.int64)
+    for batch in batches:
+        xs, ys, ws = (np.concatenate(z) for z in zip((xs, ys, ws), batch, strict=True))
+        keep = max_forest(xs, ys, ws, which)
+        xs, ys, ws = xs[keep], ys[keep], ws[keep]
     return xs, ys
 
 
+def _linked(batches, which: np.ndarray, sets: tuple[np.ndarray, np.ndarray, np.ndarray], mark: np.ndarray,
+            up: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs whose full sets reach the threshold (``up`` millionths), over the components.
+    ``sets``: numbers of shingles, first and after the last of every row; ``mark``: a false entry per number.
+    Pairs that confirmed links join already are not verified."""
+    flat, start, end = sets
+    label, xs, ys = which.copy(), [], []
+    for x, y, _ in batches:
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        cut = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(x)).tolist(), strict=True):
+            one, others = int(x[lo]), y[lo:hi]
+            mine = flat[start[one]:end[one]]
+            mark[mine] = True
+            # a bounded number of shingles at a time
+            for i in range(0, len(others), 512):
+                part = others[i:i + 512]
+                part = part[label[part] != label[one]]
+                if len(part) == 0:
+                    continue
+                size = end[part] - start[part]
+                both = np.add.reduceat(mark[flat[ranges(start[part], size)]].astype(np.int64), np.cumsum(size) - size)
+                for other in part[both * 1_000_000 >= up * (size + len(mine) - both)].tolist():
+                    if label[other] != label[one]:
+                        xs.append(one)
+                        ys.append(other)
+                        label[label == label[other]] = label[one]
+            mark[mine] = False
+    return np.array(xs, np.int64), np.array(ys, np.int64)
+
+
 def _rows(col: pa.ChunkedArray, kind) -> np.ndarray:
     """Matrix of a binary column whose rows are equally long."""
     buf, start, end = c.flat(col)
@@ -238,118 +280,162 @@ def _rows(col: pa.ChunkedArray, kind) -> np.ndarray:
     return buf[int(start[0]):int(end[-1])].view(kind).reshape(len(start), -1)
 
 
-def _inside(buckets: DataFrame, labels: DataFrame | None, sigs: DataFrame, threshold: float, miss: float, n_hashes: int,
-            rows: int, block: int) -> DataFrame:
-    """Surviving pairs ``a, b`` of different components inside the buckets: at first a heaviest forest
-    of each bucket, with ``labels`` all pairs of the buckets that still hold several components."""
-    stops = list(range(STEP, n_hashes + 1, STEP)) + list(range(n_hashes + MORE_STEP, n_hashes + MORE + 1, MORE_STEP))
-    stops = [(n, least_matches(n, threshold, miss)) for n in stops]
-    if labels is None:
-        named = buckets.withColumn("comp", F.col("rep"))
-    else:
-        named = buckets.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("comp")).hint("merge"),
-                             "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        named = c.stored(named, "neardup-named")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        mixed = c.stored(mixed.select("key"), "neardup-mixed")
-        named = c.stored(named.join(mixed.hint("merge"), "key"), "neardup-live")
-    groups = c.group_count(buckets.sparkSession, named.count(), 8192)
-    # small buckets share a group; a large one is dealt to pairs of its blocks
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    live = (named.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _stops(threshold: float, miss: float, n_hashes: int, more: bool) -> list[tuple[int, int]]:
+    """(values compared, least matches) of the batches."""
+    stops = list(range(STEP, n_hashes + 1, STEP))
+    if more:
+        stops += list(range(n_hashes + MORE_STEP, n_hashes + MORE + 1, MORE_STEP))
+    return [(n, least_matches(n, threshold, miss)) for n in stops]
+
+
+def _in_buckets(table: pa.Table, pairs_of) -> pa.Table:
+    """``a, b`` of the buckets of one group: ``pairs_of(rows, component numbers, band)`` of each."""
+    key = table.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    sid, comp, band = (table.column(x).to_numpy()[order] for x in ("sid", "comp", "band"))
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
+        _, which = np.unique(comp[lo:hi], return_inverse=True)
+        x, y = pairs_of(order[lo:hi], which, int(band[lo]))
+        found.append(np.stack([sid[lo:hi][x], sid[lo:hi][y]], 1))
+    pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _dealt(rows: DataFrame, blocks, groups: int) -> DataFrame:
+    """Small buckets share a group ``g``; one of several ``blocks`` is dealt to pairs of its blocks."""
+    live = (rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))))
     g = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    forest = labels is None
+    return live.select(g.alias("g"), "key", "band", "sid", "comp")
+
+
+def _likely(buckets: DataFrame, sigs: DataFrame, threshold: float, miss: float, n_hashes: int, rows: int, block: int) -> DataFrame:
+    """The likeliest pairs ``a, b`` of every bucket: a heaviest forest over its classes."""
+    stops = _stops(threshold, miss, n_hashes, False)
 
     def run(table: pa.Table) -> pa.Table:
-        key = table.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rep, comp, band = (table.column(x).to_numpy()[order] for x in ("rep", "comp", "band"))
         table = table.combine_chunks()
         sig = _rows(table.column("sig"), np.uint32)
-        more = None if forest else _rows(table.column("more"), np.uint8)
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        found = [np.zeros((0, 2), np.int64)]
-        for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
-            mine = order[lo:hi]
-            x, y = _compare(sig[mine], None if forest else more[mine], comp[lo:hi], stops, int(band[lo]), rows)
-            found.append(np.stack([rep[lo:hi][x], rep[lo:hi][y]], 1))
-        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    live = live.select(g.alias("g"), "key", "band", "rep", "comp").join((sigs.drop("more") if forest else sigs).hint("merge"), "rep")
+        out = _in_buckets(table, lambda mine, which, band: _forest(_compare(sig[mine], None, which, stops, band, rows), which))
+        c.release()
+        return out
+
+    groups = c.group_count(buckets.sparkSession, buckets.count(), 8192)
+    live = _dealt(buckets.withColumn("comp", F.col("sid")), F.ceil(F.col("m") / F.lit(block)), groups)
+    live = live.join(sigs.select("sid", "sig").hint("merge"), "sid")
+    return live.groupBy("g").applyInArrow(run, "a long, b long").where("a < b").distinct()
+
+
+def _rest(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, threshold: float, miss: float, n_hashes: int, rows: int,
+          block_bytes: int) -> DataFrame:
+    """Confirmed links ``a, b`` of the buckets that still hold several components: a forest per group."""
+    stops = _stops(threshold, miss, n_hashes, True)
+    up = round(threshold * 1_000_000)  # exact in integers
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sig, more = _rows(table.column("sig"), np.uint32), _rows(table.column("more"), np.uint8)
+        buf, start, end = c.flat(table.column("shingles"))
+        held = buf[int(start[0]):int(end[-1])].view(np.uint64) if len(start) else np.zeros(0, U64)
+        flat = np.unique(held, return_inverse=True)[1]
+        mark = np.zeros(len(flat), bool)
+        start, end = (start - start[0]) // 8, (end - start[0]) // 8
+
+        def pairs(mine, which, band):
+            batches = _compare(sig[mine], more[mine], which, stops, band, rows)
+            return _linked(batches, which, (flat, start[mine], end[mine]), mark, up)
+
+        out = _in_buckets(table, pairs)
+        c.release()
+        return out
+
+    named = buckets.drop("m").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("comp")).hint("merge"),
+                                   "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    named = c.stored(named.join(sigs.select("sid", "bytes").hint("merge"), "sid"), "neardup-named")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("bytes").alias("held"))
+    mixed = c.stored(mixed.where("lo < hi").select("key", "held"), "neardup-mixed")
+    named = c.stored(named.join(mixed.hint("merge"), "key"), "neardup-live")
+    held = named.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    live = _dealt(named, F.ceil(F.col("held") / F.lit(block_bytes)), c.group_count(buckets.sparkSession, held, GROUP_BYTES))
+    live = live.join(sigs.select("sid", "sig", "more", "shingles").hint("merge"), "sid")
     return live.groupBy("g").applyInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def _confirm(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    # exact in integers: the threshold as a fraction of 10**6
-    up = round(threshold * 1_000_000)
+    up = round(threshold * 1_000_000)  # exact in integers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = c.flat(c.column(batch, "ta")), c.flat(c.column(batch, "tb"))
-            for i, j in c.row_slices(ta[1], ta[2] + (tb[2] - tb[1])):
-                sets = []
-                for buf, start, end in (ta, tb):
-                    lo, hi = int(start[i]), int(end[j - 1])
-                    sets.append(shingle_sets(buf[lo:hi], start[i:j] - lo, end[i:j] - lo, shingle))
-                key = np.sort(np.concatenate([s[1].astype(U64) << U64(48) | s[0] for s in sets]))
+            sides = [c.flat(c.column(batch, x)) for x in ("sa", "sb")]
+            for i, j in c.row_slices(sides[0][1], sides[0][2] + (sides[1][2] - sides[1][1])):
+                keys, sizes = [], []
+                for buf, start, end in sides:
+                    size = (end[i:j] - start[i:j]) // 8
+                    row = np.repeat(np.arange(j - i, dtype=U64), size)
+                    keys.append(row << U64(48) | buf[int(start[i]):int(end[j - 1])].view(np.uint64))
+                    sizes.append(size)
+                key = np.sort(np.concatenate(keys))
                 both = np.bincount((key[1:][key[1:] == key[:-1]] >> U64(48)).astype(np.int64), minlength=j - i)
-                union = sets[0][2] + sets[1][2] - both
-                keep = pa.array(np.flatnonzero(both * 1_000_000 >= up * union) + i)
+                keep = pa.array(np.flatnonzero(both * 1_000_000 >= up * (sizes[0] + sizes[1] - both)) + i)
                 yield pa.RecordBatch.from_arrays([c.column(batch, x).take(keep) for x in ("a", "b")], ["a", "b"])
 
-    met = (pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-           .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge"), "b"))
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    met = (pairs.join(sigs.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
+           .join(sigs.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b"))
+    return c.mapped(met.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 # ---------------------------------------------------------------- rounds
 
-def _with_more(texts: DataFrame, shingle: int, skip: int) -> DataFrame:
-    """``rep, text, more``: further signature values."""
+def _full_sets(texts: DataFrame, shingle: int, skip: int) -> DataFrame:
+    """``sid, more, shingles, bytes``: further signature values and the whole set of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, done = c.column(batch, "text"), 0
-            for ids, buf, start, end in c.text_slices(iter([batch]), "rep"):
-                value, _, size = shingle_sets(buf, start, end, shingle)
-                more = signatures(value, size, MORE, skip, np.uint8)
-                yield pa.RecordBatch.from_arrays([ids, text.slice(done, len(ids)), c.packed(more.reshape(-1), (size > 0) * MORE)],
-                                                 ["rep", "text", "more"])
-                done += len(ids)
+        for ids, buf, start, end in c.text_slices(batches, "sid"):
+            value, _, size = shingle_sets(buf, start, end, shingle)
+            more = signatures(value, size, MORE, skip, np.uint8)
+            yield pa.RecordBatch.from_arrays([ids, c.packed(more.reshape(-1), (size > 0) * MORE), c.packed(value, size),
+                                              pa.array(8 * size + MORE)], ["sid", "more", "shingles", "bytes"])
 
-    return texts.mapInArrow(run, "rep long, text string, more binary")
+    return c.mapped(texts, run, "sid long, more binary, shingles binary, bytes long")
 
 
 def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
-          bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(``k1, k2, rep``: the representative of every set; ``node, component``: what links join)."""
+          bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK,
+          block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(``k1, k2, rep``: every class with its smallest doc_id; ``node, component``: what links join)."""
     reps = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = c.stored(reps, "neardup-reps")
-    # a doc_id on rows with different sets names one node
-    sigs = reps.select("rep", "sig")
-    buckets = _buckets(sigs, bands, rows)
-    inside = c.stored(buckets.select("rep").distinct(), "neardup-inside")
-    texts = (c.documents(docs).where("doc_id is not null")
-             .join(F.broadcast(inside) if inside.count() <= 1 << 20 else inside, F.col("doc_id") == F.col("rep"), "left_semi"))
-    texts = c.stored(_with_more(texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), shingle, bands * rows),
-                     "neardup-texts")
-    both = c.stored(sigs.join(texts.select("rep", "more").hint("merge"), "rep"), "neardup-sigs")
-    labels = tested = None
-    for _ in ("forest", "rest"):
-        pairs = _inside(buckets, labels, both, threshold, miss, bands * rows, rows, block)
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        tested = c.stored(pairs, "neardup-survivors")
-        found = _confirm(tested, texts, shingle, threshold)
-        if labels is not None:  # what is joined already, as one link per node
-            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = c.stored(connected_components(c.stored(found, "neardup-links")), "neardup-labels")
+        F.min(F.struct("doc_id", "tid")).alias("least"), F.first("sig").alias("sig"))
+    reps = c.stored(reps.select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.tid").alias("tid"), "sig",
+                                F.monotonically_increasing_id().alias("sid")), "neardup-reps")  # fixed by being written
+    buckets = _buckets(reps.select("sid", "sig"), bands, rows)
+    inside = buckets.select("sid").distinct().join(reps.select("sid", "rep", "tid").hint("merge"), "sid")
+    inside = c.stored(inside, "neardup-inside")
+    own = c.documents(docs).where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
+    few = inside.count() <= 1 << 19  # three longs a row
+    texts = own.join(F.broadcast(inside) if few else inside, (F.col("doc_id") == F.col("rep")) & (own["tid"] == inside["tid"]))
+    texts = texts.select("sid", "text").dropDuplicates(["sid"])  # repeated rows
+    sets = c.stored(_full_sets(texts, shingle, bands * rows), "neardup-sets")
+    sigs = c.stored(reps.select("sid", "sig").join(sets.hint("merge"), "sid"), "neardup-sigs")
+    likely = c.stored(_likely(buckets, sigs, threshold, miss, bands * rows, rows, block), "neardup-likely")
+    first = c.stored(_confirm(likely, sigs, threshold), "neardup-first")
+    labels = c.stored(connected_components(first), "neardup-labels")
+    rest = _rest(buckets, labels, sigs, threshold, miss, bands * rows, rows, block_bytes)
+    # what is joined already, as one link per class
+    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b")
+    found = c.stored(joined.unionByName(rest), "neardup-links")
+    # from classes to documents: the classes' smallest ids, and ids that lie in several classes
+    ids = reps.select("sid", "rep")
+    between = (found.join(ids.select(F.col("sid").alias("a"), F.col("rep").alias("ra")).hint("merge"), "a")
+               .join(ids.select(F.col("sid").alias("b"), F.col("rep").alias("rb")).hint("merge"), "b")
+               .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    members = signed.where("n_shingles > 0").select("doc_id", "k1", "k2")
+    between = between.unionByName(shared_id_links(members, reps.select("k1", "k2", "rep"), ["k1", "k2"]))
+    labels = c.stored(connected_components(c.stored(between, "neardup-between")), "neardup-components")
     return reps.select("k1", "k2", "rep"), labels
 
 

@@ -334,3 +334,50 @@ def test_empty_tables(spark, no_docs):
 def test_no_benchmark(spark, edge_docs):
     out = decontaminate.digest(edge_docs, spark.createDataFrame([], ITEMS)).collect()
     assert out and not any(r.contaminated or r.n_hit or r.n_items for r in out)
+
+
+def _template(rng, size, change):
+    """Documents of one template in which ``change`` of ``size`` words differ everywhere."""
+    body = [f"t{i}" for i in range(size)]
+    places = rng.sample(range(size), change)
+
+    def one(i):
+        mine = list(body)
+        for p in places:
+            mine[p] = f"x{i}_{p}"
+        return " ".join(mine)
+    return one
+
+
+def test_documents_with_two_texts_join_their_copies(spark):
+    rng = random.Random(4)
+    a, b = prose(rng, 300), prose(rng, 300)
+    near = lambda t: t.replace(t.split(" ")[150], "changed", 1)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (7, prose(rng, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted({(r.doc_id, r.component_id) for r in neardup.digest(docs).collect()})
+    assert got == [(1, 1), (2, 1), (3, 1), (7, 7)]
+
+
+def test_template_group_below_the_threshold_leaves_no_pairs(spark, monkeypatch):
+    """2,000 documents of similarity 0.75 with one another, and two true copies among them."""
+    rng = random.Random(6)
+    one = _template(rng, 400, 15)
+    rows = [(i, one(i)) for i in range(2000)] + [(5000, one(77) + " tail"), (5001, one(78) + " tail")]
+    sets = [brute.shingles(rows[i][1], 4) for i in (0, 1)]
+    assert 0.7 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.79
+    emitted = {}
+    stored = neardup.c.stored
+
+    def counting(df, name, *more):
+        out = stored(df, name, *more)
+        if name in ("neardup-likely", "neardup-links"):
+            emitted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.c, "stored", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.digest(docs).collect()}
+    assert {i: k for i, k in got.items() if i != k} == {5000: 77, 5001: 78}
+    # of two million pairs, the task gives away a forest per bucket at first, and then two links
+    assert emitted["neardup-likely"] <= 26 * len(rows) and emitted["neardup-links"] <= 4
