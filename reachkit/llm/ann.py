@@ -10,8 +10,9 @@ Spark jobs: every row is indexed.  Rows of one vector become one entry with its
 can need more), so copies neither use up the walk nor fill a task.  Entries are dealt to blocks:
 neighbouring first-half centroids share a slab of up to ``BLOCK_ROWS`` entries; a fuller one is spread
 over blocks.  Queries are dealt to parts of about ``BLOCK_ROWS`` as well; a part and a block meet in a
-group of their own, so both sides of every group are bounded (each entry travels once per part, each
-query once per block that it meets: the work grows with rows x queries).  The cells' counts (centroids squared: bounded) steer the walk; a query goes to the blocks
+group of their own, so both sides of every group are bounded (each entry travels to the
+parts that ask for its block, each query to the blocks that it meets: where queries walk a share of all
+vectors, the work grows with rows x queries).  The cells' counts (centroids squared: bounded) steer the walk; a query goes to the blocks
 of the cells it walked, each block returns its ``top`` best rows, and the best of those win.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
@@ -196,7 +197,6 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
     dealt = entries.select("ids", "times", "v", (F.col("c1") * width + F.col("c2")).alias("cell"), by_first(slab).alias("slab"),
                            F.pmod(F.xxhash64("v"), by_first(blocks[slab])).cast("int").alias("block"))
     questions, rows, parts = parted(queries, block_rows)
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,8 +222,11 @@ def search(entries: DataFrame, queries: DataFrame, dim: int, books: Codebooks, t
                      c.packed(flat, sizes), c.column(part, "v").take(take)],
                     ["query_id", "part", "slab", "block", "cells", "v"])
 
-    asked = questions.repartition(c.group_count(entries.sparkSession, rows, ROUTE_ROWS), "vec_id", "v").mapInArrow(
-        route, "query_id long, part int, slab int, block int, cells binary, v array<double>")
+    asked = c.stored(questions.repartition(c.group_count(entries.sparkSession, rows, ROUTE_ROWS), "vec_id", "v").mapInArrow(
+        route, "query_id long, part int, slab int, block int, cells binary, v array<double>"), "ann-asked")
+    # an entry travels to the parts that ask for its block
+    wanted = c.stored(asked.select("part", "slab", "block").distinct(), "ann-wanted")
+    dealt = dealt.join(wanted.hint("merge"), ["slab", "block"])
 
     def scan(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         """A part of the queries against one block: each query's best among the cells it walked."""

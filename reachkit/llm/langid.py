@@ -6,7 +6,8 @@ read whole, in blocks of ``BLOCK`` bytes (the states start anew in each block),
 
 The network is trained here in numpy by backpropagation through time, on the driver, on a bounded
 sample: about ``SAMPLE`` labelled documents of each language outside fold 2, ``CUTS`` blocks from each
-(spread over the whole text).  Prediction is one map-only pass.
+(spread over the whole text; a text shorter than a block is one, masked behind its end).  Rows are drawn by
+a hash of id and text, equal rows once, and all languages are learned.  Prediction is one map-only pass.
 
 Edge cases: ``und`` with score 0 for a null text, a text without a letter, or if nothing could be
 learned; ties go to the language that sorts first; rows with a null lang are not learned from; rows
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from reachkit.llm import common as c
 
 SAMPLE = 400  # documents per language, about
-LANGUAGES = 512  # languages learned, at most (the most frequent)
 CUTS = 4
 TRAIN_BLOCK = 48
 BLOCK = 128
@@ -107,15 +107,17 @@ class Network:
         p /= p.sum(0)
         return p.reshape(-1, t_n, b)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray):
-        """(loss, gradients of embed, w, out) of the positions' cross entropy."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray | None = None):
+        """(loss, gradients of embed, w, out) of the positions' cross entropy (those behind a block's end
+        are masked)."""
         h, (t_n, b) = HIDDEN, x.shape
-        states, tape = self.states(x, None, keep=True)
+        states, tape = self.states(x, mask, keep=True)
         p = self.probabilities(states)
         at = (y[None, :], np.arange(t_n)[:, None], np.arange(b)[None, :])
-        loss = -np.log(np.maximum(p[at], 1e-9)).mean()
+        kept = np.ones((t_n, b), np.float32) if mask is None else mask
+        loss = -(np.log(np.maximum(p[at], 1e-9)) * kept).sum() / kept.sum()
         p[at] -= 1
-        p /= t_n * b
+        p *= kept / kept.sum()
         both = np.concatenate([states[0], states[1], np.ones((t_n, 1, b), np.float32)], 1)  # T x (2H+1) x B
         g_out = np.einsum("ltb,tfb->lf", p, both)
         back = np.einsum("lf,ltb->tfb", self.out[:, :2 * h], p)
@@ -124,7 +126,7 @@ class Network:
         for d, t, s, pre, new in reversed(tape):
             if carry is None or carry[0] != d:
                 carry = (d, np.zeros((h, b), np.float32))
-            dh = carry[1] + back[t, d * h:(d + 1) * h]
+            dh = (carry[1] + back[t, d * h:(d + 1) * h]) * kept[t]
             z, r, hn, prev = pre[:h], pre[h:2 * h], pre[3 * h:], s[:h]
             dn = dh * (1 - z) * (1 - new * new)
             dr = dn * hn
@@ -143,15 +145,18 @@ class Network:
         return loss, [g_e, g_w, g_out]
 
 
-def fit(blocks: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS) -> Network:
-    """Backpropagation through time with Adam over random batches of blocks (N x TRAIN_BLOCK bytes)."""
+def fit(blocks: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS, size: np.ndarray | None = None) -> Network:
+    """Backpropagation through time with Adam over random batches of blocks (N x TRAIN_BLOCK bytes, of which
+    ``size`` are text)."""
     rng = np.random.default_rng(SEED)
     net = Network.start(langs, rng)
     theta = [net.embed, net.w, net.out]
     m, v = [np.zeros_like(a) for a in theta], [np.zeros_like(a) for a in theta]
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(blocks), BATCH)
-        _, grads = net.gradients(np.ascontiguousarray(blocks[pick].T), labels[pick])
+        short = size is not None and (size[pick] < blocks.shape[1]).any()
+        mask = (np.arange(blocks.shape[1])[:, None] < size[pick][None, :]).astype(np.float32) if short else None
+        _, grads = net.gradients(np.ascontiguousarray(blocks[pick].T), labels[pick], mask)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * min(1.0, 2.0 - 2.0 * step / (steps + 1))
         for a, g, mi, vi in zip(theta, grads, m, v, strict=True):
@@ -166,14 +171,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang"))
     known = known.where("doc_id is not null and lang is not null").where(c.fold(F.col("doc_id"), 4) != 2)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return None
     langs = sorted(counts)
-    # about ``sample`` rows per language by a hash of the id
-    part = F.create_map(*[F.lit(x) for l in langs for x in (l, int(1_000_000 * min(1.0, sample / counts[l])))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part[F.col("lang")]).limit(2 * sample * len(langs))
+    # about ``sample`` rows per language by a hash of id and text; equal rows once
+    part = F.create_map(*[F.lit(x) for l in langs for x in (l, int((1 << 40) * min(1.0, sample / counts[l])))])
+    drawn = F.xxhash64("doc_id", "text")
+    chosen = (known.withColumn("h", drawn).where(F.pmod("h", F.lit(1 << 40)) < part[F.col("lang")])
+              .dropDuplicates(["lang", "h"]).orderBy("h", "lang").limit(2 * sample * len(langs)).select("lang", "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +187,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
             buf, start, end = c.flat(c.column(batch, "text"))
             blocks, at = [], []
             for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-                for k in range(CUTS):  # spread over the whole text
-                    if b - a >= TRAIN_BLOCK:
-                        lo = a + (b - a - TRAIN_BLOCK) * k // max(1, CUTS - 1)
-                        blocks.append(buf[lo:lo + TRAIN_BLOCK].tobytes())
-                        at.append(i)
+                # spread over the whole text; a shorter text is one block, masked behind its end
+                for k in range(CUTS if b - a >= TRAIN_BLOCK else min(1, b - a)):
+                    lo = a + max(0, b - a - TRAIN_BLOCK) * k // max(1, CUTS - 1)
+                    blocks.append(buf[lo:min(b, lo + TRAIN_BLOCK)].tobytes())
+                    at.append(i)
             yield pa.RecordBatch.from_arrays([lang.take(pa.array(at, pa.int64())), pa.array(blocks, pa.binary())],
                                              ["lang", "block"])
 
@@ -193,10 +199,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["block"])))  # the same batches whatever the order of rows
-    blocks = np.frombuffer(b"".join(bytes(r["block"]) for r in rows), np.uint8).reshape(-1, TRAIN_BLOCK)
+    size = np.array([len(r["block"]) for r in rows])
+    blocks = np.frombuffer(b"".join(bytes(r["block"]).ljust(TRAIN_BLOCK, b"\0") for r in rows), np.uint8).reshape(-1, TRAIN_BLOCK)
     found = sorted({r["lang"] for r in rows})
     labels = np.array([found.index(r["lang"]) for r in rows])
-    return fit(blocks, labels, found)
+    return fit(blocks, labels, found, size=size)
 
 
 def _pooled(net: Network, buf: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int = 2048) -> np.ndarray:

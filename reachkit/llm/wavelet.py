@@ -78,15 +78,18 @@ class WaveletMatrix:
     def _rank1(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
         if self._ranks[level] is None:
-            bits = np.unpackbits(self.planes[level], count=self.n)
-            padded = np.zeros(-(-self.n // _BLOCK) * _BLOCK or _BLOCK, np.uint8)
-            padded[:self.n] = bits
-            self._ranks[level] = np.concatenate([[0], np.cumsum(padded.reshape(-1, _BLOCK).sum(1, dtype=np.int64))])
+            self._ranks[level] = self._directory(level)
         block = i // _BLOCK
         lo = block * _BLOCK
         return int(self._ranks[level][block]) + int(
             np.unpackbits(self.planes[level][lo // 8:-(-i // 8)], count=i - lo).sum()) if i > lo else int(self._ranks[level][block])
 
+    def _directory(self, level: int) -> np.ndarray:
+        """Ones before every block of a plane."""
+        padded = np.zeros(-(-self.n // _BLOCK) * _BLOCK or _BLOCK, np.uint8)
+        padded[:self.n] = np.unpackbits(self.planes[level], count=self.n)
+        return np.concatenate([[0], np.cumsum(padded.reshape(-1, _BLOCK).sum(1, dtype=np.int64))])
+
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level][i >> 3] >> (7 - (i & 7)) & 1)
 
@@ -151,7 +154,10 @@ class WaveletMatrix:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        parts = [z.compress(self.alphabet.astype("<u4").tobytes())] + [z.compress(p.tobytes()) for p in self.planes]
+        # the rank directory lies in the file as the ones of every block
+        ones = [np.diff(self._directory(k)).astype("<u2") for k in range(len(self.planes))]
+        parts = [z.compress(self.alphabet.astype("<u4").tobytes()), z.compress(b"".join(x.tobytes() for x in ones))]
+        parts += [z.compress(p.tobytes()) for p in self.planes]
         head = MAGIC + struct.pack("<QII", self.n, len(self.alphabet), len(self.planes))
         head += struct.pack(f"<{len(self.zeros)}Q", *self.zeros) + struct.pack(f"<{len(parts)}Q", *map(len, parts))
         return head + b"".join(parts)
@@ -165,11 +171,13 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix file")
         n, _, width = struct.unpack("<QII", f.read(16))
         zeros = list(struct.unpack(f"<{width}Q", f.read(8 * width)))
-        sizes = struct.unpack(f"<{width + 1}Q", f.read(8 * (width + 1)))
+        sizes = struct.unpack(f"<{width + 2}Q", f.read(8 * (width + 2)))
         z = zstandard.ZstdDecompressor()
-        alphabet, *planes = [np.frombuffer(z.decompress(f.read(s)), "<u4" if i == 0 else np.uint8)
-                             for i, s in enumerate(sizes)]
-        return cls(n, alphabet, planes, zeros)
+        alphabet, ones, *planes = [np.frombuffer(z.decompress(f.read(s)), kind)
+                                   for s, kind in zip(sizes, ["<u4", "<u2"] + [np.uint8] * width, strict=True)]
+        out = cls(n, alphabet, planes, zeros)
+        out._ranks = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (ones.reshape(width, -1) if width else [])]
+        return out
 
 
 # ---------------------------------------------------------------- Spark jobs
@@ -213,7 +221,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD
             yield shard()
 
     texts = c.documents(docs).where("doc_id is not null")
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # a doc_id on many rows is cut by its texts
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order)
     return c.stored(c.mapped(ordered, encode, SHARDS), "wavelet-shards")
 
 
