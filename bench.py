@@ -77,6 +77,16 @@ WINDOW_FORM = {
                count(DISTINCT a.vid) AS VID_reach, count(DISTINCT a.user_id) AS distinct_users
         FROM vids a JOIN vid_table t ON a.vid >= t.start_VID AND a.vid < t.start_VID + t.total_VID
         GROUP BY t.alpha, t.rate, t.start_VID, t.total_VID ORDER BY t.start_VID""",
+    "assign_uid_time": """
+        SELECT e.vid_seed, e.timestamp, e.user_id, floor(e.p2 * t.total_VID) + t.start_VID AS vid FROM (
+          SELECT *, h1 * 2.3283064365386963E-10D + 0.5D AS p1,
+                 hash(concat(CAST(h1 AS STRING), CAST(timestamp AS STRING))) * 2.3283064365386963E-10D + 0.5D AS p2, h1 AS vid_seed
+          FROM (SELECT *, hash(concat(user_id, CAST(timestamp AS STRING))) AS h1 FROM events)) e
+        JOIN vid_table t ON e.p1 >= t.`prob_>=` AND e.p1 < t.`prob_<`""",
+    "gen_impressions": """
+        SELECT user_id, age_range, k, CAST(1583020800 + floor((hash(concat_ws('|', '7', user_id, k)) * 2.3283064365386963E-10D + 0.5D)
+               * 10540800) AS BIGINT) AS timestamp_int
+        FROM (SELECT *, explode(sequence(0L, n_impressions - 1)) AS k FROM people_n)""",
     "exposure_index": """
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp) AS exposure_index FROM events""",
 }
@@ -103,7 +113,8 @@ def main() -> None:
     if os.environ.get("BENCH_COMPARE", "1") != "0":
         line_impressions(spark, sf_dir).createOrReplaceTempView("lines")
         event_impressions(spark, sf_dir).createOrReplaceTempView("events")
-        for view, name in (("vids", "assign_uid_time"), ("vids_segment", "assign_uid_time_segment"), ("vid_table", "vid_table")):
+        for view, name in (("vids", "assign_uid_time"), ("vids_segment", "assign_uid_time_segment"), ("vid_table", "vid_table"),
+                           ("people_n", "gen_n_impressions")):
             QUERIES[name](spark, sf_dir).createOrReplaceTempView(view)
         window_form = {name: _time(lambda q=sql: spark.sql(q), repeat) for name, sql in WINDOW_FORM.items()}
     spark.stop()

@@ -13,9 +13,11 @@ Plan: ``h1``/``p1`` are computed before the join.  The VID table is a model
 table; it joins on the demo columns and a cell of [0, 1), the bucket test being
 the residual condition (an equi-join, never a nested loop).  Spark broadcasts
 the table when its statistics say it is small: then the operator is map-only.
-Otherwise it is a shuffle join; ``cells`` spreads a hot segment over so many
-keys (1 with segments, 1,024 without, where the cell is the only key), and AQE
-splits what is still hot.  Nothing runs when the operator is called, and it
+Otherwise it is a shuffle join; ``cells`` spreads a segment over so many keys
+(1 with segments, 1,024 without, where the cell is the only key).  With
+``cells="measured"`` the segments are counted (map-side, one row each) and only
+those with over ``HOT_SHARE`` of all rows, so few that they are broadcast, get
+``HOT_CELLS`` keys and as many table rows.  Nothing runs when the operator is called, and it
 works on a streaming DataFrame too.
 """
 
@@ -30,11 +32,14 @@ from reachkit.operators.vid_table import VID_COLUMNS
 from reachkit.sources.schema import as_list, require_columns
 
 MODES = ("weighted", "uid", "uid_time")
+MEASURED = "measured"
 P_BUCKETS = 1024
+HOT_SHARE = 1 / 32  # of all impressions: a segment with more is hot (fewer than 32 can be)
+HOT_CELLS = 256
 
 
 def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mode: str = "uid",
-                id_col: str = "user_id", cells: int | None = None) -> DataFrame:
+                id_col: str = "user_id", cells: int | str | None = None) -> DataFrame:
     """Assign VIDs to impressions (see module doc).
 
     Output: ``[demos], vid, timestamp, h1, p1, p2, <id_col>`` for ``uid`` and
@@ -42,6 +47,7 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
     Rows whose demos have no VID-table row (e.g. NULL demos) are dropped.
     ``cells`` (a power of two) is the number of cells of [0, 1) the join key
     gets: each pool is listed under the cells its interval touches.
+    ``"measured"`` does so for hot segments only (not on a stream).
     """
     if mode not in MODES:
         raise ValueError(f"unexpected mode {mode!r}; expected one of {MODES}")
@@ -51,7 +57,8 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
         require_columns(impressions, ["weight"])
     require_columns(vid_table, [*demos, *VID_COLUMNS])
 
-    n_cells = int(cells or (1 if demos else P_BUCKETS))
+    measured = cells == MEASURED and bool(demos)
+    n_cells = HOT_CELLS if measured else int((1 if demos else P_BUCKETS) if cells in (None, MEASURED) else cells)
     if n_cells & (n_cells - 1):
         raise ValueError("cells must be a power of two")  # scaling by it is exact: no pair is missed
     table = vid_table.select(*demos, *VID_COLUMNS)
@@ -65,10 +72,18 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
     on = list(demos)
     if n_cells > 1:
         lo, hi = F.col("prob_>="), F.col("prob_<")
-        table = (table.where((lo < hi) & (lo < 1.0))
-                 .withColumn("__pb", F.explode(F.sequence(
-                     F.floor(lo * n_cells), F.least(F.floor(hi * n_cells), F.lit(n_cells - 1).cast("bigint"))))))
-        keyed = keyed.withColumn("__pb", F.floor(F.col("p1") * n_cells))
+        touched = F.sequence(F.floor(lo * n_cells), F.least(F.floor(hi * n_cells), F.lit(n_cells - 1).cast("bigint")))
+        cell = F.floor(F.col("p1") * n_cells)
+        table = table.where((lo < hi) & (lo < 1.0))
+        if measured:
+            hot = F.broadcast(_hot_segments(impressions, demos))
+            none = F.lit(0).cast("bigint")
+            table = table.join(hot, on=demos, how="left")
+            touched = F.when(F.col("__hot"), touched).otherwise(F.array(none))
+            keyed = keyed.join(hot, on=demos, how="left")
+            cell = F.when(F.col("__hot"), cell).otherwise(none)
+        table = table.withColumn("__pb", F.explode(touched)).drop("__hot")
+        keyed = keyed.withColumn("__pb", cell).drop("__hot")
         on.append("__pb")
     joined = keyed.join(table, on=on).where(in_bucket).drop("__pb")
 
@@ -86,3 +101,10 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
         .withColumn("vid", (F.floor(F.col("p2") * F.col("total_VID")) + F.col("start_VID")).cast("bigint"))
         .select(*demos, "vid", "timestamp", "h1", "p1", "p2", id_col)
     )
+
+
+def _hot_segments(impressions: DataFrame, demos: list[str]) -> DataFrame:
+    """``demos, __hot`` of the segments with over ``HOT_SHARE`` of all impressions."""
+    counts = impressions.groupBy(*demos).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    return counts.where(F.col("__n") > total * F.lit(HOT_SHARE)).select(*demos, F.lit(True).alias("__hot"))

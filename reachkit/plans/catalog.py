@@ -48,6 +48,7 @@ from reachkit.sources.tables import census_from_customers, event_impressions, li
 ALPHAS = [0.25, 0.2, 0.1]
 RATES = [2.0, 0.8, 0.2]
 DEMO = "age_range"
+HOT_SEGMENT = "BUILDING"
 TWO = ["age_range", "gender"]  # gender is NULL for a third of the census
 ASSUMED_POPULATION = 5_000_000
 # a steep pool beside a slow one, on axes of so many impressions per person; a pool slower than is kept
@@ -427,6 +428,17 @@ def q_assign_uid_segment_cells(spark, sf):
     return assign_vids(event_impressions(spark, sf), segment_vid_table(spark, sf), demo_cols=[DEMO], mode="uid", cells=64)
 
 
+def _one_segment_events(spark, sf):
+    """EVENTS with nine tenths of the users in one segment."""
+    ev = event_impressions(spark, sf)
+    return ev.withColumn(DEMO, F.when(F.col("user_id").cast("bigint") % 10 != 0, F.lit(HOT_SEGMENT)).otherwise(F.col(DEMO)))
+
+
+def q_assign_uid_time_hot_segment(spark, sf):
+    """Hot segments found by counting get cells of their own in the join key."""
+    return assign_vids(_one_segment_events(spark, sf), segment_vid_table(spark, sf), demo_cols=[DEMO], mode="uid_time", cells="measured")
+
+
 def q_assign_uid_literal_model(spark, sf):
     """Literal model rows with an assumed population."""
     table = generate_vid_assignment_table(mixture_table(spark, ALPHAS, RATES), population_size=ASSUMED_POPULATION)

@@ -441,6 +441,9 @@ FROM (SELECT *, unnest(range(1, len(alphas) + 1)) AS i
         **_known_sql(),
         **_two_demo_sql(ev, ev_h),
         "assign_uid_segment_cells": a["uid_segment"],
+        "assign_uid_time_hot_segment": assign_sql(
+            f"SELECT * REPLACE (CASE WHEN user_id::BIGINT % 10 <> 0 THEN '{C.HOT_SEGMENT}' ELSE age_range END AS age_range) FROM ({ev})",
+            seg_vt, "uid_time", ["age_range"]),
         "assign_uid_literal_model": assign_sql(ev, vid_table_sql(
             f"SELECT {C.ASSUMED_POPULATION}::BIGINT AS population, {_dl(C.ALPHAS)} AS alphas, {_dl(C.RATES)} AS rates"), "uid"),
         "reach_weighted_fractions": fraction_reach_sql(),

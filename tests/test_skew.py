@@ -118,3 +118,26 @@ def test_ranges_of_odd_tables(spark):
     df = spark.createDataFrame(rows, "user_id string, timestamp timestamp_ntz, extra map<string,int>")
     got = sorted((r.user_id or "", r.exposure_index, r.frequency_total) for r in add_frequency_total(df).collect())
     assert got == [("", 1, 2), ("", 2, 2), ("a", 1, 2), ("a", 2, 2)]
+
+
+def test_hot_segment_is_spread_by_measured_cells(spark, no_coalesce):
+    from reachkit import assign_vids, generate_vid_assignment_table
+
+    rows = [(f"u{i}", T0 + dt.timedelta(minutes=i), "S1" if i % 10 == 0 else "S0") for i in range(6000)]
+    imps = spark.createDataFrame(rows, "user_id string, timestamp timestamp_ntz, seg string").repartition(7)
+    mix = spark.createDataFrame([(s, 5000, [0.4, 0.2], [0.5, 1.5]) for s in ("S0", "S1", "S2")],
+                                "seg string, population bigint, alphas array<double>, rates array<double>")
+    table = generate_vid_assignment_table(mix, demo_cols=["seg"])
+    want = sorted(map(tuple, assign_vids(imps, table, demo_cols=["seg"], mode="uid_time").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = assign_vids(imps, table, demo_cols=["seg"], mode="uid_time", cells="measured")
+        parts = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("vid")).collect()
+        assert max(r.n for r in parts) < 0.1 * len(rows)
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        for key, value in (("spark.sql.shuffle.partitions", "8"), ("spark.sql.autoBroadcastJoinThreshold", "10485760b")):
+            spark.conf.set(key, value)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
