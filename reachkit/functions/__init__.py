@@ -5,6 +5,7 @@ from reachkit.functions.hashing import (
     hash_uniform,
     seeded_uniform,
     vid_chain,
+    vid_chain_pieces,
 )
 from reachkit.functions.mixture import array_sum, mixture_reach, params_array
 from reachkit.functions.rounding import half_up_int, stochastic_round
@@ -14,6 +15,7 @@ __all__ = [
     "hash_uniform",
     "seeded_uniform",
     "vid_chain",
+    "vid_chain_pieces",
     "mixture_reach",
     "array_sum",
     "params_array",

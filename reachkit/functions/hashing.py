@@ -78,3 +78,30 @@ def vid_chain(n, start, size, seed) -> Column:
             .when(n > width, F.flatten(pieces))
             .when(n >= 1, piece(seed.cast("bigint"), n))
             .otherwise(empty))
+
+
+CHAIN_ROWS = 4096  # draws of a piece of a chain that is one array
+
+
+def vid_chain_pieces(n, start, size, seed, piece: int = CHAIN_ROWS) -> Column:
+    """The chain of ``vid_chain`` cut into pieces: an array of ``(seed, length)`` whose chains
+    ``vid_chain(length, start, size, seed)``, one after the other, are the whole chain.
+
+    Only the state of one BIGINT goes from piece to piece, so a row of any ``n`` holds n / ``piece`` states,
+    and after ``explode`` each piece is an array of at most ``piece`` draws.  ``n < 1`` and NULL give an empty
+    array.
+    """
+    n, start, size, seed = (_col(x) for x in (n, start, size, seed))
+    n, size, start = n.cast("bigint"), size.cast("bigint"), start.cast("bigint")
+    width = F.lit(int(piece)).cast("bigint")
+    one = F.lit(1).cast("bigint")
+
+    def last(prev: Column) -> Column:
+        """State behind a whole piece."""
+        return F.aggregate(F.sequence(one, width), prev, lambda acc, _i: F.pmod(F.hash(acc.cast("string")).cast("bigint"), size) + start)
+
+    states = F.when(n > width, F.aggregate(
+        F.sequence(one, F.floor((n - 1) / width).cast("bigint")), F.array(seed.cast("bigint")),
+        lambda acc, _i: F.concat(acc, F.array(last(F.element_at(acc, -1)))))).otherwise(F.array(seed.cast("bigint")))
+    pieces = F.transform(states, lambda s, i: F.struct(s.alias("seed"), F.least(width, n - i * width).alias("length")))
+    return F.when(n >= 1, pieces).otherwise(F.array().cast("array<struct<seed:bigint,length:bigint>>"))

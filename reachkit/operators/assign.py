@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachkit.functions.hashing import to_uniform, vid_chain
+from reachkit.functions.hashing import to_uniform, vid_chain, vid_chain_pieces
 from reachkit.functions.rounding import half_up_int
 from reachkit.operators.vid_table import VID_COLUMNS
 from reachkit.sources.schema import as_list, require_columns
@@ -88,9 +88,11 @@ def assign_vids(impressions: DataFrame, vid_table: DataFrame, demo_cols=None, mo
     joined = keyed.join(table, on=on).where(in_bucket).drop("__pb")
 
     if mode == "weighted":
-        vids = vid_chain(half_up_int("weight"), "start_VID", "total_VID", "h1")
-        return (joined.withColumn("vid", F.explode(vids))
-                .select(*demos, "vid", "timestamp", "h1", "p1"))
+        # the chain of a heavy row becomes rows piece by piece: no array holds more than a piece
+        pieces = vid_chain_pieces(half_up_int("weight"), "start_VID", "total_VID", "h1")
+        cut = joined.select(*demos, "timestamp", "h1", "p1", "start_VID", "total_VID", F.explode(pieces).alias("__piece"))
+        vids = vid_chain("__piece.length", "start_VID", "total_VID", "__piece.seed")
+        return cut.select(*demos, F.explode(vids).alias("vid"), "timestamp", "h1", "p1")
 
     if mode == "uid":
         p2 = to_uniform(F.hash(F.col("h1").cast("string")))

@@ -256,3 +256,27 @@ def test_buckets_partition_unit_interval(spark, pools, population):
     sizes = [r[5] for r in rows if r[4] != 0]
     assert sizes == [int(np.ceil(a * population)) for a in alphas] or sum(sizes) == sum(
         int(np.ceil(a * population)) for a in alphas)
+
+
+def test_chain_pieces_are_the_chain(spark):
+    from reachkit.functions.hashing import vid_chain, vid_chain_pieces
+
+    rows = [(n, 10, 7919, 42 + n) for n in (-1, 0, 1, 4, 5, 6, 23, 300)] + [(None, 10, 7919, 1)]
+    df = spark.createDataFrame(rows, "n int, start long, size long, seed int")
+    pieces = df.select("n", F.explode(vid_chain_pieces("n", "start", "size", "seed", piece=5)).alias("p"), "start", "size")
+    parts = pieces.select("n", vid_chain("p.length", "start", "size", "p.seed").alias("v")).collect()
+    whole = {r.n: r.v for r in df.select("n", vid_chain("n", "start", "size", "seed").alias("v")).collect()}
+    for n in (1, 4, 5, 6, 23, 300):
+        assert [x for r in parts if r.n == n for x in r.v] == whole[n]
+    assert {r.n for r in parts} == {1, 4, 5, 6, 23, 300}
+
+
+def test_a_heavy_row_is_never_one_array(spark):
+    imps = spark.createDataFrame([("u", dt.datetime(2024, 1, 1), 1_000_000)], "user_id string, timestamp timestamp_ntz, weight int")
+    table = spark.createDataFrame([(0.0, 1.0, 1.0, 1.0, 1, 1_000_003)],
+                                  "`prob_>=` double, `prob_<` double, alpha double, rate double, start_VID bigint, total_VID bigint")
+    out = assign_vids(imps, table, mode="weighted")
+    got = out.agg(F.count("vid"), F.min("vid"), F.max("vid")).first()
+    assert got[0] == 1_000_000 and got[1] >= 1 and got[2] <= 1_000_003
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(__piece" not in plan and "AS __piece" in plan or "[__piece" in plan  # pieces are rows first
