@@ -11,13 +11,13 @@ sets' Jaccard similarity is at least ``threshold``; a component is what links re
    prior).  At first only a heaviest forest of the survivors (by matches) leaves the task: fewer links
    than members, the likeliest ones; they are verified on the full sets and joined by star steps;
 5. in buckets that still hold several components, every pair of different components is compared on
-   ``MORE`` further values as well, and every survivor is verified on the full sets, which come into the
-   task once per class.  Only confirmed links leave it, reduced to a forest: a group of documents just
-   below the threshold is compared in its tasks, and its pairs are never rows.  So no pair of a bucket is
-   lost;
+   ``MORE`` further values as well, and every survivor is verified on the full sets.  In a bucket with more
+   than ``DENSE`` survivors a row (documents just below the threshold), the full sets come into the task once
+   per class and only confirmed links leave it, reduced to a forest: its pairs are never rows.  So no pair of
+   a bucket is lost;
 6. links join documents: the classes' smallest doc_ids, and every doc_id that lies in several classes.
 
-A bucket of more than ``BLOCK`` rows (at step 5 of more than ``BLOCK_BYTES`` of sets) is compared in pairs
+A bucket of more than ``BLOCK`` rows (a crowded one of more than ``BLOCK_BYTES`` of sets) is compared in pairs
 of blocks, each a group of its own.
 
 Chance: a pair at the threshold meets in no band with probability (1 - t**rows)**bands (3e-5 for the
@@ -51,8 +51,10 @@ MISS = 1e-5
 STEP = 26  # signature values compared before each decision
 MORE, MORE_STEP = 512, 128  # further values (one byte each) of documents in buckets, for near misses
 BLOCK = 16_384  # rows of a bucket compared in one task
-BLOCK_BYTES = 8 << 20  # of the sets of a bucket compared in one task
-GROUP_BYTES = 16 << 20  # of the sets of small buckets that share a task
+BLOCK_BYTES = 4 << 20  # of the sets of a crowded bucket compared in one task
+GROUP_BYTES = 4 << 20  # of the sets of small crowded buckets that share a task
+DENSE = 8  # surviving pairs a row from which on a bucket is crowded
+CHUNK_PAIRS = 20_000  # pairs of a bucket looked at at once
 SEED = 20240229
 
 
@@ -208,7 +210,7 @@ def _compare(sig: np.ndarray, more: np.ndarray | None, which: np.ndarray, stops,
     outside = np.flatnonzero(which != large)
     first, least = stops[0]
     values = sig.shape[1]
-    step = max(1, 50_000 // m)
+    step = max(1, CHUNK_PAIRS // m)
     for i in range(0, len(outside), step):
         part = outside[i:i + step]
         same = np.zeros((len(part), m), np.int16)
@@ -330,9 +332,51 @@ def _likely(buckets: DataFrame, sigs: DataFrame, threshold: float, miss: float,
     return live.groupBy("g").applyInArrow(run, "a long, b long").where("a < b").distinct()
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, threshold: float, miss: float, n_hashes: int, rows: int,
-          block_bytes: int) -> DataFrame:
-    """Confirmed links ``a, b`` of the buckets that still hold several components: a forest per group."""
+def _mixed(buckets: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several components, with their component ``comp``."""
+    named = buckets.join(labels.select(F.col("node").alias("sid"), F.col("component").alias("comp")).hint("merge"),
+                         "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    named = c.stored(named.join(sigs.select("sid", "bytes").hint("merge"), "sid"), "neardup-named")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("bytes").alias("held"))
+    mixed = c.stored(mixed.where("lo < hi").select("key", "held"), "neardup-mixed")
+    return c.stored(named.join(mixed.hint("merge"), "key"), "neardup-live")
+
+
+def _rest(live: DataFrame, sigs: DataFrame, threshold: float, miss: float, n_hashes: int, rows: int, block: int) -> DataFrame:
+    """``a, b`` of the pairs in different components that survive all values, and ``key`` of the buckets
+    where more than ``DENSE`` a row do: those give no pairs."""
+    stops = _stops(threshold, miss, n_hashes, True)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sig, more = _rows(table.column("sig"), np.uint32), _rows(table.column("more"), np.uint8)
+        key, dense = table.column("key").to_numpy(), []
+
+        def pairs(mine, which, band):
+            xs, ys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+            for x, y, _ in _compare(sig[mine], more[mine], which, stops, band, rows):
+                xs.append(x)
+                ys.append(y)
+                n += len(x)
+                if n > DENSE * len(mine):
+                    dense.append(int(key[mine[0]]))
+                    return xs[0], ys[0]
+            return np.concatenate(xs), np.concatenate(ys)
+
+        out = _in_buckets(table, pairs)
+        out = out.append_column("key", pa.nulls(out.num_rows, pa.int64()))
+        c.release()
+        return pa.concat_tables([out, pa.table({"a": pa.nulls(len(dense), pa.int64()), "b": pa.nulls(len(dense), pa.int64()),
+                                                "key": pa.array(dense, pa.int64())})])
+
+    dealt = _dealt(live, F.ceil(F.col("m") / F.lit(block)), c.group_count(live.sparkSession, live.count(), 8192))
+    dealt = dealt.join(sigs.select("sid", "sig", "more").hint("merge"), "sid")
+    found = dealt.groupBy("g").applyInArrow(run, "a long, b long, key long")
+    return c.stored(found.distinct(), "neardup-rest")
+
+
+def _dense(live: DataFrame, sigs: DataFrame, threshold: float, miss: float, n_hashes: int, rows: int, block_bytes: int) -> DataFrame:
+    """Confirmed links ``a, b`` of crowded buckets: the full sets come into the task, a forest leaves it."""
     stops = _stops(threshold, miss, n_hashes, True)
     up = round(threshold * 1_000_000)  # exact in integers
 
@@ -341,7 +385,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, threshold: flo
         sig, more = _rows(table.column("sig"), np.uint32), _rows(table.column("more"), np.uint8)
         buf, start, end = c.flat(table.column("shingles"))
         held = buf[int(start[0]):int(end[-1])].view(np.uint64) if len(start) else np.zeros(0, U64)
-        flat = np.unique(held, return_inverse=True)[1]
+        flat = np.unique(held, return_inverse=True)[1].astype(np.int32)
         mark = np.zeros(len(flat), bool)
         start, end = (start - start[0]) // 8, (end - start[0]) // 8
 
@@ -353,16 +397,10 @@ def _rest(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, threshold: flo
         c.release()
         return out
 
-    named = buckets.drop("m").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("comp")).hint("merge"),
-                                   "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    named = c.stored(named.join(sigs.select("sid", "bytes").hint("merge"), "sid"), "neardup-named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("bytes").alias("held"))
-    mixed = c.stored(mixed.where("lo < hi").select("key", "held"), "neardup-mixed")
-    named = c.stored(named.join(mixed.hint("merge"), "key"), "neardup-live")
-    held = named.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    live = _dealt(named, F.ceil(F.col("held") / F.lit(block_bytes)), c.group_count(buckets.sparkSession, held, GROUP_BYTES))
-    live = live.join(sigs.select("sid", "sig", "more", "shingles").hint("merge"), "sid")
-    return live.groupBy("g").applyInArrow(run, "a long, b long").where("a < b").distinct()
+    held = live.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    dealt = _dealt(live, F.ceil(F.col("held") / F.lit(block_bytes)), c.group_count(live.sparkSession, held, GROUP_BYTES))
+    dealt = dealt.join(sigs.select("sid", "sig", "more", "shingles").hint("merge"), "sid")
+    return dealt.groupBy("g").applyInArrow(run, "a long, b long").where("a < b").distinct()
 
 
 def _confirm(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -416,7 +454,7 @@ def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold:
     inside = buckets.select("sid").distinct().join(reps.select("sid", "rep", "tid").hint("merge"), "sid")
     inside = c.stored(inside, "neardup-inside")
     own = c.documents(docs).where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
-    few = inside.count() <= 1 << 19  # three longs a row
+    few = inside.count() <= 1 << 17  # three longs a row
     texts = own.join(F.broadcast(inside) if few else inside, (F.col("doc_id") == F.col("rep")) & (own["tid"] == inside["tid"]))
     texts = texts.select("sid", "text").dropDuplicates(["sid"])  # repeated rows
     sets = c.stored(_full_sets(texts, shingle, bands * rows), "neardup-sets")
@@ -424,7 +462,12 @@ def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, threshold:
     likely = c.stored(_likely(buckets, sigs, threshold, miss, bands * rows, rows, block), "neardup-likely")
     first = c.stored(_confirm(likely, sigs, threshold), "neardup-first")
     labels = c.stored(connected_components(first), "neardup-labels")
-    rest = _rest(buckets, labels, sigs, threshold, miss, bands * rows, rows, block_bytes)
+    live = _mixed(buckets, labels, sigs)
+    found = _rest(live, sigs, threshold, miss, bands * rows, rows, block)
+    rest = _confirm(found.where("key is null and a < b").select("a", "b"), sigs, threshold)
+    crowded = c.stored(found.where("key is not null").select("key").distinct(), "neardup-crowded")
+    if crowded.limit(1).count():
+        rest = rest.unionByName(_dense(live.join(crowded.hint("merge"), "key"), sigs, threshold, miss, bands * rows, rows, block_bytes))
     # what is joined already, as one link per class
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b")
     found = c.stored(joined.unionByName(rest), "neardup-links")

@@ -371,7 +371,7 @@ def test_template_group_below_the_threshold_leaves_no_pairs(spark, monkeypatch):
 
     def counting(df, name, *more):
         out = stored(df, name, *more)
-        if name in ("neardup-likely", "neardup-links"):
+        if name in ("neardup-likely", "neardup-rest", "neardup-links"):
             emitted[name] = out.count()
         return out
 
@@ -380,4 +380,5 @@ def test_template_group_below_the_threshold_leaves_no_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.digest(docs).collect()}
     assert {i: k for i, k in got.items() if i != k} == {5000: 77, 5001: 78}
     # of two million pairs, the task gives away a forest per bucket at first, and then two links
-    assert emitted["neardup-likely"] <= 26 * len(rows) and emitted["neardup-links"] <= 4
+    assert emitted["neardup-likely"] <= 26 * len(rows) and emitted["neardup-rest"] <= 26 * len(rows)
+    assert emitted["neardup-links"] <= 4
