@@ -84,7 +84,7 @@ WINDOW_FORM = {
           FROM (SELECT *, hash(concat(user_id, CAST(timestamp AS STRING))) AS h1 FROM events)) e
         JOIN vid_table t ON e.p1 >= t.`prob_>=` AND e.p1 < t.`prob_<`""",
     "gen_impressions": """
-        SELECT user_id, age_range, k, CAST(1583020800 + floor((hash(concat_ws('|', '7', user_id, k)) * 2.3283064365386963E-10D + 0.5D)
+        SELECT user_id, age_range, k, CAST(1583020800 + floor((hash(concat_ws('|', '7', CAST(user_id AS STRING), CAST(k AS STRING))) * 2.3283064365386963E-10D + 0.5D)
                * 10540800) AS BIGINT) AS timestamp_int
         FROM (SELECT *, explode(sequence(0L, n_impressions - 1)) AS k FROM people_n)""",
     "exposure_index": """
